@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vouchline.skew import block, ordered
+from vouchline.skew import block, hot_keys, ordered
 from vouchline.sources.templates import BANKS, GENERIC_KEYWORDS, ifsc_pattern
 
 TOLERANCE = "0.01"
@@ -110,13 +110,11 @@ def header_fields(text: Column) -> list[Column]:
 
 def stitch_periods(periods: DataFrame, gap_days: int = 1) -> DataFrame:
     """Statements of one account whose periods touch or overlap get one `stitch_no` (from 1 per account)."""
-    split = F.date_trunc("month", "period_start")
-    reach = ordered(periods, ["account_number"], ["period_start", "statement_id"], split, running={"_reach": ("max", F.col("period_end"))})
-    before = ordered(reach, ["account_number"], ["period_start", "statement_id"], split, lags={"_before": "_reach"})
+    keys, order, split = ["account_number"], ["period_start", "statement_id"], F.date_trunc("month", "period_start")
+    hot = hot_keys(periods, keys)
+    reach = ordered(periods, keys, order, split, running={"_before": ("max_before", F.col("period_end"))}, hot=hot)
     opens = F.when(F.col("_before").isNull() | (F.col("period_start") > F.date_add("_before", gap_days)), 1).otherwise(0)
-    return ordered(
-        before, ["account_number"], ["period_start", "statement_id"], split, running={"stitch_no": ("sum", opens)}
-    ).drop("_reach", "_before")
+    return ordered(reach, keys, order, split, running={"stitch_no": ("sum", opens)}, hot=hot).drop("_before")
 
 
 def stitched(periods: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def _pack_top_k(k: int):
             for row in frame.itertuples(index=False):
                 queries, items = np.stack(row.q_vectors), np.stack(row.i_vectors)
                 item_keys = np.asarray(row.i_keys)
-                scores = np.round(queries @ items.T, 9)
+                scores = np.round(queries @ items.T, 9) + 0.0
                 kept = min(k, len(item_keys))
                 floor = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1]
                 out_q, out_i, out_s = [], [], []
@@ -150,8 +150,7 @@ def _pack_top_k(k: int):
 def vector_top_k(queries: DataFrame, items: DataFrame, k: int, pack_rows: int = PACK_ROWS) -> DataFrame:
     """Exact k nearest items by cosine for every query, within its client.
 
-    queries: client_id, query, vector; items: client_id, item, vector (unit length; equal types of query and item keys
-    do not matter). Packs of queries meet packs of items; a pair of packs is one matrix product that returns k rows per
+    queries: client_id, query, vector; items: client_id, item, vector, all of unit length; equal scores go by item. Packs of queries meet packs of items; a pair of packs is one matrix product that returns k rows per
     query, so neither the join nor the shuffle carries single pairs, and a large client spreads over many pack pairs.
     """
     q = _packed(queries, "query", "q", pack_rows)
@@ -169,20 +168,22 @@ def search(queries: DataFrame, mappings: DataFrame, k: int, pack_rows: int = PAC
     Patterns that differ only in hashed-away parts share one vector. Vectors are therefore made distinct on both sides,
     with the k most used mappings kept per vector: those are the only ones that can be among the k best.
     """
-    def vector_key(counts: str) -> Column:
-        return F.array_join(F.col(counts).cast("array<string>"), ",")
+    def vector_key() -> Column:
+        return F.array_join(F.col("counts").cast("array<string>"), ",")
 
-    q = queries.select("client_id", "pattern").distinct().withColumn("counts", token_counts(F.col("pattern"))).withColumn("query", vector_key("counts"))
-    m = mappings.withColumn("counts", token_counts(F.col("pattern"))).withColumn("item", vector_key("counts"))
-    inside = W.partitionBy("client_id", "item").orderBy(F.desc("hit_count"), "pattern")
-    m = m.withColumn("_n", F.row_number().over(inside)).filter(F.col("_n") <= k)
-
-    def distinct_vectors(df: DataFrame, key: str) -> DataFrame:
+    def vectors(df: DataFrame, key: str) -> DataFrame:
         return df.groupBy("client_id", key).agg(F.first("counts").alias("counts")).select(
             "client_id", key, unit_vector(F.col("counts")).alias("vector")
         )
 
-    near = vector_top_k(distinct_vectors(q, "query"), distinct_vectors(m, "item"), k, pack_rows)
+    q = queries.select("client_id", "pattern").distinct().withColumn("counts", token_counts(F.col("pattern"))).withColumn("query", vector_key())
+    m = mappings.withColumn("counts", token_counts(F.col("pattern"))).withColumn("_vector", vector_key())
+    # Items are named so that their order is the order of their best mapping: equal scores then keep the right vectors.
+    inside = W.partitionBy("client_id", "_vector").orderBy(F.desc("hit_count"), "pattern")
+    name = F.concat(F.lpad((F.lit(10**15) - F.col("hit_count")).cast("string"), 16, "0"), F.lit(" "), F.col("pattern"))
+    m = m.withColumns({"_n": F.row_number().over(inside), "item": F.first(name).over(inside)}).filter(F.col("_n") <= k)
+
+    near = vector_top_k(vectors(q, "query"), vectors(m, "item"), k, pack_rows)
     members = near.select("client_id", "query", "item", "score").join(
         m.select("client_id", "item", F.col("pattern").alias("mapping"), "ledger_name", "hit_count"), ["client_id", "item"]
     )

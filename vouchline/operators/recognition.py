@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vouchline.operators.export import confidence_tier
-from vouchline.skew import ordered
+from vouchline.skew import hot_keys, islands
 
 PAGE = ["doc_id", "page"]
 
@@ -19,27 +19,22 @@ def page_limits(words: DataFrame) -> DataFrame:
     )
 
 
-def _islands(df: DataFrame, keys: list[str], order: list[str], split: Column, previous: str, opens: Column, out: str) -> DataFrame:
-    """Number the runs of rows that are not separated by `opens`, which may use the previous row's value `_before`."""
-    lagged = ordered(df, keys, order, split, lags={"_before": previous}).withColumn(
-        "_opens", F.when(F.col("_before").isNull() | opens, 1).otherwise(0)
-    )
-    return ordered(lagged, keys, order, split, running={out: ("sum", F.col("_opens"))}).drop("_before", "_opens")
-
-
 def cluster_rows(words: DataFrame) -> DataFrame:
     """Text row number per word: a new row starts when the gap to the previous word's centre exceeds the page's limit."""
     centred = words.join(page_limits(words), PAGE).withColumn("y_centre", F.col("y") + F.floor(F.col("h") / 2))
-    far = F.abs(F.col("y_centre") - F.col("_before")) > F.col("row_gap")
-    return _islands(centred, PAGE, ["y_centre", "x", "text"], F.floor(F.col("y_centre") / 256), "y_centre", far, "row_no")
+    return islands(
+        centred, PAGE, ["y_centre", "x", "text"], split=F.floor(F.col("y_centre") / 256), previous="y_centre",
+        opens=lambda before: F.abs(F.col("y_centre") - before) > F.col("row_gap"), out="row_no", hot=hot_keys(words, PAGE),
+    )
 
 
 def split_cells(clustered: DataFrame) -> DataFrame:
     """Cells per text row: joined text, mean confidence and bounding box."""
     keys = [*PAGE, "row_no"]
-    ends = clustered.withColumn("_end", F.col("x") + F.col("w"))
-    far = F.col("x") - F.col("_before") > F.col("cell_gap")
-    numbered = _islands(ends, keys, ["x", "y_centre", "text"], F.floor(F.col("x") / 256), "_end", far, "cell_no")
+    numbered = islands(
+        clustered.withColumn("_end", F.col("x") + F.col("w")), keys, ["x", "y_centre", "text"], split=F.floor(F.col("x") / 256),
+        previous="_end", opens=lambda before: F.col("x") - before > F.col("cell_gap"), out="cell_no",
+    )
     word = F.struct("x", "y_centre", "text")
     return numbered.groupBy(*keys, "cell_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(word)), lambda t: t["text"]), " ").alias("text"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vouchline.functions.text import squeeze
 from vouchline.functions.values import normalize_header, parse_amount, parse_date, parse_plain_amount, parse_us_date_last
-from vouchline.skew import block, ordered
+from vouchline.skew import block, hot_keys, ordered
 from vouchline.sources.templates import with_template
 
 ROLES = ["date", "value_date", "narration", "reference", "debit", "credit", "balance"]
@@ -150,7 +150,7 @@ def is_continuation(cells: Column, roles: Column) -> Column:
     return ~blank("narration") & rest
 
 
-def merge_continuations(rows: DataFrame, headers: DataFrame) -> DataFrame:
+def merge_continuations(rows: DataFrame, headers: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Data rows below the header, with continuation text joined to the row above.
 
     Adds row_number (counting rows that are rejected later too) and `narration`. One ordered pass numbers the opening
@@ -163,7 +163,10 @@ def merge_continuations(rows: DataFrame, headers: DataFrame) -> DataFrame:
         "statement_id", "bank_code", "row_idx", "cells", "roles", *extra, opens.alias("_opens"),
         F.col("starts_split").cast("int").alias("_shift"), _shown(cell(F.col("roles.narration"))).alias("_text"),
     )
-    numbered = ordered(slim, ["statement_id"], ["row_idx"], split=block("row_idx"), running={"_group": ("sum", F.col("_opens"))})
+    numbered = ordered(
+        slim, ["statement_id"], ["row_idx"], split=block("row_idx"), running={"_group": ("sum", F.col("_opens"))},
+        hot=hot_keys(rows, ["statement_id"]) if hot is None else hot,
+    )
     first = F.struct("bank_code", "row_idx", "cells", "roles", *extra)
     merged = numbered.groupBy("statement_id", (F.col("_group") + F.col("_shift")).cast("long").alias("row_number")).agg(
         F.min_by(first, "row_idx").alias("_f"),
@@ -188,11 +191,11 @@ def typed_rows(merged: DataFrame) -> DataFrame:
     return typed.withColumn("accepted", F.col("txn_date").isNotNull() & (F.col("narration") != ""))
 
 
-def parse_statements(rows: DataFrame, templates: DataFrame) -> DataFrame:
+def parse_statements(rows: DataFrame, templates: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """The whole chain: raw cell rows of any number of statements to typed transactions."""
     clean = normalize_rows(rows)
     headers = detect_headers(clean, templates)
-    return typed_rows(merge_continuations(clean, headers)).filter("accepted").drop("accepted", "row_idx")
+    return typed_rows(merge_continuations(clean, headers, hot)).filter("accepted").drop("accepted", "row_idx")
 
 
 def outcomes(statements: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -353,7 +356,7 @@ def extract_by_pattern(rows: DataFrame, roles: DataFrame) -> DataFrame:
     def own(role: str) -> Column:
         return F.coalesce(F.get("cells", F.col(role)), F.lit(""))
 
-    any_date = F.get(F.filter(F.transform("cells", parse_date), lambda d: d.isNotNull()), 0)
+    any_date = F.get(F.filter(F.transform("cells", lambda c: parse_date(c)), lambda d: d.isNotNull()), 0)
     candidates = F.transform("cells", lambda c, i: F.struct(
         F.when((i != F.coalesce("date", F.lit(-1))) & (F.coalesce(parse_amount(c), F.lit(0)) == 0), F.length(c)).otherwise(0).alias("n"), (-i).alias("back"), c.alias("text"),
     ))

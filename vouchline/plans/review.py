@@ -220,7 +220,17 @@ def _(s, d):
     return sinks.csv_rows(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)))
 
 
-@query("snk2_json")
+def _js(column: str) -> str:
+    return f"coalesce('\"' || {column} || '\"', 'null')"
+
+
+@query("snk2_json", f"""WITH {v.EN}, {v.EXPORT}, fr AS (SELECT statement_id, min(row_number) AS fr, count(*) AS n, {SIDES} FROM ex GROUP BY ALL)
+SELECT st.statement_id, -1 AS line_no, '{{"statement":{{"id":' || st.statement_id || ',"filename":"' || file_name || '","bank_id":"' || bank_code || '","export_timestamp":"2024-01-01T00:00:00Z","total_transactions":'
+  || coalesce(n, 0) || ',"total_debit":' || coalesce(total_debit, 0.00) || ',"total_credit":' || coalesce(total_credit, 0.00) || '}},"transactions":[' AS line FROM st LEFT JOIN fr ON fr.statement_id = st.statement_id
+UNION ALL SELECT statement_id, 9223372036854775807, ']}}' FROM st
+UNION ALL SELECT statement_id, row_number, CASE WHEN row_number = fr THEN '' ELSE ',' END || '{{"id":' || id || ',"statement_id":' || statement_id || ',"date":"' || strftime(txn_date, '%Y-%m-%d') || '","narration":"' || narration
+  || '","amount":' || amount || ',"tx_type":"' || tx_type || '","balance":' || balance || ',"payment_mode":' || {_js('payment_mode')} || ',"counterparty":' || {_js('counterparty')} || ',"ledger_name":' || {_js('ledger_name')}
+  || ',"ocr_confidence":' || coalesce(CAST(ocr_confidence AS VARCHAR), 'null') || ',"is_reviewed":' || is_reviewed || ',"is_ignored":' || is_ignored || '}}' FROM ex JOIN fr USING (statement_id)""")
 def _(s, d):
     meta = fx.statements(s, d).select("statement_id", F.col("file_name").alias("filename"), F.col("bank_code").alias("bank_id"))
     return sinks.json_lines(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), meta, F.lit("2024-01-01T00:00:00Z"))

@@ -8,6 +8,8 @@ key and bucket) are added afterwards. The result equals the plain window for eve
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 HOT_ROWS = 1 << 21
@@ -16,7 +18,7 @@ BLOCK = 1 << 16
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """The heaviest keys, at most MAX_HOT_KEYS of them, so the result may be broadcast.
+    """The heaviest keys with a `_hot` mark, at most MAX_HOT_KEYS of them, so the result may be broadcast.
 
     A key that is left out is only computed without splitting; no result depends on this list.
     """
@@ -36,6 +38,16 @@ def block(position: str | Column, size: int | None = None) -> Column:
     return F.floor(column / F.lit(size or BLOCK)).cast("long")
 
 
+def _split(df: DataFrame, keys: list[str], split: Column, hot: DataFrame | None) -> DataFrame:
+    """Mark the rows of hot keys and give them their bucket; every other key is one bucket."""
+    listed = hot_keys(df.select(*keys), keys) if hot is None else hot
+    return df.join(F.broadcast(listed), keys, "left").withColumn("_part", F.when(F.col("_hot"), split))
+
+
+def _by_part(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.repartition(*[F.col(k) for k in keys], F.col("_part"))
+
+
 def ordered(
     df: DataFrame,
     keys: list[str],
@@ -43,24 +55,23 @@ def ordered(
     split: Column,
     running: dict[str, tuple[str, Column]] | None = None,
     lags: dict[str, str] | None = None,
-    hot_rows: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add running values and previous-row values per key, in ascending `order`.
 
-    `running` maps an output column to ("sum" | "max", expression) over all rows up to the current one.
-    `lags` maps an output column to the column whose previous value it holds.
-    `split` must not decrease along `order`.
+    `running` maps an output column to (kind, expression): "sum" and "max" run up to the current row, "max_before" up to
+    the row before. `lags` maps an output column to the column whose previous value it holds. `split` must not decrease
+    along `order`. `hot` may hand in the hot keys when the caller can count them on something cheaper than `df`.
     """
     running, lags = running or {}, lags or {}
-    aggregate = {"sum": F.sum, "max": F.max}
-    hot = F.broadcast(hot_keys(df.select(*keys), keys, hot_rows))
-    base = df.join(hot, keys, "left").withColumn("_part", F.when(F.col("_hot"), split))
-
+    base = _split(df, keys, split, hot)
     per_part = W.partitionBy(*keys, "_part").orderBy(*order)
     upto = per_part.rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = base.repartition(*[F.col(k) for k in keys], F.col("_part")).withColumns(
+    before = per_part.rowsBetween(W.unboundedPreceding, -1)
+    whole = {"sum": F.sum, "max": F.max, "max_before": F.max}
+    local = _by_part(base, keys).withColumns(
         {
-            **{name: aggregate[kind](expr).over(upto) for name, (kind, expr) in running.items()},
+            **{name: whole[kind](expr).over(before if kind == "max_before" else upto) for name, (kind, expr) in running.items()},
             **{name: F.lag(source).over(per_part) for name, source in lags.items()},
             **({"_first": F.row_number().over(per_part) == 1} if lags else {}),
         }
@@ -71,7 +82,7 @@ def ordered(
         .groupBy(*keys, "_part")
         .agg(
             F.count(F.lit(1)).alias("_rows"),
-            *[aggregate[kind](expr).alias(f"_t_{name}") for name, (kind, expr) in running.items()],
+            *[whole[kind](expr).alias(f"_t_{name}") for name, (kind, expr) in running.items()],
             *[F.max_by(F.struct(source), F.struct(*order)).alias(f"_l_{name}") for name, source in lags.items()],
         )
     )
@@ -80,7 +91,7 @@ def ordered(
     offsets = totals.select(
         *keys,
         "_part",
-        *[aggregate[kind](f"_t_{name}").over(earlier).alias(f"_o_{name}") for name, (kind, _) in running.items()],
+        *[whole[kind](f"_t_{name}").over(earlier).alias(f"_o_{name}") for name, (kind, _) in running.items()],
         *[F.lag(f"_l_{name}").over(parts)[source].alias(f"_p_{name}") for name, source in lags.items()],
     )
 
@@ -96,3 +107,44 @@ def ordered(
         out[name] = F.when(F.col("_hot") & F.col("_first"), F.col(f"_p_{name}")).otherwise(F.col(name))
     kept = [c for c in df.columns if c not in out]
     return joined.select(*kept, *[value.alias(name) for name, value in out.items()])
+
+
+def islands(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    split: Column,
+    previous: str,
+    opens: Callable[[Column], Column],
+    out: str,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """Number runs of rows from 1 per key. A row opens a new run when it is the first of its key, or when
+    `opens(value)` is true or null for the previous row's `previous`.
+
+    Inside a bucket the first row counts as 0; whether it really opens a run is decided on the table of buckets, which
+    knows the last row of the bucket before.
+    """
+    base = _split(df, keys, split, hot)
+    per_part = W.partitionBy(*keys, "_part").orderBy(*order)
+    local = (
+        _by_part(base, keys)
+        .withColumns({"_before": F.lag(previous).over(per_part), "_nth": F.row_number().over(per_part)})
+        .withColumn("_open", F.when((F.col("_nth") == 1) | ~F.coalesce(opens(F.col("_before")), F.lit(True)), 0).otherwise(1))
+        .withColumn(out, F.sum("_open").over(per_part.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    )
+    rows = [c for c in df.columns if c not in keys]
+    buckets = local.filter("_hot").groupBy(*keys, "_part").agg(
+        F.sum("_open").alias("_opened"), F.max_by(previous, F.struct(*order)).alias("_last"), F.min_by(F.struct(*rows), F.struct(*order)).alias("_row"),
+    )
+    parts = W.partitionBy(*keys).orderBy("_part")
+    offsets = (
+        buckets.select(*keys, "_part", "_row.*", "_opened", F.lag(F.struct("_last")).over(parts).alias("_prior"))
+        .withColumn("_starts", F.when(F.col("_prior").isNull() | F.coalesce(opens(F.col("_prior._last")), F.lit(True)), 1).otherwise(0))
+        .select(*keys, "_part", (
+            F.sum("_starts").over(parts.rowsBetween(W.unboundedPreceding, W.currentRow))
+            + F.coalesce(F.sum("_opened").over(parts.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        ).alias("_offset"))
+    )
+    number = (F.col(out) + F.coalesce("_offset", F.lit(1))).cast("long")
+    return local.join(offsets, [*keys, "_part"], "left").select(*df.columns, number.alias(out))

@@ -62,18 +62,14 @@ def json_lines(tx: DataFrame, meta: DataFrame, exported_at: Column) -> DataFrame
     rows = export_rows(tx)
     names = ["id", "statement_id", "txn_date", "value_date", "narration", "reference_no", "amount", "tx_type", "balance", "payment_mode",
              "counterparty", "ledger_name", "ocr_confidence", "page_number", "is_reviewed", "is_ignored"]
-    numbers = {"amount", "balance", "ocr_confidence"}
-    fields = [
-        (F.col(n).cast("double") if n in numbers else F.col(n)).alias("date" if n == "txn_date" else n)
-        for n in names if n in rows.columns
-    ]
+    fields = [F.col(n).alias("date" if n == "txn_date" else n) for n in names if n in rows.columns]
     keep_nulls = {"ignoreNullFields": "false"}
     totals = rows.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n"), F.min("row_number").alias("first_row"), *side_totals())
     statement = F.struct(
         F.col("statement_id").alias("id"), F.coalesce("filename", F.lit("statement")).alias("filename"),
         F.coalesce("bank_id", F.lit("Unknown")).alias("bank_id"), exported_at.alias("export_timestamp"),
         F.coalesce("n", F.lit(0)).alias("total_transactions"),
-        *[F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ["total_debit", "total_credit"]],
+        *[F.coalesce(c, F.lit(0)).cast("decimal(28,2)").alias(c) for c in ["total_debit", "total_credit"]],
     )
     heads = meta.join(totals, "statement_id", "left")
     head = heads.select(

@@ -60,18 +60,19 @@ def clean_narration(narration: Column) -> Column:
     text = F.regexp_replace(text, "(?i)" + REFERENCE_CODE, " ")
     text = F.regexp_replace(text, LONG_NUMBER, " ")
     text = squeeze(F.regexp_replace(text, NOT_KEPT, " "))
-    return F.when(text != "", title_case(text)).otherwise(F.trim(narration))
+    return F.coalesce(F.nullif(title_case(text), F.lit("")), F.trim(narration))
 
 
-def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    label = F.when(text.rlike("(?i)" + patterns[0][1]), patterns[0][0])
+def first_match(lowered: Column, patterns: list[tuple[str, str]]) -> Column:
+    """Name of the first pattern found. The patterns are lower case, and lower-casing once beats ignoring case in each."""
+    label = F.when(lowered.rlike(patterns[0][1]), patterns[0][0])
     for name, pattern in patterns[1:]:
-        label = label.when(text.rlike("(?i)" + pattern), name)
+        label = label.when(lowered.rlike(pattern), name)
     return label
 
 
-def payment_mode(narration: Column) -> Column:
-    return first_match(narration, MODE_PATTERNS)
+def payment_mode(lowered: Column) -> Column:
+    return first_match(lowered, MODE_PATTERNS)
 
 
 def counterparty(cleaned: Column) -> Column:
@@ -79,13 +80,12 @@ def counterparty(cleaned: Column) -> Column:
         F.regexp_extract_all(cleaned, F.lit(NAME_TOKEN), F.lit(0)),
         lambda t: (F.length(t) > 2) & ~F.lower(t).isin(NOISE_WORDS),
     )
-    name = F.array_join(F.slice(tokens, 1, 4), " ")
-    return F.when(name != "", title_case(name))
+    return F.nullif(title_case(F.array_join(F.slice(tokens, 1, 4), " ")), F.lit(""))
 
 
-def ledger_hint(narration: Column, debit: Column, credit: Column) -> Column:
+def ledger_hint(lowered: Column, debit: Column, credit: Column) -> Column:
     return F.coalesce(
-        first_match(narration, LEDGER_PATTERNS),
+        first_match(lowered, LEDGER_PATTERNS),
         F.when(credit.isNotNull() & debit.isNull(), "Receipts"),
         F.when(debit.isNotNull() & credit.isNull(), "Expenses"),
     )

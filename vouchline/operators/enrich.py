@@ -13,27 +13,23 @@ RULES_IN_ARRAY = 256
 EXAMPLE_LIMIT = 5
 
 
-def _texts(df: DataFrame) -> DataFrame:
-    """Cleaned narration, mode and counterparty, each computed once."""
-    narration = F.coalesce(F.col("narration"), F.lit(""))
-    return (
-        df.withColumns({"narration_clean": text.clean_narration(narration), "payment_mode": text.payment_mode(narration)})
-        .withColumn("counterparty", text.counterparty(F.col("narration_clean")))
-    )
-
-
 def heuristic(df: DataFrame) -> DataFrame:
-    """All five results per transaction: a projection, no shuffle."""
-    narration = F.coalesce(F.col("narration"), F.lit(""))
+    """All five results per transaction: projections only, no shuffle. Each step is computed once and then reused."""
+    narration, lowered = F.coalesce(F.col("narration"), F.lit("")), F.col("_lowered")
     return (
-        _texts(df)
-        .withColumn("suggested_ledger", text.ledger_hint(narration, F.col("debit"), F.col("credit")))
+        df.withColumn("_lowered", F.lower(narration))
+        .withColumns({
+            "narration_clean": text.clean_narration(narration), "payment_mode": text.payment_mode(lowered),
+            "suggested_ledger": text.ledger_hint(lowered, F.col("debit"), F.col("credit")),
+        })
+        .withColumn("counterparty", text.counterparty(F.col("narration_clean")))
         .withColumn(
             "confidence",
             text.confidence(narration, F.col("narration_clean"), F.col("payment_mode"), F.col("counterparty"),
                             F.col("suggested_ledger")),
         )
         .withColumns({"source": F.lit("heuristic"), "cache_status": F.lit("FALLBACK")})
+        .drop("_lowered")
     )
 
 

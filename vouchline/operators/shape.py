@@ -130,63 +130,63 @@ def detect_headers(rows: DataFrame, templates: DataFrame) -> DataFrame:
         .when(known, "positions").otherwise("none").alias("found_by"),
     )
     first_data = F.get(F.filter("first_rows", lambda r: r.row_idx > F.col("header_idx")), 0)
-    return found.withColumn("_first", first_data).withColumn(
-        "starts_split", F.coalesce(is_continuation(F.col("_first.cells"), F.col("roles")), F.lit(False))
-    ).drop("_first", "first_rows")
+    texts = {r: F.col(f"_texts.{r}") for r in ROLES}
+    return (
+        found.withColumn("_first", first_data)
+        .withColumn("_texts", F.struct(*[_shown(cell(F.col(f"roles.{r}"), F.col("_first.cells"))).alias(r) for r in ROLES]))
+        .withColumn("starts_split", F.coalesce(is_continuation(texts), F.lit(False)))
+        .drop("_first", "_texts", "first_rows")
+    )
 
 
 def _shown(text: Column) -> Column:
     return F.when(F.lower(text).isin(BLANK_WORDS), "").otherwise(text)
 
 
-def is_continuation(cells: Column, roles: Column) -> Column:
+def is_continuation(texts: dict[str, Column]) -> Column:
     """Narration present while date, amounts and balance are blank."""
-    def blank(role: str) -> Column:
-        return _shown(cell(roles[role], cells)) == ""
-
-    rest = F.lit(True)
+    rest = texts["narration"] != ""
     for role in ["date", "value_date", "debit", "credit", "balance"]:
-        rest = rest & blank(role)
-    return ~blank("narration") & rest
+        rest = rest & (texts[role] == "")
+    return rest
+
+
+def role_texts(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Data rows below the header with one text column per role; from here on the cell arrays are no longer needed."""
+    data = rows.drop("bank_code").join(headers.filter("header_idx is not null"), "statement_id").filter("row_idx > header_idx")
+    extra = ["row_confidence"] if "row_confidence" in rows.columns else []
+    kept = ["statement_id", "bank_code", "row_idx", *extra, "starts_split"]
+    return data.select(*kept, *[cell(F.col(f"roles.{r}")).alias(r) for r in ROLES]).select(*kept, *[_shown(F.col(r)).alias(r) for r in ROLES])
 
 
 def merge_continuations(rows: DataFrame, headers: DataFrame, hot: DataFrame | None = None) -> DataFrame:
-    """Data rows below the header, with continuation text joined to the row above.
+    """Data rows with continuation text joined to the row above.
 
-    Adds row_number (counting rows that are rejected later too) and `narration`. One ordered pass numbers the opening
-    rows; the number is the group key of the merge, whose partial aggregation runs before the shuffle.
+    Adds row_number, which counts rows that are rejected later too. One ordered pass numbers the opening rows; the number
+    is the group key of the merge, whose partial aggregation runs before the shuffle.
     """
-    data = rows.drop("bank_code").join(headers.filter("header_idx is not null"), "statement_id").filter("row_idx > header_idx")
-    opens = F.when(is_continuation(F.col("cells"), F.col("roles")), 0).otherwise(1)
-    extra = ["row_confidence"] if "row_confidence" in rows.columns else []
-    slim = data.select(
-        "statement_id", "bank_code", "row_idx", "cells", "roles", *extra, opens.alias("_opens"),
-        F.col("starts_split").cast("int").alias("_shift"), _shown(cell(F.col("roles.narration"))).alias("_text"),
-    )
+    opens = F.when(is_continuation({r: F.col(r) for r in ROLES}), 0).otherwise(1)
+    marked = role_texts(rows, headers).withColumns({"_opens": opens, "_shift": F.col("starts_split").cast("int")}).drop("starts_split")
     numbered = ordered(
-        slim, ["statement_id"], ["row_idx"], split=block("row_idx"), running={"_group": ("sum", F.col("_opens"))},
+        marked, ["statement_id"], ["row_idx"], split=block("row_idx"), running={"_group": ("sum", F.col("_opens"))},
         hot=hot_keys(rows, ["statement_id"]) if hot is None else hot,
     )
-    first = F.struct("bank_code", "row_idx", "cells", "roles", *extra)
+    first = [c for c in marked.columns if c not in ("statement_id", "narration", "_opens", "_shift")]
     merged = numbered.groupBy("statement_id", (F.col("_group") + F.col("_shift")).cast("long").alias("row_number")).agg(
-        F.min_by(first, "row_idx").alias("_f"),
-        F.array_sort(F.collect_list(F.struct("row_idx", "_text"))).alias("_parts"),
+        F.min_by(F.struct(*first), "row_idx").alias("_f"),
+        F.array_sort(F.collect_list(F.struct("row_idx", "narration"))).alias("_parts"),
     )
-    texts = F.filter(F.transform("_parts", lambda p: p["_text"]), lambda t: t != "")
+    texts = F.filter(F.transform("_parts", lambda p: p["narration"]), lambda t: t != "")
     return merged.select("statement_id", "_f.*", "row_number", F.array_join(texts, " ").alias("narration"))
 
 
 def typed_rows(merged: DataFrame) -> DataFrame:
     """Typed candidate rows, accepted or not; `accepted` needs a date and a narration."""
-    def at(role: str) -> Column:
-        return _shown(cell(F.col(f"roles.{role}")))
-
     extra = [F.col("row_confidence").alias("ocr_confidence")] if "row_confidence" in merged.columns else []
     typed = merged.select(
-        "statement_id", "bank_code", "row_number", "row_idx", parse_date(at("date")).alias("txn_date"),
-        parse_date(at("value_date")).alias("value_date"), "narration",
-        F.nullif(at("reference"), F.lit("")).alias("reference_no"),
-        *[parse_amount(at(c)).alias(c) for c in ["debit", "credit", "balance"]], *extra,
+        "statement_id", "bank_code", "row_number", "row_idx", parse_date(F.col("date")).alias("txn_date"),
+        parse_date(F.col("value_date")).alias("value_date"), "narration", F.nullif(F.col("reference"), F.lit("")).alias("reference_no"),
+        *[parse_amount(F.col(c)).alias(c) for c in ["debit", "credit", "balance"]], *extra,
     )
     return typed.withColumn("accepted", F.col("txn_date").isNotNull() & (F.col("narration") != ""))
 

@@ -18,7 +18,7 @@ def _(s, d):
 
 @query("e2_payment_mode", f"WITH {v.EN} SELECT id, payment_mode FROM en")
 def _(s, d):
-    return fx.transactions(s, d, clients=False).select("id", text.payment_mode(F.col("narration")).alias("payment_mode"))
+    return fx.transactions(s, d, clients=False).select("id", text.payment_mode(F.lower("narration")).alias("payment_mode"))
 
 
 @query("e3_counterparty", f"WITH {v.EN} SELECT id, counterparty FROM en")
@@ -28,17 +28,17 @@ def _(s, d):
 
 @query("e4_ledger_hint", f"WITH {v.EN} SELECT id, suggested_ledger FROM en")
 def _(s, d):
-    return fx.transactions(s, d, clients=False).select("id", text.ledger_hint(F.col("narration"), F.col("debit"), F.col("credit")).alias("suggested_ledger"))
+    return fx.transactions(s, d, clients=False).select("id", text.ledger_hint(F.lower("narration"), F.col("debit"), F.col("credit")).alias("suggested_ledger"))
 
 
 @query("e5_confidence", f"WITH {v.EN} SELECT id, confidence FROM en")
 def _(s, d):
-    return en.heuristic(fx.transactions(s, d, clients=False)).select("id", "confidence")
+    return en.heuristic(fx.transactions(s, d, clients=False, spread=True)).select("id", "confidence")
 
 
 @query("e6_heuristic", f"WITH {v.EN} SELECT id, {RESULT}, 'heuristic' AS source, 'FALLBACK' AS cache_status FROM en")
 def _(s, d):
-    return en.heuristic(fx.transactions(s, d, clients=False)).select("id", *en.RESULT, "source", "cache_status")
+    return en.heuristic(fx.transactions(s, d, clients=False, spread=True)).select("id", *en.RESULT, "source", "cache_status")
 
 
 @query("e7_rules", f"WITH {v.TX}, {v.RULED} SELECT id, rule_id, ledger_name FROM hit WHERE n = 1")

@@ -11,7 +11,7 @@ from vouchline.sources import fixtures as fx, sinks
 @query("flagship", f"""WITH {v.EN} SELECT client_id, coalesce(payment_mode, 'Unknown') AS payment_mode, suggested_ledger, count(*) AS transactions,
   CAST(sum(coalesce(debit, credit)) AS DECIMAL(28,2)) AS total, CAST(round(sum(confidence)::DOUBLE / count(*), 6) AS DOUBLE) AS mean_confidence FROM en WHERE NOT is_ignored GROUP BY ALL""")
 def _(s, d):
-    rows = en.heuristic(fx.transactions(s, d).filter("not is_ignored"))
+    rows = en.heuristic(fx.transactions(s, d, spread=True).filter("not is_ignored"))
     return rows.groupBy("client_id", F.coalesce("payment_mode", F.lit("Unknown")).alias("payment_mode"), "suggested_ledger").agg(
         F.count(F.lit(1)).alias("transactions"), F.sum(F.coalesce("debit", "credit")).cast("decimal(28,2)").alias("total"),
         F.round(F.sum("confidence").cast("double") / F.count(F.lit(1)), 6).alias("mean_confidence"))
@@ -69,7 +69,7 @@ def _(s, d):
 @query("q8_triage", f"""WITH {v.EN} SELECT statement_id, CASE WHEN is_ignored THEN 'ignored' WHEN ocr_confidence > 0 AND ocr_confidence < 0.70 THEN 'low_ocr' WHEN ocr_confidence > 0 AND ocr_confidence < 0.85 THEN 'medium_ocr'
   WHEN confirmed_ledger IS NULL THEN 'no_ledger' WHEN confidence < 0.5 THEN 'low_confidence' WHEN confidence < 0.8 THEN 'medium_confidence' ELSE 'ok' END AS class, count(*) AS n FROM en GROUP BY ALL""")
 def _(s, d):
-    tx = en.heuristic(fx.transactions(s, d, clients=False))
+    tx = en.heuristic(fx.transactions(s, d, clients=False, spread=True))
     return tx.groupBy("statement_id", rv.triage_class(tx).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -146,7 +146,7 @@ def _(s, d):
 
 
 def _rows(s, d, numbered=True, clients=False):
-    return ex.export_rows(en.heuristic(fx.transactions(s, d, numbered=numbered, clients=clients)))
+    return ex.export_rows(en.heuristic(fx.transactions(s, d, numbered=numbered, clients=clients, spread=not numbered)))
 
 
 @query("x1_export_rows", f"WITH {v.EN}, {v.EXPORT} SELECT id, amount, tx_type, ledger_name, is_reviewed FROM ex")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchline.skew import ordered
+from vouchline.sources.readers import spread_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,9 +38,8 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flat(orders: DataFrame) -> DataFrame:
     """Transactions without client and without row order: a projection of `orders`."""
-    orders = table(spark, sf_dir, "orders")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     kind = key % 8
     narration = (
@@ -71,9 +71,13 @@ def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transactions(spark: SparkSession, sf_dir: str, numbered: bool = False, clients: bool = True) -> DataFrame:
-    """Transactions; `numbered` adds `row_number` and `balance` (one ordered pass), `clients` the tenant columns."""
-    rows = _flat(spark, sf_dir)
+def transactions(spark: SparkSession, sf_dir: str, numbered: bool = False, clients: bool = True, spread: bool = False) -> DataFrame:
+    """Transactions; `numbered` adds `row_number` and `balance` (one ordered pass), `clients` the tenant columns.
+
+    `spread` is for costly projections: it gives small tables as many tasks as there are cores.
+    """
+    orders = table(spark, sf_dir, "orders")
+    rows = _flat(spread_small(orders) if spread else orders)
     if numbered:
         signed = F.coalesce(F.col("credit"), -F.col("debit"))
         rows = ordered(

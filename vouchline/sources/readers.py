@@ -21,6 +21,16 @@ BLOCKS_SCHEMA = (
 )
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one partition per core; a scan that already has enough is left alone.
+
+    A small table is one file and thus one task, which costly text expressions would keep to one core. Tables with at
+    least one split per core pay nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def file_type(name: Column) -> Column:
     suffix = F.regexp_extract(F.lower(name), r"\.([^.]+)$", 1)
     return F.when(suffix.isin(IMAGE_SUFFIXES), "image").when(suffix == "", "unknown").otherwise(suffix)

@@ -16,11 +16,11 @@ IFSC_CODE = r"(?i)\bIFSC\s*:?\s*([A-Z]{4}0[A-Z0-9]{6})\b"
 HOLDER = r"(?i)\b(?:account holder|name)\s*:\s*([A-Za-z][A-Za-z .]*[A-Za-z.])"
 
 
-def with_previous(tx: DataFrame) -> DataFrame:
+def with_previous(tx: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Balance and date of the row above, per statement; safe for very long statements."""
     return ordered(
         tx, ["statement_id"], ["row_number"], split=block("row_number"),
-        lags={"previous_balance": "balance", "previous_date": "txn_date"},
+        lags={"previous_balance": "balance", "previous_date": "txn_date"}, hot=hot,
     )
 
 
@@ -70,9 +70,9 @@ def statement_balances(tx: DataFrame) -> DataFrame:
     )
 
 
-def with_warnings(tx: DataFrame) -> DataFrame:
+def with_warnings(tx: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Array of warning names per transaction."""
-    checked = mark_duplicates(with_previous(tx))
+    checked = mark_duplicates(with_previous(tx, hot))
     return checked.withColumn(
         "validation_warnings",
         F.array_compact(F.array(

@@ -11,7 +11,8 @@ from vouchline.sources import fixtures as fx, sinks
 @query("flagship", f"""WITH {v.EN} SELECT client_id, coalesce(payment_mode, 'Unknown') AS payment_mode, suggested_ledger, count(*) AS transactions,
   CAST(sum(coalesce(debit, credit)) AS DECIMAL(28,2)) AS total, CAST(round(sum(confidence)::DOUBLE / count(*), 6) AS DOUBLE) AS mean_confidence FROM en WHERE NOT is_ignored GROUP BY ALL""")
 def _(s, d):
-    rows = en.heuristic(fx.transactions(s, d, spread=True).filter("not is_ignored"))
+    kept = fx.transactions(s, d, clients=False, spread=True).filter("not is_ignored")
+    rows = fx.with_clients(en.heuristic(kept).select("statement_id", "payment_mode", "suggested_ledger", "confidence", "debit", "credit"), s, d)
     return rows.groupBy("client_id", F.coalesce("payment_mode", F.lit("Unknown")).alias("payment_mode"), "suggested_ledger").agg(
         F.count(F.lit(1)).alias("transactions"), F.sum(F.coalesce("debit", "credit")).cast("decimal(28,2)").alias("total"),
         F.round(F.sum("confidence").cast("double") / F.count(F.lit(1)), 6).alias("mean_confidence"))

@@ -86,10 +86,11 @@ def transactions(spark: SparkSession, sf_dir: str, numbered: bool = False, clien
         ).withColumns(
             {"row_number": F.col("row_number").cast("long"), "balance": (F.col("_moved") + 1000000).cast("decimal(18,2)")}
         ).drop("_moved")
-    if clients:
-        owner = statements(spark, sf_dir).select("statement_id", "client_id", "firm_id")
-        rows = rows.join(owner, "statement_id")
-    return rows
+    return with_clients(rows, spark, sf_dir) if clients else rows
+
+
+def with_clients(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.join(statements(spark, sf_dir).select("statement_id", "client_id", "firm_id"), "statement_id")
 
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# The identifier patterns.
+# The identifier patterns. Digits, blanks and word borders are Unicode-aware (`(?U)` is set where they are
+# used): an identifier next to an accented letter is judged as one next to a plain letter.
 CARD = r"\b(?:\d[\s-]?){13,19}\b"
 AADHAAR = r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"
 PAN = r"\b[A-Z]{5}\d{4}[A-Z]\b"
@@ -28,7 +29,7 @@ SCAN_ORDER = [
 
 def _apply(text: Column, passes: list[tuple[str, str]]) -> Column:
     for token, pattern in passes:
-        text = F.regexp_replace(text, pattern, token)
+        text = F.regexp_replace(text, "(?U)" + pattern, token)
     return text
 
 
@@ -42,9 +43,9 @@ def mask_text(text: Column, account_number: Column | None = None) -> Column:
 
 def first_violation(text: Column) -> Column:
     """Name of the first identifier kind still found in the text, or null."""
-    label = F.when(text.rlike(SCAN_ORDER[0][1]), SCAN_ORDER[0][0])
+    label = F.when(text.rlike("(?U)" + SCAN_ORDER[0][1]), SCAN_ORDER[0][0])
     for name, pattern in SCAN_ORDER[1:]:
-        label = label.when(text.rlike(pattern), name)
+        label = label.when(text.rlike("(?U)" + pattern), name)
     return label
 
 

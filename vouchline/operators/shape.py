@@ -37,8 +37,8 @@ BLANK_WORDS = ["nan", "none", "null"]
 LINE_DATE = r"(\b\d{1,2}[-/]\d{1,2}[-/]\d{2,4}\b|\b\d{4}-\d{1,2}-\d{1,2}\b)"
 LINE_AMOUNT = r"(-?\(?\d[\d,]*(?:\.\d{1,2})?\)?)"
 TEXT_LINE = LINE_DATE + r"\s+(.+?)\s+" + LINE_AMOUNT + r"(?:\s+" + LINE_AMOUNT + r")?$"
-CREDIT_WORDS = r"(?i)\b(cr|credit|received|deposit|refund|salary)\b"
-DEBIT_WORDS = r"(?i)\b(dr|debit|paid|payment|withdrawal|purchase|to)\b"
+CREDIT_WORDS = r"(?iU)\b(cr|credit|received|deposit|refund|salary)\b"
+DEBIT_WORDS = r"(?iU)\b(dr|debit|paid|payment|withdrawal|purchase|to)\b"
 
 # Cell patterns for statements without a header.
 CELL_DATE = (

@@ -12,12 +12,11 @@ from vouchline.session import work_dir
 from vouchline.sources import fixtures as fx, templates as tp
 from vouchline.streaming import jobs
 
-ASCII = r"NOT regexp_matches(text, '[^\x00-\x7F]')"
+DOCS = f"docs AS (SELECT *, {v.bordered('text')} AS marked FROM documents)"
 
 
-def _ascii_documents(s, d):
-    """RE2 and Java disagree on word borders next to non-ASCII letters, so the comparison is on ASCII texts."""
-    return fx.table(s, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+def _documents(s, d):
+    return fx.table(s, d, "documents")
 
 
 CASES = [b[0] for b in tp.BANKS]
@@ -127,12 +126,12 @@ def _(s, d):
 # ---------------------------------------------------------------- masking
 
 
-@query("r1_mask", f"SELECT doc_id, {_mask_sql('text')} AS masked FROM documents WHERE {ASCII}")
+@query("r1_mask", f"WITH {DOCS} SELECT doc_id, {v.unbordered(_mask_sql('marked'))} AS masked FROM docs")
 def _(s, d):
-    return _ascii_documents(s, d).select("doc_id", masking.mask_text(F.col("text")).alias("masked"))
+    return _documents(s, d).select("doc_id", masking.mask_text(F.col("text")).alias("masked"))
 
 
-@query("r1_mask_conversations")
+@query("r1_mask_conversations", f"SELECT conv_id, turn, {v.unbordered(_mask_sql(v.bordered('text')))} AS masked FROM conversations")
 def _(s, d):
     return fx.table(s, d, "conversations").select("conv_id", "turn", masking.mask_text(F.col("text")).alias("masked"))
 
@@ -145,19 +144,19 @@ def _(s, d):
     return rows.select("id", masking.mask_text(text, F.col("account_number")).alias("masked"))
 
 
-SCAN = " ".join(rf"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in [
+SCAN = " ".join(rf"WHEN regexp_matches(marked, '{p}') THEN '{k}'" for k, p in [
     ("CARD", r"\b(?:\d[\s-]?){13,19}\b"), ("AADHAAR", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b"), ("PAN", r"(?i)\b[A-Z]{5}\d{4}[A-Z]\b"),
     ("PHONE", r"(?:\+91[\s-]?|0)?[6-9]\d{9}\b"), ("ACCT", r"\b\d{9,18}\b")])
 
 
-@query("r3_violations", f"SELECT doc_id, CASE {SCAN} END AS violation FROM documents WHERE {ASCII}")
+@query("r3_violations", f"WITH {DOCS} SELECT doc_id, CASE {SCAN} END AS violation FROM docs")
 def _(s, d):
-    return _ascii_documents(s, d).select("doc_id", masking.first_violation(F.col("text")).alias("violation"))
+    return _documents(s, d).select("doc_id", masking.first_violation(F.col("text")).alias("violation"))
 
 
-@query("r3_violation_counts", f"WITH s AS (SELECT CASE {SCAN} END AS violation FROM (SELECT {_mask_sql('text')} AS text FROM documents WHERE {ASCII})) SELECT coalesce(violation, 'none') AS violation, count(*) AS n FROM s GROUP BY ALL")
+@query("r3_violation_counts", f"WITH {DOCS}, s AS (SELECT CASE {SCAN} END AS violation FROM (SELECT {_mask_sql('marked')} AS marked FROM docs)) SELECT coalesce(violation, 'none') AS violation, count(*) AS n FROM s GROUP BY ALL")
 def _(s, d):
-    masked = _ascii_documents(s, d).select(masking.mask_text(F.col("text")).alias("text"))
+    masked = _documents(s, d).select(masking.mask_text(F.col("text")).alias("text"))
     return masked.groupBy(F.coalesce(masking.first_violation(F.col("text")), F.lit("none")).alias("violation")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -168,14 +167,14 @@ def _redact_sql(t: str) -> str:
     return t
 
 
-@query("r4_redact_log", f"SELECT doc_id, {_redact_sql('text')} AS redacted FROM documents WHERE {ASCII}")
+@query("r4_redact_log", f"WITH {DOCS} SELECT doc_id, {v.unbordered(_redact_sql('marked'))} AS redacted FROM docs")
 def _(s, d):
-    return _ascii_documents(s, d).select("doc_id", masking.redact_log(F.col("text")).alias("redacted"))
+    return _documents(s, d).select("doc_id", masking.redact_log(F.col("text")).alias("redacted"))
 
 
-@query("r5_scrub_record", f"""SELECT doc_id, source, {_redact_sql('text')} AS body, {_redact_sql("'call 9876543210 or ' || text")} AS note, n_chars FROM documents WHERE {ASCII}""")
+@query("r5_scrub_record", f"""WITH {DOCS} SELECT doc_id, source, {v.unbordered(_redact_sql('marked'))} AS body, {v.unbordered(_redact_sql("'call 9876543210 or ' || marked"))} AS note, n_chars FROM docs""")
 def _(s, d):
-    docs = _ascii_documents(s, d)
+    docs = _documents(s, d)
     record = docs.select("doc_id", F.struct(
         "n_chars", F.create_map(F.lit("body"), F.col("text")).alias("fields"),
         F.array(F.struct(F.concat(F.lit("call 9876543210 or "), "text").alias("note"), F.col("source"))).alias("notes")).alias("record"))
@@ -203,8 +202,8 @@ def _(s, d):
     out = work_dir(s, "rates")
     jobs.stream_failure_rates(fx.event_columns(_event_stream(s, d)), f"{out}/table", f"{out}/checkpoint").awaitTermination()
     # The watermark decides window by window; windows that end in its last minutes may still be open.
-    closed = fx.status_events(s, d).agg(F.date_trunc("minute", F.max("ts") - F.expr("interval 10 minutes")).alias("_limit"))
-    rows = s.read.parquet(f"{out}/table").join(closed, F.col("window_end") <= F.col("_limit"))
+    limit = fx.status_events(s, d).agg(F.date_trunc("minute", F.max("ts") - F.expr("interval 10 minutes")))
+    rows = s.read.parquet(f"{out}/table").filter(F.col("window_end") <= limit.scalar())
     return rows.select("bank_code", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "total", "failures")
 
 
@@ -234,7 +233,7 @@ def _(s, d):
 def _parsed_stream(s, d):
     """Cell rows arrive as files (written once, then streamed); the second run of the job finds nothing new."""
     out = work_dir(s, "statements")
-    fx.raw_rows(s, d).coalesce(1).write.parquet(f"{out}/in")
+    fx.raw_rows(s, d).write.parquet(f"{out}/in")
     rows = s.readStream.schema(s.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
     for _ in range(2):
         jobs.stream_statements(rows, tp.catalogue(s), f"{out}/table", f"{out}/checkpoint").awaitTermination()

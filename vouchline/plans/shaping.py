@@ -104,10 +104,9 @@ def _(s, d):
     return _clean(s, d).select("statement_id", "row_idx", F.size("cells").alias("width"))
 
 
-@query("p2_headers", r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS header FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query("p2_headers", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS header FROM documents")
 def _(s, d):
-    docs = fx.table(s, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", values.normalize_header(F.col("text")).alias("header"))
+    return fx.table(s, d, "documents").select("doc_id", values.normalize_header(F.col("text")).alias("header"))
 
 
 @query("p3_template_header", f"""WITH {v.TX} SELECT statement_id, CAST(2 AS BIGINT) AS header_idx, 'template' AS found_by,
@@ -195,11 +194,10 @@ def _(s, d):
     return sh.parse_text_lines(_lines(s, d)).drop("line_no")
 
 
-@query("p13_side", r"""SELECT doc_id, regexp_matches(text, '\b(cr|credit|received|deposit|refund|salary)\b', 'i') AND NOT regexp_matches(text, '\b(dr|debit|paid|payment|withdrawal|purchase|to)\b', 'i') AS is_credit
-FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query("p13_side", rf"""WITH m AS (SELECT doc_id, {v.bordered('text')} AS text FROM documents) SELECT doc_id,
+  regexp_matches(text, '\b(cr|credit|received|deposit|refund|salary)\b', 'i') AND NOT regexp_matches(text, '\b(dr|debit|paid|payment|withdrawal|purchase|to)\b', 'i') AS is_credit FROM m""")
 def _(s, d):
-    docs = fx.table(s, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", sh.is_credit(F.col("text")).alias("is_credit"))
+    return fx.table(s, d, "documents").select("doc_id", sh.is_credit(F.col("text")).alias("is_credit"))
 
 
 def _table_rows(s, d):

@@ -119,3 +119,13 @@ EXPORT = """ex AS (SELECT *, coalesce(debit, credit) AS amount, CASE WHEN debit
 
 EDITS = """ed AS (SELECT CASE WHEN o_orderkey % 31 = 0 THEN -1 ELSE o_custkey END AS statement_id, o_orderkey AS id, o_orderkey % 2 = 0 AS sets_ledger, o_orderkey % 3 = 0 AS sets_ignored,
   CASE WHEN o_orderkey % 4 <> 0 THEN 'Edited ' || CAST(o_orderkey % 5 AS VARCHAR) END AS new_ledger, o_orderkey % 9 = 0 AS new_ignored FROM orders WHERE o_orderkey % 6 IN (0, 2, 3))"""
+
+
+def bordered(text: str) -> str:
+    """RE2 takes only ASCII letters as word characters. A marked ASCII word around every accented letter gives it the
+    word borders of Unicode; `unbordered` takes the marks out again."""
+    return rf"regexp_replace({text}, '([\x{{00AA}}\x{{00B5}}\x{{00BA}}\x{{00C0}}-\x{{00D6}}\x{{00D8}}-\x{{00F6}}\x{{00F8}}-\x{{02AF}}\x{{0370}}-\x{{1FFF}}\x{{2C00}}-\x{{2DFF}}\x{{3040}}-\x{{D7FF}}])', '_QZQ_\1_QZQ_', 'g')"
+
+
+def unbordered(text: str) -> str:
+    return f"replace({text}, '_QZQ_', '')"

@@ -75,15 +75,18 @@ def template_matches(headers: Column, expected: Column) -> Column:
 
 
 def alias_positions(headers: Column) -> Column:
-    """Role struct: first column whose header contains one of the role's aliases, else null."""
+    """Role struct: first column whose header contains one of the role's aliases, else -1."""
     def position(role: str) -> Column:
+        # An alias that contains another one of the same role can never decide.
+        shortest = [a for a in ALIASES[role] if not any(o != a and o in a for o in ALIASES[role])]
+
         def has_alias(h: Column) -> Column:
-            found = F.lit(False)
-            for alias in ALIASES[role]:
+            found = F.contains(h, F.lit(shortest[0]))
+            for alias in shortest[1:]:
                 found = found | F.contains(h, F.lit(alias))
             return found
-        at = F.array_position(F.transform(headers, has_alias), True)
-        return F.when(at > 0, (at - 1).cast("int")).alias(role)
+
+        return (F.array_position(F.transform(headers, has_alias), True) - 1).cast("int").alias(role)
 
     return F.struct(*[position(r) for r in ROLES])
 
@@ -99,13 +102,14 @@ def detect_headers(rows: DataFrame, templates: DataFrame) -> DataFrame:
     first row as header. `header_idx` is null when nothing fits. `starts_split` tells that the first data row is a
     continuation, which shifts the row numbers by one.
     """
-    head = with_template(first_rows(rows, HEADER_ROWS + 1), templates)
-    expected = F.transform(F.coalesce("template.headers", F.array().cast("array<string>")), normalize_header)
+    prepared = templates.withColumn("expected", F.transform("headers", normalize_header))
+    head = with_template(first_rows(rows, HEADER_ROWS + 1), prepared)
+    no_headers = F.array().cast("array<string>")
     looked = F.transform(
         F.slice("first_rows", 1, HEADER_ROWS),
         lambda r: F.struct(r.row_idx.alias("row_idx"), F.transform(r.cells, normalize_header).alias("headers")),
     )
-    judged = head.withColumns({"_expected": expected, "_looked": looked}).withColumn(
+    judged = head.withColumns({"_looked": looked, "_expected": F.coalesce("template.expected", no_headers)}).withColumn(
         "_judged",
         F.transform(
             "_looked",
@@ -116,15 +120,14 @@ def detect_headers(rows: DataFrame, templates: DataFrame) -> DataFrame:
             ),
         ),
     )
-    hit = F.get(
-        F.filter("_judged", lambda r: r.by_template | (r.aliases.date.isNotNull() & r.aliases.narration.isNotNull())), 0
-    )
+    hit = F.get(F.filter("_judged", lambda r: r.by_template | ((r.aliases.date >= 0) & (r.aliases.narration >= 0))), 0)
     known = F.col("template").isNotNull() & (F.size(F.map_keys("template.columns")) > 0)
     positions = template_positions(F.col("template.columns"))
+    by_alias = F.struct(*[F.when(F.col(f"_hit.aliases.{r}") >= 0, F.col(f"_hit.aliases.{r}")).alias(r) for r in ROLES])
     found = judged.withColumn("_hit", hit).select(
         "statement_id", "bank_code", "first_rows",
         F.coalesce("_hit.row_idx", F.when(known, F.get("first_rows", F.lit(0)).row_idx)).alias("header_idx"),
-        F.when(F.col("_hit.by_template"), positions).when(F.col("_hit").isNotNull(), F.col("_hit.aliases"))
+        F.when(F.col("_hit.by_template"), positions).when(F.col("_hit").isNotNull(), by_alias)
         .when(known, positions).alias("roles"),
         F.when(F.col("_hit.by_template"), "template").when(F.col("_hit").isNotNull(), "alias")
         .when(known, "positions").otherwise("none").alias("found_by"),

@@ -84,16 +84,20 @@ def with_warnings(tx: DataFrame, hot: DataFrame | None = None) -> DataFrame:
 def detect_bank(header_text: Column, banks: list = BANKS, generic: list[str] = GENERIC_KEYWORDS) -> Column:
     """Best bank for a header text: IFSC pattern 100 points, own keyword 10, keyword many banks share 1.
 
-    A projection over the template constants; equal scores go to the first bank in catalogue order, none gives null.
+    A projection over the template constants. Equal scores go to the longer keyword ("State Bank of India" over "Bank of
+    India"), then to the first bank in catalogue order; no match gives null.
     """
-    def score(code: str, prefix: str, keywords: list[str]) -> Column:
+    def found(word: str, value: int) -> Column:
+        return F.when(F.contains(header_text, F.lit(word)), value).otherwise(0)
+
+    def scores(prefix: str, code: str, words: list[str]) -> list[Column]:
         points = F.when(header_text.rlike(ifsc_pattern(code, prefix)), 100).otherwise(0)
-        for word in keywords:
-            points = points + F.when(F.contains(header_text, F.lit(word)), 1 if word in generic else 10).otherwise(0)
-        return points
+        for word in words:
+            points = points + found(word, 1 if word in generic else 10)
+        return [points.alias("score"), F.greatest(F.lit(0), *[found(w, len(w)) for w in words]).alias("longest")]
 
     scored = [
-        F.struct(score(bank[0], bank[4], bank[3]).alias("score"), F.lit(-place).alias("place"), F.lit(bank[0]).alias("code"))
+        F.struct(*scores(bank[4], bank[0], bank[3]), F.lit(-place).alias("place"), F.lit(bank[0]).alias("code"))
         for place, bank in enumerate(banks)
     ]
     best = F.array_max(F.array(*scored))

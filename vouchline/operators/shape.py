@@ -227,14 +227,16 @@ def unparsed_only(rows: DataFrame, transactions: DataFrame) -> DataFrame:
 
 def parse_text_lines(lines: DataFrame) -> DataFrame:
     """Transactions out of text lines (statement_id, line_no, line); numbering is dense per statement."""
-    text = squeeze(F.col("line"))
-    found = lines.withColumn("_t", text).filter(F.col("_t").rlike(TEXT_LINE)).select(
-        "statement_id", "line_no",
-        parse_date(F.regexp_extract("_t", TEXT_LINE, 1)).alias("txn_date"),
-        F.trim(F.regexp_extract("_t", TEXT_LINE, 2)).alias("narration"),
-        parse_amount(F.regexp_extract("_t", TEXT_LINE, 3)).alias("_amount"),
-        parse_amount(F.regexp_extract("_t", TEXT_LINE, 4)).alias("balance"),
-    ).filter("txn_date is not null and _amount is not null")
+    # One pass of the pattern: a matching line is rewritten to its four parts around a mark, any other stays as it is.
+    parts = F.regexp_replace(squeeze(F.col("line")), rf"^.*?{TEXT_LINE}", "$1\u0001$2\u0001$3\u0001$4")
+    found = (
+        lines.select("statement_id", "line_no", F.split(parts, "\u0001").alias("_p")).filter(F.size("_p") == 4)
+        .select(
+            "statement_id", "line_no", parse_date(F.get("_p", F.lit(0))).alias("txn_date"), F.trim(F.get("_p", F.lit(1))).alias("narration"),
+            parse_amount(F.get("_p", F.lit(2))).alias("_amount"), parse_amount(F.get("_p", F.lit(3))).alias("balance"),
+        )
+        .filter("txn_date is not null and _amount is not null")
+    )
     credit = is_credit(F.col("narration"))
     sided = found.withColumns(
         {"debit": F.when(~credit, F.col("_amount")), "credit": F.when(credit, F.col("_amount"))}

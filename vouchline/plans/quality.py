@@ -10,13 +10,14 @@ from vouchline.plans.registry import query
 from vouchline.plans.shaping import BANK_CODES, _hot
 from vouchline.session import work_dir
 from vouchline.sources import fixtures as fx, templates as tp
+from vouchline.sources.readers import spread_small
 from vouchline.streaming import jobs
 
 DOCS = f"docs AS (SELECT *, {v.bordered('text')} AS marked FROM documents)"
 
 
 def _documents(s, d):
-    return fx.table(s, d, "documents")
+    return spread_small(fx.table(s, d, "documents"))
 
 
 CASES = [b[0] for b in tp.BANKS]

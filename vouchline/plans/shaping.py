@@ -205,24 +205,89 @@ def _table_rows(s, d):
     return _clean(s, d).filter("row_idx >= 2")
 
 
-@query("p14_score_columns")
+def _cells_sql(date, text, ref, out, into, left, no):
+    return (f"CASE bank_code WHEN 'hdfc' THEN [{date}, {text}, {ref}, {date}, {out}, {into}, {left}] WHEN 'icici' THEN [{no}, {date}, {date}, {ref}, {text}, {out}, {into}, {left}] "
+            f"WHEN 'sbi' THEN [{date}, {date}, {text}, {ref}, {out}, {into}, {left}] ELSE [{date}, {text}, {ref}, {out}, {into}, {left}] END")
+
+
+def _money_sql(value):
+    return f"format('{{:,.2f}}', CAST({value} AS DOUBLE))"
+
+
+HEADERS_SQL = "CASE bank_code " + " ".join(
+    "WHEN '{}' THEN [{}]".format(b[0], ", ".join(f"'{h}'" for h in b[5])) for b in tp.BANKS if b[0] in ("hdfc", "icici", "sbi", "axis")) + " END"
+
+# The rendered table rows with their cells, numbered per statement from the header on.
+NUMBERED = f"""rc AS (SELECT statement_id, (row_number - 1) * 3 + 3 AS row_idx,
+   {_cells_sql(DAY, 'narration', "'REF' || id", "coalesce(CAST(debit AS VARCHAR), '')", "coalesce(CAST(credit AS VARCHAR) || ' Cr', '')", _money_sql('balance'), HDFC_NO)} AS cells FROM tx
+  UNION ALL SELECT statement_id, (row_number - 1) * 3 + 4, {_cells_sql("''", "'MORE ' || id", "''", "''", "''", "''", "''")} FROM tx WHERE id % 4 = 0
+  UNION ALL SELECT statement_id, 2, {HEADERS_SQL} FROM tx GROUP BY statement_id, bank_code
+  UNION ALL SELECT statement_id, max(row_number - 1) * 3 + 6, {_cells_sql("''", "'TOTAL'", "''", "'1.00'", "'2.00'", _money_sql('max(balance)'), "''")} FROM tx GROUP BY statement_id, bank_code),
+nr AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY row_idx) AS n FROM rc)"""
+
+
+def _date_sql(value):
+    return (rf"CASE WHEN regexp_matches({value}, '^\d+/\d+/\d{{4}}$') THEN CAST(try_strptime({value}, '%d/%m/%Y') AS DATE) WHEN regexp_matches({value}, '^\d+/\d+/\d\d$') THEN CAST(try_strptime({value}, '%d/%m/%y') AS DATE) "
+            rf"WHEN regexp_matches({value}, '^\d+-\d+-\d{{4}}$') THEN CAST(try_strptime({value}, '%d-%m-%Y') AS DATE) END")
+
+
+def _amount_sql(value):
+    return rf"TRY_CAST(regexp_replace({value}, '[^0-9.\-]', '', 'g') AS DECIMAL(18,2))"
+
+
+def _named_sql(words):
+    return "CASE WHEN " + " OR ".join(f"contains(lower(name), '{w}')" for w in words) + " THEN 30 ELSE 0 END"
+
+
+EVIDENCE_SQL = {"date": "10 * dates", "narration": "CASE WHEN letters / c > 15 THEN 20 ELSE 0 END", "debit": "CASE WHEN numbers / c > 0.7 THEN 20 ELSE 0 END",
+                "credit": "CASE WHEN numbers / c > 0.7 THEN 20 ELSE 0 END", "balance": "CASE WHEN numbers / c > 0.9 THEN 20 ELSE 0 END"}
+SCORED_SQL = rf"""{NUMBERED}, hc AS (SELECT statement_id, unnest(range(len(cells))) AS pos, unnest(cells) AS name FROM nr WHERE n = 1),
+sv AS (SELECT hc.statement_id, pos, name, cells[pos + 1] AS v FROM hc LEFT JOIN nr ON nr.statement_id = hc.statement_id AND n BETWEEN 2 AND 11),
+sa AS (SELECT statement_id, pos, name, greatest(count(v), 1) AS c, count(*) FILTER (TRY_CAST(replace(replace(trim(v), ',', ''), '₹', '') AS DOUBLE) IS NOT NULL) AS numbers, coalesce(sum(length(v)), 0) AS letters,
+  count(*) FILTER (regexp_matches(v, '\d{{1,2}}[/-]\d{{1,2}}[/-]\d{{2,4}}')) + count(*) FILTER (regexp_matches(v, '\d{{4}}[/-]\d{{1,2}}[/-]\d{{1,2}}')) AS dates FROM sv GROUP BY ALL),
+al AS ({" UNION ALL ".join(f"SELECT statement_id, pos, '{r}' AS role, {_named_sql(w)} + {EVIDENCE_SQL[r]} AS score, {least} AS least, {full} AS full_score FROM sa" for r, (w, least, full) in sh.SCORED_ROLES.items())}),
+be AS (SELECT *, row_number() OVER (PARTITION BY statement_id, role ORDER BY score DESC, pos) AS k FROM al),
+sr AS (SELECT statement_id, role, CAST(pos AS INTEGER) AS pos, CAST(score AS INTEGER) AS score, CAST(round_even(score / full_score, 2) AS DOUBLE) AS confidence FROM be WHERE k = 1 AND score > least)"""
+
+
+@query("p14_score_columns", f"WITH {v.TX}, {SCORED_SQL} SELECT * FROM sr")
 def _(s, d):
     return sh.score_columns(_table_rows(s, d))
 
 
-@query("p15_extract_scored")
+def _plain_sql(role):
+    value = f"cells[list_extract(map_extract(roles, '{role}'), 1) + 1]"
+    return f"nullif(TRY_CAST(trim(replace(replace(replace(trim({value}), '₹', ''), '$', ''), ',', '')) AS DECIMAL(18,2)), 0)"
+
+
+@query("p15_extract_scored", f"""WITH {v.TX}, {SCORED_SQL}, ro AS (SELECT statement_id, map_from_entries(list((role, pos))) AS roles, CAST(round_even(avg(confidence), 3) AS DOUBLE) AS parser_confidence FROM sr GROUP BY ALL),
+x AS (SELECT statement_id, row_idx, {_date_sql("cells[list_extract(map_extract(roles, 'date'), 1) + 1]")} AS txn_date, trim(cells[list_extract(map_extract(roles, 'narration'), 1) + 1]) AS narration,
+  {_plain_sql('debit')} AS debit, {_plain_sql('credit')} AS credit, {_plain_sql('balance')} AS balance, parser_confidence FROM nr JOIN ro USING (statement_id) WHERE n > 1)
+SELECT * FROM x WHERE txn_date IS NOT NULL OR narration IS NOT NULL""")
 def _(s, d):
     rows = _table_rows(s, d)
     return sh.extract_scored(rows, sh.score_columns(rows))
 
 
-# The first twenty rows below the title decide; with the header as row one these are the header's twenty followers.
-@query("p16_pattern_roles")
+ROLES_SQL = rf"""{NUMBERED}, cv AS (SELECT statement_id, unnest(range(len(cells))) AS pos, trim(unnest(cells)) AS v FROM nr WHERE n BETWEEN 2 AND 21),
+cd AS (SELECT *, regexp_matches(v, '^\s*\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}}\s*$') AS is_date, regexp_matches(v, '^\s*-?\(?[\d,]+(?:\.\d{{1,2}})?\)?\s*(?:Cr|Dr)?\s*$', 'i') AS is_amount FROM cv WHERE v <> ''),
+ca AS (SELECT statement_id, CAST(pos AS INTEGER) AS pos, count(*) FILTER (is_date) AS dates, count(*) FILTER (is_amount) AS amounts, coalesce(sum(length(v)) FILTER (NOT is_date AND NOT is_amount), 0) AS letters FROM cd GROUP BY ALL),
+dt AS (SELECT statement_id, arg_max(pos, {{'d': dates, 'p': -pos}}) AS date FROM ca WHERE dates > 0 GROUP BY ALL),
+am AS (SELECT ca.statement_id, any_value(date) AS date, coalesce(list(pos ORDER BY pos) FILTER (amounts > 0 AND pos IS DISTINCT FROM date), []) AS a FROM ca LEFT JOIN dt ON dt.statement_id = ca.statement_id GROUP BY ALL),
+ro AS (SELECT statement_id, date, CASE WHEN len(a) >= 3 THEN a[-3] ELSE a[1] END AS debit, CASE WHEN len(a) >= 3 THEN a[-2] ELSE a[2] END AS credit, CASE WHEN len(a) >= 3 THEN a[-1] END AS balance FROM am),
+na AS (SELECT ca.statement_id, arg_max(pos, {{'l': letters, 'p': -pos}}) AS narration FROM ca JOIN ro USING (statement_id) WHERE letters > 0 AND pos IS DISTINCT FROM date AND pos IS DISTINCT FROM debit
+  AND pos IS DISTINCT FROM credit AND pos IS DISTINCT FROM balance GROUP BY ALL),
+pr AS (SELECT ro.*, narration FROM ro LEFT JOIN na USING (statement_id))"""
+
+
+@query("p16_pattern_roles", f"WITH {v.TX}, {ROLES_SQL} SELECT statement_id, date, debit, credit, balance, narration FROM pr")
 def _(s, d):
     return sh.pattern_roles(_table_rows(s, d))
 
 
-@query("p17_extract_by_pattern")
+@query("p17_extract_by_pattern", f"""WITH {v.TX}, {ROLES_SQL}, x AS (SELECT statement_id, row_idx, {_date_sql('cells[date + 1]')} AS txn_date, cells[narration + 1] AS narration,
+  {_amount_sql('cells[debit + 1]')} AS debit, {_amount_sql('cells[credit + 1]')} AS credit, {_amount_sql('cells[balance + 1]')} AS balance FROM nr JOIN pr USING (statement_id))
+SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY row_idx) AS row_number FROM x WHERE txn_date IS NOT NULL""")
 def _(s, d):
     rows = _table_rows(s, d)
     return sh.extract_by_pattern(rows, sh.pattern_roles(rows))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vouchline.functions import masking, text
+from vouchline.skew import block, ordered
 
 RESULT = ["narration_clean", "payment_mode", "counterparty", "suggested_ledger", "confidence"]
 BATCH_SIZE = 50
@@ -271,11 +272,11 @@ def pick_work(tx: DataFrame, force: bool = False, limit: int | None = None) -> D
     return work.withColumn("_n", nth).filter(F.col("_n") <= limit).drop("_n")
 
 
-def number_batches(work: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
+def number_batches(work: DataFrame, size: int = BATCH_SIZE, hot: DataFrame | None = None) -> DataFrame:
     """Consecutive batches per statement, in row order."""
-    from vouchline.skew import block, ordered
-
-    numbered = ordered(work, ["statement_id"], ["row_number"], split=block("row_number"), running={"_nth": ("sum", F.lit(1))})
+    numbered = ordered(
+        work, ["statement_id"], ["row_number"], split=block("row_number"), running={"_nth": ("sum", F.lit(1))}, hot=hot
+    )
     return numbered.withColumn("batch_no", F.floor((F.col("_nth") - 1) / size)).drop("_nth")
 
 

@@ -46,12 +46,14 @@ def rollup_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def vouchers(rows: DataFrame, reviewed_only: bool = False) -> DataFrame:
+def vouchers(rows: DataFrame, reviewed_only: bool = False, hot: DataFrame | None = None) -> DataFrame:
     """Kept rows with voucher type, counter ledger and a number from 1 per statement."""
     kept = rows.filter(F.col("amount") > 0)
     if reviewed_only:
         kept = kept.filter("is_reviewed")
-    numbered = ordered(kept, ["statement_id"], ["row_number"], split=block("row_number"), running={"voucher_number": ("sum", F.lit(1))})
+    numbered = ordered(
+        kept, ["statement_id"], ["row_number"], split=block("row_number"), running={"voucher_number": ("sum", F.lit(1))}, hot=hot
+    )
     return numbered.withColumns(
         {
             "voucher_number": F.col("voucher_number").cast("long"),

@@ -28,12 +28,12 @@ def cluster_rows(words: DataFrame) -> DataFrame:
     )
 
 
-def split_cells(clustered: DataFrame) -> DataFrame:
-    """Cells per text row: joined text, mean confidence and bounding box."""
+def split_cells(clustered: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Cells per text row: joined text, mean confidence and bounding box. `hot` may list hot pages."""
     keys = [*PAGE, "row_no"]
     numbered = islands(
         clustered.withColumn("_end", F.col("x") + F.col("w")), keys, ["x", "y_centre", "text"], split=F.floor(F.col("x") / 256),
-        previous="_end", opens=lambda before: F.col("x") - before > F.col("cell_gap"), out="cell_no",
+        previous="_end", opens=lambda before: F.col("x") - before > F.col("cell_gap"), out="cell_no", hot=hot,
     )
     word = F.struct("x", "y_centre", "text")
     return numbered.groupBy(*keys, "cell_no").agg(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from vouchline.skew import ordered
 
 # The statuses a statement may have.
 ALLOWED_STATUSES = ["UPLOADED", "PARSING", "OCR", "READY_FOR_REVIEW", "REVIEWED", "EXPORTED", "FAILED", "PARSE_ERROR"]
@@ -156,5 +158,4 @@ def of_firm(df: DataFrame, statements: DataFrame, clients: DataFrame, firm_id) -
 
 
 def rules_in_order(rules: DataFrame) -> DataFrame:
-    place = W.partitionBy("client_id").orderBy("priority", "created_at", "rule_id")
-    return rules.withColumn("place", F.row_number().over(place))
+    return ordered(rules, ["client_id"], ["priority", "created_at", "rule_id"], split=F.col("priority"), running={"place": ("sum", F.lit(1))})

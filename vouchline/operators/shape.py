@@ -225,7 +225,7 @@ def unparsed_only(rows: DataFrame, transactions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- free text lines
 
 
-def parse_text_lines(lines: DataFrame) -> DataFrame:
+def parse_text_lines(lines: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Transactions out of text lines (statement_id, line_no, line); numbering is dense per statement."""
     # One pass of the pattern: a matching line is rewritten to its four parts around a mark, any other stays as it is.
     parts = F.regexp_replace(squeeze(F.col("line")), rf"^.*?{TEXT_LINE}", "$1\u0001$2\u0001$3\u0001$4")
@@ -242,7 +242,7 @@ def parse_text_lines(lines: DataFrame) -> DataFrame:
         {"debit": F.when(~credit, F.col("_amount")), "credit": F.when(credit, F.col("_amount"))}
     ).drop("_amount")
     return ordered(
-        sided, ["statement_id"], ["line_no"], split=block("line_no"), running={"row_number": ("sum", F.lit(1))}
+        sided, ["statement_id"], ["line_no"], split=block("line_no"), running={"row_number": ("sum", F.lit(1))}, hot=hot
     ).withColumn("row_number", F.col("row_number").cast("long"))
 
 
@@ -304,7 +304,8 @@ def extract_scored(rows: DataFrame, scored: DataFrame) -> DataFrame:
     """Transactions by the scored columns; a row is kept when it has a date or a narration column."""
     roles = scored.groupBy("statement_id").agg(
         F.map_from_entries(F.collect_list(F.struct("role", "pos"))).alias("roles"),
-        F.bround(F.avg("confidence"), 3).alias("parser_confidence"),
+        # The mean of whole hundredths, in thousandths: exact, so that halves round the same way everywhere.
+        (F.bround(F.sum(F.bround(F.col("confidence") * 100, 0).cast("long")) * 10 / F.count(F.lit(1)), 0) / 1000).alias("parser_confidence"),
     )
     header = rows.groupBy("statement_id").agg(F.min("row_idx").alias("_header"))
     data = rows.join(roles.join(header, "statement_id"), "statement_id").filter("row_idx > _header")
@@ -354,7 +355,7 @@ def pattern_roles(rows: DataFrame) -> DataFrame:
     return named.withColumn("narration", (-longest.back).cast("int")).drop("c")
 
 
-def extract_by_pattern(rows: DataFrame, roles: DataFrame) -> DataFrame:
+def extract_by_pattern(rows: DataFrame, roles: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Transactions by pattern roles; without a date or narration there, any cell that reads as a date and the longest
     text that is not an amount. Numbering is dense."""
     data = rows.filter(F.size("cells") >= 2).join(roles, "statement_id")
@@ -374,5 +375,5 @@ def extract_by_pattern(rows: DataFrame, roles: DataFrame) -> DataFrame:
         *(["row_confidence"] if "row_confidence" in rows.columns else []),
     ).filter("txn_date is not null")
     return ordered(
-        read, ["statement_id"], ["row_idx"], split=block("row_idx"), running={"row_number": ("sum", F.lit(1))}
+        read, ["statement_id"], ["row_idx"], split=block("row_idx"), running={"row_number": ("sum", F.lit(1))}, hot=hot
     ).withColumn("row_number", F.col("row_number").cast("long"))

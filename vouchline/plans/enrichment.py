@@ -124,7 +124,7 @@ def _(s, d):
 
 @query("e16_batches", f"""WITH {v.EN}, {WORK} SELECT id, (nth - 1) // 50 AS batch_no FROM wk""")
 def _(s, d):
-    return en.number_batches(en.pick_work(_part_done(s, d))).select("id", "batch_no")
+    return en.number_batches(en.pick_work(_part_done(s, d)), hot=fx.long_statements(s, d)).select("id", "batch_no")
 
 
 def _mask_sql(t: str) -> str:

@@ -7,7 +7,7 @@ from vouchline.operators import checks as ck, export as ex, quality as q, shape
 from vouchline.plans import views as v
 from vouchline.plans.enrichment import _mask_sql
 from vouchline.plans.registry import query
-from vouchline.plans.shaping import BANK_CODES, _hot
+from vouchline.plans.shaping import BANK_CODES
 from vouchline.session import work_dir
 from vouchline.sources import fixtures as fx, templates as tp
 from vouchline.sources.readers import spread_small
@@ -54,7 +54,7 @@ def _compared(s, d):
         "statement_id", "row_number", F.when(F.col("id") % 13 == 0, "NOT THERE").otherwise(F.col("narration")).alias("narration"),
         F.when(F.col("id") % 11 == 0, F.col("debit") + 1).otherwise(F.col("debit")).cast("decimal(18,2)").alias("debit"), "credit",
         F.when(F.col("id") % 7 == 0, F.col("balance") + 1).otherwise(F.col("balance")).cast("decimal(18,2)").alias("balance"))
-    actual = sh.parse_statements(fx.raw_rows(s, d), tp.catalogue(s), _hot(s, d)).filter("row_number % 6 <> 0")
+    actual = sh.parse_statements(fx.raw_rows(s, d), tp.catalogue(s), fx.long_statements(s, d)).filter("row_number % 6 <> 0")
     return q.compare_rows(expected, actual, ["statement_id", "row_number"])
 
 
@@ -298,7 +298,7 @@ def _spoilt(s, d):
 
 
 def _checked(s, d):
-    return ck.with_previous(_spoilt(s, d), _hot(s, d))
+    return ck.with_previous(_spoilt(s, d), fx.long_statements(s, d))
 
 
 @query("v1_balance_check", f"WITH {v.TX}, {SPOILT} SELECT id, bad_balance FROM fl")
@@ -335,7 +335,7 @@ def _(s, d):
 @query("v5_warnings", f"""WITH {v.TX}, {SPOILT}, du AS (SELECT *, count(*) OVER (PARTITION BY statement_id, txn_date, debit, credit, narration) > 1 AS dup FROM fl)
 SELECT id, concat_ws(',', CASE WHEN bad_balance THEN 'balance_mismatch' END, CASE WHEN bad_date THEN 'date_order' END, CASE WHEN dup THEN 'duplicate' END) AS warnings FROM du""")
 def _(s, d):
-    return ck.with_warnings(_spoilt(s, d), _hot(s, d)).select("id", F.array_join("validation_warnings", ",").alias("warnings"))
+    return ck.with_warnings(_spoilt(s, d), fx.long_statements(s, d)).select("id", F.array_join("validation_warnings", ",").alias("warnings"))
 
 
 def _header_texts(s, d):

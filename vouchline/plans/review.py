@@ -140,7 +140,7 @@ def _(s, d):
 
 @query("q16_rule_order", f"WITH {v.RULES} SELECT client_id, rule_id, row_number() OVER (PARTITION BY client_id ORDER BY priority, created_at, rule_id) AS place FROM ru")
 def _(s, d):
-    return rv.rules_in_order(fx.rules(s, d)).select("client_id", "rule_id", "place")
+    return rv.rules_in_order(fx.rules(s, d)).select("client_id", "rule_id", F.col("place").cast("bigint").alias("place"))
 
 
 # ---------------------------------------------------------------- exports
@@ -182,7 +182,7 @@ VOUCHERS = """vo AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDE
   CASE WHEN (voucher_type = 'Payment') = (entry_no = 1) THEN 'No' ELSE 'Yes' END AS deemed_positive,
   CASE WHEN (voucher_type = 'Payment') = (entry_no = 1) THEN amount ELSE -amount END AS signed_amount FROM vo, (SELECT unnest([1, 2]) AS entry_no)""")
 def _(s, d):
-    return ex.voucher_entries(ex.vouchers(_rows(s, d)))
+    return ex.voucher_entries(ex.vouchers(_rows(s, d), hot=fx.long_statements(s, d)))
 
 
 @query("x6_summary", f"WITH {v.EN}, {v.EXPORT} SELECT statement_id, count(*) AS transactions, {SIDES}, min(txn_date) AS first_date, max(txn_date) AS last_date FROM ex GROUP BY ALL")
@@ -245,7 +245,7 @@ SELECT statement_id, voucher_number AS line_no, '<TALLYMESSAGE xmlns:UDF="TallyU
  || CASE WHEN pay THEN 'No' ELSE 'Yes' END || '</ISDEEMEDPOSITIVE><AMOUNT>' || CASE WHEN pay THEN pos ELSE neg END || '</AMOUNT></ALLLEDGERENTRIES.LIST><ALLLEDGERENTRIES.LIST><LEDGERNAME>' || counter_ledger
  || '</LEDGERNAME><ISDEEMEDPOSITIVE>' || CASE WHEN pay THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE><AMOUNT>' || CASE WHEN pay THEN neg ELSE pos END || '</AMOUNT></ALLLEDGERENTRIES.LIST></VOUCHER></TALLYMESSAGE>' AS line FROM el""")
 def _(s, d):
-    lines = sinks.xml_lines(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)))
+    lines = sinks.xml_lines(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), hot=fx.long_statements(s, d))
     return lines.filter(f"line_no > {sinks.FIRST} and line_no < {sinks.LAST}")
 
 

@@ -29,12 +29,7 @@ def _clean(s, d):
 
 
 def _parsed(s, d):
-    return sh.parse_statements(fx.raw_rows(s, d), tp.catalogue(s), _hot(s, d))
-
-
-def _hot(s, d):
-    """Long statements, counted on the order table the rows come from."""
-    return hot_keys(fx.table(s, d, "orders").select(F.col("o_custkey").alias("statement_id")), ["statement_id"])
+    return sh.parse_statements(fx.raw_rows(s, d), tp.catalogue(s), fx.long_statements(s, d))
 
 
 @query("src1_delimited_files", """SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total, CAST(sum(o_orderkey) AS BIGINT) AS keys
@@ -145,7 +140,7 @@ def _(s, d):
 @query("p7_continuations", f"WITH {v.TX}, {PARSED} SELECT statement_id, row_number, narration FROM pa UNION ALL SELECT statement_id, max(row_number) + 1, 'TOTAL' FROM pa GROUP BY ALL")
 def _(s, d):
     rows = _clean(s, d)
-    return sh.merge_continuations(rows, sh.detect_headers(rows, tp.catalogue(s)), _hot(s, d)).select("statement_id", "row_number", "narration")
+    return sh.merge_continuations(rows, sh.detect_headers(rows, tp.catalogue(s)), fx.long_statements(s, d)).select("statement_id", "row_number", "narration")
 
 
 @query("p8_dates", f"WITH {v.TX}, {PARSED} SELECT statement_id, row_number, txn_date, value_date FROM pa")
@@ -191,7 +186,7 @@ def _lines(s, d):
 @query("p12_text_lines", f"""WITH {v.TX} SELECT statement_id, row_number, txn_date, 'shop' || CASE id % 4 WHEN 0 THEN ' salary received ' WHEN 1 THEN ' refund to ' WHEN 2 THEN ' purchase ' ELSE ' plain ' END || 'x' AS narration,
   CASE WHEN id % 4 <> 0 THEN coalesce(debit, credit) END AS debit, CASE WHEN id % 4 = 0 THEN coalesce(debit, credit) END AS credit, CASE WHEN id % 2 = 0 THEN balance END AS balance FROM tx""")
 def _(s, d):
-    return sh.parse_text_lines(_lines(s, d)).drop("line_no")
+    return sh.parse_text_lines(_lines(s, d), fx.long_statements(s, d)).drop("line_no")
 
 
 @query("p13_side", rf"""WITH m AS (SELECT doc_id, {v.bordered('text')} AS text FROM documents) SELECT doc_id,
@@ -260,7 +255,7 @@ def _plain_sql(role):
     return f"nullif(TRY_CAST(trim(replace(replace(replace(trim({value}), '₹', ''), '$', ''), ',', '')) AS DECIMAL(18,2)), 0)"
 
 
-@query("p15_extract_scored", f"""WITH {v.TX}, {SCORED_SQL}, ro AS (SELECT statement_id, map_from_entries(list((role, pos))) AS roles, CAST(round_even(avg(confidence), 3) AS DOUBLE) AS parser_confidence FROM sr GROUP BY ALL),
+@query("p15_extract_scored", f"""WITH {v.TX}, {SCORED_SQL}, ro AS (SELECT statement_id, map_from_entries(list((role, pos))) AS roles, CAST(round_even(CAST(sum(CAST(round(confidence * 100) AS BIGINT)) * 10 AS DOUBLE) / count(*), 0) / 1000 AS DOUBLE) AS parser_confidence FROM sr GROUP BY ALL),
 x AS (SELECT statement_id, row_idx, {_date_sql("cells[list_extract(map_extract(roles, 'date'), 1) + 1]")} AS txn_date, trim(cells[list_extract(map_extract(roles, 'narration'), 1) + 1]) AS narration,
   {_plain_sql('debit')} AS debit, {_plain_sql('credit')} AS credit, {_plain_sql('balance')} AS balance, parser_confidence FROM nr JOIN ro USING (statement_id) WHERE n > 1)
 SELECT * FROM x WHERE txn_date IS NOT NULL OR narration IS NOT NULL""")
@@ -290,13 +285,13 @@ def _(s, d):
 SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY row_idx) AS row_number FROM x WHERE txn_date IS NOT NULL""")
 def _(s, d):
     rows = _table_rows(s, d)
-    return sh.extract_by_pattern(rows, sh.pattern_roles(rows))
+    return sh.extract_by_pattern(rows, sh.pattern_roles(rows), fx.long_statements(s, d))
 
 
 @query("p18_row_confidence", f"WITH {v.TX}, {PARSED} SELECT statement_id, row_number, CAST((row_number - 1) * 3 + 3 AS DOUBLE) / 1000 AS ocr_confidence FROM pa")
 def _(s, d):
     rows = fx.raw_rows(s, d).withColumn("row_confidence", F.col("row_idx") / 1000)
-    return sh.parse_statements(rows, tp.catalogue(s), _hot(s, d)).select("statement_id", "row_number", "ocr_confidence")
+    return sh.parse_statements(rows, tp.catalogue(s), fx.long_statements(s, d)).select("statement_id", "row_number", "ocr_confidence")
 
 
 @query("p19_outcomes", f"""WITH {v.TX}, ty AS (SELECT *, {TYPE} AS t FROM st), cn AS (SELECT statement_id, count(*) AS n FROM tx WHERE statement_id % 5 <> 0 GROUP BY ALL)
@@ -330,7 +325,8 @@ cl AS (SELECT doc_id, page, row_no, cell_no, string_agg(text, ' ' ORDER BY x, yc
 
 
 def _cells(s, d):
-    return rc.split_cells(rc.cluster_rows(fx.ocr_words(s, d)))
+    words = fx.ocr_words(s, d)
+    return rc.split_cells(rc.cluster_rows(words), hot_keys(words, rc.PAGE))
 
 
 @query("o1_rows", f"WITH {WORDS} SELECT doc_id, page, text, x, y, row_no FROM ro")

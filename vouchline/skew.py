@@ -39,9 +39,12 @@ def block(position: str | Column, size: int | None = None) -> Column:
 
 
 def _split(df: DataFrame, keys: list[str], split: Column, hot: DataFrame | None) -> DataFrame:
-    """Mark the rows of hot keys and give them their bucket; every other key is one bucket."""
+    """Mark the rows of hot keys and give them their bucket; every other key is one bucket.
+
+    A handed-in list may name only the leading part of the keys: all keys below it are then split.
+    """
     listed = hot_keys(df.select(*keys), keys) if hot is None else hot
-    return df.join(F.broadcast(listed), keys, "left").withColumn("_part", F.when(F.col("_hot"), split))
+    return df.join(F.broadcast(listed), [c for c in listed.columns if c != "_hot"], "left").withColumn("_part", F.when(F.col("_hot"), split))
 
 
 def _by_part(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -61,7 +64,8 @@ def ordered(
 
     `running` maps an output column to (kind, expression): "sum" and "max" run up to the current row, "max_before" up to
     the row before. `lags` maps an output column to the column whose previous value it holds. `split` must not decrease
-    along `order`. `hot` may hand in the hot keys when the caller can count them on something cheaper than `df`.
+    along `order`. Counting the hot keys reads `df` once more, so where `df` is costly to compute `hot` should hand in keys
+    counted on the table it comes from.
     """
     running, lags = running or {}, lags or {}
     base = _split(df, keys, split, hot)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vouchline.skew import ordered
+from vouchline.skew import hot_keys, ordered
 from vouchline.sources.readers import spread_small
 
 
@@ -38,6 +38,11 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot statements, counted on the order table that everything per statement comes from."""
+    return hot_keys(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("statement_id")), ["statement_id"])
+
+
 def _flat(orders: DataFrame) -> DataFrame:
     """Transactions without client and without row order: a projection of `orders`."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
@@ -82,7 +87,7 @@ def transactions(spark: SparkSession, sf_dir: str, numbered: bool = False, clien
         signed = F.coalesce(F.col("credit"), -F.col("debit"))
         rows = ordered(
             rows, ["statement_id"], ["txn_date", "id"], split=F.col("txn_date"),
-            running={"row_number": ("sum", F.lit(1)), "_moved": ("sum", signed)},
+            running={"row_number": ("sum", F.lit(1)), "_moved": ("sum", signed)}, hot=long_statements(spark, sf_dir),
         ).withColumns(
             {"row_number": F.col("row_number").cast("long"), "balance": (F.col("_moved") + 1000000).cast("decimal(18,2)")}
         ).drop("_moved")

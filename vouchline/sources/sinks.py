@@ -116,7 +116,8 @@ def voucher_xml(company_bank: str) -> Column:
     )
 
 
-def xml_lines(tx: DataFrame, company: str = "My Company", bank_ledger: str = "Bank Account", reviewed_only: bool = False) -> DataFrame:
+def xml_lines(tx: DataFrame, company: str = "My Company", bank_ledger: str = "Bank Account", reviewed_only: bool = False,
+              hot: DataFrame | None = None) -> DataFrame:
     """Voucher document per statement: opening lines, one line per voucher, closing line."""
     rows = export_rows(tx)
     ids = rows.select("statement_id").distinct()
@@ -127,7 +128,7 @@ def xml_lines(tx: DataFrame, company: str = "My Company", bank_ledger: str = "Ba
         "</STATICVARIABLES></REQUESTDESC><REQUESTDATA>"
     )
     foot = "</REQUESTDATA></IMPORTDATA></BODY></ENVELOPE>"
-    body = vouchers(rows, reviewed_only).select(
+    body = vouchers(rows, reviewed_only, hot).select(
         "statement_id", F.col("voucher_number").alias("line_no"), voucher_xml(bank_ledger).alias("line")
     )
     return (

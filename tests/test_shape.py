@@ -109,6 +109,12 @@ def test_delimited_files(spark, tmp_path, all_hot):
         ("b", 0, ["Date", "Narration", "Debit"]), ("b", 1, ["01/01/2024", "one, two", "5,00"]), ("c", 0, ["only words"])]
 
 
+def test_unclosed_quote_is_an_error_not_a_huge_record(spark, tmp_path):
+    (tmp_path / "d.csv").write_text('a,b\n1,"open\n' + "".join(f"{i},x\n" for i in range(50)), encoding="utf-8")
+    got = readers.read_delimited(spark, str(tmp_path), record_chars=40).orderBy("row_idx").collect()
+    assert [(r.cells, r.error) for r in got] == [(["a", "b"], None), (None, "A quoted cell is not closed.")]
+
+
 @pytest.mark.parametrize("name, kind, branch", [("A.PDF", "pdf", "pdf"), ("x.y.XLS", "xls", "workbook"), ("p.webp", "image", "unsupported"), ("noext", "unknown", "unsupported"), ("a.docx", "docx", "unsupported")])
 def test_file_types(spark, name, kind, branch):
     row = spark.createDataFrame([(name,)], "n string").select(readers.file_type(F.col("n")).alias("t"), readers.parse_branch(F.col("n")).alias("b")).first()

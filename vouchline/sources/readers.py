@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vouchline.skew import ordered
+from vouchline.skew import hot_keys, ordered
 
 # Delimiters a statement file may use, in order of preference.
 DELIMITERS = [",", "\t", ";", "|", ":"]
 SNIFF_CHARS = 4096
+RECORD_CHARS = 1 << 20
 
 # File suffixes.
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "webp"]
@@ -92,31 +93,37 @@ def split_record(record: Column, delimiter: Column) -> Column:
     )
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """Ragged cell rows of delimited statement files: file, row_idx, cells. A leading byte-order mark is dropped.
+def read_delimited(spark: SparkSession, path: str, record_chars: int = RECORD_CHARS) -> DataFrame:
+    """Ragged cell rows of delimited statement files: file, row_idx, cells, error. A leading byte-order mark is dropped.
 
     A quoted cell may span lines: lines are joined while the number of quotes seen so far in the file is odd. All
-    running values are computed per split and then offset, so a single huge file stays parallel.
+    running values are computed per split and then offset, so a single huge file stays parallel. A quote that is never
+    closed would make the rest of a file one record: a record that goes on for more than RECORD_CHARS gets an error and
+    no cells, and its further lines are not gathered.
     """
     lines = read_lines(spark, path).withColumn("line", F.regexp_replace("line", "^﻿", ""))
     quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    hot = hot_keys(lines, ["file"])
     measured = ordered(
         lines, ["file"], ["block", "line_id"], split=F.col("block"),
-        running={"_quotes": ("sum", quotes), "_chars": ("sum", F.length("line") + 1)},
+        running={"_quotes": ("sum", quotes), "_chars": ("sum", F.length("line") + 1)}, hot=hot,
     )
     opened = (F.col("_quotes") - quotes) % 2 == 0
+    placed = measured.withColumns({"_opens": F.when(opened, 1).otherwise(0), "start": F.col("_chars") - F.length("line") - 1})
     starts = ordered(
-        measured.withColumn("_opens", F.when(opened, 1).otherwise(0)), ["file"], ["block", "line_id"], split=F.col("block"),
-        running={"row_idx": ("sum", F.col("_opens"))},
+        placed, ["file"], ["block", "line_id"], split=F.col("block"),
+        running={"row_idx": ("sum", F.col("_opens")), "_from": ("max", F.when(opened, F.col("start")))}, hot=hot,
     )
-    delimiters = sniff_delimiters(measured.withColumn("start", F.col("_chars") - F.length("line") - 1))
-    single = F.struct("block", "line_id", "line")
+    too_long = F.col("start") - F.col("_from") > record_chars
+    single = F.when(~too_long, F.struct("block", "line_id", "line"))
     records = starts.groupBy("file", "row_idx").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(single)), lambda x: x["line"]), "\n").alias("record")
+        F.array_join(F.transform(F.array_sort(F.collect_list(single)), lambda x: x["line"]), "\n").alias("record"),
+        F.bool_or(too_long).alias("_too_long"),
     )
-    return records.join(delimiters, "file", "left").select(
-        "file", (F.col("row_idx") - 1).cast("long").alias("row_idx"),
-        split_record(F.col("record"), F.coalesce("delimiter", F.lit(","))).alias("cells"),
+    cells = split_record(F.col("record"), F.coalesce("delimiter", F.lit(",")))
+    return records.join(sniff_delimiters(placed), "file", "left").select(
+        "file", (F.col("row_idx") - 1).cast("long").alias("row_idx"), F.when(~F.col("_too_long"), cells).alias("cells"),
+        F.when(F.col("_too_long"), "A quoted cell is not closed.").alias("error"),
     )
 
 

@@ -67,7 +67,8 @@ def apply_rules(tx: DataFrame, rules: DataFrame, in_array: int = RULES_IN_ARRAY)
     """First matching rule per transaction, lowest priority number then oldest: adds `rule` (struct or null).
 
     The first `in_array` rules of a client travel as one array, so transactions are neither multiplied nor shuffled by
-    the match. Clients with more rules take a second, exact path for the transactions still unmatched.
+    the match. Where a client has more rules (checked on the rule table when the plan is built), the transactions still
+    unmatched take a second, exact path.
     """
     usable = usable_rules(rules).select(
         "client_id", F.struct("priority", "created_at", "rule_id", "match_type", "pattern", "lowered", "ledger_name").alias("r")
@@ -93,6 +94,8 @@ def apply_rules(tx: DataFrame, rules: DataFrame, in_array: int = RULES_IN_ARRAY)
     )
     matched = tx.join(arrays, "client_id", "left").withColumn("_head", first).drop("_rules")
 
+    if overflow.isEmpty():
+        return matched.withColumnRenamed("_head", "rule")
     o = overflow.withColumnRenamed("client_id", "_client")
     rest = (
         matched.filter("_head is null").select("id", F.col("client_id"), narration.alias("_n"))
@@ -230,6 +233,14 @@ def enrich(
         steps["recurring"] = F.when(
             F.col("recurring_ledger").isNotNull(), result(F.col("recurring_ledger"), "0.920", "recurring")
         )
+    # Joined before the cache: like the recurring matches they are keyed by transaction, so one exchange serves both.
+    if answers is not None:
+        given = resolve_tiers(answers).select(
+            "id",
+            F.struct(*[F.col(c) for c in RESULT], F.col("source"), F.lit("MISS").alias("cache_status")).alias("_answer"),
+        )
+        out = out.join(given, "id", "left")
+        steps["answers"] = F.col("_answer")
     if cache is not None:
         stored = cache.select(
             "content_hash",
@@ -238,13 +249,6 @@ def enrich(
         )
         out = out.join(stored, "content_hash", "left")
         steps["cache"] = F.col("_cache")
-    if answers is not None:
-        given = resolve_tiers(answers).select(
-            "id",
-            F.struct(*[F.col(c) for c in RESULT], F.col("source"), F.lit("MISS").alias("cache_status")).alias("_answer"),
-        )
-        out = out.join(given, "id", "left")
-        steps["answers"] = F.col("_answer")
     order = ["recurring", "rule"] if precedence == "as_coded" else ["rule", "recurring"]
     chosen = F.coalesce(
         *[steps[s] for s in [*order, "cache", "answers"] if s in steps], F.struct(*[F.col(c) for c in packed])

@@ -2,6 +2,6 @@
 
 from vouchline.llm.registry import QUERIES, SQL
 
-from vouchline.llm import neardup, substrings, tokens  # noqa: F401
+from vouchline.llm import decontaminate, language, neardup, quality, substrings, tokens, toxicity  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,15 +1,18 @@
 """Removal of word windows that an earlier document has too, by super-k-mer partitioning.
 
 1. The minimiser of a window is the smallest hash among its runs of `run` words. Consecutive windows with one minimiser form a
-   super-k-mer. A first pass sends only (minimiser, smallest id, largest id, count), combined before the shuffle.
-2. Minimisers met under two ids are put in a bit table of bounded size (a false hit costs traffic, never a result). A second pass packs
-   each super-k-mer of a marked minimiser as one string of its words and sends it to the minimiser's bucket.
-3. In its bucket, windows are sorted, equal ones compared word by word, and those that also start under a smaller id are marked.
-   A minimiser with more than `hot` super-k-mers is one no task could hold: a second bit table sends these as single windows instead,
+   super-k-mer. A first pass sends only (minimiser, smallest and largest id, count, smallest and largest hash of the super-k-mer's words),
+   combined before the shuffle. Minimisers met under one id only need no more.
+2. Where all super-k-mers of a minimiser are the same words, their windows repeat alike: each goes with (id, place) to a join with the
+   smallest id, without its words.
+3. Otherwise each is packed as one string of its words and sent to the minimiser's bucket. There windows are sorted, equal ones compared
+   word by word, and those that also start under a smaller id are marked.
+4. A minimiser with more than `hot` different super-k-mers is one no task could hold: these go as single windows, named by 128 bits,
    whose smallest id is combined before the shuffle. Which way a minimiser goes changes nothing in the result.
-4. Marked ranges go back to their texts.
+5. Marked ranges go back to their texts.
 
-Ids are compared as numbers. A null id is larger than any other, and no row with a null id removes anything from another.
+Which way each goes is told to the tasks by bit tables of bounded size; a false hit costs traffic, never a result. Ids are compared as
+numbers. A null id is larger than any other, and no row with a null id removes anything from another.
 """
 
 from __future__ import annotations
@@ -57,34 +60,62 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("doc_id").fill_null(NO_ID).to_numpy()
 
 
+def _sums(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over words from which the hash of any stretch comes at once."""
+    power, inverse = _powers(len(w.starts) + 1)
+    sums = np.zeros(len(w.starts) + 1, np.uint64)
+    np.cumsum(w.hashes() * power[: len(w.starts)], out=sums[1:])
+    return sums, inverse
+
+
 def _minimisers(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = _ids(batch)
         for i, _, data, offsets in chunks(batch.column("text")):
             w = Words(data, offsets)
-            first, _, low = _packs(w, window, run)
-            doc = ids[i + w.doc[first]]
-            order = np.lexsort((doc, low))
-            low, doc = low[order], doc[order]
-            new = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.zeros(0, np.int64)
-            ends = np.append(new[1:], len(low))
-            yield pa.RecordBatch.from_arrays([pa.array(low[new].view(np.int64)), pa.array(doc[new]), pa.array(doc[ends - 1] if len(low) else doc), pa.array((ends - new) if len(low) else new)], ["mini", "lo", "hi", "n"])
+            first, n, low = _packs(w, window, run)
+            if not len(low):
+                continue
+            sums, inverse = _sums(w)
+            words = mix((sums[first + n + window - 1] - sums[first]) * inverse[first] + n.astype(np.uint64)).view(np.int64)
+            order = np.argsort(low, kind="stable")
+            low, doc, words = low[order], ids[i + w.doc[first]][order], words[order]
+            new = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(low[new].view(np.int64)), *(pa.array(f.reduceat(v, new)) for v in (doc, words) for f in (np.minimum, np.maximum)), pa.array(np.diff(np.append(new, len(low))))],
+                ["mini", "lo", "hi", "least", "most", "n"])
 
 
-def _pack_rows(batches: Iterator[pa.RecordBatch], window: int, run: int, shared, hot) -> Iterator[pa.RecordBatch]:
+def _same_rows(batches: Iterator[pa.RecordBatch], window: int, run: int, same) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = _ids(batch)
         for i, _, data, offsets in chunks(batch.column("text")):
             w = Words(data, offsets)
             first, n, low = _packs(w, window, run)
-            keep = bits_hold(shared.value, low)
+            keep = bits_hold(same.value, low)
+            first, n, low = first[keep], n[keep], low[keep]
+            doc = w.doc[first]
+            at = first - w.first_word[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(ids[i + doc]), batch.column("row").take(pa.array(i + doc)), pa.array(at), pa.array(at + n + window - 1)], ["mini", "doc_id", "row", "from", "to"])
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch], window: int, run: int, wanted, other) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers with their words, of minimisers in the table `wanted` and not in `other`."""
+    for batch in batches:
+        ids = _ids(batch)
+        for i, _, data, offsets in chunks(batch.column("text")):
+            w = Words(data, offsets)
+            first, n, low = _packs(w, window, run)
+            keep = bits_hold(wanted.value, low)
+            if other is not None:
+                keep &= ~bits_hold(other.value, low)
             first, n, low = first[keep], n[keep], low[keep]
             raw = data.tobytes()
             packed = [b" ".join(raw[w.starts[a] : w.ends[a + c + window - 2]].split()) for a, c in zip(first.tolist(), n.tolist())]
             doc = w.doc[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(low.view(np.int64)), pa.array(bits_hold(hot.value, low)), pa.array(ids[i + doc]), batch.column("row").take(pa.array(i + doc)),
-                 pa.array(first - w.first_word[doc]), pa.array(packed, pa.binary())], ["mini", "hot", "doc_id", "row", "at", "words"])
+                [pa.array(low.view(np.int64)), pa.array(ids[i + doc]), batch.column("row").take(pa.array(i + doc)),
+                 pa.array(first - w.first_word[doc]), pa.array(packed, pa.binary())], ["mini", "doc_id", "row", "at", "words"])
 
 
 def _windows(words: pa.Array, window: int) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -94,9 +125,7 @@ def _windows(words: pa.Array, window: int) -> tuple[Words, np.ndarray, np.ndarra
     (_, _, data, offsets), = chunks(words, 1 << 62)
     w = Words(data, offsets)
     at = w.windows(window)
-    power, inverse = _powers(len(w.starts) + 1)
-    sums = np.zeros(len(w.starts) + 1, np.uint64)
-    np.cumsum(w.hashes() * power[: len(w.starts)], out=sums[1:])
+    sums, inverse = _sums(w)
     return w, at, mix((sums[at + window] - sums[at]) * inverse[at])
 
 
@@ -175,18 +204,25 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot:
     """doc_id (null: the largest number), row (hash of the text), from, to: word ranges that an earlier document has too."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), as_bytes())
-    met = texts.select("doc_id", "text").mapInArrow(lambda it: _minimisers(it, window, run), "mini long, lo long, hi long, n long")
-    met = met.groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("mini", "n")
-    met = written(met, "minimisers")
-    log2_bits = min(MAX_LOG2_BITS, max(16, int(16 * met.count()).bit_length()))
-    shared = spark.sparkContext.broadcast(bits_table(met, "mini", log2_bits))
-    heavy = spark.sparkContext.broadcast(bits_table(met.where(F.col("n") > hot), "mini", 16))
-    packs = written(texts.mapInArrow(lambda it: _pack_rows(it, window, run, shared, heavy), "mini long, hot boolean, doc_id long, row long, at long, words binary"), "packs")
-    cold = packs.where("not hot").drop("hot").repartition("mini").sortWithinPartitions("mini").mapInArrow(lambda it: _buckets(it, window), "doc_id long, row long, `from` long, `to` long")
-    single = packs.where("hot").select("doc_id", "row", "at", "words").mapInArrow(lambda it: _single(it, window), "h1 long, h2 long, doc_id long, row long, at long")
+    met = texts.select("doc_id", "text").mapInArrow(lambda it: _minimisers(it, window, run), "mini long, lo long, hi long, least long, most long, n long")
+    met = met.groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("n").alias("n"))
+    kind = F.when(F.col("least") == F.col("most"), "same").when(F.col("n") > hot, "hot").otherwise("packed")
+    met = written(met.where("lo < hi").select("mini", "lo", kind.alias("kind")), "minimisers")
+    sizes = {r["kind"]: r["count"] for r in met.groupBy("kind").count().collect()}
+    table_of = lambda k: spark.sparkContext.broadcast(bits_table(met.where(F.col("kind") == k), "mini", min(MAX_LOG2_BITS, max(16, (16 * sizes.get(k, 1)).bit_length()))))
+    same, packed, heavy = table_of("same"), table_of("packed"), table_of("hot")
+
+    alike = texts.mapInArrow(lambda it: _same_rows(it, window, run, same), "mini long, doc_id long, row long, `from` long, `to` long")
+    alike = alike.join(met.where("kind = 'same'").select("mini", "lo"), "mini").where("lo < doc_id").select("doc_id", "row", "from", "to")
+    packs = "mini long, doc_id long, row long, at long, words binary"
+    cold = texts.mapInArrow(lambda it: _pack_rows(it, window, run, packed, heavy), packs)
+    cold = cold.repartition("mini").sortWithinPartitions("mini").mapInArrow(lambda it: _buckets(it, window), "doc_id long, row long, `from` long, `to` long")
+    if "hot" not in sizes:
+        return alike.union(cold)
+    single = texts.mapInArrow(lambda it: _single(_pack_rows(it, window, run, heavy, None), window), "h1 long, h2 long, doc_id long, row long, at long")
     least = single.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     warm = single.join(least, ["h1", "h2"]).where("lo < doc_id").select("doc_id", "row", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
-    return cold.union(warm)
+    return alike.union(cold).union(warm)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT) -> DataFrame:

@@ -35,10 +35,13 @@ def _normal(text: str = "text"):
 def learn_dictionaries(labelled: DataFrame, languages: int = LANGUAGES, texts: int = SAMPLE_TEXTS, size: int = DICTIONARY) -> dict[str, bytes]:
     """A dictionary for each language of labelled(text, lang). Rows without text or language are ignored."""
     labelled = labelled.where("lang is not null and text is not null").select("lang", "text")
-    kept = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    ranked = labelled.join(F.broadcast(kept.select("lang")), "lang").withColumn("h", F.xxhash64("text"))
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    # about 2 * `texts` rows of a language leave the scan, whatever its size; the first of them are taken
+    share = counts.select("lang", F.least(F.lit(1.0), 2.0 * texts / F.col("n")).alias("share"))
+    ranked = labelled.join(F.broadcast(share), "lang").withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1)).where(F.col("h") <= F.col("share") * float(1 << 63))
+    ranked = ranked.select("lang", "h", F.substring("text", 1, TEXT_SHARE).alias("text"))
     first = ranked.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("at") <= texts)
-    rows = first.select("lang", "at", F.substring(_normal(), 1, TEXT_SHARE).alias("text")).orderBy("lang", "at").collect()
+    rows = first.select("lang", "at", _normal().alias("text")).orderBy("lang", "at").collect()
     out: dict[str, bytes] = {}
     for r in rows:
         have = out.get(r["lang"], b"")
@@ -77,7 +80,7 @@ class Judge:
 def _judged(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     judge = Judge(shared.value)
     for batch in batches:
-        out = [judge((t.as_buffer() or b"").to_pybytes() if t.is_valid else b"") for t in batch.column("normal")]
+        out = [judge(t.as_py() or b"") for t in batch.column("normal")]
         yield pa.RecordBatch.from_arrays(
             [*batch.drop_columns(["normal"]).columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())],
             [*batch.drop_columns(["normal"]).schema.names, "lang_pred", "score", "rejected"])

@@ -29,7 +29,7 @@ from vouchline.llm.registry import query
 from vouchline.session import work_dir
 
 END_ID = 2
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
+#: Words whose ids a worker remembers; beyond it the memory starts anew with the next text.
 CACHE_WORDS = 400_000
 #: Ids of a shard before a new one begins: bounds what a task holds in memory.
 SHARD_IDS = 1 << 23
@@ -57,9 +57,6 @@ class WordEncoder:
         return np.array(ids, f"<u{self.width}").tobytes()
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.letters.clear()
         split, odd = [], []
         for word in new:
             m = _PLAIN.fullmatch(text := word.decode())
@@ -87,11 +84,10 @@ class WordEncoder:
         try:
             body = [known[w] for w in words]
         except KeyError:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+                self.letters.clear()
             self._learn([w for w in set(words) if w not in known])
-            known = self.words
-            missing = [w for w in set(words) if w not in known]
-            if missing:  # the memory was emptied on the way
-                self._learn(missing)
             body = [known[w] for w in words]
         body.append(self._pack([end_id]))
         return b"".join(body)

@@ -124,7 +124,7 @@ def _found(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         rest = batch.drop_columns(["text"])
         for i, j, data, offsets in chunks(batch.column("text")):
             found = list(model.passages(Words(data, offsets, BREAKS)))
-            evidence = np.array([sum(e for _, _, e in f) for f in found])
+            evidence = np.array([sum(e for _, _, e in f) for f in found], np.float64)
             part = rest.slice(i, j - i)
             passages = pa.array([[{"start": a, "end": b, "evidence": e} for a, b, e in f] for f in found], kind)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(evidence), pa.array(model.probability(evidence)), passages], [*part.schema.names, "evidence", "score", "passages"])

@@ -135,3 +135,13 @@ def test_bank_detection_prefers_ifsc(spark):
     texts = {"HDFC BANK\nIFSC: SBIN0123456": "sbi", "State Bank of India": "sbi", "Account Statement": "au_small_finance", "nothing": None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert {r.t: r.b for r in df.select("t", ck.detect_bank(F.col("t")).alias("b")).collect()} == texts
+
+
+def test_charge_loses_no_usage_row(spark):
+    from vouchline.operators import cache
+
+    usage = spark.createDataFrame([(1, "mistral", 1000, 10), (2, "unknown", 5, 5), (3, None, 7, 7)], "event_id long, source string, prompt_tokens int, completion_tokens int")
+    only = cache.price_table(spark).where("provider <> 'local'").limit(1).withColumn("source", F.lit("mistral"))
+    got = {r.event_id: r for r in cache.charge(usage, only).collect()}
+    assert len(got) == 3 and got[1].cost_usd > 0 and (got[2].provider, got[2].cost_usd, got[3].prompt_tokens) == ("local", 0, 0)
+    assert cache.charge(usage, cache.price_table(spark)).count() == 3

@@ -109,10 +109,42 @@ def test_delimited_files(spark, tmp_path, all_hot):
         ("b", 0, ["Date", "Narration", "Debit"]), ("b", 1, ["01/01/2024", "one, two", "5,00"]), ("c", 0, ["only words"])]
 
 
-def test_unclosed_quote_is_an_error_not_a_huge_record(spark, tmp_path):
+def test_unclosed_quote_marks_its_record_and_loses_no_line(spark, tmp_path):
     (tmp_path / "d.csv").write_text('a,b\n1,"open\n' + "".join(f"{i},x\n" for i in range(50)), encoding="utf-8")
-    got = readers.read_delimited(spark, str(tmp_path), record_chars=40).orderBy("row_idx").collect()
-    assert [(r.cells, r.error) for r in got] == [(["a", "b"], None), (None, "A quoted cell is not closed.")]
+    got = readers.read_delimited(spark, str(tmp_path)).orderBy("row_idx").collect()
+    assert [(r.cells, r.error) for r in got] == [(["a", "b"], None), (["1", '"open'], "A quoted cell is not closed.")] + [([str(i), "x"], None) for i in range(50)]
+
+
+@pytest.mark.parametrize("blocks", [None, 200])
+def test_files_agree_with_a_standard_csv_reader(spark, tmp_path, monkeypatch, blocks):
+    import csv
+    import io
+    import random
+
+    from vouchline import skew
+
+    if blocks:  # many small splits, every file split
+        monkeypatch.setattr(skew, "HOT_ROWS", 2)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(blocks))
+    csv.field_size_limit(1 << 24)
+    rng, texts = random.Random(7), {}
+    for n in range(12):
+        rows = [[rng.choice(["", "a", 'say "hi"', "x,y", "two\nlines", '5" pipe', '"', '""', "l1\n\nl3", '",', ' "q"']) for _ in range(rng.randrange(1, 5))] for _ in range(40)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([["h1", "h2", "h3", "h4"], *rows])
+        texts[n] = out.getvalue() + '1,5" pipe\n2,6" pipe\n3,w\n'
+    texts[90] = "h,i\n" + ",".join(f'"c{i}"' for i in range(20_000)) + "\nlast,row\n"
+    texts[91] = 'h,i\nbig,"' + "z" * 1_500_000 + '"\nlast,row\n'
+    for n, t in texts.items():
+        (tmp_path / f"f{n}.csv").write_text(t, encoding="utf-8")
+    try:
+        got = readers.read_delimited(spark, str(tmp_path)).select(F.regexp_extract("file", "f([0-9]+).csv", 1).cast("int").alias("n"), "row_idx", "cells", "error").orderBy("n", "row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for n, t in texts.items():
+        mine = [r.cells for r in got if r.n == n]
+        assert mine == [r or [""] for r in csv.reader(io.StringIO(t, newline=""))], n
+    assert not any(r.error for r in got)
 
 
 @pytest.mark.parametrize("name, kind, branch", [("A.PDF", "pdf", "pdf"), ("x.y.XLS", "xls", "workbook"), ("p.webp", "image", "unsupported"), ("noext", "unknown", "unsupported"), ("a.docx", "docx", "unsupported")])

@@ -103,10 +103,16 @@ def cost_usd(prompt: Column, completion: Column, usd_in: Column, usd_out: Column
 
 
 def charge(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Provider, model and cost by result source; unknown sources count as the local heuristic; local tokens are zeroed."""
-    known = [row[0] for row in PRICES]
-    source = F.when(F.col("source").isin(known), F.col("source")).otherwise(F.lit("heuristic"))
-    joined = usage.withColumn("_s", source).join(prices.withColumnRenamed("source", "_s"), "_s")
+    """Provider, model and cost by result source, as the price table has them. A source that the table lacks takes its `heuristic` row, or
+    costs nothing if there is none: no usage row is lost. Local tokens are zeroed."""
+    named = prices.withColumnRenamed("source", "_s")
+    fallback = prices.filter(F.col("source") == "heuristic").limit(1).select(F.lit(1).alias("_one"), *[F.col(c).alias(f"_{c}") for c in prices.columns if c != "source"])
+    joined = usage.withColumn("_one", F.lit(1)).join(named, F.col("source") == F.col("_s"), "left").join(fallback, "_one", "left")
+    joined = joined.withColumns({
+        "provider": F.when(F.col("_s").isNotNull(), F.col("provider")).otherwise(F.coalesce("_provider", F.lit("local"))),
+        "model": F.when(F.col("_s").isNotNull(), F.col("model")).otherwise(F.coalesce("_model", F.lit("heuristic"))),
+        **{c: F.coalesce(F.when(F.col("_s").isNotNull(), F.col(c)).otherwise(F.col(f"_{c}")), F.lit(0)).cast(prices.schema[c].dataType) for c in ("usd_in", "usd_out")},
+    }).drop("_one", "_provider", "_model", "_usd_in", "_usd_out")
     local = F.col("provider") == "local"
     return joined.withColumn(
         "cost_usd", cost_usd(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("usd_in"), F.col("usd_out"))

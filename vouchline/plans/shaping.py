@@ -32,18 +32,20 @@ def _parsed(s, d):
     return sh.parse_statements(fx.raw_rows(s, d), tp.catalogue(s), fx.long_statements(s, d))
 
 
-@query("src1_delimited_files", """SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS total, CAST(sum(o_orderkey) AS BIGINT) AS keys
-FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL""")
+@query("src1_delimited_files", """SELECT c_mktsegment || '; "quoted"' || chr(10) || 'second line' AS segment, o_orderkey AS key, CAST(o_totalprice AS DECIMAL(18,2)) AS total,
+  CASE o_orderkey % 3 WHEN 0 THEN '1,5" pipe' WHEN 1 THEN '"' ELSE 'plain' END AS note, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'a""b' END AS remark
+FROM orders JOIN customer ON o_custkey = c_custkey""")
 def _(s, d):
     rows = fx.table(s, d, "orders").join(fx.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     name = F.concat(F.lit('"'), F.col("c_mktsegment"), F.lit('; ""quoted""\nsecond line"'))
+    key = F.col("o_orderkey")
+    note = F.when(key % 3 == 0, '1,5" pipe').when(key % 3 == 1, '""""').otherwise("plain")  # a quote inside a cell opens nothing
+    remark = F.when(key % 5 == 0, '""').otherwise('a""b')
     path = work_dir(s, "delimited")
-    rows.select(F.concat_ws(";", F.col("o_orderkey"), name, F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("value")).write.text(path)
-    cells = readers.read_delimited(s, path)
-    segment = F.regexp_extract(F.get("cells", F.lit(1)), '^([A-Z]+); "quoted"\\nsecond line$', 1)
-    return cells.groupBy(segment.alias("segment")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.get("cells", F.lit(2)).cast("decimal(18,2)")).cast("decimal(28,2)").alias("total"),
-        F.sum(F.get("cells", F.lit(0)).cast("bigint")).alias("keys"))
+    rows.select(F.concat_ws(";", key, name, F.col("o_totalprice").cast("decimal(18,2)").cast("string"), note, remark).alias("value")).write.text(path)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return readers.read_delimited(s, path).select(
+        cell(1).alias("segment"), cell(0).cast("bigint").alias("key"), cell(2).cast("decimal(18,2)").alias("total"), cell(3).alias("note"), cell(4).alias("remark"))
 
 
 BANK_CODES = ", ".join(f"'{b[0]}'" for b in tp.BANKS)

@@ -30,8 +30,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the cluster's shared folder (`spark.checkpoint.dir`), or a local one in tests."""
+    """A fresh folder below the cluster's shared folder (`spark.checkpoint.dir`). A session of one machine may do without that setting."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.conf.get("spark.master", "").startswith("local[") and spark.conf.get("spark.master", "") != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="vouchline-")
     return os.path.join(shared, f"{name}-{os.urandom(6).hex()}")

@@ -9,7 +9,6 @@ from vouchline.skew import hot_keys, ordered
 # Delimiters a statement file may use, in order of preference.
 DELIMITERS = [",", "\t", ";", "|", ":"]
 SNIFF_CHARS = 4096
-RECORD_CHARS = 1 << 20
 
 # File suffixes.
 IMAGE_SUFFIXES = ["jpg", "jpeg", "png", "webp"]
@@ -79,52 +78,64 @@ def sniff_delimiters(lines: DataFrame) -> DataFrame:
     return best
 
 
+def _patterns(delimiter: str) -> tuple[str, str, str]:
+    """Regular expressions for one delimiter: a line that ends outside a quoted cell if it starts outside, the same if it starts inside,
+    and one cell after a delimiter. A quote opens a cell only as its first character. All loops are possessive: linear, and no recursion."""
+    d = "\\" + delimiter if delimiter == "|" else delimiter
+    inside = '(?:[^"]++|"")*+"'
+    cell = f'(?:"{inside}[^{d}]*+|[^"{d}][^{d}]*+|)'
+    rest = f"(?:{d}{cell})*+"
+    return f"^{cell}{rest}$", f"^{inside}[^{d}]*+{rest}$", f'{d}("{inside}[^{d}]*+|[^{d}]*+)'
+
+
+def _by_delimiter(delimiter: Column, build) -> Column:
+    out = F.lit(None)
+    for d in DELIMITERS:
+        out = F.when(delimiter == d, build(d)).otherwise(out)
+    return out
+
+
 def split_record(record: Column, delimiter: Column) -> Column:
     """Cells of one record; quoted cells may hold the delimiter, doubled quotes become one."""
-    cells = F.lit(None).cast("array<string>")
-    for d in DELIMITERS:
-        sep = "\\" + d if d == "|" else d
-        parts = F.split(record, sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
-        plain = F.split(record, sep)
-        cells = F.when(delimiter == d, F.when(F.contains(record, F.lit('"')), parts).otherwise(plain)).otherwise(cells)
-    quoted = r'^\s*"(?s:(.*))"\s*$'
+    cells = _by_delimiter(delimiter, lambda d: F.regexp_extract_all(F.concat(F.lit(d), record), F.lit(_patterns(d)[2]), F.lit(1)))
+    quoted = '^"((?:[^"]++|"")*+)"((?s:.*))$'
     return F.transform(
-        cells, lambda c: F.when(c.rlike(quoted), F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"'))).otherwise(c)
+        cells, lambda c: F.when(c.rlike(quoted), F.concat(F.replace(F.regexp_extract(c, quoted, 1), F.lit('""'), F.lit('"')), F.regexp_extract(c, quoted, 2))).otherwise(c)
     )
 
 
-def read_delimited(spark: SparkSession, path: str, record_chars: int = RECORD_CHARS) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """Ragged cell rows of delimited statement files: file, row_idx, cells, error. A leading byte-order mark is dropped.
 
-    A quoted cell may span lines: lines are joined while the number of quotes seen so far in the file is odd. All
-    running values are computed per split and then offset, so a single huge file stays parallel. A quote that is never
-    closed would make the rest of a file one record: a record that goes on for more than RECORD_CHARS gets an error and
-    no cells, and its further lines are not gathered.
+    A quoted cell may span lines. What a line does to the state (inside or outside a quoted cell) is one of four things: keep it, swap it,
+    end outside, or end inside. The state before a line is thus that of the last line of the latter two kinds, swapped as often as lines
+    since then swap: running values, which are computed per split and then offset, so a single huge file stays parallel. Where a file
+    ends inside a cell, the record that opened it gets an error and every line from there on is a record of its own.
     """
-    lines = read_lines(spark, path).withColumn("line", F.regexp_replace("line", "^﻿", ""))
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    lines = read_lines(spark, path)
     hot = hot_keys(lines, ["file"])
-    measured = ordered(
-        lines, ["file"], ["block", "line_id"], split=F.col("block"),
-        running={"_quotes": ("sum", quotes), "_chars": ("sum", F.length("line") + 1)}, hot=hot,
-    )
-    opened = (F.col("_quotes") - quotes) % 2 == 0
-    placed = measured.withColumns({"_opens": F.when(opened, 1).otherwise(0), "start": F.col("_chars") - F.length("line") - 1})
-    starts = ordered(
-        placed, ["file"], ["block", "line_id"], split=F.col("block"),
-        running={"row_idx": ("sum", F.col("_opens")), "_from": ("max", F.when(opened, F.col("start")))}, hot=hot,
-    )
-    too_long = F.col("start") - F.col("_from") > record_chars
-    single = F.when(~too_long, F.struct("block", "line_id", "line"))
-    records = starts.groupBy("file", "row_idx").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(single)), lambda x: x["line"]), "\n").alias("record"),
-        F.bool_or(too_long).alias("_too_long"),
-    )
-    cells = split_record(F.col("record"), F.coalesce("delimiter", F.lit(",")))
-    return records.join(sniff_delimiters(placed), "file", "left").select(
-        "file", (F.col("row_idx") - 1).cast("long").alias("row_idx"), F.when(~F.col("_too_long"), cells).alias("cells"),
-        F.when(F.col("_too_long"), "A quoted cell is not closed.").alias("error"),
+    keys, order, split = ["file"], ["block", "line_id"], F.col("block")
+    placed = ordered(lines, keys, order, split=split, running={"_n": ("sum", F.lit(1)), "_chars": ("sum", F.length("line") + 1)}, hot=hot)
+    placed = placed.withColumns({"start": F.col("_chars") - F.length("line") - 1, "line": F.when(F.col("_n") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))})
+    placed = placed.join(sniff_delimiters(placed), "file", "left").withColumn("delimiter", F.coalesce("delimiter", F.lit(",")))
+    leaves = lambda i: F.when(F.contains("line", F.lit('"')), _by_delimiter(F.col("delimiter"), lambda d: F.col("line").rlike(_patterns(d)[i]))).otherwise(i == 0)
+    told = placed.withColumns({"_from_out": F.when(leaves(0), 0).otherwise(1), "_from_in": F.when(leaves(1), 0).otherwise(1)})
+    swaps = F.when((F.col("_from_out") == 1) & (F.col("_from_in") == 0), 1).otherwise(0)
+    counted = ordered(told, keys, order, split=split, running={"_swaps": ("sum", swaps)}, hot=hot)
+    fixed = F.when(F.col("_from_out") == F.col("_from_in"), F.col("_n") * 2 + (F.col("_from_out") + F.col("_swaps")) % 2)
+    known = ordered(counted, keys, order, split=split, running={"_fixed": ("max_before", fixed)}, hot=hot)
+    inside = (F.coalesce(F.col("_fixed") % 2, F.lit(0)) + F.col("_swaps") - swaps) % 2
+    known = known.withColumn("_inside", inside).withColumn("_after", F.when(F.col("_inside") == 1, F.col("_from_in")).otherwise(F.col("_from_out")))
+    ends = known.groupBy("file").agg(F.max_by("_after", "_n").alias("_end"), F.max(F.when(F.col("_inside") == 0, F.col("_n"))).alias("_open"))
+    starts = ordered(known, keys, order, split=split, running={"_record": ("sum", 1 - F.col("_inside"))}, hot=hot)
+    starts = starts.join(ends.where("_end = 1").select("file", "_open"), "file", "left")
+    alone = F.coalesce(F.col("_n") >= F.col("_open"), F.lit(False))
+    row_idx = F.col("_record") - 1 + F.when(alone, F.col("_n") - F.col("_open")).otherwise(0)
+    records = starts.withColumn("row_idx", row_idx.cast("long")).groupBy("file", "row_idx").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), "\n").alias("record"),
+        F.first("delimiter").alias("delimiter"), F.bool_or(F.coalesce(F.col("_n") == F.col("_open"), F.lit(False))).alias("_unclosed"),
     )
+    return records.select("file", "row_idx", split_record(F.col("record"), F.col("delimiter")).alias("cells"), F.when(F.col("_unclosed"), "A quoted cell is not closed.").alias("error"))
 
 
 def parse_blocks(responses: DataFrame, json: str = "response") -> DataFrame:

@@ -5,7 +5,7 @@ Everything is a column expression, so the whole chain runs as one projection ins
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Payment-mode patterns, first match wins in this order.
 MODE_PATTERNS = [
@@ -121,3 +121,9 @@ def pattern_key(text: Column) -> Column:
 def mapping_text(cleaned: Column, narration: Column) -> Column:
     """The text a mapping is learnt from: the cleaned narration when there is one."""
     return F.coalesce(F.nullif(cleaned, F.lit("")), narration)
+
+
+def mapping_pattern(df: DataFrame) -> Column:
+    """Pattern key that mappings of `df` go by: of `narration_clean` where the row has one, else of `narration`."""
+    narration = F.col("narration")
+    return pattern_key(mapping_text(F.col("narration_clean"), narration) if "narration_clean" in df.columns else narration)

@@ -130,47 +130,71 @@ def rule_dry_run(tx: DataFrame, rules: DataFrame) -> DataFrame:
 def recent_history(tx: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
     """The client's latest confirmed transactions. The rank limit is applied before the shuffle as well as after it."""
     latest = W.partitionBy("client_id").orderBy(F.desc("txn_date"), F.desc("id"))
+    cleaned = ["narration_clean"] if "narration_clean" in tx.columns else []
     return (
         tx.filter("confirmed_ledger is not null")
-        .select("client_id", "id", "txn_date", "narration", "debit", "credit", "confirmed_ledger")
+        .select("client_id", "id", "txn_date", "narration", *cleaned, "debit", "credit", "confirmed_ledger")
         .withColumn("_n", F.row_number().over(latest)).filter(F.col("_n") <= rows).drop("_n")
     )
 
 
-def recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_hits: int = 2) -> DataFrame:
-    """Transactions that repeat a confirmed payment: (id, recurring_ledger)."""
-    def side(prefix: str) -> list[Column]:
-        return [F.col("debit").isNotNull().alias(f"{prefix}_is_debit"), F.coalesce("debit", "credit").alias(f"{prefix}_amount")]
+def _repeats(now: Column, then: Column) -> Column:
+    """Whether one payment (txn_date, is_debit, amount) repeats another: same side, amount within a tenth, a usual cycle of days."""
+    largest = F.greatest(now["amount"], then["amount"])
+    close = (largest <= 0) | (F.abs(now["amount"] - then["amount"]) <= largest * F.lit(0.10).cast("decimal(3,2)"))
+    days = F.abs(F.datediff(now["txn_date"], then["txn_date"]))
+    cycle = (
+        days.between(6, 8) | days.between(12, 16) | days.between(25, 35) | (days % 30 <= 5) | (days % 30 >= 25)
+        | (F.abs(F.dayofmonth(now["txn_date"]) - F.dayofmonth(then["txn_date"])) <= 5)
+    )
+    return (now["is_debit"] == then["is_debit"]) & close & cycle
+
+
+def _payment() -> Column:
+    return F.struct("txn_date", F.col("debit").isNotNull().alias("is_debit"), F.coalesce("debit", "credit").alias("amount"))
+
+
+def mark_recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_hits: int = 2) -> DataFrame:
+    """`tx` with `recurring_ledger`: that of the mapping with the row's pattern, where the row repeats one of its confirmed payments.
 
+    history: as `recent_history` gives it, so the payments of a mapping are an array of at most that many; rows meet it by client and
+    pattern in one join and none is multiplied. A longer history should go to `recurring`.
+    """
+    known = mappings.filter((F.col("hit_count") >= min_hits) & (F.col("pattern") != "")).select("client_id", "pattern", "ledger_name")
+    past = history.select("client_id", text.mapping_pattern(history).alias("pattern"), F.col("confirmed_ledger").alias("ledger_name"), _payment().alias("p"))
+    paid = known.join(past, ["client_id", "pattern", "ledger_name"]).groupBy("client_id", "pattern", "ledger_name").agg(F.collect_list("p").alias("_paid"))
+    paid = paid.select("client_id", F.col("pattern").alias("_pattern"), F.col("ledger_name").alias("_ledger"), "_paid")
+    marked = tx.withColumn("_pattern", text.mapping_pattern(tx)).join(paid, ["client_id", "_pattern"], "left").withColumn("_now", _payment())
+    repeats = F.exists("_paid", lambda p: _repeats(F.col("_now"), p))
+    return marked.withColumn("recurring_ledger", F.when(repeats, F.col("_ledger"))).drop("_pattern", "_ledger", "_paid", "_now")
+
+
+def recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_hits: int = 2) -> DataFrame:
+    """Transactions that repeat a confirmed payment, for a history of any length: (id, recurring_ledger)."""
     known = mappings.filter(F.col("hit_count") >= min_hits).select("client_id", "pattern", F.col("ledger_name").alias("recurring_ledger"))
     candidates = (
-        tx.select("id", "client_id", "txn_date", text.pattern_key(F.col("narration")).alias("pattern"), *side("t"))
+        tx.select("id", "client_id", text.mapping_pattern(tx).alias("pattern"), _payment().alias("now"))
         .filter("pattern <> ''").join(known, ["client_id", "pattern"])
     )
     past = history.select(
-        F.col("client_id").alias("h_client"), text.pattern_key(F.col("narration")).alias("h_pattern"),
-        F.col("confirmed_ledger").alias("h_ledger"), F.col("txn_date").alias("h_date"), *side("h"),
-    )
-    largest = F.greatest("t_amount", "h_amount")
-    close = (largest <= 0) | (F.abs(F.col("t_amount") - F.col("h_amount")) <= largest * F.lit(0.10).cast("decimal(3,2)"))
-    days = F.abs(F.datediff("txn_date", "h_date"))
-    cycle = (
-        days.between(6, 8) | days.between(12, 16) | days.between(25, 35) | (days % 30 <= 5) | (days % 30 >= 25)
-        | (F.abs(F.dayofmonth("txn_date") - F.dayofmonth("h_date")) <= 5)
+        F.col("client_id").alias("h_client"), text.mapping_pattern(history).alias("h_pattern"),
+        F.col("confirmed_ledger").alias("h_ledger"), _payment().alias("then"),
     )
     same = (
-        (F.col("client_id") == F.col("h_client")) & (F.col("pattern") == F.col("h_pattern"))
-        & (F.col("recurring_ledger") == F.col("h_ledger")) & (F.col("t_is_debit") == F.col("h_is_debit"))
+        (F.col("client_id") == F.col("h_client")) & (F.col("pattern") == F.col("h_pattern")) & (F.col("recurring_ledger") == F.col("h_ledger"))
     )
-    return candidates.join(past, same & close & cycle, "left_semi").select("id", "recurring_ledger")
+    return candidates.join(past, same & _repeats(F.col("now"), F.col("then")), "left_semi").select("id", "recurring_ledger")
 
 
 # ---------------------------------------------------------------- answers and precedence
 
 
-def allowed_ledgers(ledgers: DataFrame, mappings: DataFrame) -> DataFrame:
-    learnt = mappings.filter("ledger_name is not null and ledger_name <> ''").select("client_id", "ledger_name")
-    return ledgers.select("client_id", F.col("name").alias("ledger_name")).union(learnt).distinct()
+def allowed_ledgers(ledgers: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+    """(client_id, ledger_name): the ledgers a client has and those it has learnt."""
+    names = ledgers.select("client_id", F.col("name").alias("ledger_name"))
+    if mappings is not None:
+        names = names.union(mappings.filter("ledger_name is not null and ledger_name <> ''").select("client_id", "ledger_name"))
+    return names.distinct()
 
 
 def validate_answers(answers: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -195,7 +219,9 @@ def validate_answers(answers: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def resolve_tiers(answers: DataFrame) -> DataFrame:
-    """Per batch only the first tier that gave any answer counts."""
+    """Per batch only the first tier that gave an answer counts; one that `validate_answers` rejected gave none."""
+    if "batch_rejected" in answers.columns:
+        answers = answers.filter(~F.col("batch_rejected"))
     best = answers.groupBy("statement_id", "batch_no").agg(F.min("tier").alias("tier"))
     return answers.join(best, ["statement_id", "batch_no", "tier"], "left_semi")
 
@@ -208,11 +234,14 @@ def enrich(
     cache: DataFrame | None = None,
     answers: DataFrame | None = None,
     precedence: str = "documented",
+    ledgers: DataFrame | None = None,
 ) -> DataFrame:
     """One result per transaction: rule, recurring, cache, external answer, heuristic.
 
     `cache` needs `content_hash` on both sides; `answers` is keyed by transaction id. With `precedence="as_coded"` a
-    recurring match overrides a rule.
+    recurring match overrides a rule. With `ledgers` (client_id, name) answers are checked against the ledgers a client has or has
+    learnt: a batch with an unknown one falls to its next tier, in the end to the heuristic. Recurring payments go by the row's
+    `narration_clean`; rows that come without that column take the one of the heuristic.
     """
     def result(ledger: Column, confidence: str, source: str) -> Column:
         return F.struct(
@@ -222,19 +251,23 @@ def enrich(
         )
 
     packed = [*RESULT, "source", "cache_status"]
-    out = heuristic(tx)
+    out = fresh = heuristic(tx)
     steps: dict[str, Column] = {}
     if rules is not None:
         out = apply_rules(out, rules)
         steps["rule"] = F.when(F.col("rule").isNotNull(), result(F.col("rule.ledger_name"), "1.000", "rule"))
     if mappings is not None:
-        hits = recurring(tx, mappings, history if history is not None else recent_history(tx))
-        out = out.join(hits, "id", "left")
+        known = tx if "narration_clean" in tx.columns else fresh
+        if history is None and known is fresh:
+            out = mark_recurring(out, mappings, recent_history(fresh))
+        else:
+            out = out.join(recurring(known, mappings, history if history is not None else recent_history(known)), "id", "left")
         steps["recurring"] = F.when(
             F.col("recurring_ledger").isNotNull(), result(F.col("recurring_ledger"), "0.920", "recurring")
         )
-    # Joined before the cache: like the recurring matches they are keyed by transaction, so one exchange serves both.
     if answers is not None:
+        if ledgers is not None:
+            answers = validate_answers(answers, allowed_ledgers(ledgers, mappings))
         given = resolve_tiers(answers).select(
             "id",
             F.struct(*[F.col(c) for c in RESULT], F.col("source"), F.lit("MISS").alias("cache_status")).alias("_answer"),

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from vouchline.functions.text import pattern_key
+from vouchline.functions.text import mapping_pattern, pattern_key
 
 VECTOR_SIZE = 64
 PACK_ROWS = 2048
@@ -21,11 +21,12 @@ EXAMPLE_ROWS = 5
 def learn(confirmed: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """Upsert (client, pattern): hit_count grows, the latest ledger wins.
 
-    confirmed: client_id, narration, ledger_name, used_at, event_id (tie-break). Blank ledgers and patterns are ignored.
+    confirmed: client_id, narration, ledger_name, used_at, event_id (tie-break), and narration_clean, which comes before narration,
+    where rows are enriched. Blank ledgers and patterns are ignored.
     """
     latest = F.struct("used_at", "event_id")
     fresh = (
-        confirmed.withColumns({"pattern": pattern_key(F.col("narration")), "ledger_name": F.trim("ledger_name")})
+        confirmed.withColumns({"pattern": mapping_pattern(confirmed), "ledger_name": F.trim("ledger_name")})
         .filter("pattern <> '' and ledger_name <> ''")
         .groupBy("client_id", "pattern")
         .agg(F.count(F.lit(1)).alias("hit_count"), F.max_by("ledger_name", latest).alias("ledger_name"),

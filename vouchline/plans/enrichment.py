@@ -54,8 +54,14 @@ def _(s, d):
 
 @query("e9_recurring", f"WITH {v.TX}, {v.MP}, {v.RECURRING} SELECT id, recurring_ledger FROM rec")
 def _(s, d):
-    tx = fx.transactions(s, d)
-    return en.recurring(tx, me.learn(fx.confirmed(tx)), en.recent_history(tx))
+    tx = fx.cleaned(fx.transactions(s, d))
+    return en.mark_recurring(tx, me.learn(fx.confirmed(tx)), en.recent_history(tx)).filter("recurring_ledger is not null").select("id", "recurring_ledger")
+
+
+@query("e9_recurring_long_history", f"WITH {v.TX}, {v.MP}, {v.RECURRING.replace('WHERE n <= 200', '')} SELECT id, recurring_ledger FROM rec")
+def _(s, d):
+    tx = fx.cleaned(fx.transactions(s, d))
+    return en.recurring(tx, me.learn(fx.confirmed(tx)), tx.filter("confirmed_ledger is not null"))
 
 
 @query("e10_allowed_ledgers", f"WITH {v.TX}, {v.MP}, {v.LEDGERS} SELECT client_id, name AS ledger_name FROM lg UNION SELECT client_id, ledger_name FROM mp")
@@ -75,13 +81,19 @@ def _(s, d):
     return en.validate_answers(fx.answers(s, d), allowed).select("id", "tier", "suggested_ledger", "ledger_invalid", "batch_rejected")
 
 
-RESOLVED = """best AS (SELECT statement_id, batch_no, min(tier) AS tier FROM an GROUP BY ALL),
-res AS (SELECT an.* FROM an JOIN best USING (statement_id, batch_no, tier))"""
+RESOLVED = f"""{v.LEDGERS}, {ALLOWED}, ok AS (SELECT id, statement_id, batch_no, tier, checked AS suggested_ledger FROM va QUALIFY NOT bool_or(ledger_invalid) OVER (PARTITION BY statement_id, batch_no, tier)),
+best AS (SELECT statement_id, batch_no, min(tier) AS tier FROM ok GROUP BY ALL),
+res AS (SELECT ok.* FROM ok JOIN best USING (statement_id, batch_no, tier))"""
+
+
+def _resolved(s, d):
+    allowed = en.allowed_ledgers(fx.ledgers(s, d), me.learn(fx.confirmed(fx.transactions(s, d))))
+    return en.resolve_tiers(en.validate_answers(fx.answers(s, d), allowed))
 
 
-@query("e12_resolve_tiers", f"WITH {v.TX}, {v.ANSWERS}, {RESOLVED} SELECT id, tier, suggested_ledger FROM res")
+@query("e12_resolve_tiers", f"WITH {v.TX}, {v.MP}, {v.ANSWERS}, {RESOLVED} SELECT id, tier, suggested_ledger FROM res")
 def _(s, d):
-    return en.resolve_tiers(fx.answers(s, d)).select("id", "tier", "suggested_ledger")
+    return _resolved(s, d).select("id", "tier", "suggested_ledger")
 
 
 @query("e13_precedence", f"""WITH {v.EN}, {v.RULED}, {v.MP}, {v.RECURRING}, {v.HASHED}, {v.CACHE}, {v.ANSWERS}, {RESOLVED}
@@ -96,16 +108,16 @@ FROM en JOIN hx USING (id) LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON h.id =
   LEFT JOIN ca ON ca.content_hash = hx.content_hash LEFT JOIN res ON res.id = en.id""")
 def _(s, d):
     tx = fx.hashed(fx.transactions(s, d, numbered=True))
-    out = en.enrich(tx, fx.rules(s, d), me.learn(fx.confirmed(fx.transactions(s, d))), None, fx.cache(s, d), fx.answers(s, d))
+    out = en.enrich(tx, fx.rules(s, d), me.learn(fx.confirmed(fx.transactions(s, d))), None, fx.cache(s, d), fx.answers(s, d), ledgers=fx.ledgers(s, d))
     return out.select("id", "narration_clean", "suggested_ledger", "confidence", "source")
 
 
-@query("e14_apply_results", f"""WITH {v.EN}, {v.ANSWERS}, {RESOLVED} SELECT en.id,
+@query("e14_apply_results", f"""WITH {v.EN}, {v.MP}, {v.ANSWERS}, {RESOLVED} SELECT en.id,
   CASE WHEN res.id IS NOT NULL THEN 'Answer ' || CAST(res.id AS VARCHAR) ELSE narration_clean END AS narration_clean,
   CASE WHEN res.id IS NOT NULL THEN res.suggested_ledger ELSE en.suggested_ledger END AS suggested_ledger FROM en LEFT JOIN res ON res.id = en.id""")
 def _(s, d):
     tx = en.heuristic(fx.transactions(s, d))
-    return en.apply_results(tx, en.resolve_tiers(fx.answers(s, d))).select("id", "narration_clean", "suggested_ledger")
+    return en.apply_results(tx, _resolved(s, d)).select("id", "narration_clean", "suggested_ledger")
 
 
 WORK = "wk AS (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY row_number) AS nth FROM en WHERE payment_mode IS NULL OR id % 2 = 0)"
@@ -227,21 +239,22 @@ def _(s, d):
 # ---------------------------------------------------------------- ledger memory
 
 
-@query("m1_pattern_key", f"WITH {v.TX} SELECT id, {v.KEY.format('narration')} AS pattern FROM tx")
+@query("m1_pattern_key", f"WITH {v.TX} SELECT id, {v.mapping_key('narration')} AS pattern FROM tx")
 def _(s, d):
-    return fx.transactions(s, d, clients=False).select("id", text.pattern_key(F.col("narration")).alias("pattern"))
+    tx = fx.cleaned(fx.transactions(s, d, clients=False))
+    return tx.select("id", text.mapping_pattern(tx).alias("pattern"))
 
 
 @query("m2_learn", f"""WITH {v.TX}, {v.MP}, m1 AS (SELECT * FROM mp)
 SELECT client_id, pattern, ledger_name, CAST(hit_count + coalesce(n, 0) AS BIGINT) AS hit_count, last_used_at FROM m1
-LEFT JOIN (SELECT client_id, {v.KEY.format('narration')} AS pattern, count(*) AS n FROM tx WHERE confirmed_ledger IS NOT NULL AND txn_date < DATE '1998-01-01' GROUP BY ALL) USING (client_id, pattern)""")
+LEFT JOIN (SELECT client_id, {v.mapping_key('narration')} AS pattern, count(*) AS n FROM tx WHERE confirmed_ledger IS NOT NULL AND txn_date < DATE '1998-01-01' GROUP BY ALL) USING (client_id, pattern)""")
 def _(s, d):
     rows = fx.confirmed(fx.transactions(s, d))
     early = me.learn(rows.filter("used_at < date'1998-01-01'"))
     return me.learn(rows, early)
 
 
-TOKEN_SQL = f"""q AS (SELECT DISTINCT client_id, {v.KEY.format('narration')} AS pattern FROM tx),
+TOKEN_SQL = f"""q AS (SELECT DISTINCT client_id, {v.mapping_key('narration')} AS pattern FROM tx),
 pair AS (SELECT q.client_id, q.pattern, ledger_name, mp.pattern AS mapping, hit_count, last_used_at,
    list_distinct(string_split(q.pattern, ' ')) AS a, list_distinct(string_split(mp.pattern, ' ')) AS b FROM q JOIN mp USING (client_id)),
 sc AS (SELECT *, row_number() OVER (PARTITION BY client_id, pattern, ledger_name ORDER BY hit_count DESC, last_used_at DESC, mapping DESC) AS n FROM pair WHERE list_has_any(a, b)),
@@ -250,12 +263,12 @@ tok AS (SELECT client_id, pattern, ledger_name, mapping, CASE WHEN mapping = pat
 
 @query("m3_token_suggestions", f"WITH {v.TX}, {v.MP}, {TOKEN_SQL} SELECT client_id, pattern, ledger_name, mapping, CAST(round(score, 6) AS DOUBLE) AS score, hit_count FROM tok")
 def _(s, d):
-    tx = fx.transactions(s, d)
-    queries = tx.select("client_id", text.pattern_key(F.col("narration")).alias("pattern"))
+    tx = fx.cleaned(fx.transactions(s, d))
+    queries = tx.select("client_id", text.mapping_pattern(tx).alias("pattern"))
     return me.token_suggestions(queries, me.learn(fx.confirmed(tx))).withColumn("score", F.round("score", 6))
 
 
-EMBED = f"""pt AS (SELECT DISTINCT {v.KEY.format('narration')} AS pattern FROM tx), tk AS (SELECT pattern, unnest(string_split(pattern, ' ')) AS t FROM pt),
+EMBED = f"""pt AS (SELECT {v.KEY.format('narration')} AS pattern FROM tx UNION SELECT {v.mapping_key('narration')} FROM tx), tk AS (SELECT pattern, unnest(string_split(pattern, ' ')) AS t FROM pt),
 ft AS (SELECT pattern, CAST(CAST('0x' || substr(sha256(t), 1, 8) AS BIGINT) % 64 AS INTEGER) AS slot,
   CASE WHEN CAST('0x' || substr(sha256(t), 9, 2) AS BIGINT) % 2 = 1 THEN -1 ELSE 1 END AS sign FROM tk),
 fs AS (SELECT pattern, slot, sum(sign) AS value FROM ft GROUP BY ALL),
@@ -264,7 +277,8 @@ fn AS (SELECT pattern, slot, value / sqrt(sum(value * value) OVER (PARTITION BY
 
 @query("m4_embedding", f"WITH {v.TX}, {EMBED} SELECT pattern, slot, CAST(round(value, 6) AS DOUBLE) AS value FROM fn")
 def _(s, d):
-    patterns = fx.transactions(s, d, clients=False).select(text.pattern_key(F.col("narration")).alias("pattern")).distinct()
+    tx = fx.cleaned(fx.transactions(s, d, clients=False))
+    patterns = tx.select(F.explode(F.array(text.pattern_key(F.col("narration")), text.mapping_pattern(tx))).alias("pattern")).distinct()
     return patterns.select("pattern", F.posexplode(me.embed(F.col("pattern"))).alias("slot", "value")).filter("value <> 0").withColumn("value", F.round("value", 6))
 
 
@@ -316,8 +330,8 @@ o AS (SELECT *, row_number() OVER (PARTITION BY client_id, pattern, ledger_name
 pl AS (SELECT *, CAST(row_number() OVER (PARTITION BY client_id, pattern ORDER BY score DESC, hit_count DESC, ledger_name) AS INTEGER) AS place FROM o WHERE k = 1)
 SELECT client_id, pattern, ledger_name, mapping, CAST(round_even(score, 4) AS DOUBLE) AS score, source, hit_count, place FROM pl WHERE place <= 5""")
 def _(s, d):
-    tx = fx.transactions(s, d)
-    queries = tx.select("client_id", text.pattern_key(F.col("narration")).alias("pattern"))
+    tx = fx.cleaned(fx.transactions(s, d))
+    queries = tx.select("client_id", text.mapping_pattern(tx).alias("pattern"))
     return me.suggestions(queries, me.learn(fx.confirmed(tx)))
 
 

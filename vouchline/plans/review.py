@@ -85,12 +85,12 @@ def _(s, d):
     return rv.failed_edits(fx.transactions(s, d, clients=False), fx.edits(s, d)).select("statement_id", "id")
 
 
-@query("q10_edits_teach", f"""WITH {v.TX}, {v.EDITS}, t AS (SELECT client_id, {v.KEY.format('narration')} AS pattern, new_ledger, txn_date, tx.id FROM tx JOIN ed ON ed.id = tx.id AND ed.statement_id = tx.statement_id
+@query("q10_edits_teach", f"""WITH {v.TX}, {v.EDITS}, t AS (SELECT client_id, {v.mapping_key('narration')} AS pattern, new_ledger, txn_date, tx.id FROM tx JOIN ed ON ed.id = tx.id AND ed.statement_id = tx.statement_id
   WHERE sets_ledger AND coalesce(trim(new_ledger), '') <> '') SELECT client_id, pattern, arg_max(new_ledger, {{'d': txn_date, 'i': id}}) AS ledger_name, count(*) AS hit_count, max(txn_date) AS last_used_at FROM t GROUP BY ALL""")
 def _(s, d):
     wanted = rv.ledger_edits(fx.edits(s, d)).select("statement_id", "id", F.col("confirmed_ledger").alias("new_ledger"))
-    edited = fx.transactions(s, d).join(wanted, ["statement_id", "id"])
-    return me.learn(edited.select("client_id", "narration", F.col("new_ledger").alias("ledger_name"), F.col("txn_date").alias("used_at"), F.col("id").alias("event_id")))
+    edited = fx.cleaned(fx.transactions(s, d)).join(wanted, ["statement_id", "id"])
+    return me.learn(edited.select("client_id", "narration", "narration_clean", F.col("new_ledger").alias("ledger_name"), F.col("txn_date").alias("used_at"), F.col("id").alias("event_id")))
 
 
 @query("q11_change_status", f"""WITH {v.ST}, up AS (SELECT o_custkey AS statement_id, CASE o_orderkey % 4 WHEN 0 THEN 'EXPORTED' WHEN 1 THEN 'REVIEWED' WHEN 2 THEN 'BOGUS' ELSE 'PARSING' END AS status, o_orderkey FROM orders),

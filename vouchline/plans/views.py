@@ -70,7 +70,14 @@ en AS (SELECT *, CAST(least(greatest(0.400 + CASE WHEN payment_mode IS NOT NULL
 
 KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
 
-MP = f"""mp AS (SELECT client_id, {KEY.format('narration')} AS pattern, arg_max(confirmed_ledger, {{'d': txn_date, 'i': id}}) AS ledger_name,
+
+
+def mapping_key(text: str) -> str:
+    """Pattern key of the cleaned narration, of the narration itself where nothing is left."""
+    return KEY.format(f"coalesce(nullif({cleaned(text)}, ''), {text})")
+
+
+MP = f"""mp AS (SELECT client_id, {mapping_key('narration')} AS pattern, arg_max(confirmed_ledger, {{'d': txn_date, 'i': id}}) AS ledger_name,
   count(*) AS hit_count, max(txn_date) AS last_used_at FROM tx WHERE confirmed_ledger IS NOT NULL GROUP BY ALL)"""
 
 RULES = r"""ru AS (SELECT *, 'Ledger ' || CAST(rule_id % 7 AS VARCHAR) AS ledger_name, CAST(rule_id % 5 AS INTEGER) AS priority, rule_id % 9 <> 0 AS is_active,
@@ -87,8 +94,8 @@ RULED = f"""{RULES}, hit AS (SELECT id, rule_id, ru.ledger_name, row_number() OV
   FROM tx JOIN ru ON tx.client_id = ru.client_id AND is_active AND {RULE_HIT})"""
 
 RECURRING = f"""hist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY txn_date DESC, id DESC) AS n FROM tx WHERE confirmed_ledger IS NOT NULL) WHERE n <= 200),
-rec AS (SELECT DISTINCT t.id, m.ledger_name AS recurring_ledger FROM tx t JOIN mp m ON t.client_id = m.client_id AND m.pattern = {KEY.format('t.narration')} AND m.hit_count >= 2
-  JOIN hist h ON h.client_id = t.client_id AND {KEY.format('h.narration')} = m.pattern AND h.confirmed_ledger = m.ledger_name AND (t.debit IS NOT NULL) = (h.debit IS NOT NULL)
+rec AS (SELECT DISTINCT t.id, m.ledger_name AS recurring_ledger FROM tx t JOIN mp m ON t.client_id = m.client_id AND m.pattern = {mapping_key('t.narration')} AND m.hit_count >= 2
+  JOIN hist h ON h.client_id = t.client_id AND {mapping_key('h.narration')} = m.pattern AND h.confirmed_ledger = m.ledger_name AND (t.debit IS NOT NULL) = (h.debit IS NOT NULL)
   WHERE abs(coalesce(t.debit, t.credit) - coalesce(h.debit, h.credit)) <= 0.10 * greatest(coalesce(t.debit, t.credit), coalesce(h.debit, h.credit))
   AND (abs(date_diff('day', h.txn_date, t.txn_date)) BETWEEN 6 AND 8 OR abs(date_diff('day', h.txn_date, t.txn_date)) BETWEEN 12 AND 16
     OR abs(date_diff('day', h.txn_date, t.txn_date)) BETWEEN 25 AND 35 OR abs(date_diff('day', h.txn_date, t.txn_date)) % 30 <= 5
@@ -96,10 +103,10 @@ rec AS (SELECT DISTINCT t.id, m.ledger_name AS recurring_ledger FROM tx t JOIN m
 
 LEDGERS = """lg AS (SELECT n_nationkey AS client_id, unnest(['Salary', 'Rent', 'STAFF WELFARE', 'Travel']) AS name FROM nation WHERE n_nationkey % 5 <> 0)"""
 
-ANSWERS = """an AS (SELECT id, statement_id, client_id, (row_number - 1) // 50 AS batch_no,
-  unnest(CASE statement_id % 3 WHEN 0 THEN [1, 3] WHEN 1 THEN [2, 3] ELSE [3] END) AS tier,
-  CASE WHEN id % 997 = 1 THEN 'Moon' WHEN id % 5 = 0 THEN 'salary' WHEN id % 5 = 1 THEN 'RENT' WHEN id % 5 = 2 THEN 'Staff welfare' WHEN id % 5 = 3 THEN 'Travel' END AS suggested_ledger
-  FROM tx WHERE id % 3 <> 0)"""
+ANSWERS = """tiers AS (SELECT id, statement_id, client_id, (row_number - 1) // 50 AS batch_no,
+  unnest(CASE statement_id % 3 WHEN 0 THEN [1, 3] WHEN 1 THEN [2, 3] ELSE [3] END) AS tier FROM tx WHERE id % 3 <> 0),
+an AS (SELECT *,
+  CASE WHEN id % 97 = 1 AND (tier <> 3 OR id % 5 = 0) THEN 'Moon' WHEN id % 5 = 0 THEN 'salary' WHEN id % 5 = 1 THEN 'RENT' WHEN id % 5 = 2 THEN 'Staff welfare' WHEN id % 5 = 3 THEN 'Travel' END AS suggested_ledger FROM tiers)"""
 
 JSON = """'{"balance":"' || CAST(balance AS VARCHAR) || '","credit":' || coalesce('"' || CAST(credit AS VARCHAR) || '"', 'null')
   || ',"debit":' || coalesce('"' || CAST(debit AS VARCHAR) || '"', 'null') || ',"narration":"' || narration || '"}'"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vouchline.functions.text import clean_narration
 from vouchline.skew import hot_keys, ordered
 from vouchline.sources.readers import spread_small
 
@@ -143,10 +144,15 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cleaned(tx: DataFrame) -> DataFrame:
+    """Transactions that an earlier run has enriched: with their cleaned narration."""
+    return tx.withColumn("narration_clean", clean_narration(F.col("narration")))
+
+
 def confirmed(tx: DataFrame) -> DataFrame:
     """Confirmed rows in the shape the ledger memory learns from."""
     return tx.filter("confirmed_ledger is not null").select(
-        "client_id", "narration", F.col("confirmed_ledger").alias("ledger_name"),
+        "client_id", "narration", clean_narration(F.col("narration")).alias("narration_clean"), F.col("confirmed_ledger").alias("ledger_name"),
         F.col("txn_date").alias("used_at"), F.col("id").alias("event_id"),
     )
 
@@ -159,19 +165,18 @@ def ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External answers for two thirds of the transactions, on up to three tiers."""
+    """External answers for two thirds of the transactions, on up to three tiers. Some name an unknown ledger, most of those on all tiers but the last."""
     tx = transactions(spark, sf_dir, numbered=True).filter("id % 3 <> 0")
     pick = F.col("id") % 5
     ledger = (
-        F.when(F.col("id") % 997 == 1, "Moon").when(pick == 0, "salary").when(pick == 1, "RENT")
+        F.when((F.col("id") % 97 == 1) & ((F.col("tier") != 3) | (F.col("id") % 5 == 0)), "Moon").when(pick == 0, "salary").when(pick == 1, "RENT")
         .when(pick == 2, "Staff welfare").when(pick == 3, "Travel")
     )
     kind = F.col("statement_id") % 3
     tiers = F.when(kind == 0, F.array(F.lit(1), F.lit(3))).when(kind == 1, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
     return tx.select(
         "id", "statement_id", "client_id", F.floor((F.col("row_number") - 1) / 50).alias("batch_no"), F.explode(tiers).alias("tier"),
-        ledger.alias("suggested_ledger"),
-    ).withColumns({
+    ).withColumn("suggested_ledger", ledger).withColumns({
         "narration_clean": F.concat(F.lit("Answer "), F.col("id").cast("string")), "payment_mode": F.lit("UPI"),
         "counterparty": F.lit(None).cast("string"), "confidence": F.lit("0.880").cast("decimal(4,3)"),
         "source": F.when(F.col("tier") == 1, "claude").when(F.col("tier") == 2, "claude-fallback").otherwise("gpt4o-fallback"),

@@ -146,5 +146,21 @@ def test_plans_have_no_cross_joins(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_rejected_tiers_fall_through(spark):
+    cols = "id long, statement_id long, client_id long, batch_no long, tier int, suggested_ledger string"
+    rows = [(1, 1, 7, 0, 1, "Moon"), (2, 1, 7, 0, 1, "rent"), (1, 1, 7, 0, 2, "RENT"), (2, 1, 7, 0, 2, "rent"),  # first tier rejected
+            (3, 2, 7, 0, 1, "Moon"), (3, 2, 7, 0, 3, "Mars"),  # all tiers rejected
+            (4, 3, 8, 0, 2, "Moon")]  # a client without ledgers
+    allowed = en.allowed_ledgers(spark.createDataFrame([(7, "Rent")], "client_id long, name string"))
+    got = en.resolve_tiers(en.validate_answers(spark.createDataFrame(rows, cols), allowed)).orderBy("id").collect()
+    assert [(r.id, r.tier, r.suggested_ledger) for r in got] == [(1, 2, "Rent"), (2, 2, "Rent"), (4, 2, "Moon")]
+
+
+def test_mappings_go_by_the_cleaned_narration(spark):
+    rows = spark.createDataFrame([(1, "UPI/A/900000123", "Upi A", "Food", 1, 1), (1, "UPI/A/900000456", "Upi A", "Food", 2, 2), (1, "UPI/B", "", "Tea", 3, 3), (1, "UPI/B", None, "Tea", 4, 4)],
+                                 "client_id long, narration string, narration_clean string, ledger_name string, used_at int, event_id long")
+    assert sorted((r.pattern, r.hit_count) for r in me.learn(rows).collect()) == [("upi a", 2), ("upi b", 2)]
+
+
 def test_pattern_key(spark):
     assert spark.range(1).select(pattern_key(F.lit(" UPI/Swiggy--12 ")).alias("k")).first().k == "upi swiggy 12"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vouchline.functions import masking
 from vouchline.operators import checks as ck, export as ex, quality as q, recognition as rc, review as rv
-from vouchline.sources import sinks
+from vouchline.sources import sinks, templates as tp
 
 Dec, D = decimal.Decimal, datetime.date
 TX = "statement_id long, id long, row_number long, txn_date date, narration string, debit decimal(18,2), credit decimal(18,2), balance decimal(18,2), confirmed_ledger string, suggested_ledger string, is_ignored boolean, ocr_confidence decimal(4,3)"
@@ -131,10 +131,19 @@ def test_warnings_on_long_statements(spark, all_hot):
     assert got[7] == ["balance_mismatch"] and got[8] == ["balance_mismatch"] and got[10] == ["date_order"] and got[4] == [] and got[11] == []
 
 
+def test_documents_of_statements_without_rows(spark):
+    rows = tx(spark).withColumn("is_ignored", F.lit(True))
+    more = spark.createDataFrame([(1,), (9,)], "statement_id long")
+    for lines in (sinks.csv_lines(rows, more), sinks.xml_lines(rows, statements=more)):
+        assert {r.statement_id: r.n for r in lines.groupBy("statement_id").agg(F.count(F.lit(1)).alias("n")).collect()} == {1: 2, 9: 2}
+    half = tx(spark).withColumn("ocr_confidence", F.lit(0.9))
+    assert {r[0] for r in sinks.csv_rows(half).filter("Date <> 'TOTAL'").select("`OCR Confidence`").collect()} == {"0.900"}
+
+
 def test_bank_detection_prefers_ifsc(spark):
     texts = {"HDFC BANK\nIFSC: SBIN0123456": "sbi", "State Bank of India": "sbi", "Account Statement": "au_small_finance", "nothing": None}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert {r.t: r.b for r in df.select("t", ck.detect_bank(F.col("t")).alias("b")).collect()} == texts
+    assert {r.t: r.b for r in ck.detect_bank(df, tp.catalogue(spark), "t").withColumnRenamed("bank_code", "b").collect()} == texts
 
 
 def test_charge_loses_no_usage_row(spark):

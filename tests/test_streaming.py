@@ -24,7 +24,7 @@ def test_parse_stream_replays_without_duplicates(spark):
             drop(sid)
         rows = spark.readStream.schema("statement_id long, bank_code string, row_idx long, cells array<string>").parquet(f"{base}/in")
         jobs.stream_statements(rows, tp.catalogue(spark), f"{base}/out", f"{base}/check").awaitTermination()
-    got = spark.read.parquet(f"{base}/out").select("statement_id", "payment_mode", "suggested_ledger").orderBy("statement_id").collect()
+    got = jobs.read_statements(spark, f"{base}/out").select("statement_id", "payment_mode", "suggested_ledger").orderBy("statement_id").collect()
     assert [tuple(r) for r in got] == [(1, "UPI", "Food Expenses"), (2, "UPI", "Food Expenses")]
 
 
@@ -57,6 +57,27 @@ def test_latest_status_ignores_repeats(spark):
     assert sorted(map(tuple, jobs.read_latest(spark, f"{base}/out").select("statement_id", "status", "changes").collect())) == want
 
 
+def test_statement_over_several_batches(spark):
+    base = work_dir(spark, "stream-test")
+    schema = "statement_id long, bank_code string, row_idx long, cells array<string>"
+    cells = [["Date", "Particulars", "Chq No", "Debit", "Credit", "Balance"]] + [["0%d-01-2024" % i, "UPI SWIGGY", "", f"{i}.00", "", "95.00"] for i in (1, 2, 3)]
+    for i in (2, 0, 3, 1, 2):
+        spark.createDataFrame([(1, "axis", i, cells[i])], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        rows = spark.readStream.schema(schema).parquet(f"{base}/in")
+        jobs.stream_statements(rows, tp.catalogue, f"{base}/out", f"{base}/check").awaitTermination()
+    got = jobs.read_statements(spark, f"{base}/out").select("row_number", F.col("debit").cast("int")).orderBy("row_number").collect()
+    assert [tuple(r) for r in got] == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_late_status_counts(spark):
+    base = work_dir(spark, "status-test")
+    for i, (sid, hours, status) in enumerate([(1, 5, "REVIEWED"), (2, 0, "UPLOADED"), (1, 1, "FAILED"), (1, 5, "REVIEWED")]):
+        spark.createDataFrame([(min(i, 2) if i != 3 else 0, T0 + datetime.timedelta(hours=hours), sid, "b", status)], EVENT).write.mode("append").parquet(f"{base}/in")
+        jobs.stream_latest_status(spark.readStream.schema(EVENT).parquet(f"{base}/in"), f"{base}/out", f"{base}/check").awaitTermination()
+    got = jobs.read_latest(spark, f"{base}/out").orderBy("statement_id").collect()
+    assert [(r.statement_id, r.status, r.changes) for r in got] == [(1, "REVIEWED", 2), (2, "UPLOADED", 1)]
+
+
 def test_second_run_adds_nothing(spark):
     rows = spark.createDataFrame([(1, 0), (2, 0)], "statement_id long, row_idx long")
     assert [r.statement_id for r in sh.unparsed_only(rows, spark.createDataFrame([(2,), (2,)], "statement_id long")).collect()] == [1]

@@ -49,6 +49,11 @@ def _word_date(text: Column) -> Column:
     )
 
 
+# Date formats that the usual reading covers, and what the marks of a format mean in Spark.
+USUAL_FORMATS = ["%d/%m/%y", "%d/%m/%Y", "%Y-%m-%d", "%d-%m-%Y", "%d-%m-%y", "%d %b %Y", "%d %B %Y"]
+FORMAT_MARKS = [("%d", "d"), ("%m", "M"), ("%Y", "yyyy"), ("%y", "yy"), ("%b", "MMM"), ("%B", "MMMM")]
+
+
 def _strict_date(text: Column, extra_formats: tuple[str, ...]) -> Column:
     return F.coalesce(_numeric_date(text), _word_date(text), *[F.try_to_date(text, fmt) for fmt in extra_formats])
 
@@ -69,14 +74,22 @@ def repair_date(text: Column, extra_formats: tuple[str, ...] = ()) -> Column:
     return F.coalesce(numeric, _word_date(F.array_join(words, " ")), *extra)
 
 
-def parse_date(text: Column, extra_formats: tuple[str, ...] = ()) -> Column:
-    """Date of a cell: day/month/year with / or -, ISO, or day month-word year; then the repaired reading.
+def configured_date(text: Column, form: Column) -> Column:
+    """Date by a template's own format, in the notation of the catalogue (`%m/%d/%Y`); null where the usual reading does the same."""
+    pattern = form
+    for mark, letters in FORMAT_MARKS:
+        pattern = F.replace(pattern, F.lit(mark), F.lit(letters))
+    return F.when(~form.isin(USUAL_FORMATS), F.call_function("try_to_timestamp", text, pattern).cast("date"))
+
 
-    The formats the bank templates configure are all among these; `extra_formats` takes further Spark patterns.
+def parse_date(text: Column, extra_formats: tuple[str, ...] = (), own: Column | None = None) -> Column:
+    """Date of a cell: by the template's `own` format, then day/month/year with / or -, ISO, or day month-word year; then the repaired
+    reading. `extra_formats` takes further Spark patterns.
     """
     cleaned = F.trim(text)
+    first = [] if own is None else [configured_date(cleaned, own)]
     return F.when(
-        cleaned != "", F.coalesce(_strict_date(cleaned, extra_formats), repair_date(cleaned, extra_formats))
+        cleaned != "", F.coalesce(*first, _strict_date(cleaned, extra_formats), repair_date(cleaned, extra_formats))
     )
 
 

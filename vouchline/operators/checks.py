@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vouchline.skew import block, hot_keys, ordered
-from vouchline.sources.templates import BANKS, GENERIC_KEYWORDS, ifsc_pattern
+from vouchline.sources.templates import GENERIC_KEYWORDS
 
 TOLERANCE = "0.01"
 FILE_DAYS = 90
@@ -81,27 +81,27 @@ def with_warnings(tx: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     )
 
 
-def detect_bank(header_text: Column, banks: list = BANKS, generic: list[str] = GENERIC_KEYWORDS) -> Column:
-    """Best bank for a header text: IFSC pattern 100 points, own keyword 10, keyword many banks share 1.
+def detect_bank(df: DataFrame, templates: DataFrame, text: str = "header_text", generic: list[str] = GENERIC_KEYWORDS) -> DataFrame:
+    """`df` with `bank_code`, the best bank of the catalogue for a header text: IFSC pattern 100 points, own keyword 10, keyword many banks share 1.
 
-    A projection over the template constants. Equal scores go to the longer keyword ("State Bank of India" over "Bank of
-    India"), then to the first bank in catalogue order; no match gives null.
+    The catalogue (one short row per bank) is one value that every row is held against. Equal scores go to the longer keyword ("State Bank
+    of India" over "Bank of India"), then to the first bank by code; no match gives null.
     """
-    def found(word: str, value: int) -> Column:
-        return F.when(F.contains(header_text, F.lit(word)), value).otherwise(0)
-
-    def scores(prefix: str, code: str, words: list[str]) -> list[Column]:
-        points = F.when(header_text.rlike(ifsc_pattern(code, prefix)), 100).otherwise(0)
-        for word in words:
-            points = points + found(word, 1 if word in generic else 10)
-        return [points.alias("score"), F.greatest(F.lit(0), *[found(w, len(w)) for w in words]).alias("longest")]
-
-    scored = [
-        F.struct(*scores(bank[4], bank[0], bank[3]), F.lit(-place).alias("place"), F.lit(bank[0]).alias("code"))
-        for place, bank in enumerate(banks)
-    ]
-    best = F.array_max(F.array(*scored))
-    return F.when(best.score > 0, best.code)
+    banks = templates.select("code", "keywords", "ifsc_regex").agg(F.array_sort(F.collect_list(F.struct("code", "keywords", "ifsc_regex")))).scalar()
+    header_text = F.col(text)
+
+    def score(bank: Column) -> Column:
+        words = F.filter(bank["keywords"], lambda w: F.contains(header_text, w))
+        points = F.aggregate(words, F.lit(0), lambda n, w: n + F.when(w.isin(generic), 1).otherwise(10))
+        ifsc = F.when(F.exists(bank["ifsc_regex"], lambda p: F.rlike(header_text, p)), 100).otherwise(0)
+        longest = F.aggregate(words, F.lit(0), lambda n, w: F.greatest(n, F.length(w)))
+        return F.struct((points + ifsc).alias("score"), longest.alias("longest"), bank["code"].alias("code"))
+
+    best = F.aggregate(
+        F.transform("_banks", score), F.lit(None).cast("struct<score:int,longest:int,code:string>"),
+        lambda kept, one: F.when((one["score"] > 0) & (kept.isNull() | (F.struct(one["score"], one["longest"]) > F.struct(kept["score"], kept["longest"]))), one).otherwise(kept),
+    )
+    return df.withColumn("_banks", banks).withColumn("bank_code", best["code"]).drop("_banks")
 
 
 def header_fields(text: Column) -> list[Column]:
@@ -143,6 +143,8 @@ def edit_rate(edits: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def write_by_firm(df: DataFrame, path: str) -> None:
-    """Partitioned by firm, so tenant filters prune whole folders. Rows spread over tasks, so no firm is one task."""
-    df.write.mode("overwrite").partitionBy("firm_id").parquet(path)
+def write_by_firm(df: DataFrame, path: str, file_rows: int = 1_000_000) -> None:
+    """Partitioned by firm, so tenant filters prune whole folders. A firm is written by one task for each `file_rows` of its rows."""
+    sizes = df.groupBy("firm_id").agg(F.ceil(F.count(F.lit(1)) / file_rows).alias("_files")).withColumnRenamed("firm_id", "_firm")
+    dealt = df.join(sizes, F.col("firm_id").eqNullSafe(F.col("_firm"))).withColumn("_file", F.pmod(F.xxhash64(*df.columns), F.col("_files")))
+    dealt.repartition("firm_id", "_file").drop("_firm", "_files", "_file").write.mode("overwrite").partitionBy("firm_id").parquet(path)

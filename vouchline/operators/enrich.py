@@ -10,7 +10,7 @@ from vouchline.skew import block, ordered
 RESULT = ["narration_clean", "payment_mode", "counterparty", "suggested_ledger", "confidence"]
 BATCH_SIZE = 50
 HISTORY_ROWS = 200
-RULES_IN_ARRAY = 256
+RULES_IN_BLOCK = 256
 EXAMPLE_LIMIT = 5
 
 
@@ -63,62 +63,49 @@ def usable_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def apply_rules(tx: DataFrame, rules: DataFrame, in_array: int = RULES_IN_ARRAY) -> DataFrame:
+def _first_rule(rules: Column, narration: Column) -> Column:
+    """First of an ordered array of rules that matches, or null."""
+    hit = "struct<priority:int,created_at:timestamp,rule_id:bigint,ledger_name:string>"
+    return F.aggregate(
+        rules, F.lit(None).cast(hit),
+        lambda found, r: F.when(found.isNotNull(), found).when(
+            rule_matches(r.match_type, r.lowered, r.pattern, narration),
+            F.struct(r.priority.alias("priority"), r.created_at.alias("created_at"), r.rule_id.alias("rule_id"), r.ledger_name.alias("ledger_name")).cast(hit),
+        ),
+    )
+
+
+def apply_rules(tx: DataFrame, rules: DataFrame, block_rules: int = RULES_IN_BLOCK) -> DataFrame:
     """First matching rule per transaction, lowest priority number then oldest: adds `rule` (struct or null).
 
-    The first `in_array` rules of a client travel as one array, so transactions are neither multiplied nor shuffled by
-    the match. Where a client has more rules (checked on the rule table when the plan is built), the transactions still
-    unmatched take a second, exact path.
+    Each distinct narration of a client is matched once. A client's rules travel as arrays of `block_rules`, in order: most clients have
+    one, and one with more gets a candidate from each, of which the first counts. Rows are never multiplied by the rules.
     """
     usable = usable_rules(rules).select(
         "client_id", F.struct("priority", "created_at", "rule_id", "match_type", "pattern", "lowered", "ledger_name").alias("r")
     )
     rank = F.row_number().over(W.partitionBy("client_id").orderBy("r.priority", "r.created_at", "r.rule_id"))
-    leading = usable.withColumn("_n", rank).filter(F.col("_n") <= in_array)
-    arrays = leading.groupBy("client_id").agg(F.array_sort(F.collect_list("r")).alias("_rules"))
-    overflow = usable.join(
-        leading.select("client_id", F.col("r.rule_id").alias("_id")),
-        (usable.client_id == leading.client_id) & (F.col("r.rule_id") == F.col("_id")), "left_anti",
-    )
-
-    hit = "struct<priority:int,rule_id:bigint,ledger_name:string>"
+    blocks = usable.withColumn("_block", F.floor((rank - 1) / block_rules)).groupBy("client_id", "_block").agg(F.array_sort(F.collect_list("r")).alias("_rules"))
     narration = F.coalesce(F.col("narration"), F.lit(""))
-    first = F.aggregate(
-        F.coalesce("_rules", F.array().cast("array<struct<priority:int,created_at:timestamp,rule_id:bigint,"
-                                                "match_type:string,pattern:string,lowered:string,ledger_name:string>>")),
-        F.lit(None).cast(hit),
-        lambda found, r: F.when(found.isNotNull(), found).when(
-            rule_matches(r.match_type, r.lowered, r.pattern, narration),
-            F.struct(r.priority.alias("priority"), r.rule_id.alias("rule_id"), r.ledger_name.alias("ledger_name")),
-        ),
-    )
-    matched = tx.join(arrays, "client_id", "left").withColumn("_head", first).drop("_rules")
-
-    if overflow.isEmpty():
-        return matched.withColumnRenamed("_head", "rule")
-    o = overflow.withColumnRenamed("client_id", "_client")
-    rest = (
-        matched.filter("_head is null").select("id", F.col("client_id"), narration.alias("_n"))
-        .join(o, (F.col("client_id") == F.col("_client"))
-              & rule_matches(F.col("r.match_type"), F.col("r.lowered"), F.col("r.pattern"), F.col("_n")))
-        .groupBy("id").agg(F.min("r").alias("r"))
-        .select("id", F.struct("r.priority", "r.rule_id", "r.ledger_name").cast(hit).alias("_tail"))
+    distinct = tx.select("client_id", narration.alias("_narration")).distinct()
+    hits = (
+        distinct.join(blocks, "client_id").select("client_id", "_narration", _first_rule(F.col("_rules"), F.col("_narration")).alias("_hit"))
+        .filter("_hit is not null").groupBy("client_id", "_narration").agg(F.min("_hit").alias("rule"))
     )
-    return matched.join(rest, "id", "left").withColumn("rule", F.coalesce("_head", "_tail")).drop("_head", "_tail")
+    return tx.withColumn("_narration", narration).join(hits, ["client_id", "_narration"], "left").drop("_narration")
 
 
 def rule_dry_run(tx: DataFrame, rules: DataFrame) -> DataFrame:
-    """How many of the client's narrations each rule would match, with the first one as a sample."""
+    """How many of the client's narrations each rule would match, with the first one as a sample. Equal narrations are matched once."""
     usable = usable_rules(rules).select("rule_id", F.col("client_id").alias("_client"), "match_type", "pattern", "lowered")
     narration = F.coalesce(F.col("narration"), F.lit(""))
-    hits = tx.join(
+    distinct = tx.groupBy("client_id", "narration").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+    hits = distinct.join(
         usable,
         (F.col("client_id") == F.col("_client"))
         & rule_matches(F.col("match_type"), F.col("lowered"), F.col("pattern"), narration),
     )
-    counts = hits.groupBy("rule_id").agg(
-        F.count(F.lit(1)).alias("matches"), F.min_by("narration", "id").alias("sample")
-    )
+    counts = hits.groupBy("rule_id").agg(F.sum("n").alias("matches"), F.min_by("narration", "first_id").alias("sample"))
     return usable.select("rule_id").join(counts, "rule_id", "left").select(
         "rule_id", F.coalesce("matches", F.lit(0)).alias("matches"), "sample"
     )

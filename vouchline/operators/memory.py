@@ -123,7 +123,7 @@ def _packed(df: DataFrame, key: str, name: str, rows: int) -> DataFrame:
         .withColumn("_pack", F.pmod(F.xxhash64(key), F.col("_packs")))
         .groupBy("client_id", "_pack")
         .agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col("vector").alias("vector"))).alias(name))
-        .select("client_id", F.col(f"{name}.key").alias(f"{name}_keys"), F.col(f"{name}.vector").alias(f"{name}_vectors"))
+        .select("client_id", "_pack", F.col(f"{name}.key").alias(f"{name}_keys"), F.col(f"{name}.vector").alias(f"{name}_vectors"))
     )
 
 
@@ -152,13 +152,16 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int, pack_rows: int =
     """Exact k nearest items by cosine for every query, within its client.
 
     queries: client_id, query, vector; items: client_id, item, vector, all of unit length; equal scores go by item. Packs of queries meet packs of items; a pair of packs is one matrix product that returns k rows per
-    query, so neither the join nor the shuffle carries single pairs, and a large client spreads over many pack pairs.
+    query, so neither the join nor the shuffle carries single pairs. Packs meet by client and item pack, so a large client spreads over as
+    many keys as it has item packs.
     """
     q = _packed(queries, "query", "q", pack_rows)
     i = _packed(items, "item", "i", pack_rows)
     types = {**{f.name: f.dataType.simpleString() for f in queries.schema}, **{f.name: f.dataType.simpleString() for f in items.schema}}
     schema = f"client_id {types['client_id']}, query {types['query']}, item {types['item']}, score double"
-    best = q.join(i, "client_id").mapInPandas(_pack_top_k(k), schema)
+    meets = i.groupBy("client_id").agg(F.max("_pack").alias("_last"))
+    q = q.drop("_pack").join(meets, "client_id").withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long")))).drop("_last")
+    best = q.join(i.withColumn("_pack", F.col("_pack").cast("long")), ["client_id", "_pack"]).drop("_pack").mapInPandas(_pack_top_k(k), schema)
     place = F.row_number().over(W.partitionBy("client_id", "query").orderBy(F.desc("score"), "item"))
     return best.withColumn("place", place).filter(F.col("place") <= k)
 
@@ -182,7 +185,8 @@ def search(queries: DataFrame, mappings: DataFrame, k: int, pack_rows: int = PAC
     # Items are named so that their order is the order of their best mapping: equal scores then keep the right vectors.
     inside = W.partitionBy("client_id", "_vector").orderBy(F.desc("hit_count"), "pattern")
     name = F.concat(F.lpad((F.lit(10**15) - F.col("hit_count")).cast("string"), 16, "0"), F.lit(" "), F.col("pattern"))
-    m = m.withColumns({"_n": F.row_number().over(inside), "item": F.first(name).over(inside)}).filter(F.col("_n") <= k)
+    # The rank stands alone in its window: Spark then keeps k rows per vector before the exchange, and the name is found among those.
+    m = m.withColumn("_n", F.row_number().over(inside)).filter(F.col("_n") <= k).withColumn("item", F.first(name).over(inside))
 
     near = vector_top_k(vectors(q, "query"), vectors(m, "item"), k, pack_rows)
     members = near.select("client_id", "query", "item", "score").join(

@@ -57,11 +57,11 @@ def page_counts(tx: DataFrame, keys: list[str], size: int, at_least_one: bool =
 
 
 def statement_result(tx: DataFrame) -> DataFrame:
-    """All rows with text amounts; file order is carried by row_number, globally sorted without one big task."""
+    """All rows with text amounts; file order is carried by row_number, and whoever writes a statement sorts its rows."""
     return tx.select(
         "statement_id", "row_number", F.date_format("txn_date", "yyyy-MM-dd").alias("txn_date"), "narration",
         *[F.col(c).cast("string").alias(c) for c in ["debit", "credit", "balance"]],
-    ).orderBy("statement_id", "row_number")
+    )
 
 
 def grid_filter(tx: DataFrame, search=None, side=None, date_from=None, date_to=None) -> DataFrame:

@@ -130,7 +130,7 @@ def detect_headers(rows: DataFrame, templates: DataFrame) -> DataFrame:
         F.when(F.col("_hit.by_template"), positions).when(F.col("_hit").isNotNull(), by_alias)
         .when(known, positions).alias("roles"),
         F.when(F.col("_hit.by_template"), "template").when(F.col("_hit").isNotNull(), "alias")
-        .when(known, "positions").otherwise("none").alias("found_by"),
+        .when(known, "positions").otherwise("none").alias("found_by"), F.col("template.date_format").alias("date_format"),
     )
     first_data = F.get(F.filter("first_rows", lambda r: r.row_idx > F.col("header_idx")), 0)
     texts = {r: F.col(f"_texts.{r}") for r in ROLES}
@@ -157,7 +157,7 @@ def is_continuation(texts: dict[str, Column]) -> Column:
 def role_texts(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """Data rows below the header with one text column per role; from here on the cell arrays are no longer needed."""
     data = rows.drop("bank_code").join(headers.filter("header_idx is not null"), "statement_id").filter("row_idx > header_idx")
-    extra = ["row_confidence"] if "row_confidence" in rows.columns else []
+    extra = [*(["row_confidence"] if "row_confidence" in rows.columns else []), *(["date_format"] if "date_format" in headers.columns else [])]
     kept = ["statement_id", "bank_code", "row_idx", *extra, "starts_split"]
     return data.select(*kept, *[cell(F.col(f"roles.{r}")).alias(r) for r in ROLES]).select(*kept, *[_shown(F.col(r)).alias(r) for r in ROLES])
 
@@ -184,11 +184,12 @@ def merge_continuations(rows: DataFrame, headers: DataFrame, hot: DataFrame | No
 
 
 def typed_rows(merged: DataFrame) -> DataFrame:
-    """Typed candidate rows, accepted or not; `accepted` needs a date and a narration."""
+    """Typed candidate rows, accepted or not; `accepted` needs a date and a narration. A template's own date format is tried first."""
+    own = F.col("date_format") if "date_format" in merged.columns else None
     extra = [F.col("row_confidence").alias("ocr_confidence")] if "row_confidence" in merged.columns else []
     typed = merged.select(
-        "statement_id", "bank_code", "row_number", "row_idx", parse_date(F.col("date")).alias("txn_date"),
-        parse_date(F.col("value_date")).alias("value_date"), "narration", F.nullif(F.col("reference"), F.lit("")).alias("reference_no"),
+        "statement_id", "bank_code", "row_number", "row_idx", parse_date(F.col("date"), own=own).alias("txn_date"),
+        parse_date(F.col("value_date"), own=own).alias("value_date"), "narration", F.nullif(F.col("reference"), F.lit("")).alias("reference_no"),
         *[parse_amount(F.col(c)).alias(c) for c in ["debit", "credit", "balance"]], *extra,
     )
     return typed.withColumn("accepted", F.col("txn_date").isNotNull() & (F.col("narration") != ""))

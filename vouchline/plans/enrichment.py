@@ -46,6 +46,18 @@ def _(s, d):
     return en.apply_rules(fx.transactions(s, d), fx.rules(s, d)).filter("rule is not null").select("id", "rule.rule_id", "rule.ledger_name")
 
 
+MANY_RULES = "hit AS (SELECT a.id, max(b.id) AS rule_id FROM tx a JOIN tx b ON a.client_id = b.client_id AND contains(a.narration, CAST(b.id AS VARCHAR)) GROUP BY ALL)"
+
+
+@query("e7_many_rules", f"WITH {v.TX}, {MANY_RULES} SELECT id, rule_id FROM hit")
+def _(s, d):
+    """A rule for every transaction of a client, the newest first: clients with far more rules than one array holds."""
+    tx = fx.transactions(s, d)
+    rules = tx.select("client_id", F.col("id").alias("rule_id"), (-F.col("id")).cast("int").alias("priority"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+                      F.lit("contains").alias("match_type"), F.col("id").cast("string").alias("pattern"), F.lit("Own").alias("ledger_name"), F.lit(True).alias("is_active"))
+    return en.apply_rules(tx, rules).filter("rule is not null").select("id", "rule.rule_id")
+
+
 @query("e8_rule_dry_run", f"""WITH {v.TX}, {v.RULES}, ok AS (SELECT * FROM ru WHERE is_active AND pattern <> '(unclosed')
 SELECT rule_id, count(id) AS matches, arg_min(narration, id) AS sample FROM ok LEFT JOIN tx ON tx.client_id = ok.client_id AND {v.RULE_HIT} GROUP BY rule_id""")
 def _(s, d):

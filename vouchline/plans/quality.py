@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vouchline.functions import masking
-from vouchline.operators import checks as ck, export as ex, quality as q, shape as sh
+from vouchline.operators import checks as ck, enrich as en, export as ex, quality as q, shape as sh
 from vouchline.plans import views as v
 from vouchline.plans.enrichment import _mask_sql
 from vouchline.plans.registry import query
@@ -225,25 +225,45 @@ def _(s, d):
     return held.select("bank_code", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "held_for")
 
 
-@query("t3_parse_stream", f"""WITH {v.EN} SELECT bank_code, count(*) AS transactions, count(DISTINCT statement_id) AS statements, CAST(sum(debit) AS DECIMAL(28,2)) AS debit FROM en GROUP BY ALL""")
+CLOSED = "window_start + INTERVAL 1 HOUR <= (SELECT time_bucket(INTERVAL 1 MINUTE, max(ts) - INTERVAL 10 MINUTE) FROM ev)"
+
+
+@query("t2_held_alerts_stream", f"WITH {RATES}, {HELD} SELECT bank_code, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, held_for FROM he WHERE b AND held_for >= 5 AND {CLOSED}")
+def _(s, d):
+    """Two jobs in a row: windows as they close, then the hold rule over them."""
+    out = work_dir(s, "alerts")
+    jobs.stream_failure_rates(fx.event_columns(_event_stream(s, d)), f"{out}/rates", f"{out}/rates-checkpoint").awaitTermination()
+    rates = s.readStream.schema(s.read.parquet(f"{out}/rates").schema).parquet(f"{out}/rates")
+    jobs.stream_alerts(rates, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    limit = fx.status_events(s, d).agg(F.date_trunc("minute", F.max("ts") - F.expr("interval 10 minutes")))
+    held = s.read.parquet(f"{out}/table").filter(F.col("window_start") + F.expr("interval 1 hour") <= limit.scalar())
+    return held.select("bank_code", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "held_for")
+
+
+@query("t3_parse_stream", f"WITH {v.TX} SELECT bank_code, statement_id, row_number, txn_date, 'REF' || id AS reference_no, debit, credit, balance FROM tx")
 def _(s, d):
-    return _parsed_stream(s, d).groupBy("bank_code").agg(
-        F.count(F.lit(1)).alias("transactions"), F.countDistinct("statement_id").alias("statements"), F.sum("debit").cast("decimal(28,2)").alias("debit"))
+    return _parsed_stream(s, d, None).select("bank_code", "statement_id", "row_number", "txn_date", "reference_no", "debit", "credit", "balance")
 
 
-def _parsed_stream(s, d):
-    """Cell rows arrive as files (written once, then streamed); the second run of the job finds nothing new."""
+def _parsed_stream(s, d, enrich):
+    """Cell rows arrive as three files, each with a third of every statement, in a batch each; the second run finds nothing new."""
     out = work_dir(s, "statements")
-    fx.raw_rows(s, d).write.parquet(f"{out}/in")
-    rows = s.readStream.schema(s.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
+    fx.raw_rows(s, d).repartition(3, F.col("row_idx") % 3).write.parquet(f"{out}/in")
+    rows = s.readStream.schema(s.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     for _ in range(2):
-        jobs.stream_statements(rows, tp.catalogue(s), f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{out}/table")
+        jobs.stream_statements(rows, tp.catalogue, f"{out}/table", f"{out}/checkpoint", enrich).awaitTermination()
+    return jobs.read_statements(s, f"{out}/table")
 
 
-@query("t4_enrich_stream", f"WITH {v.EN} SELECT coalesce(payment_mode, 'none') AS payment_mode, count(*) AS n FROM en GROUP BY ALL")
+@query("t4_enrich_stream", f"""WITH {v.EN}, {v.RULED} SELECT statement_id, row_number, CASE WHEN h.id IS NOT NULL THEN h.ledger_name ELSE suggested_ledger END AS suggested_ledger,
+  CASE WHEN h.id IS NOT NULL THEN 'rule' ELSE 'heuristic' END AS source FROM en LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON h.id = en.id WHERE en.id % 4 <> 0""")
 def _(s, d):
-    return _parsed_stream(s, d).groupBy(F.coalesce("payment_mode", F.lit("none")).alias("payment_mode")).agg(F.count(F.lit(1)).alias("n"))
+    """Rules and the heuristic on fresh rows; the rows whose narration goes on in a second row are left out of the result."""
+    def enrich(parsed):
+        return en.enrich(fx.with_clients(parsed, s, d), fx.rules(s, d))
+
+    done = _parsed_stream(s, d, enrich).filter(~F.col("narration").contains(" MORE "))
+    return done.select("statement_id", "row_number", "suggested_ledger", "source")
 
 
 LATEST = f"WITH {v.EVENTS} SELECT statement_id, arg_max(status, {{'t': ts, 'e': event_id}}) AS status, CAST(count(*) AS BIGINT) AS changes FROM ev GROUP BY ALL"
@@ -353,7 +373,17 @@ def _header_texts(s, d):
 
 @query("v6_detect_bank", f"SELECT c_custkey AS statement_id, CASE c_custkey % {len(CASES)} {' '.join(f'''WHEN {i} THEN '{c}' ''' for i, c in enumerate(CASES))} END AS bank_code FROM customer")
 def _(s, d):
-    return _header_texts(s, d).select("statement_id", ck.detect_bank(F.col("header_text")).alias("bank_code"))
+    return ck.detect_bank(_header_texts(s, d), tp.catalogue(s)).select("statement_id", "bank_code")
+
+
+@query("v6_own_bank", "SELECT c_custkey AS statement_id, CASE WHEN c_custkey % 7 = 0 THEN 'harbour' WHEN c_custkey % 7 = 1 THEN 'hdfc' END AS bank_code FROM customer")
+def _(s, d):
+    """A bank that the user has added to the catalogue, one that is built in, and headers that name no bank."""
+    own = s.createDataFrame([("harbour", "HARB", "Harbour Trust", "pdf_text", ["Date"], {"date": 0}, "%d/%m/%Y", ["Harbour Trust"], ["IFSC HARB0"])], tp.SCHEMA)
+    key = F.col("c_custkey")
+    text = F.concat(F.lit("Statement\n"), F.when(key % 7 == 0, "Harbour Trust of Goa").when(key % 7 == 1, "IFSC: HDFC0001234").otherwise("Ledger"))
+    rows = fx.table(s, d, "customer").select(key.alias("statement_id"), text.alias("header_text"))
+    return ck.detect_bank(rows, tp.catalogue(s).unionByName(own)).select("statement_id", "bank_code")
 
 
 @query("v7_balances_period", f"WITH {v.TX}, {SPOILT}, {BALANCES} SELECT statement_id, opening_balance, closing_balance, period_start, period_end FROM ba")

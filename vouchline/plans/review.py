@@ -28,10 +28,9 @@ def _(s, d):
         F.count(F.lit(1)).alias("statements"), F.sum("n").alias("transactions"), F.sum("v").cast("decimal(28,2)").alias("volume"))
 
 
-@query("q1_list_statements", f"WITH {v.ST} SELECT statement_id, bank_code, status, created_on FROM st WHERE firm_id = 1 AND status = 'REVIEWED' ORDER BY created_on DESC, statement_id LIMIT 20 OFFSET 5")
+@query("q1_list_statements", f"WITH {v.ST} SELECT statement_id, bank_code, status, created_on FROM st WHERE firm_id = 1 AND status = 'REVIEWED' ORDER BY created_on DESC, statement_id LIMIT 5 OFFSET 5")
 def _(s, d):
-    rows = fx.statements(s, d).filter("firm_id = 1 and status = 'REVIEWED'")
-    return rows.orderBy(F.desc("created_on"), "statement_id").offset(5).limit(20).select("statement_id", "bank_code", "status", "created_on")
+    return rv.list_statements(fx.statements(s, d), 1, page=2, size=5, status="REVIEWED").select("statement_id", "bank_code", "status", "created_on")
 
 
 @query("q2_counts", f"WITH {v.TX} SELECT st.statement_id, count(id) AS transaction_count FROM st LEFT JOIN tx ON tx.statement_id = st.statement_id GROUP BY ALL")
@@ -157,7 +156,7 @@ def _(s, d):
 
 @query("x2_not_ignored", f"WITH {v.TX} SELECT id, statement_id, row_number FROM tx WHERE NOT is_ignored")
 def _(s, d):
-    return ex.export_rows(fx.transactions(s, d, numbered=True, clients=False)).select("id", "statement_id", "row_number").orderBy("statement_id", "row_number")
+    return ex.export_rows(fx.transactions(s, d, numbered=True, clients=False)).select("id", "statement_id", "row_number")
 
 
 SIDES = """CAST(coalesce(sum(amount) FILTER (tx_type = 'DEBIT'), 0) AS DECIMAL(28,2)) AS total_debit, CAST(coalesce(sum(amount) FILTER (tx_type = 'CREDIT'), 0) AS DECIMAL(28,2)) AS total_credit"""
@@ -215,10 +214,10 @@ CSV = ["Date", "Narration", "Debit", "Credit", "Balance", "Payment Mode", "Count
 @query("snk1_csv", f"""WITH {v.EN}, {v.EXPORT} SELECT statement_id, row_number AS sort_key, strftime(txn_date, '%Y-%m-%d') AS "Date", narration AS "Narration", CASE tx_type WHEN 'DEBIT' THEN CAST(amount AS VARCHAR) ELSE '' END AS "Debit",
   CASE tx_type WHEN 'CREDIT' THEN CAST(amount AS VARCHAR) ELSE '' END AS "Credit", CAST(balance AS VARCHAR) AS "Balance", coalesce(payment_mode, '') AS "Payment Mode", coalesce(counterparty, '') AS "Counterparty",
   coalesce(ledger_name, '') AS "Ledger", coalesce(CAST(ocr_confidence AS VARCHAR), '') AS "OCR Confidence", CASE WHEN is_reviewed THEN 'Yes' ELSE 'No' END AS "Reviewed" FROM ex
-UNION ALL SELECT statement_id, 9223372036854775807, 'TOTAL', '', CAST(CAST(coalesce(sum(amount) FILTER (tx_type = 'DEBIT'), 0) AS DECIMAL(28,2)) AS VARCHAR),
-  CAST(CAST(coalesce(sum(amount) FILTER (tx_type = 'CREDIT'), 0) AS DECIMAL(28,2)) AS VARCHAR), '', '', '', '', '', '' FROM ex GROUP BY statement_id""")
+UNION ALL SELECT st.statement_id, 9223372036854775807, 'TOTAL', '', CAST(CAST(coalesce(sum(amount) FILTER (tx_type = 'DEBIT'), 0) AS DECIMAL(28,2)) AS VARCHAR),
+  CAST(CAST(coalesce(sum(amount) FILTER (tx_type = 'CREDIT'), 0) AS DECIMAL(28,2)) AS VARCHAR), '', '', '', '', '', '' FROM st LEFT JOIN ex ON ex.statement_id = st.statement_id GROUP BY st.statement_id""")
 def _(s, d):
-    return sinks.csv_rows(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)))
+    return sinks.csv_rows(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), fx.statements(s, d))
 
 
 def _js(column: str) -> str:
@@ -243,10 +242,11 @@ SELECT statement_id, voucher_number AS line_no, '<TALLYMESSAGE xmlns:UDF="TallyU
  || '</EFFECTIVEDATE><NARRATION>' || nar || '</NARRATION><VOUCHERTYPENAME>' || voucher_type || '</VOUCHERTYPENAME><VOUCHERNUMBER>' || voucher_number
  || '</VOUCHERNUMBER><PARTYLEDGERNAME>Bank Account</PARTYLEDGERNAME><PERSISTEDVIEW>Accounting Voucher View</PERSISTEDVIEW><ALLLEDGERENTRIES.LIST><LEDGERNAME>Bank Account</LEDGERNAME><ISDEEMEDPOSITIVE>'
  || CASE WHEN pay THEN 'No' ELSE 'Yes' END || '</ISDEEMEDPOSITIVE><AMOUNT>' || CASE WHEN pay THEN pos ELSE neg END || '</AMOUNT></ALLLEDGERENTRIES.LIST><ALLLEDGERENTRIES.LIST><LEDGERNAME>' || counter_ledger
- || '</LEDGERNAME><ISDEEMEDPOSITIVE>' || CASE WHEN pay THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE><AMOUNT>' || CASE WHEN pay THEN neg ELSE pos END || '</AMOUNT></ALLLEDGERENTRIES.LIST></VOUCHER></TALLYMESSAGE>' AS line FROM el""")
+ || '</LEDGERNAME><ISDEEMEDPOSITIVE>' || CASE WHEN pay THEN 'Yes' ELSE 'No' END || '</ISDEEMEDPOSITIVE><AMOUNT>' || CASE WHEN pay THEN neg ELSE pos END || '</AMOUNT></ALLLEDGERENTRIES.LIST></VOUCHER></TALLYMESSAGE>' AS line FROM el
+UNION ALL SELECT statement_id, -1, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<ENVELOPE><HEADER><TALLYREQUEST>Import Data</TALLYREQUEST></HEADER><BODY><IMPORTDATA><REQUESTDESC><REPORTNAME>Vouchers</REPORTNAME><STATICVARIABLES><SVCURRENTCOMPANY>My Company'
+ || '</SVCURRENTCOMPANY></STATICVARIABLES></REQUESTDESC><REQUESTDATA>' FROM st UNION ALL SELECT statement_id, 9223372036854775807, '</REQUESTDATA></IMPORTDATA></BODY></ENVELOPE>' FROM st""")
 def _(s, d):
-    lines = sinks.xml_lines(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), hot=fx.long_statements(s, d))
-    return lines.filter(f"line_no > {sinks.FIRST} and line_no < {sinks.LAST}")
+    return sinks.xml_lines(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), hot=fx.long_statements(s, d), statements=fx.statements(s, d))
 
 
 @query("snk4_workbook", f"""WITH {v.EN}, {v.EXPORT} SELECT statement_id, row_number, txn_date, narration, CASE tx_type WHEN 'DEBIT' THEN amount END AS debit, CASE tx_type WHEN 'CREDIT' THEN amount END AS credit,

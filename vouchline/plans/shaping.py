@@ -150,6 +150,13 @@ def _(s, d):
     return _parsed(s, d).select("statement_id", "row_number", "txn_date", "value_date")
 
 
+@query("p8_month_first", f"WITH {v.TX} SELECT statement_id, row_number, txn_date FROM tx")
+def _(s, d):
+    """Dates written month first, by banks whose templates say so."""
+    month_first = tp.catalogue(s).withColumn("date_format", F.lit("%m/%d/%Y"))
+    return sh.parse_statements(fx.raw_rows(s, d, "MM/dd/yyyy"), month_first, fx.long_statements(s, d)).select("statement_id", "row_number", "txn_date")
+
+
 @query("p9_repaired_dates", f"WITH {v.TX} SELECT id, txn_date FROM tx")
 def _(s, d):
     tx = fx.transactions(s, d, clients=False)

@@ -214,14 +214,15 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_rows(spark: SparkSession, sf_dir: str, day_format: str | None = None) -> DataFrame:
     """Transactions rendered back to string cells in the order of each bank's template.
 
     Per statement: a title row, a blank row, the header, then up to three rows per transaction (itself, a continuation
-    row for every fourth id, a blank row for every fifth), and a totals row at the end.
+    row for every fourth id, a blank row for every fifth), and a totals row at the end. `day_format` replaces the banks' own ways of
+    writing a date.
     """
     tx = transactions(spark, sf_dir, numbered=True, clients=False)
-    day = F.when(F.col("bank_code") == "hdfc", F.date_format("txn_date", "dd/MM/yy")).when(
+    day = F.date_format("txn_date", day_format) if day_format else F.when(F.col("bank_code") == "hdfc", F.date_format("txn_date", "dd/MM/yy")).when(
         F.col("bank_code") == "axis", F.date_format("txn_date", "dd-MM-yyyy")).otherwise(F.date_format("txn_date", "dd/MM/yyyy"))
     ref = F.concat(F.lit("REF"), F.col("id").cast("string"))
     debit, credit = F.coalesce(F.col("debit").cast("string"), F.lit("")), F.coalesce(F.concat(F.col("credit").cast("string"), F.lit(" Cr")), F.lit(""))

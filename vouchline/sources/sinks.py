@@ -22,34 +22,39 @@ def _optional(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")) if name in df.columns else F.lit("")
 
 
-def csv_rows(tx: DataFrame) -> DataFrame:
-    """The ten export columns per transaction and one TOTAL row per statement, with `sort_key`."""
+def _documents(tx: DataFrame, statements: DataFrame | None) -> DataFrame:
+    """The statements that get a document: those listed, or all of `tx`, whether or not a row is left to export."""
+    return (tx if statements is None else statements).select("statement_id").distinct()
+
+
+def csv_rows(tx: DataFrame, statements: DataFrame | None = None) -> DataFrame:
+    """The ten export columns per transaction and one TOTAL row per statement of `statements` (all of `tx` by default), with `sort_key`."""
     rows = export_rows(tx)
     cells = [
         F.date_format("txn_date", "yyyy-MM-dd"), F.col("narration"),
         F.when(F.col("tx_type") == "DEBIT", F.col("amount").cast("string")).otherwise(""),
         F.when(F.col("tx_type") == "CREDIT", F.coalesce(F.col("amount").cast("string"), F.lit("0.00"))).otherwise(""),
         F.coalesce(F.col("balance").cast("string"), F.lit("")), _optional(rows, "payment_mode"), _optional(rows, "counterparty"),
-        F.coalesce("ledger_name", F.lit("")), F.coalesce(F.col("ocr_confidence").cast("string"), F.lit("")),
+        F.coalesce("ledger_name", F.lit("")), F.coalesce(F.col("ocr_confidence").cast("decimal(4,3)").cast("string"), F.lit("")),
         F.when(F.col("is_reviewed"), "Yes").otherwise("No"),
     ]
     body = rows.select("statement_id", F.col("row_number").cast("long").alias("sort_key"), *[c.alias(n) for c, n in zip(cells, CSV_COLUMNS)])
     blank = F.lit("")
-    total = statement_totals(rows).select(
+    total = _documents(tx, statements).join(statement_totals(rows), "statement_id", "left").select(
         "statement_id", F.lit(LAST).alias("sort_key"), F.lit("TOTAL").alias("Date"), blank.alias("Narration"),
-        F.col("total_debit").cast("string").alias("Debit"), F.col("total_credit").cast("string").alias("Credit"),
+        F.coalesce(F.col("total_debit").cast("string"), F.lit("0.00")).alias("Debit"), F.coalesce(F.col("total_credit").cast("string"), F.lit("0.00")).alias("Credit"),
         *[blank.alias(c) for c in CSV_COLUMNS[4:]],
     )
     return body.unionByName(total)
 
 
-def csv_lines(tx: DataFrame) -> DataFrame:
+def csv_lines(tx: DataFrame, statements: DataFrame | None = None) -> DataFrame:
     """CSV text lines: byte-order mark and titles, rows, TOTAL."""
     def quoted(c: Column) -> Column:
         return F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
-    rows = csv_rows(tx)
-    titles = rows.select("statement_id").distinct().select(
+    rows = csv_rows(tx, statements)
+    titles = _documents(tx, statements).select(
         "statement_id", F.lit(FIRST).cast("long").alias("line_no"), F.lit(BOM + ",".join(CSV_COLUMNS)).alias("line")
     )
     return rows.select(
@@ -117,10 +122,10 @@ def voucher_xml(company_bank: str) -> Column:
 
 
 def xml_lines(tx: DataFrame, company: str = "My Company", bank_ledger: str = "Bank Account", reviewed_only: bool = False,
-              hot: DataFrame | None = None) -> DataFrame:
-    """Voucher document per statement: opening lines, one line per voucher, closing line."""
+              hot: DataFrame | None = None, statements: DataFrame | None = None) -> DataFrame:
+    """Voucher document per statement of `statements` (all of `tx` by default): opening lines, one line per voucher, closing line."""
     rows = export_rows(tx)
-    ids = rows.select("statement_id").distinct()
+    ids = _documents(tx, statements)
     safe = company.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     head = (
         '<?xml version="1.0" encoding="UTF-8"?>\n<ENVELOPE><HEADER><TALLYREQUEST>Import Data</TALLYREQUEST></HEADER><BODY><IMPORTDATA>'

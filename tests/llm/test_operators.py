@@ -319,6 +319,14 @@ def test_leaks(spark, odd, nothing):
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_exact_copies(spark):
+    heavy = "On 3 May 1999 Anna Berg and Tom Hill paid 12 euros 30 cents for 4 kg apples 7 kg pears 2 l milk"
+    items = [(1, "Compute 12 times 7"), (2, "What is 345 + 678?"), (3, heavy), (4, "Berlin lies on which long river"), (5, "12 13"), (6, "Rivers cross the town near which old bridge")]
+    docs = [(i, f"some words before, {t} and some after") for i, t in items] + [(14, "then Paris lies on which long river"), (16, "he said Anna cross the town near which old bridge"), (20, "Compute 13 times 7, what is 345 + 677, 12 of 13")]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i) for i in range(1, 7)} | {(14, 4), (16, 6)}
+
+
 # --- mixing, urls, personal data --------------------------------------------------------------------------------------------------
 
 def test_targets_equal_repeated_sharing(spark):

@@ -1,7 +1,8 @@
 """Documents that hold benchmark passages, also with other numbers, names or units.
 
-Texts become template words: numbers, names (capitalised inside a sentence) and units become typed placeholders, all else is lower-cased
-without surrounding punctuation. Windows of template words of benchmark items and documents meet by hash: a bit table of bounded size,
+Texts become template words in two forms. In the typed form numbers, names (capitalised inside a sentence) and units become typed
+placeholders, all else is lower-cased without surrounding punctuation; the first word of a text counts both as a name and as a word. In
+the plain form every word is lower-cased and stays, so that copies meet whatever they consist of. Windows of template words of benchmark items and documents meet by hash: a bit table of bounded size,
 whatever the size of the benchmark, lets each document keep only windows that some item may have, and a hash join settles the rest. For
 each document and item the windows on one diagonal are laid together; what fills the slots must correspond one to one. A document is
 reported if the consistent stretch covers enough of the item.
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,10 @@ WINDOW, LITERAL = 8, 4
 RUN, SHARE = 13, 0.6
 LOG2_BITS = 23
 
-NUMBER, NAME, UNIT = (U(x) for x in (0x4E554D4245520001, 0x4E414D4500000001, 0x554E495400000001))
+#: Hashes of the placeholders by kind: none, number, unit, name.
+KINDS = np.array([0, 0x4E554D4245520001, 0x554E495400000001, 0x4E414D4500000001], np.uint64)
+#: Forms of a text: with placeholders, and all words as they are.
+TYPED, PLAIN = 0, 1
 # Units of measure, currencies and times that a question may swap.
 UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles g kg mg lb lbs oz ounce ounces gram grams ton tons tonne tonnes l ml liter liters litre "
@@ -74,6 +79,7 @@ class Template:
         words = raw  # same bytes, other ranges, lower case
         words.data = lower(data)
         self.fill = words.hashes(self.starts, self.ends)
+        self.texts = raw.texts
         digits, numeric = np.concatenate(([0], np.cumsum(_DIGIT[data]))), np.concatenate(([0], np.cumsum(_NUMERIC[data])))
         count = lambda sums: sums[self.ends] - sums[self.starts]
         number = (count(digits) > 0) & (count(numeric) == self.ends - self.starts)
@@ -81,22 +87,46 @@ class Template:
         capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
         then = self.starts + 1 + (first >= 0xC3)  # a name goes on in lower case; shouted words do not
         low, after = data[np.minimum(then, len(data) - 1)], data[np.minimum(then + 1, len(data) - 1)]
-        name = capital & ~begins & (then < self.ends) & (((low >= 97) & (low <= 122)) | ((low == 0xC3) & (after >= 0xA0)))
+        shaped = capital & (then < self.ends) & (((low >= 97) & (low <= 122)) | ((low == 0xC3) & (after >= 0xA0)))
         unit = np.isin(self.fill, UNIT_HASHES)
-        self.kind = np.where(number, 1, np.where(unit, 2, np.where(name, 3, 0)))
-        self.hash = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, self.fill)))
-        counts = np.bincount(self.doc, minlength=raw.texts)
-        self.counts, self.first = counts, np.concatenate(([0], np.cumsum(counts)))
+        fixed = np.where(number, 1, np.where(unit, 2, 0))
+        typed = np.where((fixed == 0) & shaped & ~begins, 3, fixed)
+        opens = np.ones(len(self.doc), bool)
+        opens[1:] = self.doc[1:] != self.doc[:-1]
+        other = opens & shaped & (fixed == 0) & (typed == 0)  # first words of texts that may be names
+        self.forms = {TYPED: Form(self, TYPED, typed), PLAIN: Form(self, PLAIN, np.zeros_like(fixed))}
+        self.named = Form(self, TYPED, np.where(other, 3, typed))
+        self.may_be_named = np.zeros(self.texts, bool)
+        self.may_be_named[self.doc[other]] = True
+
+    def windows(self, form: int, k: int, whole: bool) -> Iterator[tuple["Form", np.ndarray, np.ndarray]]:
+        """(form, positions, hashes) of windows of k words; with `whole`, of texts of k words only."""
+        f, g = self.forms[form], self.named
+        yield f, *f.found(f.first[:-1][f.counts == k] if whole else f.windows(k), k)
+        if form == TYPED:
+            at = g.first[:-1][self.may_be_named & (g.counts == k if whole else g.counts >= k)]
+            yield g, *g.found(at, k)
+
+
+class Form:
+    """One reading of the words of a chunk: placeholders stand for the words that have a kind. Positions count from the end of a text."""
+
+    def __init__(self, t: Template, form: int, kind: np.ndarray):
+        self.form, self.kind, self.doc, self.fill = form, kind, t.doc, t.fill
+        self.hash = np.where(kind > 0, KINDS[kind], t.fill)
+        self.counts = np.bincount(self.doc, minlength=t.texts)
+        self.first = np.concatenate(([0], np.cumsum(self.counts)))
 
     def windows(self, k: int) -> np.ndarray:
         n = len(self.doc)
         return np.flatnonzero(self.doc[: n - k + 1] == self.doc[k - 1 :]) if n >= k else np.zeros(0, np.int64)
 
-    def named(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows with enough literal words, and their hashes."""
-        plain = np.concatenate(([0], np.cumsum(self.kind == 0)))
-        at = at[plain[at + k] - plain[at] >= min(LITERAL, k)]
-        return at, mix(sequence_hash(self.hash, at, k) + U(k))
+    def found(self, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Windows with enough literal words (any, if all words are literal by rule), and their hashes."""
+        if self.form != PLAIN:
+            literal = np.concatenate(([0], np.cumsum(self.kind == 0)))
+            at = at[literal[at + k] - literal[at] >= min(LITERAL, k)]
+        return at, mix(sequence_hash(self.hash, at, k) + U(k + (self.form << 32)))
 
 
 def _word_hash(word: str) -> np.uint64:
@@ -106,50 +136,50 @@ def _word_hash(word: str) -> np.uint64:
 
 UNIT_HASHES = np.array([_word_hash(u) for u in UNITS])
 
-ROWS = "hash long, at long, kinds array<int>, fills array<long>"
+ROWS = "form int, hash long, at long, kinds array<int>, fills array<long>"
 
 
-def _emit(t: Template, ids: list[pa.Array], names: list[str], at: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
+def _emit(t: Form, ids: list[pa.Array], names: list[str], at: np.ndarray, h: np.ndarray, k: int) -> pa.RecordBatch:
     flat = (at[:, None] + np.arange(k)).reshape(-1)
     ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * k)
     take = pa.array(t.doc[at])
     return pa.RecordBatch.from_arrays(
-        [*(c.take(take) for c in ids), pa.array(h.view(np.int64)), pa.array(at - t.first[t.doc[at]]), pa.ListArray.from_arrays(ends, pa.array(t.kind[flat].astype(np.int32))),
-         pa.ListArray.from_arrays(ends, pa.array(t.fill[flat].view(np.int64)))], [*names, "hash", "at", "kinds", "fills"])
+        [*(c.take(take) for c in ids), pa.array(np.full(len(at), t.form, np.int32)), pa.array(h.view(np.int64)), pa.array(at - t.first[t.doc[at] + 1]), pa.ListArray.from_arrays(ends, pa.array(t.kind[flat].astype(np.int32))),
+         pa.ListArray.from_arrays(ends, pa.array(t.fill[flat].view(np.int64)))], [*names, "form", "hash", "at", "kinds", "fills"])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in chunks(batch.column("text")):
             t = Template(data, offsets)
-            size = pa.array(t.counts)
-            ids = [batch.column("item_id")[i:j], size]
-            at, h = t.named(t.windows(window), window)
-            yield _emit(t, ids, ["item_id", "size"], at, h, window)
-            for k in range(1, window):  # short items are one window of their own length
-                short = t.first[:-1][t.counts == k]
-                at, h = t.named(short, k)
-                if len(at):
-                    yield _emit(t, ids, ["item_id", "size"], at, h, k)
-
-
-def _document_windows(batches: Iterator[pa.RecordBatch], lengths: list[int], shared) -> Iterator[pa.RecordBatch]:
+            for form in t.forms:
+                for k in range(1, window + 1):  # short items are one window of their own length
+                    for f, at, h in t.windows(form, k, k < window):
+                        if len(at):
+                            yield _emit(f, [batch.column("item_id")[i:j], pa.array(f.counts)], ["item_id", "size"], at, h, k)
+
+
+def _document_windows(batches: Iterator[pa.RecordBatch], lengths: list[tuple[int, int]], shared) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in chunks(batch.column("text")):
             t = Template(data, offsets)
-            for k in lengths:
-                at, h = t.named(t.windows(k), k)
-                hit = bits_hold(shared.value, h)
-                if hit.any():
-                    yield _emit(t, [batch.column("doc_id")[i:j], batch.column("row")[i:j]], ["doc_id", "row"], at[hit], h[hit], k)
+            for form, k in lengths:
+                for f, at, h in t.windows(form, k, False):
+                    hit = bits_hold(shared.value, h)
+                    if hit.any():
+                        yield _emit(f, [batch.column("doc_id")[i:j], batch.column("row")[i:j]], ["doc_id", "row"], at[hit], h[hit], k)
 
 
 def _stretch(doc_at, item_at, kinds, doc_fills, item_fills) -> tuple[int, int, int]:
     """(template words, windows, slots) of the longest consistent stretch of one document and item: same diagonal, no gap between
-    windows, and a one-to-one match between what fills the slots. A conflict starts a new stretch."""
+    windows, and a one-to-one match between what fills the slots. A conflict starts a new stretch. Of two readings of one window of the same
+    length, that with fewer slots counts."""
     best = (0, 0, 0)
-    last, begin, windows, ahead, back = None, 0, 0, {}, {}
-    for d, b, k, x, y in sorted(zip(doc_at, item_at, kinds, doc_fills, item_fills), key=lambda r: (r[0] - r[1], r[0])):
+    last, begin, windows, ahead, back, seen = None, 0, 0, {}, {}, None
+    for d, b, k, x, y in sorted(zip(doc_at, item_at, kinds, doc_fills, item_fills), key=lambda r: (r[0] - r[1], r[0], len(r[2]), sum(map(bool, r[2])))):
+        if seen == (d, b, len(k)):
+            continue
+        seen = (d, b, len(k))
         pairs = [(int(k[i]), int(y[i]), int(x[i])) for i in range(len(k)) if k[i]]
         joined = last is not None and d - b == last[1] and d <= last[0]
         fits = all(ahead.get((c, p), q) == q and back.get((c, q), p) == p for c, p, q in pairs)
@@ -162,15 +192,25 @@ def _stretch(doc_at, item_at, kinds, doc_fills, item_fills) -> tuple[int, int, i
         for c, p, q in pairs:
             ahead[c, p] = q
             back[c, q] = p
-        last = (d + len(k), d - b)
+        last = (max(d + len(k), last[0]) if joined and fits else d + len(k), d - b)
         best = max(best, (last[0] - begin, windows, len(ahead)))
     return best
 
 
-def _checked(key: tuple, table_: pa.Table) -> pa.Table:
-    words, windows, slots = _stretch(*(table_.column(c).to_pylist() for c in ("at", "item_at", "kinds", "fills", "item_fills")))
-    return pa.table({"doc_id": [key[0].as_py()], "row": [key[1].as_py()], "item_id": [key[2].as_py()], "n_template_words": [words], "n_windows": [windows], "n_slots": [slots], "size": [table_.column("size")[0].as_py()]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item_id", pa.int64()), ("n_template_words", pa.int64()), ("n_windows", pa.int64()), ("n_slots", pa.int64()), ("size", pa.int64())]))
+FOUND = "doc_id long, row long, item_id long, n_template_words long, n_windows long, n_slots long, size long"
+
+
+def _checked(key: tuple, table_: pa.Table, run: int, share: float) -> pa.Table:
+    """The best form of a document and item: one that is reported, and of these that with most words."""
+    best = None
+    for form in sorted(table_.column("form").unique().to_pylist()):
+        part = table_.filter(pc.equal(table_.column("form"), form))
+        words, windows, slots = _stretch(*(part.column(c).to_pylist() for c in ("at", "item_at", "kinds", "fills", "item_fills")))
+        size = pc.max(part.column("size")).as_py()
+        mine = (words >= run or words >= share * size, words, slots, windows, size)
+        best = mine if best is None else max(best, mine)
+    _, words, slots, windows, size = best
+    return pa.table([[x] for x in (*(k.as_py() for k in key), words, windows, slots, size)], schema=pa.schema([(c.split()[0], pa.int64()) for c in FOUND.split(", ")]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int = RUN, share: float = SHARE) -> DataFrame:
@@ -182,14 +222,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, run: int
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), as_bytes()).mapInArrow(lambda it: _item_windows(it, window), "item_id long, size long, " + ROWS)
     items = written(items, "item-windows")
-    lengths = sorted(r[0] for r in items.select(F.size("kinds")).distinct().collect())  # at most `window` numbers
+    lengths = sorted(tuple(r) for r in items.select("form", F.size("kinds")).distinct().collect())  # at most `window` numbers a form
     shared = spark.sparkContext.broadcast(bits_table(items, "hash", LOG2_BITS))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), as_bytes())
     found = texts.mapInArrow(lambda it: _document_windows(it, lengths, shared), "doc_id long, row long, " + ROWS)
-    items = items.select("item_id", "size", "hash", F.col("at").alias("item_at"), F.col("kinds").alias("item_kinds"), F.col("fills").alias("item_fills"))
-    met = found.join(items, "hash").where("kinds = item_kinds").dropDuplicates(["doc_id", "row", "item_id", "at", "item_at"])
-    met = met.select("doc_id", "row", "item_id", "size", "at", "item_at", "kinds", "fills", "item_fills")
-    checked = met.groupBy("doc_id", "row", "item_id").applyInArrow(lambda key, rows: _checked(key, rows), "doc_id long, row long, item_id long, n_template_words long, n_windows long, n_slots long, size long")
+    items = items.select("item_id", "size", "form", "hash", F.col("at").alias("item_at"), F.col("kinds").alias("item_kinds"), F.col("fills").alias("item_fills"))
+    met = found.join(items, ["form", "hash"]).where("kinds = item_kinds").dropDuplicates(["doc_id", "row", "item_id", "form", "hash", "at", "item_at"])
+    met = met.select("doc_id", "row", "item_id", "form", "size", "at", "item_at", "kinds", "fills", "item_fills")
+    checked = met.groupBy("doc_id", "row", "item_id").applyInArrow(lambda key, rows: _checked(key, rows, run, share), FOUND)
     enough = (F.col("n_template_words") >= run) | (F.col("n_template_words") >= share * F.col("size"))
     return checked.where(enough).withColumn("share", F.least(F.lit(1.0), F.col("n_template_words") / F.col("size"))).drop("size")
 

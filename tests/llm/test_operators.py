@@ -327,6 +327,52 @@ def test_leaks_of_exact_copies(spark):
     assert got == {(i, i) for i in range(1, 7)} | {(14, 4), (16, 6)}
 
 
+def test_leaks_in_other_case_and_of_other_word_counts(spark):
+    item = "Well Tom has 12 apples and he gives 5 apples to Anna before lunch how many apples are left for Tom"
+    greek = "Ο μικρός Τομ έχει δώδεκα μήλα και πέντε αχλάδια στο σπίτι του"
+    docs = [
+        (1, item.upper()), (2, item.lower()), (3, item.upper().replace("12", "30").replace("5", "7") + " OK"), (4, greek.upper().replace("Ό", "Ο")),
+        (5, "then Mary Ann Smith has 2 500 apples and he gives 7 apples to Eve Jones before lunch how many apples are left for Mary Ann Smith"),
+        (6, "WELL TOM HAS 12 PEARS AND HE TAKES 5 PEARS FROM ANNA"),
+    ]
+    bench = spark.createDataFrame([(1, item), (2, greek)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 1)}
+    texts = ["Éa ÀÖ×ß Ωσς ЖЁя Ạẞ İi 語 x", "", "é", "Ё"]
+    assert decontaminate.lower(np.frombuffer("".join(texts).encode(), np.uint8)).tobytes().decode() == "éa àö×ß ωσσ жёя ạẞ İi 語 xéё"
+
+
+def test_leaks_equal_plain_windows(spark):
+    """Brute force over texts without numbers, names and units, where all forms are one; with them, nothing plain is missed."""
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice('bcd')}{rng.choice('aeo')}{rng.choice('xyz')}{rng.choice('aeo')}"
+    plain = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+
+    def longest(a, b):
+        best, row = 0, [0] * (len(b) + 1)
+        for x in a:
+            row = [0] + [row[j] + 1 if x == y else 0 for j, y in enumerate(b)]
+            best = max(best, *row)
+        return best
+
+    for numbers in (False, True):
+        items = [(i, " ".join(str(rng.randrange(50)) if numbers and rng.random() < 0.5 else word() for _ in range(rng.randrange(2, 30)))) for i in range(40)]
+        docs = []
+        for d in range(150):
+            w = rng.choice(items)[1].split()
+            cut = rng.randrange(len(w))
+            text = " ".join([word() for _ in range(rng.randrange(9))] + w[cut // 2 : cut // 2 + rng.randrange(1, 30)] + [word() for _ in range(rng.randrange(9))])
+            docs.append((d, rng.choice([str.upper, str.lower, str.title if numbers else str.lower])(text)))
+        want = set()
+        for d, t in docs:
+            for i, x in items:
+                n, size = longest(plain(t), plain(x)), len(plain(x))
+                if n >= min(decontaminate.WINDOW, size) and (n >= decontaminate.RUN or n >= decontaminate.SHARE * size):
+                    want.add((d, i))
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        assert len(want) > 50 and (want <= got if numbers else got == want)
+
+
 # --- mixing, urls, personal data --------------------------------------------------------------------------------------------------
 
 def test_targets_equal_repeated_sharing(spark):

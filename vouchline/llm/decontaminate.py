@@ -1,8 +1,9 @@
 """Documents that hold benchmark passages, also with other numbers, names or units.
 
-Texts become template words in two forms. In the typed form numbers, names (capitalised inside a sentence) and units become typed
-placeholders, all else is lower-cased without surrounding punctuation; the first word of a text counts both as a name and as a word. In
-the plain form every word is lower-cased and stays, so that copies meet whatever they consist of. Windows of template words of benchmark items and documents meet by hash: a bit table of bounded size,
+Texts become template words in three forms. In the typed form numbers, names (capitalised inside a sentence) and units become typed
+placeholders, one for each run of one kind, all else is lower-cased without surrounding punctuation; the first word of a text counts
+both as a name and as a word. In the plain form every word is lower-cased and stays, so that copies meet whatever they consist of and in
+whatever letter case; in the folded form only numbers and units become placeholders, for copies in other case with other numbers. Windows of template words of benchmark items and documents meet by hash: a bit table of bounded size,
 whatever the size of the benchmark, lets each document keep only windows that some item may have, and a hash join settles the rest. For
 each document and item the windows on one diagonal are laid together; what fills the slots must correspond one to one. A document is
 reported if the consistent stretch covers enough of the item.
@@ -29,8 +30,8 @@ LOG2_BITS = 23
 
 #: Hashes of the placeholders by kind: none, number, unit, name.
 KINDS = np.array([0, 0x4E554D4245520001, 0x554E495400000001, 0x4E414D4500000001], np.uint64)
-#: Forms of a text: with placeholders, and all words as they are.
-TYPED, PLAIN = 0, 1
+#: Forms of a text: with placeholders, all words as they are, and with placeholders for what does not go by letter case.
+TYPED, PLAIN, FOLDED = 0, 1, 2
 # Units of measure, currencies and times that a question may swap.
 UNITS = (
     "mm cm m km inch inches ft foot feet yard yards mile miles g kg mg lb lbs oz ounce ounces gram grams ton tons tonne tonnes l ml liter liters litre "
@@ -47,11 +48,35 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _lower_points() -> np.ndarray:
+    """Lower case of each code point below 2^16 that keeps its length in UTF-8; a final sigma counts as a sigma."""
+    out = np.arange(1 << 16, dtype=np.int64)
+    for point in range(128, 1 << 16):
+        small = chr(point).lower()
+        if len(small) == 1 and ord(small) != point and (ord(small) < 0x800) == (point < 0x800) and 128 <= ord(small) < 1 << 16:
+            out[point] = ord(small)
+    out[0x3C2] = 0x3C3
+    return out
+
+
+_POINTS = _lower_points()
+
+
 def lower(data: np.ndarray) -> np.ndarray:
-    """Lower case of ASCII and Latin-1 letters, which keeps the length in bytes."""
+    """Lower case of all letters of up to three bytes whose small letter has the same length in bytes."""
     out = _LOWER[data]
-    accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
-    out[accented] += 0x20
+    for length, low, high in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF)):
+        at = np.flatnonzero((data >= low) & (data <= high))
+        at = at[at + length <= len(data)]
+        if not len(at):
+            continue
+        lead, tail = data[at].astype(np.int64), data[at + 1].astype(np.int64) & 63
+        point = (lead & 31) << 6 | tail if length == 2 else (lead & 15) << 12 | tail << 6 | data[at + 2].astype(np.int64) & 63
+        small = _POINTS[point]
+        changed = small != point
+        at, small = at[changed], small[changed]
+        for i in range(length):
+            out[at + i] = (0x80 | small >> 6 * (length - 1 - i) & 63) if i else ((0xC0 if length == 2 else 0xE0) | small >> 6 * (length - 1))
     return out
 
 
@@ -94,7 +119,7 @@ class Template:
         opens = np.ones(len(self.doc), bool)
         opens[1:] = self.doc[1:] != self.doc[:-1]
         other = opens & shaped & (fixed == 0) & (typed == 0)  # first words of texts that may be names
-        self.forms = {TYPED: Form(self, TYPED, typed), PLAIN: Form(self, PLAIN, np.zeros_like(fixed))}
+        self.forms = {TYPED: Form(self, TYPED, typed), PLAIN: Form(self, PLAIN, np.zeros_like(fixed)), FOLDED: Form(self, FOLDED, fixed)}
         self.named = Form(self, TYPED, np.where(other, 3, typed))
         self.may_be_named = np.zeros(self.texts, bool)
         self.may_be_named[self.doc[other]] = True
@@ -104,16 +129,24 @@ class Template:
         f, g = self.forms[form], self.named
         yield f, *f.found(f.first[:-1][f.counts == k] if whole else f.windows(k), k)
         if form == TYPED:
-            at = g.first[:-1][self.may_be_named & (g.counts == k if whole else g.counts >= k)]
+            # where the first name goes on in a second word, the window from that on is the same
+            at = g.first[:-1][self.may_be_named & (g.counts == k if whole else (g.counts >= k) & (g.counts == f.counts))]
             yield g, *g.found(at, k)
 
 
 class Form:
-    """One reading of the words of a chunk: placeholders stand for the words that have a kind. Positions count from the end of a text."""
+    """One reading of the words of a chunk: one placeholder stands for each run of words of one kind. Positions count from the end of a text."""
 
     def __init__(self, t: Template, form: int, kind: np.ndarray):
         self.form, self.kind, self.doc, self.fill = form, kind, t.doc, t.fill
-        self.hash = np.where(kind > 0, KINDS[kind], t.fill)
+        goes_on = np.zeros(len(kind), bool)
+        goes_on[1:] = (kind[1:] > 0) & (kind[1:] == kind[:-1]) & (t.doc[1:] == t.doc[:-1])
+        if goes_on.any():
+            heads = np.flatnonzero(~goes_on)
+            place = np.arange(len(kind)) - heads[np.cumsum(~goes_on) - 1]
+            spread = np.where(place > 0, mix(t.fill + mix(place.astype(np.uint64))), t.fill)
+            self.kind, self.doc, self.fill = kind[heads], t.doc[heads], np.add.reduceat(spread, heads)
+        self.hash = np.where(self.kind > 0, KINDS[self.kind], self.fill)
         self.counts = np.bincount(self.doc, minlength=t.texts)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))
 

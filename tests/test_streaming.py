@@ -1,8 +1,12 @@
 import datetime
+import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from tests.agreement import compare, duck
 from vouchline.operators import shape as sh
+from vouchline.plans import catalog
 from vouchline.session import work_dir
 from vouchline.sources import templates as tp
 from vouchline.streaming import jobs
@@ -81,3 +85,15 @@ def test_late_status_counts(spark):
 def test_second_run_adds_nothing(spark):
     rows = spark.createDataFrame([(1, 0), (2, 0)], "statement_id long, row_idx long")
     assert [r.statement_id for r in sh.unparsed_only(rows, spark.createDataFrame([(2,), (2,)], "statement_id long")).collect()] == [1]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_enriched_stream_is_compared_with_all_rows(spark):
+    con = duck(SF)
+    note, _, good = compare(spark, con, SF, "t4", catalog.QUERIES["t4_enrich_stream_whole"], catalog.SQL["t4_enrich_stream_whole"])
+    assert good, note
+    orders, more = con.execute("SELECT count(*), count(*) FILTER (o_orderkey % 4 = 0) FROM orders JOIN customer ON o_custkey = c_custkey").fetchone()
+    assert note == f"ok {orders} rows" and 0 < more < orders

@@ -259,13 +259,25 @@ def _parsed_stream(s, d, enrich):
   CASE WHEN h.id IS NOT NULL THEN 'rule' ELSE 'heuristic' END AS source FROM en LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON h.id = en.id WHERE en.id % 4 <> 0""")
 def _(s, d):
     """Rules and the heuristic on fresh rows; the rows whose narration goes on in a second row are left out of the result."""
-    def enrich(parsed):
-        return en.enrich(fx.with_clients(parsed, s, d), fx.rules(s, d))
-
-    done = _parsed_stream(s, d, enrich).filter(~F.col("narration").contains(" MORE "))
+    done = _enriched_stream(s, d).filter(~F.col("narration").contains(" MORE "))
     return done.select("statement_id", "row_number", "suggested_ledger", "source")
 
 
+def _enriched_stream(s, d):
+    return _parsed_stream(s, d, lambda parsed: en.enrich(fx.with_clients(parsed, s, d), fx.rules(s, d)))
+
+
+# The transactions as they are parsed: with the narration of a second row.
+CONTINUED = v.TX.replace(", tx AS (", ", tx0 AS (") + ", tx AS (SELECT * REPLACE (narration || CASE WHEN id % 4 = 0 THEN ' MORE ' || id ELSE '' END AS narration) FROM tx0)"
+
+
+@query("t4_enrich_stream_whole", f"""WITH {v.EN.replace(v.TX, CONTINUED)}, {v.RULED} SELECT statement_id, row_number, narration, coalesce(h.ledger_name, suggested_ledger) AS suggested_ledger,
+  CASE WHEN h.id IS NOT NULL THEN 'rule' ELSE 'heuristic' END AS source FROM en LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON h.id = en.id""")
+def _(s, d):
+    """Rules and the heuristic on all fresh rows, also those whose narration goes on in a second row, which may come in another batch."""
+    return _enriched_stream(s, d).select("statement_id", "row_number", "narration", "suggested_ledger", "source")
+
+
 LATEST = f"WITH {v.EVENTS} SELECT statement_id, arg_max(status, {{'t': ts, 'e': event_id}}) AS status, CAST(count(*) AS BIGINT) AS changes FROM ev GROUP BY ALL"
 
 

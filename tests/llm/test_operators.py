@@ -262,6 +262,16 @@ def test_language(spark, odd, nothing):
     assert language.learn_dictionaries(nothing) == {}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(15)
+    words = {f"l{n:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for n in range(150)}
+    docs = [(i, " ".join(rng.choice(w) for _ in range(40)), n) for n, w in words.items() for i in range(2 if n > "l100" else 1)]
+    tools = language.learn_dictionaries(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert sorted(tools) == sorted(words) and len(tools) > language.GROUP
+    frame = spark.createDataFrame([(" ".join(w * 2), n) for n, w in words.items()], "text string, lang string")
+    assert language.classify(frame, tools).where("lang_pred <> lang or rejected").count() == 0
+
+
 def test_quality_counts(spark, odd, nothing):
     texts = ["a b c d e f a b c d e g", "x\nx\n\n \nx y\nx y", "#$ é*é", "aaa " * 20]
     docs = rows(odd, "doc_id", "text") + [(700 + i, t) for i, t in enumerate(texts)]

@@ -107,6 +107,17 @@ def test_near_duplicates(spark, odd, k, percent, block):
     assert many(rows(neardup.near_duplicates(frame, k=k, percent=percent, block=block))) == brute_groups(docs, k, percent)
 
 
+def test_only_loose_members_meet_all(spark):
+    loose = set(range(0, 60, 12))
+    opened = spark.range(60).select(F.lit(7).alias("key"), F.col("id").alias("node"), F.lit(60).alias("n"), F.lit(len(loose)).alias("n_loose"), F.col("id").isin(*loose).alias("loose"))
+    blocks = collections.defaultdict(list)
+    for r in neardup.in_blocks(opened, 4).collect():
+        blocks[r.p, r.q].append((r.node, r.side))
+    met = many(tuple(sorted((x, y))) for held in blocks.values() for i, (x, s) in enumerate(held) for y, t in held[i + 1 :] if s == 2 or s != t)
+    assert met == {(x, y): 1 for x in range(60) for y in range(x + 1, 60) if x in loose or y in loose}
+    assert sum(map(len, blocks.values())) <= 2 * 55 + 5 * (2 + 14)
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert rows(neardup.near_duplicates(nothing)) == []
 

@@ -164,6 +164,23 @@ def _blocks(frame: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
+def in_blocks(opened: DataFrame, block: int) -> DataFrame:
+    """key, node, p, q, side: the blocks (p, q) in which each member of opened(key, node, n, n_loose, loose) is compared.
+
+    Loose members meet all members. The others are linked to the pivot, so they are one component already: no block holds two of theirs
+    to compare, and they are copied by the number of loose members, not by the size of the bucket.
+    """
+    size = lambda count: F.ceil(count / block).cast("int")
+    first, rest = size(F.col("n_loose")), size(F.col("n") - F.col("n_loose"))
+    h = F.xxhash64("node")
+    own = F.when(F.col("loose"), F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("rest"))).cast("int")
+    last = F.when(F.col("loose"), F.col("first") + F.col("rest")).otherwise(F.col("first")) - 1
+    placed = opened.withColumns({"first": first, "rest": rest}).select("key", "node", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return placed.select(
+        "key", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `docs`.
 
@@ -199,17 +216,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     met = written(met.mapInArrow(lambda it: _verified(it, percent), "a long, b long, good boolean").groupBy("a", "b").agg(F.max("good").alias("good")), "verified")
     links = met.where("good").select("a", "b")
 
-    # buckets that are not settled by their pivot, one for each set of members
+    # buckets that are not settled by their pivot, one for each set of members (the same members have the same pivot)
+    loose = ~F.coalesce("good", F.col("node") == F.col("pivot"))
+    verdicts = met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "good")
     open_ = (
-        stars.join(met.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "good"), ["node", "pivot"], "left")
-        .groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce("good", F.col("node") == F.col("pivot"))).alias("settled"),
+        stars.join(verdicts, ["node", "pivot"], "left")
+        .groupBy("key").agg(F.count("*").alias("n"), F.count_if(loose).alias("n_loose"), F.first("pivot").alias("pivot"),
                             F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-        .where("n > 2 and not settled").groupBy("n", "x", "y").agg(F.min("key").alias("key")))
-    size = F.ceil(F.col("n") / block).cast("int")
-    placed = members.join(open_.select("key", size.alias("blocks")), "key").select("key", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own"))
-    placed = placed.select("key", "node", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select(
-        "key", "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-        F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"))
+        .where("n > 2 and n_loose > 0").groupBy("n", "n_loose", "x", "y").agg(F.min("key").alias("key"), F.min_by("pivot", "key").alias("pivot")))
+    opened = members.join(open_.select("key", "n", "n_loose", "pivot"), "key").join(verdicts, ["node", "pivot"], "left").withColumn("loose", loose)
+    placed = in_blocks(opened, block)
     found = placed.join(sets, "node").groupBy("key", "p", "q").applyInArrow(lambda t: _blocks(t, percent), "a long, b long")
 
     groups = components(links.union(found.select("a", "b")).union(ties))

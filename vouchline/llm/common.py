@@ -142,6 +142,22 @@ def chunks(texts, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np
         i = j
 
 
+def gathered(batches: Iterator, limit: int = 8 * CHUNK) -> Iterator:
+    """Record batches of about `limit` bytes, from smaller ones that follow each other."""
+    import pyarrow as pa
+
+    wait, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            wait.append(batch)
+            held += batch.nbytes
+        if held >= limit:
+            yield from pa.Table.from_batches(wait).combine_chunks().to_batches()
+            wait, held = [], 0
+    if wait:
+        yield from pa.Table.from_batches(wait).combine_chunks().to_batches()
+
+
 def as_bytes(name: str = "text") -> Column:
     return F.col(name).cast("binary").alias(name)
 

@@ -1,4 +1,4 @@
-"""Registered queries of this folder and their SQL: `op1_...` to `op10_...` and `pipeline`."""
+"""Registered queries of this folder and their SQL: `op1_...` to `op13_...` and `pipeline`."""
 
 from __future__ import annotations
 

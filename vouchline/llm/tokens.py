@@ -24,21 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouchline.llm.common import U, as_bytes, mix, table, written
+from vouchline.llm.common import U, chunks, gathered, mix, table, written
 from vouchline.llm.registry import query
 from vouchline.session import work_dir
 
 END_ID = 2
-#: Words whose ids a worker remembers; beyond it the memory starts anew with the next text.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers; beyond it the memory starts anew with the next batch.
+CACHE_WORDS = 1_000_000
 #: Ids of a shard before a new one begins: bounds what a task holds in memory.
 SHARD_IDS = 1 << 23
 GAMMA = 2
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Text that is encoded at once.
+ENCODE_BYTES = 1 << 22
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 
 
 class WordEncoder:
-    """Ids of whole texts for a vocabulary whose pre-tokens never cross white space and end in a mark: words are encoded once and remembered."""
+    """Ids of whole texts for a vocabulary whose pre-tokens never cross white space and end in a mark.
+
+    Each distinct word of a batch is looked up once; its ids stand in one long array, from which numpy gathers those of all texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,47 +55,84 @@ class WordEncoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.stops = {"": [], **{s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in ".,"}}
-        self.words: dict[bytes, bytes] = {}
-        self.letters: dict[str, list[int]] = {}
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _learn(self, new: list[bytes]) -> None:
-        split, odd = [], []
-        for word in new:
-            m = _PLAIN.fullmatch(text := word.decode())
-            (split if m else odd).append((word, m[1].lower(), m[2]) if m else (word, text))
-        ask = list({stem for _, stem, _ in split if stem not in self.letters})
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {"": 0}
+        self.first, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, f"<u{self.width}")
+
+    def _list(self, words: list[str], first: np.ndarray, size: np.ndarray) -> None:
+        self.words.update(zip(words, range(len(self.size), len(self.size) + len(words))))
+        self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
+
+    def _list_ids(self, words: list[str], ids: list[int] | np.ndarray, size: np.ndarray) -> None:
+        self._list(words, len(self.ids) + np.cumsum(size) - size, size)
+        self.ids = np.concatenate((self.ids, np.asarray(ids, self.ids.dtype)))
+
+    def _gather(self, place: np.ndarray) -> np.ndarray:
+        """The ids of listed words, one after another."""
+        size = self.size[place]
+        before = np.cumsum(size) - size
+        return self.ids[np.repeat(self.first[place] - before, size) + np.arange(int(size.sum()))]
+
+    def _find(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def _learn(self, new: pa.Array) -> None:
+        """Plain words go by their lower-case letters, many to a call; a stop behind them and all other words are encoded for themselves."""
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(new, _PLAIN)
+        some = new.filter(plain)
+        stems = pc.utf8_lower(pc.utf8_rtrim(some, ".,"))
+        ask = [w for w in stems.unique().to_pylist() if w not in self.words]
         if ask:
             groups = [" ".join(ask[i : i + 256]) for i in range(0, len(ask), 256)]
             flat = np.array([i for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False) for i in e.ids])
             ends = np.flatnonzero(self.last[flat]) + 1
             if len(ends) != len(ask):
                 raise ValueError("this vocabulary does not mark the end of each word")
-            flat, start = flat.tolist(), 0
-            for stem, end in zip(ask, ends.tolist()):
-                self.letters[stem] = flat[start:end]
-                start = end
-        for word, stem, stop in split:
-            self.words[word] = self._pack(self.letters[stem] + self.stops[stop])
+            self._list_ids(ask, flat, np.diff(ends, prepend=0))
+        place = self._find(stems.to_pylist())
+        for stop, ids in self.stops.items():
+            mine = pc.ends_with(some, stop) if stop else pc.invert(pc.match_substring_regex(some, "[.,]$"))
+            words, at = some.filter(mine).to_pylist(), place[mine.to_numpy(zero_copy_only=False)]
+            if not stop:
+                self._list(words, self.first[at], self.size[at])
+            elif words:
+                size = self.size[at]
+                self._list_ids(words, np.insert(self._gather(at).astype(np.int64), np.repeat(np.cumsum(size), len(ids)), np.tile(ids, len(words))), size + len(ids))
+        odd = new.filter(pc.invert(plain)).to_pylist()
         if odd:
-            for (word, _), e in zip(odd, self.tokenizer.encode_batch_fast([t for _, t in odd], add_special_tokens=False)):
-                self.words[word] = self._pack(e.ids)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self._list_ids(odd, [i for ids in found for i in ids], np.fromiter(map(len, found), np.int64, len(found)))
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where each word is listed; new ones are learnt together."""
+        if len(self.words) > CACHE_WORDS:
+            self._forget()
+        names, known = words.to_pylist(), self.words.get
+        place = np.fromiter((known(w, -1) for w in names), np.int64, len(names))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self._learn(words.take(pa.array(new)))
+            place[new] = self._find([names[i] for i in new.tolist()])
+        return place
+
+    def encode_all(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id behind it; how many each text has). `texts` are strings without nulls."""
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts)  # at the same six bytes; white space at either end leaves an empty word, which has no ids
+        words = split.flatten().dictionary_encode()
+        place = self._places(words.dictionary)[words.indices.to_numpy()]
+        ends = np.cumsum(np.bincount(pc.list_parent_indices(split).to_numpy(), minlength=len(texts)))
+        before = np.concatenate(([0], np.cumsum(self.size[place])))[ends]
+        return np.insert(self._gather(place), before, end_id), np.diff(before, prepend=0) + 1
 
     def encode(self, text: bytes, end_id: int) -> bytes:
-        words = text.split()
-        known = self.words
-        try:
-            body = [known[w] for w in words]
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                self.letters.clear()
-            self._learn([w for w in set(words) if w not in known])
-            body = [known[w] for w in words]
-        body.append(self._pack([end_id]))
-        return b"".join(body)
+        return self.encode_all(pa.array([text.decode()], pa.string()), end_id)[0].tobytes()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -145,7 +187,13 @@ def _file_system(path: str):
 
     if "://" not in path and not path.startswith("file:"):
         return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", path)))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would give it, so that the tasks' own reads and writes go to the same store as Spark's."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def write_shard(path: str, doc_id: np.ndarray, nth: np.ndarray, bodies: list[bytes], width: int) -> None:
@@ -223,16 +271,18 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_
             [pa.array([part] * n, pa.int32()), pa.array([number] * n, pa.int32()), pa.array([path] * n), pa.array(ids, pa.int64()), pa.array(nth),
              pa.array([len(b) // tool.width for b in bodies], pa.int64())], ["part", "shard", "path", "doc_id", "nth", "n_tokens"])
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            raw = text.as_buffer()
-            body = tool.encode(raw.to_pybytes() if raw is not None else b"", end_id)
-            ids.append(doc_id)
-            bodies.append(body)
-            count += len(body) // tool.width
-            if count >= SHARD_IDS:
-                yield close()
-                ids, bodies, count, number = [], [], 0, number + 1
+    for batch in gathered(batches, ENCODE_BYTES):
+        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+        for i, j, _, _ in chunks(texts.cast(pa.binary()), ENCODE_BYTES):
+            flat, lengths = tool.encode_all(texts.slice(i, j - i), end_id)
+            raw, cuts = flat.tobytes(), (np.cumsum(lengths) * tool.width).tolist()
+            for doc_id, start, end in zip(keys[i:j], [0, *cuts], cuts):
+                ids.append(doc_id)
+                bodies.append(raw[start:end])
+                count += (end - start) // tool.width
+                if count >= SHARD_IDS:
+                    yield close()
+                    ids, bodies, count, number = [], [], 0, number + 1
     if ids:
         yield close()
 
@@ -271,8 +321,8 @@ def write_token_shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, f
     One catalogue row for each row of `docs`. A null or empty text is the end id alone. Null ids come first. Rows that repeat an id
     stand side by side, in an order fixed by their texts, and may continue in the next shard.
     """
-    folder = folder or work_dir(docs.sparkSession, "token-shards")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes())
+    folder = qualified(docs.sparkSession, folder or work_dir(docs.sparkSession, "token-shards"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     by = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     return written(rows.mapInArrow(lambda it: _write(it, folder, vocabulary, end_id), "part int, shard int, path string, doc_id long, nth long, n_tokens long"), "token-catalogue")

@@ -142,7 +142,7 @@ def chunks(texts, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np
         i = j
 
 
-def gathered(batches: Iterator, limit: int = 8 * CHUNK) -> Iterator:
+def gathered(batches: Iterator, limit: int = 2 * CHUNK) -> Iterator:
     """Record batches of about `limit` bytes, from smaller ones that follow each other."""
     import pyarrow as pa
 

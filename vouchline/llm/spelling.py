@@ -1,15 +1,16 @@
 """Spelling variants: words one edit apart, found by walking a trie that is a table of edges.
 
 Nodes are prefixes, named by a 64-bit hash; only prefixes at which words part, end or begin their walk are nodes, so an edge carries
-one or more code points. A state is (word, rest of the word, node, edits so far). Every level joins the states with the edges of their
-nodes: an edge that the rest starts with leads on without an edit; at the first code point that differs the one edit is spent, as a
-replacement, an insertion or a deletion; a state that has spent it follows equal code points only. A state that ends on a word with one
-edit is a neighbour.
+one or more code points. A state is (word, rest of the word, node, edits so far). States without an edit follow their own word, so they
+are the nodes of its way. They are joined with the edges of their nodes that begin with another code point, where the one edit is spent
+as a replacement, an insertion or a deletion. From then on every level joins the states with the one edge that their rest begins with; a
+state that no edge continues is dropped at once, one that ends on a word is a neighbour.
 
 Two words one edit apart share their first or their last half. So each word walks twice, from the node of its first half in the trie of
-all words and from that of its last half in the trie of all words reversed: no state stands near a root, where all words meet.
+all words and from that of its last half in the trie of all words reversed: no state stands near a root, where all words meet. A node
+has at most as many edges as there are letters, so no key multiplies rows without bound.
 
-Each level is written to the shared folder. The number of levels is that of the nodes on the longest way, not of code points.
+Each level is written to the shared folder. The number of levels is that of the nodes on the longest way behind an edit.
 """
 
 from __future__ import annotations
@@ -104,55 +105,57 @@ def _keys(words: DataFrame) -> DataFrame:
     return words.select("word", F.explode(sides).alias("s")).select("word", "s.side", "s.key", F.floor(F.char_length("word") / 2).cast("int").alias("half"))
 
 
-def trie_edges(keys: DataFrame) -> DataFrame:
-    """parent, label, child, child_word (null where no word ends): the edges below the first halves, once each."""
-    prefix = "xxhash64(side, substring(key, 1, at))"
+def trie_steps(keys: DataFrame) -> DataFrame:
+    """side, word, key, half, at, node, ends, child, to, child_word: the nodes on each word's way from its half on, with the next node of it.
+
+    `ends` is the word that ends at the node, or null. A word's way is the prefixes of one word, no more.
+    """
     paths = keys.withColumn("at", F.explode(F.sequence(F.floor((F.char_length("key") - 1) / 2).cast("int"), F.char_length("key"))))
-    paths = paths.select("side", "word", "key", "at", F.expr(prefix).alias("node"), F.expr("substring(key, at + 1, 1)").alias("next"), (F.col("at") == F.col("half")).alias("start"))
-    paths = written(paths.drop("side"), "spelling-paths")
-    nodes = paths.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi"), F.max("start").alias("start"), F.max(F.when(F.col("next") == "", F.col("word"))).alias("ends"))
+    paths = paths.select("side", "word", "key", "half", "at", F.expr("xxhash64(side, substring(key, 1, at))").alias("node"), F.expr("substring(key, at + 1, 1)").alias("next"))
+    paths = written(paths, "spelling-paths")
+    nodes = paths.groupBy("node").agg(F.min("next").alias("lo"), F.max("next").alias("hi"), F.max(F.col("at") == F.col("half")).alias("start"), F.max(F.when(F.col("next") == "", F.col("word"))).alias("ends"))
     nodes = nodes.where("lo <> hi or lo = '' or start").select("node", "ends")
-    # the next node of a word's way; one way is one word, at most as long as that
-    way = Window.partitionBy("word", "key").orderBy("at")
-    steps = paths.join(nodes, "node").select("word", "key", "at", "node", "ends").withColumns({"child": F.lead("node").over(way), "to": F.lead("at").over(way), "child_word": F.lead("ends").over(way)})
-    edges = steps.where("child is not null").select(F.col("node").alias("parent"), F.expr("substring(key, at + 1, to - at)").alias("label"), "child", "child_word")
-    return edges.distinct()
-
-
-#: Code points that the rest and an edge's label share before they differ; 0 if their first ones do.
-_SHARED = """CASE WHEN rest = '' OR substring(rest, 1, 1) <> substring(label, 1, 1) THEN 0
- ELSE coalesce(nullif(array_position(transform(sequence(1, least(char_length(rest), char_length(label))), i -> substring(rest, i, 1) = substring(label, i, 1)), false), 0) - 1,
-               least(char_length(rest), char_length(label))) END"""
-#: States that an edge leads to: (edits, rest).
-_MOVES = """array(
- CASE WHEN startswith(rest, label) THEN struct(edits AS edits, substring(rest, char_length(label) + 1) AS rest) END,
- CASE WHEN edits = 0 AND NOT startswith(rest, label) AND char_length(rest) > same AND startswith(substring(rest, same + 2), substring(label, same + 2))
-      THEN struct(1 AS edits, substring(rest, char_length(label) + 1) AS rest) END,
- CASE WHEN edits = 0 AND NOT startswith(rest, label) AND startswith(substring(rest, same + 1), substring(label, same + 2))
-      THEN struct(1 AS edits, substring(rest, char_length(label)) AS rest) END,
- CASE WHEN edits = 0 AND NOT startswith(rest, label) AND char_length(rest) > same AND startswith(substring(rest, same + 2), substring(label, same + 1))
-      THEN struct(1 AS edits, substring(rest, char_length(label) + 2) AS rest) END)"""
+    way = Window.partitionBy("word", "side").orderBy("at")
+    steps = paths.join(nodes, "node").select("side", "word", "key", "half", "at", "node", "ends")
+    return steps.withColumns({"child": F.lead("node").over(way), "to": F.lead("at").over(way), "child_word": F.lead("ends").over(way)})
+
+
+def trie_edges(steps: DataFrame) -> DataFrame:
+    """parent, first, label, child, child_word, after: each edge once. `after` holds the code points that edges of the child begin with."""
+    edges = steps.where("child is not null").select(F.col("node").alias("parent"), F.expr("substring(key, at + 1, 1)").alias("first"), F.expr("substring(key, at + 1, to - at)").alias("label"), "child", "child_word")
+    edges = written(edges.distinct(), "spelling-edges")
+    after = edges.groupBy("parent").agg(F.array_join(F.collect_set("first"), "").alias("after")).withColumnRenamed("parent", "child")
+    return edges.join(after, "child", "left").withColumn("after", F.coalesce("after", F.lit("")))
+
+
+#: What is left of the word after an edge on which the one edit is spent: a replacement, an insertion, a deletion.
+_SPENT = """explode(array(
+ CASE WHEN rest <> '' AND startswith(substring(rest, 2), substring(label, 2)) THEN substring(rest, char_length(label) + 1) END,
+ CASE WHEN startswith(rest, substring(label, 2)) THEN substring(rest, char_length(label)) END,
+ CASE WHEN rest <> '' AND startswith(substring(rest, 2), label) THEN substring(rest, char_length(label) + 2) END))"""
+#: Whether a state with the edit spent ends on a word or has an edge to go on.
+_LIVES = "(rest = '' AND child_word IS NOT NULL) OR (rest <> '' AND contains(after, substring(rest, 1, 1)))"
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """word, near: all pairs of `words` (distinct) that differ by exactly one inserted, deleted or replaced code point, both ways."""
-    keys = _keys(words.select("word"))
-    edges = written(trie_edges(keys), "spelling-edges")
-    states = keys.select("word", F.lit(0).alias("edits"), F.expr("substring(key, half + 1)").alias("rest"), F.expr("xxhash64(side, substring(key, 1, half))").alias("node"))
-    found = None
+    steps = written(trie_steps(_keys(words.select("word"))), "spelling-steps")
+    edges = written(trie_edges(steps), "spelling-trie")
+    # without an edit a word goes its own way only, so its states without one are known: the nodes of that way
+    own = steps.where("at >= half")
+    found = own.where("ends is not null and char_length(key) = at + 1").select("word", F.col("ends").alias("near"))
+    states = own.select("word", "node", F.expr("substring(key, at + 1)").alias("rest"))
+    met = states.join(edges, (F.col("node") == F.col("parent")) & (F.substring("rest", 1, 1) != F.col("first")))
+    moved = met.select("word", "child", "child_word", "after", F.expr(_SPENT).alias("rest")).where("rest is not null")
     while True:
-        met = states.join(edges, F.col("node") == F.col("parent"))
-        met = met.select("word", "edits", "rest", "label", "child", "child_word", F.expr(f"CASE WHEN edits = 0 THEN {_SHARED} END").alias("same"))
-        moved = met.select("word", "child", "child_word", F.explode(F.expr(f"array_compact({_MOVES})")).alias("to"))
-        moved = moved.select("word", "to.edits", "to.rest", F.col("child").alias("node"), "child_word")
-        # what neither ends here nor can go on is dropped
-        moved = written(moved.where("rest <> '' or edits = 0 or child_word is not null"), "spelling-states")
-        ends = moved.where("child_word is not null and ((edits = 1 and rest = '') or (edits = 0 and char_length(rest) = 1))").select("word", F.col("child_word").alias("near"))
-        found = ends if found is None else found.unionByName(ends)
-        states = moved.where("edits = 0 or rest <> ''").drop("child_word")
+        moved = written(moved.where(_LIVES).select("word", F.col("child").alias("node"), "rest", F.when(F.col("rest") == "", F.col("child_word")).alias("near")), "spelling-states")
+        found = found.unionByName(moved.where("near is not null").select("word", "near"))
+        states = moved.where("rest <> ''").withColumn("first", F.substring("rest", 1, 1))
         if states.isEmpty():
             # hashes name the nodes: the pairs are compared letter by letter
             return found.distinct().where("levenshtein(word, near) = 1")
+        met = states.join(edges, (F.col("node") == F.col("parent")) & (states["first"] == edges["first"])).where("startswith(rest, label)")
+        moved = met.select("word", "child", "child_word", "after", F.expr("substring(rest, char_length(label) + 1)").alias("rest"))
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@
    and counts the accepting states; the sums of all tasks are the counts f of the phrases.
 4. Scores, the rule for phrases inside longer ones, and the ranks are DataFrame expressions on exact decimals.
 
-Words are told apart within a chunk by 64-bit hashes, elsewhere by their letters. A pass over the numbers is cheap (it looks only at the
+Words are told apart by 64-bit hashes, pairs and triples by exact keys. A pass over the numbers is cheap (it looks only at the
 positions in the trie's range), but their number grows with that of candidates: one for each `TRIE_PHRASES` of them.
 """
 
@@ -30,8 +30,10 @@ from vouchline.llm.registry import query
 LEAST, TOP = 10, 2000
 #: Phrases of one trie: at most some 100 MB in each worker while it is used.
 TRIE_PHRASES = 1 << 21
+#: Phrases whose counts travel as one row of a task.
+PIECE = 1 << 13
 #: Keys that one task sorts together.
-GROUP_KEYS = 1 << 22
+GROUP_KEYS = 1 << 21
 #: Bits of the table of pairs: a false hit costs traffic, never a result.
 MAX_LOG2_BITS = 27
 _PIECE = np.zeros(256, bool)
@@ -49,21 +51,31 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = langs.dictionary.to_pylist()
         salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names] or [0], np.uint64)
         lang_of = langs.indices.to_numpy()
-        for i, _, data, offsets in chunks(batch.column("text"), 1 << 62):
+        hashes, langs_, where, breaks, texts = [], [], [], [], []
+        for i, _, data, offsets in chunks(batch.column("text")):  # what follows each byte is held for one of these only
             data = LOWER[data]
             w = Words(data, offsets, _BREAK)
-            lang = lang_of[i + w.doc]
-            _, first, inverse, counts = np.unique(mix(w.hashes() ^ salt[lang]), return_index=True, return_inverse=True, return_counts=True)
-            ends = np.concatenate(([0], np.cumsum(_PIECE[data])))
-            apart = (w.doc[1:] != w.doc[:-1]) | (ends[w.starts[1:]] != ends[w.ends[:-1]])
-            codes = np.full(len(inverse) + int(apart.sum()), -1, np.int32)
-            codes[np.arange(len(inverse)) + np.concatenate(([0], np.cumsum(apart)))[: len(inverse)]] = inverse
+            lang = lang_of[i + w.doc].astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(_PIECE[data], dtype=np.int32)))
+            apart = np.ones(len(w.doc), bool)
+            apart[1:] = (w.doc[1:] != w.doc[:-1]) | (ends[w.starts[1:]] != ends[w.ends[:-1]])
             raw = data.tobytes()
-            words = pa.StructArray.from_arrays(
-                [pa.array([names[x] for x in lang[first].tolist()], pa.string()),
-                 pa.array([raw[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())], pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([codes.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), words)], ["chunk", "codes", "words"])
-            number += 1
+            hashes.append(mix(w.hashes() ^ salt[lang]))
+            langs_.append(lang)
+            breaks.append(apart)
+            where.append((w.starts, w.ends, np.full(len(lang), len(texts), np.int32)))
+            texts.append(raw)
+        starts, stops, text_of = (np.concatenate(x) for x in zip(*where))
+        apart, lang = np.concatenate(breaks), np.concatenate(langs_)
+        names_of, first, inverse, counts = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True, return_counts=True)
+        codes = np.full(len(inverse) + int(apart.sum()), -1, np.int32)
+        codes[np.arange(len(inverse)) + np.cumsum(apart)] = inverse
+        words = pa.StructArray.from_arrays(
+            [pa.array([names[x] for x in lang[first].tolist()], pa.string()),
+             pa.array([texts[t][a:b] for t, a, b in zip(text_of[first].tolist(), starts[first].tolist(), stops[first].tolist())], pa.binary()).cast(pa.string()),
+             pa.array(counts, pa.int64()), pa.array(names_of.view(np.int64))], ["lang", "word", "n", "h"])
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([codes.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), words)], ["chunk", "codes", "words"])
+        number += 1
 
 
 def _number_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +107,11 @@ def numbered(df: DataFrame, by: list, name: str) -> DataFrame:
 def encode(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunk, codes), frequent words (id, lang, word, n), and (lang, n) of all words."""
     texts = docs.select("lang", as_bytes())
-    parts = written(texts.mapInArrow(_chunk_rows, "chunk long, codes binary, words array<struct<lang string, word string, n long>>"), "phrase-chunks")
+    parts = written(texts.mapInArrow(_chunk_rows, "chunk long, codes binary, words array<struct<lang string, word string, n long, h long>>"), "phrase-chunks")
     there = parts.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", "at", "w.*")
-    words = written(there.groupBy("lang", "word").agg(F.sum("n").alias("n")), "phrase-words")
+    words = written(there.groupBy("h").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.sum("n").alias("n")), "phrase-words")
     frequent = written(numbered(words.where(F.col("n") >= least), [F.desc("n"), "lang", "word"], "phrase-frequent"), "phrase-numbers")
-    known = there.drop("n").join(frequent.drop("n"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("known"))
+    known = there.select("chunk", "at", "h").join(frequent.select("h", "id"), "h").groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("known"))
     codes = parts.select("chunk", "codes").join(known, "chunk", "left").mapInArrow(_number_rows, "chunk long, codes binary")
     return written(codes, "phrase-codes"), frequent, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
@@ -226,16 +238,38 @@ def _codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBatch]:
-    """(pair, third, n) of all phrases of the trie that this task met."""
+    """What this task met of the trie's phrases, `PIECE` phrases to a row: (piece, numbers within it, how often each)."""
     t = phrases.value
     counts = np.zeros(len(t.pairs), np.int64)
     for codes in _codes_of(batches):
         counts += np.bincount(t.find(codes)[1], minlength=len(counts))
-    some = np.flatnonzero(counts)
-    third = np.full(len(some), -1, np.int32) if t.third is None else t.third[some]
-    for i in range(0, len(some), 1 << 16):
-        at = some[i : i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(t.pairs[at]), pa.array(third[i : i + (1 << 16)]), pa.array(counts[at])], ["pair", "third", "n"])
+    for piece in range(-(-len(counts) // PIECE)):
+        part = counts[piece * PIECE : (piece + 1) * PIECE]
+        some = np.flatnonzero(part)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([part[some].tobytes()], pa.binary())], ["piece", "numbers", "counts"])
+
+
+def _sum_rows(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBatch]:
+    """(pair, third, a) of pieces that come sorted: one piece is held at a time, however many tasks counted it."""
+    t = phrases.value
+    now, sums = None, np.zeros(PIECE, np.int64)
+
+    def close() -> pa.RecordBatch:
+        some = np.flatnonzero(sums)
+        at = now * PIECE + some
+        third = np.full(len(some), -1, np.int32) if t.third is None else t.third[at]
+        return pa.RecordBatch.from_arrays([pa.array(t.pairs[at]), pa.array(third), pa.array(sums[some])], ["pair", "third", "a"])
+
+    for batch in batches:
+        for piece, numbers, counts in zip(batch.column("piece").to_pylist(), batch.column("numbers"), batch.column("counts")):
+            if piece != now:
+                if now is not None:
+                    yield close()
+                now, sums = piece, np.zeros(PIECE, np.int64)
+            sums[np.frombuffer(numbers.as_buffer(), np.int32)] += np.frombuffer(counts.as_buffer(), np.int64)
+    if now is not None:
+        yield close()
 
 
 # --- candidates -------------------------------------------------------------------------------------------------------------------
@@ -354,8 +388,8 @@ def _named(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]
 
 
 def _counted(codes: DataFrame, phrases, name: str) -> DataFrame:
-    sums = codes.mapInArrow(lambda it: _count_rows(it, phrases), "pair long, third int, n long")
-    return written(sums.groupBy("pair", "third").agg(F.sum("n").alias("a")), name)
+    shards = codes.mapInArrow(lambda it: _count_rows(it, phrases), "piece long, numbers binary, counts binary")
+    return written(shards.repartition("piece").sortWithinPartitions("piece").mapInArrow(lambda it: _sum_rows(it, phrases), "pair long, third int, a long"), name)
 
 
 def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:

@@ -39,6 +39,47 @@ def test_rules_order_kinds_and_overflow(spark):
         assert got == want, in_array
 
 
+def test_fixed_parts(spark):
+    want = {"upi.*swiggy": "swiggy", "party\\s+\\d+": "party", "atm|cash": "", "(rent)": "", "[ab]cde": "", "abcd?": "abc", "abcd*e": "abc", "ab{0,1}cdefg": "cdefg", "abc+d": "abc", "\\x41bcd": "", "a\\.bcd": "bcd", "^neft": "neft", "": ""}
+    df = spark.createDataFrame([(p,) for p in want], "p string").select("p", en.fixed_part(F.lit("regex"), F.col("p")).alias("f"))
+    assert {r.p: r.f for r in df.collect()} == want
+
+
+def test_rules_by_gram_equal_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    words = ["upi", "UPI", "swiggy", "a", "rent", "Rent", "x1", "50%", "É", "tea", ""]
+    said = [" ".join(rng.choice(words, int(rng.integers(0, 4)))) for _ in range(150)] + [None]
+    rows = tx(spark, [(i, i % 2, D(2024, 1, 1), n, None, None, None) for i, n in enumerate(said)])
+    kinds = ["contains", "startswith", "endswith", "exact", "regex", "other"]
+    made = [(i, i % 2, kinds[i % 6], [" ".join(rng.choice(words, int(rng.integers(0, 3)))), "re+nt?", "a|x1", "upi ?sw", "tea$", "^up"][int(rng.integers(6))], f"L{i}", int(rng.integers(4)), True, T0 + datetime.timedelta(int(rng.integers(3)))) for i in range(60)]
+    rules = spark.createDataFrame(made, RULE)
+    import re
+
+    def hit(kind, p, n):
+        low, q = n.lower(), p.lower()
+        return {"contains": q in low, "startswith": low.startswith(q), "endswith": low.endswith(q), "exact": low == q, "other": False}.get(kind) if kind != "regex" else bool(re.search(p, n, re.I))
+
+    want = {}
+    for i, n in enumerate(said):
+        found = [(pr, at, rid, led) for rid, c, kind, p, led, pr, _, at in made if c == i % 2 and hit(kind, p, n or "")]
+        want[i] = min(found)[3] if found else None
+    assert {r.id: r.rule and r.rule.ledger_name for r in en.apply_rules(rows, rules, 2).collect()} == want and any(want.values())
+    counted = {rid: sum(hit(kind, p, n or "") for i, n in enumerate(said) if i % 2 == c) for rid, c, kind, p, *_ in made if kind != "other"}
+    assert {r.rule_id: r.matches for r in en.rule_dry_run(rows, rules).collect()} == counted
+
+
+def test_many_rules_of_one_client(spark):
+    """A hundred thousand rules: a narration meets only those that share its rarest gram, not all of them."""
+    n = 100_000
+    rules = spark.range(n).selectExpr("id as rule_id", "1 as client_id", "'contains' as match_type", "concat('pay to ', conv(id * 7919 + 1000003, 10, 36), ' ltd') as pattern", "concat('L', id) as ledger_name", "1 as priority", "true as is_active", "timestamp'2024-01-01' as created_at")
+    rows = spark.range(2000).selectExpr("id", "1 as client_id", "concat('UPI PAY TO ', conv(id * 50 * 7919 + 1000003, 10, 36), ' LTD REF') as narration")
+    usable = en.usable_rules(rules).select("client_id", F.struct("priority", "created_at", "rule_id", "match_type", "pattern", "lowered", "ledger_name").alias("r"))
+    met, rest = en.rule_candidates(rows.select("client_id", F.col("narration").alias("_narration")).distinct(), usable)
+    assert rest.count() == 0 and met.count() < n * 2000 / 100
+    got = {r.id: r.rule.rule_id for r in en.apply_rules(rows, rules).collect() if r.rule}
+    assert got == {i: i * 50 for i in range(2000)}
+
+
 def _recurring_python(rows, mappings, history):
     out = set()
     for i, c, d, n, deb, cre, _ in rows:

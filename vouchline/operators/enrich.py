@@ -11,6 +11,8 @@ RESULT = ["narration_clean", "payment_mode", "counterparty", "suggested_ledger",
 BATCH_SIZE = 50
 HISTORY_ROWS = 200
 RULES_IN_BLOCK = 256
+#: Characters of a gram, under which rules are filed.
+GRAM = 3
 EXAMPLE_LIMIT = 5
 
 
@@ -63,6 +65,52 @@ def usable_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+def fixed_part(kind: Column, lowered: Column) -> Column:
+    """Text that every match of a rule holds, in lower case: the pattern itself; of a regular expression its longest run of plain
+    letters, digits and blanks, if it has no alternatives, groups or classes and none but the usual escapes. Else empty.
+    """
+    simple = ~lowered.rlike(r"[|(\[]") & ~F.regexp_replace(lowered, r"\\[dswb./$^+*?-]", "").contains("\\")
+    runs = F.regexp_extract_all(F.regexp_replace(lowered, r"\\.", "\u0001"), F.lit(r"[a-z0-9 ]+(?![?*{a-z0-9 ])|[a-z0-9 ]+(?=[a-z0-9 ][?*{])"), F.lit(0))
+    longest = F.aggregate(runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
+    return F.when(kind != "regex", lowered).when(simple, longest).otherwise("")
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct runs of `size` characters of a text."""
+    places = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(size))))
+
+
+def file_rules(usable: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((client_id, gram, r): each rule under the gram of its fixed part that the fewest of the client's texts hold; rules without one).
+
+    usable: client_id, r; texts: client_id, gram, one row for each gram of a distinct text.
+    """
+    keyed = usable.withColumn("_fixed", fixed_part(F.col("r.match_type"), F.col("r.lowered")))
+    parts = keyed.filter(F.length("_fixed") >= GRAM).select("client_id", "r", F.explode(grams(F.col("_fixed"))).alias("gram"))
+    wanted = parts.select("client_id", "gram").distinct()
+    held = texts.join(wanted, ["client_id", "gram"], "left_semi").groupBy("client_id", "gram").agg(F.count(F.lit(1)).alias("_held"))
+    # a gram that no text holds is the rarest of all: its rule meets nothing
+    rarest = F.min_by("gram", F.struct(F.coalesce("_held", F.lit(0)), "gram"))
+    filed = parts.join(held, ["client_id", "gram"], "left").groupBy("client_id", "r").agg(rarest.alias("gram"))
+    return filed, keyed.filter(F.length("_fixed") < GRAM).select("client_id", "r")
+
+
+def _text_grams(distinct: DataFrame) -> DataFrame:
+    return distinct.withColumn("gram", F.explode(grams(F.lower("_narration"))))
+
+
+def rule_candidates(distinct: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct texts with the rules filed under one of their grams, each pair once; the rules that are under none)."""
+    texts = _text_grams(distinct)
+    filed, rest = file_rules(usable, texts.select("client_id", "gram"))
+    return texts.join(filed, ["client_id", "gram"]).drop("gram"), rest
+
+
+def _rule_hit(r: Column, narration: Column) -> Column:
+    return rule_matches(r["match_type"], r["lowered"], r["pattern"], narration)
+
+
 def _first_rule(rules: Column, narration: Column) -> Column:
     """First of an ordered array of rules that matches, or null."""
     hit = "struct<priority:int,created_at:timestamp,rule_id:bigint,ledger_name:string>"
@@ -78,34 +126,37 @@ def _first_rule(rules: Column, narration: Column) -> Column:
 def apply_rules(tx: DataFrame, rules: DataFrame, block_rules: int = RULES_IN_BLOCK) -> DataFrame:
     """First matching rule per transaction, lowest priority number then oldest: adds `rule` (struct or null).
 
-    Each distinct narration of a client is matched once. A client's rules travel as arrays of `block_rules`, in order: most clients have
-    one, and one with more gets a candidate from each, of which the first counts. Rows are never multiplied by the rules.
+    Each distinct narration of a client is matched once. Rules are filed under the rarest gram of their fixed part, so a narration meets
+    only rules that share a gram with it, by a hash join. Rules without a fixed part travel as arrays of `block_rules`, in order, and each
+    distinct narration of the client goes through those.
     """
     usable = usable_rules(rules).select(
         "client_id", F.struct("priority", "created_at", "rule_id", "match_type", "pattern", "lowered", "ledger_name").alias("r")
     )
-    rank = F.row_number().over(W.partitionBy("client_id").orderBy("r.priority", "r.created_at", "r.rule_id"))
-    blocks = usable.withColumn("_block", F.floor((rank - 1) / block_rules)).groupBy("client_id", "_block").agg(F.array_sort(F.collect_list("r")).alias("_rules"))
     narration = F.coalesce(F.col("narration"), F.lit(""))
     distinct = tx.select("client_id", narration.alias("_narration")).distinct()
-    hits = (
-        distinct.join(blocks, "client_id").select("client_id", "_narration", _first_rule(F.col("_rules"), F.col("_narration")).alias("_hit"))
-        .filter("_hit is not null").groupBy("client_id", "_narration").agg(F.min("_hit").alias("rule"))
-    )
+    met, rest = rule_candidates(distinct, usable)
+    rank = F.row_number().over(W.partitionBy("client_id").orderBy("r.priority", "r.created_at", "r.rule_id"))
+    blocks = rest.withColumn("_block", F.floor((rank - 1) / block_rules)).groupBy("client_id", "_block").agg(F.array_sort(F.collect_list("r")).alias("_rules"))
+    others = distinct.join(blocks, "client_id").select("client_id", "_narration", _first_rule(F.col("_rules"), F.col("_narration")).alias("_hit")).filter("_hit is not null")
+    hit = F.struct(*[F.col(f"r.{c}").alias(c) for c in ["priority", "created_at", "rule_id", "ledger_name"]]).alias("_hit")
+    found = met.filter(_rule_hit(F.col("r"), F.col("_narration"))).select("client_id", "_narration", hit)
+    hits = found.unionByName(others).groupBy("client_id", "_narration").agg(F.min("_hit").alias("rule"))
     return tx.withColumn("_narration", narration).join(hits, ["client_id", "_narration"], "left").drop("_narration")
 
 
 def rule_dry_run(tx: DataFrame, rules: DataFrame) -> DataFrame:
-    """How many of the client's narrations each rule would match, with the first one as a sample. Equal narrations are matched once."""
-    usable = usable_rules(rules).select("rule_id", F.col("client_id").alias("_client"), "match_type", "pattern", "lowered")
-    narration = F.coalesce(F.col("narration"), F.lit(""))
-    distinct = tx.groupBy("client_id", "narration").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    hits = distinct.join(
-        usable,
-        (F.col("client_id") == F.col("_client"))
-        & rule_matches(F.col("match_type"), F.col("lowered"), F.col("pattern"), narration),
-    )
-    counts = hits.groupBy("rule_id").agg(F.sum("n").alias("matches"), F.min_by("narration", "first_id").alias("sample"))
+    """How many of the client's narrations each rule would match, with the first one as a sample. Equal narrations are matched once.
+
+    Rules meet narrations by grams, as in `apply_rules`; those without a fixed part meet all distinct narrations of their client.
+    """
+    usable = usable_rules(rules)
+    keyed = usable.select("client_id", F.struct("rule_id", "match_type", "pattern", "lowered").alias("r"))
+    rows = tx.withColumn("_narration", F.coalesce("narration", F.lit("")))
+    distinct = rows.groupBy("client_id", "_narration").agg(F.count(F.lit(1)).alias("n"), F.min_by("narration", "id").alias("narration"), F.min("id").alias("first_id"))
+    met, rest = rule_candidates(distinct, keyed)
+    hits = met.unionByName(distinct.join(rest, "client_id")).filter(_rule_hit(F.col("r"), F.col("_narration")))
+    counts = hits.groupBy("r.rule_id").agg(F.sum("n").alias("matches"), F.min_by("narration", "first_id").alias("sample"))
     return usable.select("rule_id").join(counts, "rule_id", "left").select(
         "rule_id", F.coalesce("matches", F.lit(0)).alias("matches"), "sample"
     )

@@ -205,3 +205,33 @@ def test_mappings_go_by_the_cleaned_narration(spark):
 
 def test_pattern_key(spark):
     assert spark.range(1).select(pattern_key(F.lit(" UPI/Swiggy--12 ")).alias("k")).first().k == "upi swiggy 12"
+
+
+def test_only_missing_fields_are_enriched(spark):
+    rows = tx(spark, [(1, 1, D(2024, 1, 5), "UPI SWIGGY", Dec("5"), None, None), (2, 1, D(2024, 1, 5), "UPI SWIGGY", Dec("5"), None, None)])
+    given = rows.withColumns({"narration_clean": F.when(F.col("id") == 1, "Own"), "payment_mode": F.lit("CARD"), "suggested_ledger": F.lit("Mine"), "confidence": F.lit("0.5").cast("decimal(4,3)"), "counterparty": F.lit(None).cast("string")})
+    got = {r.id: (r.narration_clean, r.payment_mode, r.suggested_ledger, r.source) for r in en.enrich_missing(given).collect()}
+    assert got == {1: ("Own", "CARD", "Mine", None), 2: ("Upi Swiggy", "UPI", "Food Expenses", "heuristic")}
+    assert {r.source for r in en.enrich_missing(rows).collect()} == {"heuristic"}
+
+
+def test_examples_are_found_by_the_cleaned_text(spark):
+    maps = spark.createDataFrame([(1, "upi amazon shopping", "Shop", 3)], "client_id int, pattern string, ledger_name string, hit_count long")
+    rows = spark.createDataFrame([(9, 1, 1, "UPI/AMAZON/SHOPPING/4711000", "Upi Amazon Shopping")], "statement_id long, client_id int, row_number long, narration string, narration_clean string")
+    assert [(r.ledger, r.score) for r in me.examples(rows, maps).collect()] == [("Shop", 1.0)]
+    assert me.examples(rows.drop("narration_clean"), maps).first().score < 1
+
+
+def test_texts_are_cleaned_once(spark):
+    """The plans that learn and look up mappings hold the cleaning of a narration a few times, not once for each use of it."""
+    from vouchline.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(sf):
+        return
+    from vouchline.plans import catalog
+
+    for name in ("m2_learn", "m3_token_suggestions"):
+        plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(") <= 16, (name, plan.count("regexp_replace("))
+    assert fx

@@ -50,6 +50,11 @@ def title_case(text: Column) -> Column:
     return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
 
 
+def non_empty(value: Column) -> Column:
+    """The value, null where it is empty. Unlike `nullif` it holds the value's expression once, however long that is."""
+    return F.get(F.filter(F.array(value), lambda v: v != ""), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Every run of white space becomes one blank; the ends are trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -60,7 +65,7 @@ def clean_narration(narration: Column) -> Column:
     text = F.regexp_replace(text, "(?i)" + REFERENCE_CODE, " ")
     text = F.regexp_replace(text, LONG_NUMBER, " ")
     text = squeeze(F.regexp_replace(text, NOT_KEPT, " "))
-    return F.coalesce(F.nullif(title_case(text), F.lit("")), F.trim(narration))
+    return F.coalesce(non_empty(title_case(text)), F.trim(narration))
 
 
 def first_match(lowered: Column, patterns: list[tuple[str, str]]) -> Column:
@@ -80,7 +85,7 @@ def counterparty(cleaned: Column) -> Column:
         F.regexp_extract_all(cleaned, F.lit(NAME_TOKEN), F.lit(0)),
         lambda t: (F.length(t) > 2) & ~F.lower(t).isin(NOISE_WORDS),
     )
-    return F.nullif(title_case(F.array_join(F.slice(tokens, 1, 4), " ")), F.lit(""))
+    return non_empty(title_case(F.array_join(F.slice(tokens, 1, 4), " ")))
 
 
 def ledger_hint(lowered: Column, debit: Column, credit: Column) -> Column:
@@ -120,10 +125,16 @@ def pattern_key(text: Column) -> Column:
 
 def mapping_text(cleaned: Column, narration: Column) -> Column:
     """The text a mapping is learnt from: the cleaned narration when there is one."""
-    return F.coalesce(F.nullif(cleaned, F.lit("")), narration)
+    return F.coalesce(non_empty(cleaned), narration)
 
 
 def mapping_pattern(df: DataFrame) -> Column:
     """Pattern key that mappings of `df` go by: of `narration_clean` where the row has one, else of `narration`."""
     narration = F.col("narration")
     return pattern_key(mapping_text(F.col("narration_clean"), narration) if "narration_clean" in df.columns else narration)
+
+
+def with_pattern(df: DataFrame, name: str = "pattern") -> DataFrame:
+    """`df` with its `mapping_pattern`, rows with an empty one left out. A generator is not merged with what stands above it, so the
+    text is cleaned once per row, not once for each use and filter."""
+    return df.withColumn(name, F.explode(F.filter(F.array(mapping_pattern(df)), lambda p: p != "")))

@@ -199,7 +199,7 @@ def mark_recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_h
     pattern in one join and none is multiplied. A longer history should go to `recurring`.
     """
     known = mappings.filter((F.col("hit_count") >= min_hits) & (F.col("pattern") != "")).select("client_id", "pattern", "ledger_name")
-    past = history.select("client_id", text.mapping_pattern(history).alias("pattern"), F.col("confirmed_ledger").alias("ledger_name"), _payment().alias("p"))
+    past = text.with_pattern(history).select("client_id", "pattern", F.col("confirmed_ledger").alias("ledger_name"), _payment().alias("p"))
     paid = known.join(past, ["client_id", "pattern", "ledger_name"]).groupBy("client_id", "pattern", "ledger_name").agg(F.collect_list("p").alias("_paid"))
     paid = paid.select("client_id", F.col("pattern").alias("_pattern"), F.col("ledger_name").alias("_ledger"), "_paid")
     marked = tx.withColumn("_pattern", text.mapping_pattern(tx)).join(paid, ["client_id", "_pattern"], "left").withColumn("_now", _payment())
@@ -211,11 +211,10 @@ def recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_hits:
     """Transactions that repeat a confirmed payment, for a history of any length: (id, recurring_ledger)."""
     known = mappings.filter(F.col("hit_count") >= min_hits).select("client_id", "pattern", F.col("ledger_name").alias("recurring_ledger"))
     candidates = (
-        tx.select("id", "client_id", text.mapping_pattern(tx).alias("pattern"), _payment().alias("now"))
-        .filter("pattern <> ''").join(known, ["client_id", "pattern"])
+        text.with_pattern(tx).select("id", "client_id", "pattern", _payment().alias("now")).join(known, ["client_id", "pattern"])
     )
-    past = history.select(
-        F.col("client_id").alias("h_client"), text.mapping_pattern(history).alias("h_pattern"),
+    past = text.with_pattern(history, "h_pattern").select(
+        F.col("client_id").alias("h_client"), "h_pattern",
         F.col("confirmed_ledger").alias("h_ledger"), _payment().alias("then"),
     )
     same = (
@@ -328,6 +327,22 @@ def enrich(
     return out.withColumn("_r", chosen).select(*keep, *[F.col(f"_r.{c}").alias(c) for c in packed])
 
 
+def _incomplete() -> Column:
+    return F.greatest(*[F.col(c).isNull() for c in ["narration_clean", "payment_mode", "suggested_ledger", "confidence"]])
+
+
+def enrich_missing(tx: DataFrame, *tables: DataFrame | None, **options) -> DataFrame:
+    """`enrich` for the rows that miss one of the four fields `pick_work` looks at; all others stay as they are, with a null source.
+
+    tables and options: as for `enrich`. A field that `tx` does not have at all is missing in every row. Rows go by the cleaned narration
+    they have, those without one by that of the heuristic.
+    """
+    tx = tx.withColumns({c: F.lit(None).cast("decimal(4,3)" if c == "confidence" else "string") for c in RESULT if c not in tx.columns})
+    cleaned = text.mapping_text(F.col("narration_clean"), text.clean_narration(F.col("narration")))
+    work = tx.filter(_incomplete()).withColumn("narration_clean", cleaned).drop(*[c for c in RESULT if c != "narration_clean"])
+    return enrich(work, *tables, **options).unionByName(tx.filter(~_incomplete()), allowMissingColumns=True)
+
+
 def apply_results(tx: DataFrame, results: DataFrame) -> DataFrame:
     """Write the five fields onto the transactions that have a result; others keep theirs."""
     new = results.select("id", F.struct(*RESULT).alias("_r"))
@@ -339,8 +354,7 @@ def apply_results(tx: DataFrame, results: DataFrame) -> DataFrame:
 
 def pick_work(tx: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
     """Rows that miss any of four fields (all when forced), in row order, at most `limit` per statement."""
-    missing = F.greatest(*[F.col(c).isNull() for c in ["narration_clean", "payment_mode", "suggested_ledger", "confidence"]])
-    work = tx if force else tx.filter(missing)
+    work = tx if force else tx.filter(_incomplete())
     if limit is None:
         return work
     nth = F.row_number().over(W.partitionBy("statement_id").orderBy("row_number", "id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from vouchline.functions.text import mapping_pattern, pattern_key
+from vouchline.functions.text import mapping_text, pattern_key, with_pattern
 
 VECTOR_SIZE = 64
 PACK_ROWS = 2048
@@ -26,8 +26,7 @@ def learn(confirmed: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """
     latest = F.struct("used_at", "event_id")
     fresh = (
-        confirmed.withColumns({"pattern": mapping_pattern(confirmed), "ledger_name": F.trim("ledger_name")})
-        .filter("pattern <> '' and ledger_name <> ''")
+        with_pattern(confirmed.withColumn("ledger_name", F.trim("ledger_name")).filter("ledger_name <> ''"))
         .groupBy("client_id", "pattern")
         .agg(F.count(F.lit(1)).alias("hit_count"), F.max_by("ledger_name", latest).alias("ledger_name"),
              F.max("used_at").alias("last_used_at"))
@@ -57,7 +56,7 @@ def token_suggestions(queries: DataFrame, mappings: DataFrame) -> DataFrame:
         mappings.withColumn("token", F.explode(tokens(F.col("pattern"))))
         .groupBy("client_id", "token", "ledger_name").agg(F.max(best).alias("best"))
     )
-    wanted = queries.select("client_id", "pattern").filter("pattern <> ''").distinct()
+    wanted = queries.select("client_id", F.explode(F.filter(F.array("pattern"), lambda p: p != "")).alias("pattern")).distinct()
     winners = (
         wanted.withColumn("token", F.explode(tokens(F.col("pattern"))))
         .join(per_token, ["client_id", "token"])
@@ -200,12 +199,17 @@ def search(queries: DataFrame, mappings: DataFrame, k: int, pack_rows: int = PAC
 
 
 def examples(work: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Example pairs per statement: its first 20 distinct narrations, three mappings each, one per ledger, at most five."""
-    first_seen = work.groupBy("statement_id", "client_id", "narration").agg(F.min("row_number").alias("seen"))
+    """Example pairs per statement: its first 20 distinct narrations, three mappings each, one per ledger, at most five.
+
+    work: the rows that missed the cache. They are asked by their cleaned narration, as mappings are learnt, and by the narration itself
+    where that is empty or missing.
+    """
+    said = mapping_text(F.col("narration_clean"), F.col("narration")) if "narration_clean" in work.columns else F.col("narration")
+    first_seen = work.groupBy("statement_id", "client_id", said.alias("_said")).agg(F.min("row_number").alias("seen"))
     early = W.partitionBy("statement_id").orderBy("seen")
     asked = (
         first_seen.withColumn("_n", F.row_number().over(early)).filter(F.col("_n") <= EXAMPLE_NARRATIONS)
-        .withColumn("pattern", pattern_key(F.col("narration")))
+        .withColumn("pattern", pattern_key(F.col("_said")))
     )
     found = asked.join(
         search(asked, mappings, EXAMPLE_PER_NARRATION).filter(F.col("score") >= EXAMPLE_MIN_SCORE), ["client_id", "pattern"]

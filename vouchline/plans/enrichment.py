@@ -108,7 +108,7 @@ def _(s, d):
     return _resolved(s, d).select("id", "tier", "suggested_ledger")
 
 
-@query("e13_precedence", f"""WITH {v.EN}, {v.RULED}, {v.MP}, {v.RECURRING}, {v.HASHED}, {v.CACHE}, {v.ANSWERS}, {RESOLVED}
+PRECEDENCE = f"""{v.RULED}, {v.MP}, {v.RECURRING}, {v.HASHED}, {v.CACHE}, {v.ANSWERS}, {RESOLVED}
 SELECT en.id, CASE WHEN h.id IS NULL AND rec.id IS NULL AND ca.first_id IS NOT NULL THEN 'Cached ' || CAST(ca.first_id AS VARCHAR)
     WHEN h.id IS NULL AND rec.id IS NULL AND res.id IS NOT NULL THEN 'Answer ' || CAST(res.id AS VARCHAR) ELSE narration_clean END AS narration_clean,
   CASE WHEN h.id IS NOT NULL THEN h.ledger_name WHEN rec.id IS NOT NULL THEN recurring_ledger WHEN ca.first_id IS NOT NULL THEN 'Cached Ledger'
@@ -117,7 +117,10 @@ SELECT en.id, CASE WHEN h.id IS NULL AND rec.id IS NULL AND ca.first_id IS NOT N
   CASE WHEN h.id IS NOT NULL THEN 'rule' WHEN rec.id IS NOT NULL THEN 'recurring' WHEN ca.first_id IS NOT NULL THEN 'claude'
     WHEN res.id IS NOT NULL THEN CASE res.tier WHEN 1 THEN 'claude' WHEN 2 THEN 'claude-fallback' ELSE 'gpt4o-fallback' END ELSE 'heuristic' END AS source
 FROM en JOIN hx USING (id) LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON h.id = en.id LEFT JOIN rec ON rec.id = en.id
-  LEFT JOIN ca ON ca.content_hash = hx.content_hash LEFT JOIN res ON res.id = en.id""")
+  LEFT JOIN ca ON ca.content_hash = hx.content_hash LEFT JOIN res ON res.id = en.id"""
+
+
+@query("e13_precedence", f"WITH {v.EN}, {PRECEDENCE}")
 def _(s, d):
     tx = fx.hashed(fx.transactions(s, d, numbered=True))
     out = en.enrich(tx, fx.rules(s, d), me.learn(fx.confirmed(fx.transactions(s, d))), None, fx.cache(s, d), fx.answers(s, d), ledgers=fx.ledgers(s, d))
@@ -313,25 +316,31 @@ al AS (SELECT q.client_id, q.pattern, mp.pattern AS mapping, mp.ledger_name, mp.
   LEFT JOIN nr x ON x.pattern = q.pattern LEFT JOIN nr y ON y.pattern = mp.pattern),
 vs AS (SELECT *, row_number() OVER (PARTITION BY client_id, pattern ORDER BY coalesce(score, 0) DESC, hit_count DESC, mapping) AS place FROM al)"""
 
-EXAMPLES_SQL = f"""WITH {v.TX}, {v.MP}, {EMBED}, q AS (SELECT DISTINCT client_id, {v.KEY.format('narration')} AS pattern FROM tx), {VECTOR_SQL},
-fi AS (SELECT statement_id, client_id, narration, min(row_number) AS seen FROM tx GROUP BY ALL),
-ask AS (SELECT *, {v.KEY.format('narration')} AS pattern FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY seen) AS n FROM fi) WHERE n <= 20),
+SAID = f"CASE WHEN {v.cleaned('narration')} <> '' THEN {v.title(v.cleaned('narration'))} ELSE trim(narration) END"
+EXAMPLES_SQL = f"""WITH {v.TX}, {v.MP}, {EMBED}, {v.HASHED}, {v.CACHE},
+ms AS (SELECT *, {SAID} AS said, {v.mapping_key('narration')} AS pattern FROM hx WHERE content_hash NOT IN (SELECT content_hash FROM ca)),
+q AS (SELECT DISTINCT client_id, pattern FROM ms), {VECTOR_SQL},
+fi AS (SELECT statement_id, client_id, said, any_value(pattern) AS pattern, min(row_number) AS seen FROM ms GROUP BY statement_id, client_id, said),
+ask AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY statement_id ORDER BY seen) AS n FROM fi) WHERE n <= 20),
 fo AS (SELECT *, row_number() OVER (PARTITION BY statement_id, ledger_name ORDER BY n, place) AS k FROM ask JOIN vs USING (client_id, pattern) WHERE place <= 3 AND score >= 0.3),
 exm AS (SELECT statement_id, CAST(row_number() OVER (PARTITION BY statement_id ORDER BY n, place) AS INTEGER) AS position, mapping AS narration, ledger_name AS ledger, score FROM fo WHERE k = 1)"""
 
 
+def _examples(s, d):
+    """Examples for the rows that the cache does not answer."""
+    missed = ca.misses(fx.cleaned(fx.hashed(fx.transactions(s, d, numbered=True))), fx.cache(s, d))
+    return me.examples(missed, me.learn(fx.confirmed(fx.transactions(s, d))))
+
+
 @query("m6_examples", EXAMPLES_SQL + " SELECT statement_id, position, narration, ledger, CAST(round_even(score, 4) AS DOUBLE) AS score FROM exm WHERE position <= 5")
 def _(s, d):
-    tx = fx.transactions(s, d, numbered=True)
-    return me.examples(tx, me.learn(fx.confirmed(fx.transactions(s, d))))
+    return _examples(s, d)
 
 
 @query("e18_example_context", EXAMPLES_SQL + f""", pi AS (SELECT statement_id, position, '{{"narration":"' || {_mask_sql('narration[1:160]')} || '","ledger":"' || ledger[1:120] || '"}}' AS p FROM exm WHERE position <= 5)
 SELECT statement_id, '[' || string_agg(p, ',' ORDER BY position) || ']' AS context FROM pi GROUP BY ALL""")
 def _(s, d):
-    tx = fx.transactions(s, d, numbered=True)
-    found = me.examples(tx, me.learn(fx.confirmed(fx.transactions(s, d))))
-    pairs = found.groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("position", "narration", "ledger"))).alias("examples"))
+    pairs = _examples(s, d).groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct("position", "narration", "ledger"))).alias("examples"))
     return pairs.select("statement_id", en.example_context(F.col("examples")).alias("context"))
 
 

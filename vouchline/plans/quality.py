@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from vouchline.functions import masking
-from vouchline.operators import checks as ck, enrich as en, export as ex, quality as q, shape as sh
+from vouchline.operators import checks as ck, enrich as en, export as ex, memory as me, quality as q, shape as sh
 from vouchline.plans import views as v
-from vouchline.plans.enrichment import _mask_sql
+from vouchline.plans.enrichment import PRECEDENCE, _mask_sql
 from vouchline.plans.registry import query
 from vouchline.plans.shaping import BANK_CODES
 from vouchline.session import work_dir
@@ -255,20 +255,27 @@ def _parsed_stream(s, d, enrich):
     return jobs.read_statements(s, f"{out}/table")
 
 
-@query("t4_enrich_stream", f"""WITH {v.EN}, {v.RULED} SELECT statement_id, row_number, CASE WHEN h.id IS NOT NULL THEN h.ledger_name ELSE suggested_ledger END AS suggested_ledger,
-  CASE WHEN h.id IS NOT NULL THEN 'rule' ELSE 'heuristic' END AS source FROM en LEFT JOIN (SELECT * FROM hit WHERE n = 1) h ON h.id = en.id WHERE en.id % 4 <> 0""")
+# The transactions as they are parsed: with the narration of a second row.
+CONTINUED = v.TX.replace(", tx AS (", ", tx0 AS (") + ", tx AS (SELECT * REPLACE (narration || CASE WHEN id % 4 = 0 THEN ' MORE ' || id ELSE '' END AS narration) FROM tx0)"
+
+
+@query("t4_enrich_stream", f"WITH {v.EN.replace(v.TX, CONTINUED)}, {PRECEDENCE}")
 def _(s, d):
-    """Rules and the heuristic on fresh rows; the rows whose narration goes on in a second row are left out of the result."""
-    done = _enriched_stream(s, d).filter(~F.col("narration").contains(" MORE "))
-    return done.select("statement_id", "row_number", "suggested_ledger", "source")
+    """Fresh rows as they are parsed, all of them, by rules, recurring payments, cache, answers and the heuristic. A narration may go on
+    in a second row, which may come in another batch."""
+    whole = F.concat("narration", F.when(F.col("id") % 4 == 0, F.concat(F.lit(" MORE "), F.col("id").cast("string"))).otherwise(""))
+    known = fx.cleaned(fx.transactions(s, d).withColumn("narration", whole))
+    stored = fx.cache_of(fx.hashed(fx.transactions(s, d, numbered=True, clients=False).withColumn("narration", whole)))
 
+    def fill(parsed):
+        rows = fx.hashed(fx.with_clients(parsed, s, d).withColumn("id", F.substring("reference_no", 4, 20).cast("bigint")))
+        return en.enrich_missing(rows, fx.rules(s, d), me.learn(fx.confirmed(known)), en.recent_history(known), stored, fx.answers(s, d), ledgers=fx.ledgers(s, d))
 
-def _enriched_stream(s, d):
-    return _parsed_stream(s, d, lambda parsed: en.enrich(fx.with_clients(parsed, s, d), fx.rules(s, d)))
+    return _parsed_stream(s, d, fill).select("id", "narration_clean", "suggested_ledger", "confidence", "source")
 
 
-# The transactions as they are parsed: with the narration of a second row.
-CONTINUED = v.TX.replace(", tx AS (", ", tx0 AS (") + ", tx AS (SELECT * REPLACE (narration || CASE WHEN id % 4 = 0 THEN ' MORE ' || id ELSE '' END AS narration) FROM tx0)"
+def _enriched_stream(s, d):
+    return _parsed_stream(s, d, lambda parsed: en.enrich(fx.with_clients(parsed, s, d), fx.rules(s, d)))
 
 
 @query("t4_enrich_stream_whole", f"""WITH {v.EN.replace(v.TX, CONTINUED)}, {v.RULED} SELECT statement_id, row_number, narration, coalesce(h.ledger_name, suggested_ledger) AS suggested_ledger,
@@ -288,8 +295,13 @@ def _(s, d):
 
 @query("t5_latest_status_stream", LATEST)
 def _(s, d):
+    """The events arrive in several batches, a third of them twice; two batches make a snapshot, the last one is read beside it."""
     out = work_dir(s, "status")
-    jobs.stream_latest_status(fx.event_columns(_event_stream(s, d)), f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    events = fx.status_events(s, d)
+    for part in range(3):
+        events.filter((F.col("event_id") % 3 == part) | ((F.col("event_id") % 3 == 0) & F.lit(part == 2))).coalesce(1).write.mode("append").parquet(f"{out}/in")
+        arriving = s.readStream.schema(events.schema).parquet(f"{out}/in")
+        jobs.stream_latest_status(arriving, f"{out}/table", f"{out}/checkpoint", compact_every=2).awaitTermination()
     return jobs.read_latest(s, f"{out}/table").select("statement_id", "status", "changes")
 
 

@@ -37,3 +37,14 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="vouchline-")
     return os.path.join(shared, f"{name}-{os.urandom(6).hex()}")
+
+
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below `path` that Spark has written to the end; none if there is no such path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [entry.getPath() for entry in files.listStatus(root) if entry.isDirectory()]
+    return sorted(p.getName() for p in names if files.exists(hadoop.Path(p, "_SUCCESS")))

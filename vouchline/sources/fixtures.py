@@ -191,8 +191,11 @@ def hashed(tx: DataFrame) -> DataFrame:
 
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cached answers for a quarter of the transactions' contents."""
-    tx = hashed(transactions(spark, sf_dir, numbered=True, clients=False)).filter("id % 4 = 0")
-    return tx.groupBy("content_hash").agg(F.min("id").alias("first_id")).select(
+    return cache_of(hashed(transactions(spark, sf_dir, numbered=True, clients=False)))
+
+
+def cache_of(tx: DataFrame) -> DataFrame:
+    return tx.filter("id % 4 = 0").groupBy("content_hash").agg(F.min("id").alias("first_id")).select(
         "content_hash", F.lit("anthropic").alias("provider"), F.lit("model-a").alias("model"),
         F.concat(F.lit("Cached "), F.col("first_id").cast("string")).alias("narration_clean"), F.lit("NEFT").alias("payment_mode"),
         F.lit(None).cast("string").alias("counterparty"), F.lit("Cached Ledger").alias("suggested_ledger"),

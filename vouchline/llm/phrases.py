@@ -33,7 +33,8 @@ TRIE_PHRASES = 1 << 21
 #: Phrases whose counts travel as one row of a task.
 PIECE = 1 << 13
 #: Keys that one task sorts together.
-GROUP_KEYS = 1 << 21
+GROUP_KEYS = 1 << 20
+BATCH_BYTES = 1 << 22
 #: Bits of the table of pairs: a false hit costs traffic, never a result.
 MAX_LOG2_BITS = 27
 _PIECE = np.zeros(256, bool)
@@ -106,6 +107,8 @@ def numbered(df: DataFrame, by: list, name: str) -> DataFrame:
 
 def encode(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(chunk, codes), frequent words (id, lang, word, n), and (lang, n) of all words."""
+    # rows of numbers are large: batches to the workers are bounded by their bytes too
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     texts = docs.select("lang", as_bytes())
     parts = written(texts.mapInArrow(_chunk_rows, "chunk long, codes binary, words array<struct<lang string, word string, n long, h long>>"), "phrase-chunks")
     there = parts.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", "at", "w.*")

@@ -107,6 +107,21 @@ def test_status_snapshots(spark):
     assert jobs.read_latest(spark, f"{base}/out").agg(F.sum("changes")).first()[0] == len(seen)
 
 
+def test_template_changes(spark):
+    base = work_dir(spark, "template-test")
+    cats = {1: {"hdfc": "a", "axis": "a", "sbi": "a"}, 2: {"hdfc": "b", "axis": "a", "kotak": "a"}, 3: {"hdfc": "b", "sbi": "c", "kotak": "a"}, 5: {"hdfc": "b"}}
+    schema = "version long, code string, fingerprint string"
+    for versions in ([1], [2, 3], [2], [5]):  # two at once; an old one again
+        rows = [(v, c, f) for v in versions for c, f in cats[v].items()]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        jobs.stream_template_changes(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/check").awaitTermination()
+    changes = jobs.read_template_changes(spark, f"{base}/out")
+    want = [(2, "hdfc", "modified"), (2, "kotak", "added"), (2, "sbi", "deleted"), (3, "axis", "deleted"), (3, "sbi", "added"), (5, "kotak", "deleted"), (5, "sbi", "deleted")]
+    assert sorted(tuple(r) for r in changes.select("version", "code", "change").collect()) == want
+    running = spark.createDataFrame([(1, "HDFC"), (2, "axis"), (3, "sbi"), (4, None)], "statement_id long, bank_code string")
+    assert sorted(tuple(r) for r in jobs.statements_to_parse_again(changes, running).collect()) == [(1, 2), (3, 3)]
+
+
 def test_second_run_adds_nothing(spark):
     rows = spark.createDataFrame([(1, 0), (2, 0)], "statement_id long, row_idx long")
     assert [r.statement_id for r in sh.unparsed_only(rows, spark.createDataFrame([(2,), (2,)], "statement_id long")).collect()] == [1]

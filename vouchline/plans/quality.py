@@ -322,6 +322,23 @@ def _(s, d):
     return tp.catalogue_changes(old, new)
 
 
+@query("t7_template_changes_stream", """SELECT CAST(2 AS BIGINT) AS version, CAST(p_partkey AS VARCHAR) AS code, CASE WHEN p_partkey % 10 = 0 THEN 'added' WHEN p_partkey % 10 = 1 THEN 'deleted' ELSE 'modified' END AS change FROM part WHERE p_partkey % 10 IN (0, 1, 2)
+UNION ALL SELECT 3, CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 10 = 1 THEN 'added' ELSE 'deleted' END FROM part WHERE p_partkey % 10 IN (1, 3)""")
+def _(s, d):
+    """Three versions of a catalogue arrive as files, a batch each; the stream is then started again and finds nothing new."""
+    out = work_dir(s, "catalogue")
+    part, key = fx.table(s, d, "part"), F.col("p_partkey")
+    left_out = {1: 0, 2: 1, 3: 3}
+    for version, gone in left_out.items():
+        name = F.when((key % 10 == 2) & F.lit(version > 1), F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))
+        rows = part.filter(key % 10 != gone).select(F.lit(version).cast("long").alias("version"), key.cast("string").alias("code"), F.sha2(name, 256).alias("fingerprint"))
+        rows.coalesce(1).write.mode("append").parquet(f"{out}/in")
+    versions = s.readStream.schema("version long, code string, fingerprint string").option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    for _ in range(2):
+        jobs.stream_template_changes(versions, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return jobs.read_template_changes(s, f"{out}/table")
+
+
 # ---------------------------------------------------------------- validation
 
 

@@ -97,7 +97,9 @@ def file_rules(usable: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _text_grams(distinct: DataFrame) -> DataFrame:
-    return distinct.withColumn("gram", F.explode(grams(F.lower("_narration"))))
+    # splitting texts costs far more than their bytes tell: a fixed number of tasks, which adaptive execution does not merge
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return distinct.repartition(tasks, "client_id", "_narration").withColumn("gram", F.explode(grams(F.lower("_narration"))))
 
 
 def rule_candidates(distinct: DataFrame, usable: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -107,6 +107,42 @@ def test_recurring_equals_brute_force(spark):
     assert got == _recurring_python(rows, maps, history) and got
 
 
+def test_bands_equal_pairs_of_payments(spark):
+    """Amounts at the very borders, of nothing, below it and missing; dates that are missing; ties and repeated rows."""
+    rng = np.random.default_rng(8)
+    edges = ["0.01", "0.02", "9.00", "9.99", "10.00", "10.01", "11.11", "11.12", "90.00", "99.99", "100.00", "111.11", "111.12", "0.00", "-5.00", "-500.00", "1234567890123456.78"]
+    rows = []
+    for i in range(700):
+        amount = None if i % 23 == 0 else Dec(edges[int(rng.integers(len(edges)))])
+        day = None if i % 29 == 0 else D(2024, 1, 1) + datetime.timedelta(int(rng.integers(0, 400)))
+        rows.append((i - i % 7 % 2, 1 + i % 2, day, ["Rent", "Gym", "", None][int(rng.integers(4))], *((amount, None) if rng.integers(3) else (None, amount)), ["A", "B", None][int(rng.integers(3))]))
+    df = tx(spark, rows)
+    maps = spark.createDataFrame([(1, "rent", "A", 2), (1, "gym", "B", 2), (2, "rent", "B", 2), (2, "gym", "A", 9)], "client_id int, pattern string, ledger_name string, hit_count long")
+    for history in (df.filter("confirmed_ledger is not null"), df.filter("confirmed_ledger is not null and id % 40 = 3"), df.filter("false")):
+        pairs = en.mark_recurring(df, maps, history).filter("recurring_ledger is not null")
+        want = sorted((r.id, r.recurring_ledger) for r in pairs.collect())
+        assert sorted((r.id, r.recurring_ledger) for r in en.recurring(df, maps, history).collect()) == want
+
+
+def test_a_pattern_of_a_million_payments_meets_no_pairs(spark):
+    """Sums are bounded by bands and calendar, and rows are looked up by equality alone."""
+    n = F.col("id")
+    df = spark.range(1_000_000).select(
+        "id", F.lit(1).alias("client_id"), F.date_add(F.lit(D(2020, 1, 1)), (n % 1500).cast("int")).alias("txn_date"), F.lit("Rent").alias("narration"),
+        F.lit("Rent").alias("narration_clean"), (n % 9000 / 7 + 50).cast("decimal(18,2)").alias("debit"), F.lit(None).cast("decimal(18,2)").alias("credit"), F.lit("A").alias("confirmed_ledger"))
+    maps = spark.createDataFrame([(1, "rent", "A", 2)], "client_id int, pattern string, ledger_name string, hit_count long")
+    past = df.select("client_id", "txn_date", F.col("debit").alias("amount"))
+    cycles, days = en.payment_bands(past, ["client_id"])
+    size = cycles.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("_cycles")).alias("longest")).first()
+    assert size.rows <= 40 and size.longest <= 61
+    size = days.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("_days")).alias("longest")).first()
+    assert size.rows <= 40 * 97 and size.longest <= 3 * en.DAYS_IN_BLOCK
+    found = en.recurring(df, maps, df)
+    assert found.count() == 1_000_000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "LeftSemi" not in plan
+
+
 def test_history_is_the_latest_rows_per_client(spark):
     df = tx(spark, [(i, i % 2, D(2024, 1, 1) + datetime.timedelta(i // 4), "x", None, None, "A") for i in range(40)])
     assert sorted(r.id for r in en.recent_history(df, 3).collect()) == [34, 35, 36, 37, 38, 39]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vouchline.functions import masking, text
@@ -14,6 +16,12 @@ RULES_IN_BLOCK = 256
 #: Characters of a gram, under which rules are filed.
 GRAM = 3
 EXAMPLE_LIMIT = 5
+#: Logarithm of the width of a band of amounts: a little less than a tenth, so that rounding parts no two close amounts of one band.
+BAND_WIDTH = -math.log(0.9) * 0.999
+#: Bands of amounts of nothing or less, and of payments without an amount.
+NOTHING_PAID, NO_AMOUNT = -1_000_000, -1_000_001
+#: Days in a block; the longest cycle that is looked up by the day itself.
+DAYS_IN_BLOCK = 16
 
 
 def heuristic(df: DataFrame) -> DataFrame:
@@ -178,16 +186,20 @@ def recent_history(tx: DataFrame, rows: int = HISTORY_ROWS) -> DataFrame:
     )
 
 
+def _close(amount: Column, other: Column) -> Column:
+    """Whether two amounts differ by at most a tenth of the larger one; amounts of nothing or less are close to each other."""
+    largest = F.greatest(amount, other)
+    return (largest <= 0) | (F.abs(amount - other) <= largest * F.lit(0.10).cast("decimal(3,2)"))
+
+
 def _repeats(now: Column, then: Column) -> Column:
     """Whether one payment (txn_date, is_debit, amount) repeats another: same side, amount within a tenth, a usual cycle of days."""
-    largest = F.greatest(now["amount"], then["amount"])
-    close = (largest <= 0) | (F.abs(now["amount"] - then["amount"]) <= largest * F.lit(0.10).cast("decimal(3,2)"))
     days = F.abs(F.datediff(now["txn_date"], then["txn_date"]))
     cycle = (
         days.between(6, 8) | days.between(12, 16) | days.between(25, 35) | (days % 30 <= 5) | (days % 30 >= 25)
         | (F.abs(F.dayofmonth(now["txn_date"]) - F.dayofmonth(then["txn_date"])) <= 5)
     )
-    return (now["is_debit"] == then["is_debit"]) & close & cycle
+    return (now["is_debit"] == then["is_debit"]) & _close(now["amount"], then["amount"]) & cycle
 
 
 def _payment() -> Column:
@@ -209,20 +221,77 @@ def mark_recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_h
     return marked.withColumn("recurring_ledger", F.when(repeats, F.col("_ledger"))).drop("_pattern", "_ledger", "_paid", "_now")
 
 
-def recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_hits: int = 2) -> DataFrame:
-    """Transactions that repeat a confirmed payment, for a history of any length: (id, recurring_ledger)."""
-    known = mappings.filter(F.col("hit_count") >= min_hits).select("client_id", "pattern", F.col("ledger_name").alias("recurring_ledger"))
-    candidates = (
-        text.with_pattern(tx).select("id", "client_id", "pattern", _payment().alias("now")).join(known, ["client_id", "pattern"])
+def _band(amount: Column) -> Column:
+    """Band of an amount: all amounts of one band are close to each other, and an amount is close to none beyond two bands."""
+    return F.when(amount > 0, F.floor(F.ln(amount.cast("double")) / BAND_WIDTH).cast("int")).when(amount <= 0, NOTHING_PAID).otherwise(NO_AMOUNT)
+
+
+def payment_bands(past: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Payments summed up by where a later one may look for them: (keys, _band, _cycles) and (keys, _band, _block, _days).
+
+    past: keys, txn_date, amount. A payment is filed under its band and the two on either side of it. Of all payments of a place only two
+    amounts can decide: the least of the band and those above (`up`), and the largest of those below (`down`). Places are the remainder of
+    the day number by 30 and the day of the month (`_cycles`: at most 61 of them), and within a block of days the day itself (`_days`: a
+    block holds its own days and those of the blocks beside it). So an array is bounded by the calendar, however many payments there are.
+    """
+    by_day = (
+        past.filter("txn_date is not null").groupBy(*keys, _band(F.col("amount")).alias("_own"), "txn_date")
+        .agg(F.min("amount").alias("_least"), F.max("amount").alias("_most"))
     )
-    past = text.with_pattern(history, "h_pattern").select(
-        F.col("client_id").alias("h_client"), "h_pattern",
-        F.col("confirmed_ledger").alias("h_ledger"), _payment().alias("then"),
+    reach = (
+        F.when(F.col("_own") == NOTHING_PAID, F.array(F.lit(NOTHING_PAID), F.lit(NO_AMOUNT)))
+        .when(F.col("_own") == NO_AMOUNT, F.array(F.lit(NOTHING_PAID))).otherwise(F.sequence(F.col("_own") - 2, F.col("_own") + 2))
     )
-    same = (
-        (F.col("client_id") == F.col("h_client")) & (F.col("pattern") == F.col("h_pattern")) & (F.col("recurring_ledger") == F.col("h_ledger"))
+    below = (F.col("_own") < F.col("_band")) & (F.col("_own") > NOTHING_PAID)
+    nearest = [F.min("_up").alias("up"), F.max("_down").alias("down")]
+    filed = (
+        by_day.withColumn("_band", F.explode(reach))
+        .withColumns({"_up": F.when(~below, F.col("_least")), "_down": F.when(below, F.col("_most"))})
+        .groupBy(*keys, "_band", "txn_date").agg(F.min("_up").alias("_up"), F.max("_down").alias("_down"))
     )
-    return candidates.join(past, same & _repeats(F.col("now"), F.col("then")), "left_semi").select("id", "recurring_ledger")
+    day = F.unix_date("txn_date")
+    places = F.array(F.pmod(day, F.lit(30)), F.dayofmonth("txn_date") + 30)
+    cycles = (
+        filed.withColumn("place", F.explode(places)).groupBy(*keys, "_band", "place").agg(*nearest)
+        .groupBy(*keys, "_band").agg(F.collect_list(F.struct("place", "up", "down")).alias("_cycles"))
+    )
+    own = F.floor(day / DAYS_IN_BLOCK).cast("int")
+    days = (
+        filed.withColumn("_block", F.explode(F.array(own - 1, own, own + 1)))
+        .groupBy(*keys, "_band", "_block").agg(F.collect_list(F.struct(day.alias("place"), F.col("_up").alias("up"), F.col("_down").alias("down"))).alias("_days"))
+    )
+    return cycles, days
+
+
+def recurring(tx: DataFrame, mappings: DataFrame, history: DataFrame, min_hits: int = 2) -> DataFrame:
+    """Transactions that repeat a confirmed payment, for a history of any length: (id, recurring_ledger).
+
+    A band join without pairs. Payments are summed up by client, pattern, ledger, side and band of amounts (`payment_bands`); a row meets
+    one row for its own band, and one for its block of days, by equality, and looks for a place whose nearest amount is close. The sums do
+    not grow with the payments of a pattern. Rows without a date repeat nothing.
+    """
+    keys = ["client_id", "pattern", "recurring_ledger", "is_debit"]
+    known = mappings.filter(F.col("hit_count") >= min_hits).select("client_id", "pattern", F.col("ledger_name").alias("recurring_ledger"))
+    payment = ["client_id", "pattern", _payment().alias("p")]
+    past = text.with_pattern(history).select(*payment, F.col("confirmed_ledger").alias("recurring_ledger"))
+    cycles, days = payment_bands(past.select("client_id", "pattern", "recurring_ledger", "p.*"), keys)
+    day = F.unix_date("txn_date")
+    asked = text.with_pattern(tx).select("id", *payment).select("id", "client_id", "pattern", "p.*").filter("txn_date is not null")
+    asked = asked.join(known, ["client_id", "pattern"]).withColumns({"_band": _band(F.col("amount")), "_block": F.floor(day / DAYS_IN_BLOCK).cast("int")})
+
+    def met(places: str, usual) -> Column:
+        near = lambda p: _close(F.col("amount"), p["up"]) | _close(F.col("amount"), p["down"])
+        return F.coalesce(F.exists(places, lambda p: usual(p["place"]) & F.coalesce(near(p), F.lit(False))), F.lit(False))
+
+    def in_cycle(place: Column) -> Column:
+        apart = F.pmod(day - place, F.lit(30))
+        return F.when(place < 30, (apart <= 5) | (apart >= 25)).otherwise(F.abs(F.dayofmonth("txn_date") + 30 - place) <= 5)
+
+    def in_weeks(place: Column) -> Column:
+        return F.abs(day - place).between(6, 8) | F.abs(day - place).between(12, 16)
+
+    looked = asked.join(cycles, [*keys, "_band"], "left").join(days, [*keys, "_band", "_block"], "left")
+    return looked.filter(met("_cycles", in_cycle) | met("_days", in_weeks)).select("id", "recurring_ledger")
 
 
 # ---------------------------------------------------------------- answers and precedence

@@ -205,6 +205,56 @@ def test_token_suggestions_equal_brute_force(spark):
     assert got == {("upi swiggy", "Food"): ("swiggy", 0.5), ("upi swiggy", "Rent"): ("upi rent", 0.3333), ("rent", "Rent"): ("upi rent", 0.5)}
 
 
+def test_a_token_in_all_patterns_is_dealt_out(spark):
+    from vouchline.skew import shares
+
+    n = F.col("id")
+    q = spark.range(6000).select(F.lit(1).alias("client_id"), F.concat(F.lit("upi shop"), n.cast("string"), F.lit(" g"), (n % 40).cast("string")).alias("pattern"))
+    m = q.filter(F.xxhash64("pattern") % 5 == 0).select("*", F.concat(F.lit("L"), F.length("pattern").cast("string")).alias("ledger_name"),
+                                                        (F.xxhash64("pattern") % 9 + 9).alias("hit_count"), F.lit(1).alias("last_used_at"))
+    asked = q.withColumn("token", F.explode(me.tokens(F.col("pattern"))))
+    assert {(r.token, r._shares) for r in shares(asked, ["client_id", "token"], 500).collect()} == {("upi", 12)}
+    dealt = me.token_suggestions(q, m, 500)
+    assert "_share" in dealt._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(", 1)[1]
+    whole = me.token_suggestions(q, m)
+    assert dealt.count() == whole.count() > 6000 and dealt.exceptAll(whole).isEmpty()
+
+
+def _clustered(spark, n, spread, seed):
+    """Vectors around 24 directions of two clients, some equal, one zero; ids are ids of vectors."""
+    rng = np.random.default_rng(seed)
+    towards = rng.normal(size=(24, 16))
+    vectors = towards[rng.integers(0, 24, n)] + spread * rng.normal(size=(n, 16))
+    vectors[1::50] = vectors[0]
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[7] = 0
+    return [(i % 2, i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+
+
+def test_nearest_vectors_equal_all_pairs_and_skip_far_groups(spark):
+    for spread, most in ((0.05, 0.5), (1.5, 1.0)):
+        rows = _clustered(spark, 1500, spread, 5)
+        df = spark.createDataFrame([*rows, (2, 9999, None), (3, 9998, [1.0] + [0.0] * 15)], "client_id int, id long, vector array<double>")
+        queries, items = df.filter("id % 3 = 1 or client_id > 1").withColumnRenamed("id", "query"), df.filter("client_id <> 3").withColumnRenamed("id", "item")
+        got = {}
+        for r in me.vector_top_k(queries, items, 4, pack_rows=64, group_rows=16).collect():
+            got.setdefault(r.query, {})[r.place] = (r.item, r.score)
+        asked = [r for r in rows if r[1] % 3 == 1]
+        for client in (0, 1):
+            mine = [r for r in rows if r[0] == client]
+            all_items, ids = np.array([r[2] for r in mine]), np.array([r[1] for r in mine])
+            for _, q, v in [r for r in asked if r[0] == client]:
+                scores = np.round(all_items @ np.array(v), 9) + 0.0
+                first = np.lexsort((ids, -scores))[:4]
+                assert [got[q][n + 1][0] for n in range(4)] == [int(ids[i]) for i in first], (spread, q)
+        assert len(got) == len(asked)
+        _, home, across = me.vector_meetings(queries, items, 4, pack_rows=64, group_rows=16)
+        compared = sum(df.agg(F.sum(F.size("q_keys") * F.size("i_keys"))).first()[0] or 0 for df in (home, across))
+        assert compared <= most * sum(len([r for r in asked if r[0] == c]) * len([r for r in rows if r[0] == c]) for c in (0, 1)), (spread, compared)
+    none = df.filter("false")
+    assert me.vector_top_k(queries, none.withColumnRenamed("id", "item"), 3).isEmpty() and me.vector_top_k(none.withColumnRenamed("id", "query"), items, 3).isEmpty()
+
+
 def test_learning_upserts(spark):
     rows = spark.createDataFrame([(1, "UPI/Shop", " A ", 1, 1), (1, "upi shop", "B", 2, 2), (1, "x", "  ", 3, 3), (1, "//", "A", 3, 4)], "client_id int, narration string, ledger_name string, used_at int, event_id long")
     old = spark.createDataFrame([(1, "upi shop", "Old", 4, 0), (2, "keep", "K", 1, 0)], "client_id int, pattern string, ledger_name string, hit_count long, last_used_at int")

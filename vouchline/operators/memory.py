@@ -9,9 +9,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vouchline.functions.text import mapping_text, pattern_key, with_pattern
+from vouchline.skew import shares
 
 VECTOR_SIZE = 64
 PACK_ROWS = 2048
+#: Queries of one client with one token that go to one task.
+TOKEN_ROWS = 1 << 16
+#: Items of a group around a centre, unless a client has more than MAX_GROUPS times as many.
+GROUP_ROWS = 256
+MAX_GROUPS = 1024
+#: What rounding may add to a bound of a cosine.
+MARGIN = 1e-6
 EXAMPLE_NARRATIONS = 20
 EXAMPLE_PER_NARRATION = 3
 EXAMPLE_MIN_SCORE = 0.3
@@ -45,11 +53,12 @@ def tokens(pattern: Column) -> Column:
     return F.array_distinct(F.split(pattern, " "))
 
 
-def token_suggestions(queries: DataFrame, mappings: DataFrame) -> DataFrame:
+def token_suggestions(queries: DataFrame, mappings: DataFrame, token_rows: int = TOKEN_ROWS) -> DataFrame:
     """Per (client, pattern) and ledger: the most used mapping that shares a token, with its token overlap as score.
 
     The winner per ledger is the most used mapping, not the closest one. So the best mapping per (client, token, ledger)
-    is found before the join, and a query meets one row per token and ledger, never all mappings of its client.
+    is found before the join, and a query meets one row per token and ledger, never all mappings of its client. A token that
+    more than `token_rows` queries of a client hold is dealt into shares of about that many; its few best mappings go to each share.
     """
     best = F.struct("hit_count", "last_used_at", "pattern")
     per_token = (
@@ -57,9 +66,13 @@ def token_suggestions(queries: DataFrame, mappings: DataFrame) -> DataFrame:
         .groupBy("client_id", "token", "ledger_name").agg(F.max(best).alias("best"))
     )
     wanted = queries.select("client_id", F.explode(F.filter(F.array("pattern"), lambda p: p != "")).alias("pattern")).distinct()
+    asked = wanted.withColumn("token", F.explode(tokens(F.col("pattern"))))
+    dealt = F.broadcast(shares(asked, ["client_id", "token"], token_rows))
+    asked = asked.join(dealt, ["client_id", "token"], "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64("pattern"), "_shares"), F.lit(0).cast("long")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1).cast("long")) - 1))
+    offered = per_token.join(dealt, ["client_id", "token"], "left").withColumn("_share", every).drop("_shares")
     winners = (
-        wanted.withColumn("token", F.explode(tokens(F.col("pattern"))))
-        .join(per_token, ["client_id", "token"])
+        asked.drop("_shares").join(offered, ["client_id", "token", "_share"])
         .groupBy("client_id", "pattern", "ledger_name").agg(F.max("best").alias("best"))
     )
     mine, theirs = tokens(F.col("pattern")), tokens(F.col("best.pattern"))
@@ -114,18 +127,82 @@ def backfill(mappings: DataFrame) -> DataFrame:
     return mappings.withColumn("vector", embed(F.col("pattern")))
 
 
-def _packed(df: DataFrame, key: str, name: str, rows: int) -> DataFrame:
-    """Rows of a client in packs of about `rows`, so that no pack grows with the client."""
-    packs = df.groupBy("client_id").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_packs"))
+def _sizes(df: DataFrame, by: list[str]) -> DataFrame:
+    # counting the vectors themselves keeps this plan equal to those that use them, so that Spark computes both from one exchange
+    return df.groupBy(*by).agg(F.count("vector").alias("items"))
+
+
+def _packed(df: DataFrame, key: str, name: str, rows: int, by: list[str], extra: tuple[str, ...] = (), sizes: DataFrame | None = None) -> DataFrame:
+    """Rows of a key `by` in packs of about `rows`, so that no pack grows with the client or group."""
+    packs = (_sizes(df, by) if sizes is None else sizes).select(*by, F.ceil(F.col("items") / rows).alias("_packs"))
+    fields = {f"{name}_keys": key, f"{name}_vectors": "vector", **{f"{name}_{c}": c for c in extra}}
     return (
-        df.join(packs, "client_id")
+        df.join(packs, by)
         .withColumn("_pack", F.pmod(F.xxhash64(key), F.col("_packs")))
-        .groupBy("client_id", "_pack")
-        .agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col("vector").alias("vector"))).alias(name))
-        .select("client_id", "_pack", F.col(f"{name}.key").alias(f"{name}_keys"), F.col(f"{name}.vector").alias(f"{name}_vectors"))
+        .groupBy(*by, "_pack")
+        .agg(F.collect_list(F.struct(*[F.col(c).alias(f) for f, c in fields.items()])).alias("_members"))
+        .select(*by, "_pack", *[F.col(f"_members.{f}").alias(f) for f in fields])
+    )
+
+
+def _centres(items: DataFrame, group_rows: int) -> DataFrame:
+    """(client_id, centres): one vector for about `group_rows` items of a client, at most MAX_GROUPS, picked by the hash of their item."""
+    groups = _sizes(items, ["client_id"]).select("client_id", F.ceil(F.col("items") / group_rows).alias("_groups"))
+    by_hash = W.partitionBy("client_id").orderBy(F.xxhash64("item"), "item")
+    picked = items.withColumn("_n", F.row_number().over(by_hash)).filter(F.col("_n") <= MAX_GROUPS)
+    return (
+        picked.join(groups, "client_id").filter("_n <= _groups")
+        .groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("_n", "vector"))).alias("_c"))
+        .select("client_id", F.col("_c.vector").alias("centres"))
     )
 
 
+def _nearest_centre(key: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                cosines = np.stack(row.x_vectors) @ np.stack(row.centres).T
+                group = cosines.argmax(axis=1)
+                yield pd.DataFrame({"client_id": row.client_id, key: row.x_keys, "vector": list(row.x_vectors), "grp": group.astype("int32"), "near": cosines.max(axis=1)})
+
+    return run
+
+
+def _grouped(df: DataFrame, key: str, centres: DataFrame, pack_rows: int) -> DataFrame:
+    """`df` with the group of its nearest centre (`grp`) and the cosine to that (`near`)."""
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    packs = _packed(df, key, "x", pack_rows, ["client_id"]).drop("_pack").join(centres, "client_id")
+    return packs.mapInPandas(_nearest_centre(key), f"client_id {types['client_id']}, {key} {types[key]}, vector array<double>, grp int, near double")
+
+
+def _reached(k: int):
+    """For a pack of queries of one group: the other groups, each with the queries that may find one of their k nearest there."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                vectors, centres, heads = np.stack(row.q_vectors), np.stack(row.centres), row.heads
+                groups = np.array([h["grp"] for h in heads])
+                count = np.array([h["items"] for h in heads])
+                width = np.arccos(np.clip([h["least"] for h in heads], -1, 1))
+                angle = np.arccos(np.clip(vectors @ centres[groups].T, -1, 1))
+                upper = np.cos(np.maximum(angle - width, 0)) + MARGIN
+                lower = np.cos(np.minimum(angle + width, np.pi)) - MARGIN
+                # the k-th score is at least that of the best groups that hold k items together, each taken at its worst
+                best = np.argsort(-lower, axis=1)
+                filled = (np.cumsum(count[best], axis=1) >= k)
+                sure = np.where(filled.any(axis=1), np.take_along_axis(lower, np.take_along_axis(best, filled.argmax(axis=1)[:, None], 1), 1)[:, 0], -np.inf)
+                floor = np.maximum(np.nan_to_num(np.array(row.q_floor, dtype=float), nan=-np.inf), sure)
+                wanted = (upper >= floor[:, None]) & (groups != row.grp)
+                for place in np.flatnonzero(wanted.any(axis=0)):
+                    asking = np.flatnonzero(wanted[:, place])
+                    yield pd.DataFrame({
+                        "client_id": [row.client_id], "grp": [int(groups[place])], "last": [int(heads[place]["last"])],
+                        "q_keys": [[row.q_keys[q] for q in asking]], "q_vectors": [[row.q_vectors[q] for q in asking]],
+                    })
+
+    return run
+
+
 def _pack_top_k(k: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -147,22 +224,51 @@ def _pack_top_k(k: int):
     return run
 
 
-def vector_top_k(queries: DataFrame, items: DataFrame, k: int, pack_rows: int = PACK_ROWS) -> DataFrame:
+def _first_k(scored: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("client_id", "query").orderBy(F.desc("score"), "item"))
+    return scored.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _meet(asking: DataFrame, packs: DataFrame) -> DataFrame:
+    """Packs of queries beside each pack of items of the group they ask."""
+    spread = asking.withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("client_id", "grp", "_pack", "q_keys", "q_vectors")
+    return spread.join(packs, ["client_id", "grp", "_pack"]).select("client_id", "q_keys", "q_vectors", "i_keys", "i_vectors")
+
+
+def vector_meetings(queries: DataFrame, items: DataFrame, k: int, pack_rows: int = PACK_ROWS, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first k of each query within its own group, and the pairs of packs within groups and across them that are compared."""
+    queries, items = queries.filter("vector is not null"), items.filter("vector is not null")
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
+    scored = f"client_id {types['client_id']}, query {types['query']}, item {types['item']}, score double"
+    group = ["client_id", "grp"]
+    centres = _centres(items, group_rows)
+    asked, held = _grouped(queries, "query", centres, pack_rows), _grouped(items, "item", centres, pack_rows)
+    heads = held.groupBy(*group).agg(F.count("vector").alias("items"), F.min("near").alias("least")).withColumn("last", F.ceil(F.col("items") / pack_rows) - 1)
+    packs = _packed(held, "item", "i", pack_rows, group, sizes=heads)
+
+    at_home = _meet(_packed(asked, "query", "q", pack_rows, group).drop("_pack").join(heads, group), packs)
+    home = _first_k(at_home.mapInPandas(_pack_top_k(k), scored), k).groupBy("client_id", "query").agg(F.collect_list(F.struct("item", "score")).alias("_home"))
+    floors = home.select("client_id", "query", F.when(F.size("_home") >= k, F.array_min("_home.score")).alias("floor"))
+    searched = centres.join(heads.groupBy("client_id").agg(F.collect_list(F.struct("grp", "items", "least", "last")).alias("heads")), "client_id")
+    leaving = _packed(asked.join(floors, ["client_id", "query"], "left"), "query", "q", pack_rows, group, ("floor",)).drop("_pack").join(searched, "client_id")
+    reached = leaving.mapInPandas(_reached(k), f"client_id {types['client_id']}, grp int, last bigint, q_keys array<{types['query']}>, q_vectors array<array<double>>")
+    return home.select("client_id", "query", F.inline("_home")), at_home, _meet(reached, packs)
+
+
+def vector_top_k(queries: DataFrame, items: DataFrame, k: int, pack_rows: int = PACK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Exact k nearest items by cosine for every query, within its client.
 
-    queries: client_id, query, vector; items: client_id, item, vector, all of unit length; equal scores go by item. Packs of queries meet packs of items; a pair of packs is one matrix product that returns k rows per
-    query, so neither the join nor the shuffle carries single pairs. Packs meet by client and item pack, so a large client spreads over as
-    many keys as it has item packs.
+    queries: client_id, query, vector; items: client_id, item, vector, all of unit length or zero; equal scores go by item; rows without
+    a vector are left out. Items are grouped around centres, queries first meet the group of their nearest centre. Angles obey the triangle
+    inequality, so no item of a group is closer to a query than its centre less the widest angle of the group: a group whose bound does not
+    reach the k-th score found so far is not compared. Packs of queries meet packs of items; a pair of packs is one matrix product that
+    returns k rows per query, so neither the join nor the shuffle carries single pairs. Packs meet by client, group and item pack, so
+    neither a large client nor a large group is one key.
     """
-    q = _packed(queries, "query", "q", pack_rows)
-    i = _packed(items, "item", "i", pack_rows)
-    types = {**{f.name: f.dataType.simpleString() for f in queries.schema}, **{f.name: f.dataType.simpleString() for f in items.schema}}
-    schema = f"client_id {types['client_id']}, query {types['query']}, item {types['item']}, score double"
-    meets = i.groupBy("client_id").agg(F.max("_pack").alias("_last"))
-    q = q.drop("_pack").join(meets, "client_id").withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long")))).drop("_last")
-    best = q.join(i.withColumn("_pack", F.col("_pack").cast("long")), ["client_id", "_pack"]).drop("_pack").mapInPandas(_pack_top_k(k), schema)
-    place = F.row_number().over(W.partitionBy("client_id", "query").orderBy(F.desc("score"), "item"))
-    return best.withColumn("place", place).filter(F.col("place") <= k)
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
+    scored = f"client_id {types['client_id']}, query {types['query']}, item {types['item']}, score double"
+    home, _, across = vector_meetings(queries, items, k, pack_rows, group_rows)
+    return _first_k(home.unionByName(across.mapInPandas(_pack_top_k(k), scored)), k)
 
 
 def search(queries: DataFrame, mappings: DataFrame, k: int, pack_rows: int = PACK_ROWS) -> DataFrame:

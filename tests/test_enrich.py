@@ -205,21 +205,6 @@ def test_token_suggestions_equal_brute_force(spark):
     assert got == {("upi swiggy", "Food"): ("swiggy", 0.5), ("upi swiggy", "Rent"): ("upi rent", 0.3333), ("rent", "Rent"): ("upi rent", 0.5)}
 
 
-def test_a_token_in_all_patterns_is_dealt_out(spark):
-    from vouchline.skew import shares
-
-    n = F.col("id")
-    q = spark.range(6000).select(F.lit(1).alias("client_id"), F.concat(F.lit("upi shop"), n.cast("string"), F.lit(" g"), (n % 40).cast("string")).alias("pattern"))
-    m = q.filter(F.xxhash64("pattern") % 5 == 0).select("*", F.concat(F.lit("L"), F.length("pattern").cast("string")).alias("ledger_name"),
-                                                        (F.xxhash64("pattern") % 9 + 9).alias("hit_count"), F.lit(1).alias("last_used_at"))
-    asked = q.withColumn("token", F.explode(me.tokens(F.col("pattern"))))
-    assert {(r.token, r._shares) for r in shares(asked, ["client_id", "token"], 500).collect()} == {("upi", 12)}
-    dealt = me.token_suggestions(q, m, 500)
-    assert "_share" in dealt._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(", 1)[1]
-    whole = me.token_suggestions(q, m)
-    assert dealt.count() == whole.count() > 6000 and dealt.exceptAll(whole).isEmpty()
-
-
 def _clustered(spark, n, spread, seed):
     """Vectors around 24 directions of two clients, some equal, one zero; ids are ids of vectors."""
     rng = np.random.default_rng(seed)

@@ -9,12 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vouchline.functions.text import mapping_text, pattern_key, with_pattern
-from vouchline.skew import shares
 
 VECTOR_SIZE = 64
 PACK_ROWS = 2048
-#: Queries of one client with one token that go to one task.
-TOKEN_ROWS = 1 << 16
 #: Items of a group around a centre, unless a client has more than MAX_GROUPS times as many.
 GROUP_ROWS = 256
 MAX_GROUPS = 1024
@@ -53,12 +50,11 @@ def tokens(pattern: Column) -> Column:
     return F.array_distinct(F.split(pattern, " "))
 
 
-def token_suggestions(queries: DataFrame, mappings: DataFrame, token_rows: int = TOKEN_ROWS) -> DataFrame:
+def token_suggestions(queries: DataFrame, mappings: DataFrame) -> DataFrame:
     """Per (client, pattern) and ledger: the most used mapping that shares a token, with its token overlap as score.
 
     The winner per ledger is the most used mapping, not the closest one. So the best mapping per (client, token, ledger)
-    is found before the join, and a query meets one row per token and ledger, never all mappings of its client. A token that
-    more than `token_rows` queries of a client hold is dealt into shares of about that many; its few best mappings go to each share.
+    is found before the join, and a query meets one row per token and ledger, never all mappings of its client.
     """
     best = F.struct("hit_count", "last_used_at", "pattern")
     per_token = (
@@ -66,13 +62,9 @@ def token_suggestions(queries: DataFrame, mappings: DataFrame, token_rows: int =
         .groupBy("client_id", "token", "ledger_name").agg(F.max(best).alias("best"))
     )
     wanted = queries.select("client_id", F.explode(F.filter(F.array("pattern"), lambda p: p != "")).alias("pattern")).distinct()
-    asked = wanted.withColumn("token", F.explode(tokens(F.col("pattern"))))
-    dealt = F.broadcast(shares(asked, ["client_id", "token"], token_rows))
-    asked = asked.join(dealt, ["client_id", "token"], "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64("pattern"), "_shares"), F.lit(0).cast("long")))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_shares", F.lit(1).cast("long")) - 1))
-    offered = per_token.join(dealt, ["client_id", "token"], "left").withColumn("_share", every).drop("_shares")
     winners = (
-        asked.drop("_shares").join(offered, ["client_id", "token", "_share"])
+        wanted.withColumn("token", F.explode(tokens(F.col("pattern"))))
+        .join(per_token, ["client_id", "token"])
         .groupBy("client_id", "pattern", "ledger_name").agg(F.max("best").alias("best"))
     )
     mine, theirs = tokens(F.col("pattern")), tokens(F.col("best.pattern"))
@@ -128,7 +120,7 @@ def backfill(mappings: DataFrame) -> DataFrame:
 
 
 def _sizes(df: DataFrame, by: list[str]) -> DataFrame:
-    # counting the vectors themselves keeps this plan equal to those that use them, so that Spark computes both from one exchange
+    # counting the vectors themselves keeps this plan equal to those that use them, so that Spark can compute both from one exchange
     return df.groupBy(*by).agg(F.count("vector").alias("items"))
 
 

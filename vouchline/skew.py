@@ -32,17 +32,6 @@ def hot_keys(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> Dat
     )
 
 
-def shares(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """The heaviest keys with the number of `_shares` of about `rows` rows that they make, at most MAX_HOT_KEYS of them, so the result may
-    be broadcast. A key that is left out is only not split; no result depends on this list.
-    """
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
-        .orderBy(F.desc("_rows"), *keys).limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_rows") / rows).alias("_shares"))
-    )
-
-
 def block(position: str | Column, size: int | None = None) -> Column:
     """Bucket of a dense integer position."""
     column = F.col(position) if isinstance(position, str) else position

@@ -1,6 +1,7 @@
 import datetime
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,32 @@ def test_statement_over_several_batches(spark):
     assert [tuple(r) for r in got] == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_batch_reads_only_the_statements_it_touches(spark):
+    """Six batches of six new statements each; a batch also brings a row of the batch before, the last one a row of the first batch."""
+    base = work_dir(spark, "stream-test")
+    schema = "statement_id long, bank_code string, row_idx long, cells array<string>"
+    header = ["Date", "Particulars", "Chq No", "Debit", "Credit", "Balance"]
+    row = lambda sid, i: (sid, "axis", i, header if i == 0 else [f"0{i}-01-2024", "UPI SWIGGY", "", f"{i}.00", "", "95.00"])
+    batches = 6
+    for n in range(batches):
+        rows = [row(10 * n + k, i) for k in range(6) for i in (0, 1)]
+        rows += [row(10 * (n - 1), 2)] if n else []
+        rows += [row(3, 2), row(3, 1)] if n == batches - 1 else []
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(0.01)  # files are taken in order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    jobs.stream_statements(stream, tp.catalogue, f"{base}/out", f"{base}/check", enrich=None, compact_every=3).awaitTermination()
+    assert jobs._snapshots(spark, f"{base}/out-held") == [2, 5]
+    read = []
+    for n in range(batches):
+        rows = jobs.touched_rows(spark, f"{base}/out", spark.read.parquet(f"{base}/in").schema, n)
+        read.append((sorted({int(f.split("batch=")[1].split("/")[0]) for f in rows.inputFiles()}), spark.read.schema(schema).parquet(*rows.inputFiles()).count(), rows.count()))
+    assert [r[0] for r in read] == [[0], *([n - 1, n] for n in range(1, batches - 1)), [0, batches - 2, batches - 1]]
+    assert all(15 <= wanted <= seen <= 27 for _, seen, wanted in read[1:-1]) and read[-1][1] < 45  # of 80 rows
+    got = jobs.read_statements(spark, f"{base}/out").groupBy("statement_id").agg(F.sum("debit").cast("int").alias("d")).collect()
+    assert {r.statement_id: r.d for r in got} == {10 * n + k: 3 if (k == 0 and n < batches - 1) or (n, k) == (0, 3) else 1 for n in range(batches) for k in range(6)}
+
+
 def test_late_status_counts(spark):
     base = work_dir(spark, "status-test")
     for i, (sid, hours, status) in enumerate([(1, 5, "REVIEWED"), (2, 0, "UPLOADED"), (1, 1, "FAILED"), (1, 5, "REVIEWED")]):

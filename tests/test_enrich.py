@@ -2,12 +2,14 @@ import datetime
 import decimal
 import hashlib
 import json
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from vouchline.functions.text import pattern_key
 from vouchline.operators import cache as ca, enrich as en, memory as me
+from vouchline.session import work_dir
 
 Dec, D = decimal.Decimal, datetime.date
 TX = "id long, client_id int, txn_date date, narration string, debit decimal(18,2), credit decimal(18,2), balance decimal(18,2), confirmed_ledger string"
@@ -240,6 +242,49 @@ def test_nearest_vectors_equal_all_pairs_and_skip_far_groups(spark):
     assert me.vector_top_k(queries, none.withColumnRenamed("id", "item"), 3).isEmpty() and me.vector_top_k(none.withColumnRenamed("id", "query"), items, 3).isEmpty()
 
 
+def _answers(spark, rows):
+    """(number, response, written_at day)"""
+    rows = [(hashlib.sha256(str(n).encode()).hexdigest(), "p" + r, "m", r, 1, 2, Dec("0.5"), 0, T0 + datetime.timedelta(day)) for n, r, day in rows]
+    return spark.createDataFrame(rows, "content_hash string, provider string, model string, response string, prompt_tokens long, completion_tokens long, cost_usd decimal(10,6), hit_count long, written_at timestamp")
+
+
+def test_stored_cache_rewrites_only_touched_buckets(spark):
+    path = work_dir(spark, "answers")
+    assert ca.stored_cache(spark, path, "answers_a", 16).isEmpty()
+    assert ca.upsert_stored(_answers(spark, []), "answers_a", 16) == []
+    first = _answers(spark, [(n, f"r{n}", 1) for n in range(500)])
+    assert ca.upsert_stored(first, "answers_a", 16) == list(range(16))
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+
+    before = files()
+    fresh = _answers(spark, [(7, "new", 5), (7, "newer", 6), (900, "added", 5)])
+    for _ in range(2):  # brought in again, nothing changes
+        touched = ca.upsert_stored(fresh, "answers_a", 16)
+        assert 1 <= len(touched) <= 2
+        kept = {f for f in before if int(f.split("bucket=")[1].split("/")[0]) not in touched}
+        assert kept == {f for f, at in files().items() if before.get(f) == at} and len(kept) >= 14
+        got = {r.content_hash: r for r in spark.table("answers_a").collect()}
+        assert len(got) == 501
+        for n, r, provider, made, used in ((7, "newer", "pr7", 1, 6), (900, "added", "padded", 5, 5), (8, "r8", "pr8", 1, 1)):
+            row = got[hashlib.sha256(str(n).encode()).hexdigest()]
+            assert (row.response, row.provider, (row.created_at - T0).days, (row.last_used_at - T0).days) == (r, provider, made, used)
+    # another session's catalog finds the same rows below the path
+    assert ca.stored_cache(spark, path, "answers_b", 16).count() == 501
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tx = spark.range(600).select("id", F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+        for found in (ca.lookup(tx, ca.stored_cache(spark, path, "answers_b", 16)), ca.misses(tx, ca.stored_cache(spark, path, "answers_b", 16))):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan, plan
+            missed = found.filter("not cache_hit") if "cache_hit" in found.columns else found
+            assert sorted(r.id for r in missed.select("id").collect()) == list(range(500, 600))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_learning_upserts(spark):
     rows = spark.createDataFrame([(1, "UPI/Shop", " A ", 1, 1), (1, "upi shop", "B", 2, 2), (1, "x", "  ", 3, 3), (1, "//", "A", 3, 4)], "client_id int, narration string, ledger_name string, used_at int, event_id long")
     old = spark.createDataFrame([(1, "upi shop", "Old", 4, 0), (2, "keep", "K", 1, 0)], "client_id int, pattern string, ledger_name string, hit_count long, last_used_at int")

@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vouchline.session import path_exists
+
 MILLION = 1_000_000
+#: Buckets of a stored cache, and its columns.
+CACHE_BUCKETS = 256
+CACHE_COLUMNS = (
+    "content_hash STRING, provider STRING, model STRING, response STRING, prompt_tokens BIGINT, completion_tokens BIGINT, "
+    "cost_usd DECIMAL(10,6), hit_count BIGINT, created_at TIMESTAMP, last_used_at TIMESTAMP"
+)
 
 # Result source | provider | model | USD per million tokens in | out.
 PRICES = [
@@ -62,20 +70,59 @@ def misses(tx: DataFrame, cache: DataFrame) -> DataFrame:
 def upsert(cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """New answers replace answer, tokens and cost; provider, model, creation and hit count of the first write stay.
 
-    Columns: content_hash, provider, model, response, prompt_tokens, completion_tokens, cost_usd, hit_count, written_at.
+    Columns: content_hash, provider, model, response, prompt_tokens, completion_tokens, cost_usd, hit_count, written_at. A `last_used_at` in
+    the cache counts for the new one.
     """
-    both = cache.withColumn("_old", F.lit(1)).unionByName(fresh.withColumn("_old", F.lit(0)), allowMissingColumns=True)
+    used = F.greatest("last_used_at", "written_at") if "last_used_at" in cache.columns else F.col("written_at")
+    both = cache.withColumns({"_old": F.lit(1), "_used": used}).unionByName(fresh.withColumns({"_old": F.lit(0), "_used": F.col("written_at")}), allowMissingColumns=True)
     first, last = F.struct(-F.col("_old"), F.col("written_at")), F.struct(F.col("written_at"), -F.col("_old"))
     latest = ["response", "prompt_tokens", "completion_tokens", "cost_usd"]
     return both.groupBy("content_hash").agg(
         F.min_by(F.struct("provider", "model"), first).alias("_f"),
         F.max_by(F.struct(*latest), last).alias("_l"),
         F.max(F.coalesce("hit_count", F.lit(0))).alias("hit_count"),
-        F.min("written_at").alias("created_at"), F.max("written_at").alias("last_used_at"),
+        F.min("written_at").alias("created_at"), F.max("_used").alias("last_used_at"),
     ).select("content_hash", "_f.provider", "_f.model", *[F.col(f"_l.{c}").alias(c) for c in latest],
              "hit_count", "created_at", "last_used_at")
 
 
+def stored_cache(spark: SparkSession, path: str, name: str, buckets: int = CACHE_BUCKETS) -> DataFrame:
+    """The answer cache kept below `path` (a shared folder), empty if nothing is there; `name` is what the session's catalog calls it.
+
+    It is bucketed by content hash, so `lookup` and `misses` move the transactions to the answers and never the cache. The folder of a row
+    is its bucket, so each bucket can be replaced alone. `buckets` must stay the same over the life of a cache; it is the number of tasks of
+    a lookup and should leave some hundred megabytes to a bucket.
+    """
+    if not spark.catalog.tableExists(name):
+        spark.sql(f"CREATE TABLE {name} ({CACHE_COLUMNS}, bucket INT) USING parquet OPTIONS (path '{path}') PARTITIONED BY (bucket) "
+                  f"CLUSTERED BY (content_hash) INTO {int(buckets)} BUCKETS")
+    if path_exists(spark, path):  # buckets that another session wrote
+        spark.catalog.recoverPartitions(name)
+        spark.catalog.refreshTable(name)
+    return spark.table(name).drop("bucket")
+
+
+def upsert_stored(fresh: DataFrame, name: str, buckets: int = CACHE_BUCKETS) -> list[int]:
+    """`upsert` into a stored cache: only buckets that get an answer are read and written; returns their numbers.
+
+    `fresh` has the columns that `upsert` takes and is computed twice. The same answers brought in again change nothing.
+    """
+    spark = fresh.sparkSession
+    # the hash by which Spark deals rows to buckets, so the folder and the bucket of a row are one number
+    bucket = F.pmod(F.hash("content_hash"), F.lit(buckets)).alias("bucket")
+    touched = sorted(r.bucket for r in fresh.select(bucket).distinct().collect())  # at most `buckets` numbers
+    if touched:
+        old = spark.table(name).filter(F.col("bucket").isin(touched)).drop("bucket").withColumnRenamed("created_at", "written_at")
+        merged = upsert(old, fresh).select("*", bucket).select(*spark.table(name).columns)
+        mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        try:
+            merged.repartition(buckets, "content_hash").write.insertInto(name, overwrite=True)
+        finally:
+            spark.conf.set("spark.sql.sources.partitionOverwriteMode", mode)
+    return touched
+
+
 def count_hits(cache: DataFrame, hits: DataFrame) -> DataFrame:
     """Raise hit_count by the number of hits and move last_used_at; hits: (content_hash, used_at)."""
     used = hits.groupBy("content_hash").agg(F.count(F.lit(1)).alias("_n"), F.max("used_at").alias("_at"))

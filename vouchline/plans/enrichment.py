@@ -6,6 +6,7 @@ from vouchline.functions import text
 from vouchline.operators import cache as ca, enrich as en, memory as me
 from vouchline.plans.registry import query
 from vouchline.plans import views as v
+from vouchline.session import work_dir
 from vouchline.sources import fixtures as fx
 
 RESULT = "narration_clean, payment_mode, counterparty, suggested_ledger, confidence"
@@ -176,26 +177,61 @@ def _(s, d):
     return fx.hashed(fx.transactions(s, d, numbered=True, clients=False)).select("id", "content_hash")
 
 
-@query("c2_lookup", f"""WITH {v.TX}, {v.HASHED}, {v.CACHE} SELECT id, ca.first_id IS NOT NULL AS cache_hit,
-  'Cached ' || CAST(first_id AS VARCHAR) AS narration_clean FROM hx LEFT JOIN ca USING (content_hash)""")
+LOOKED_UP = f"""WITH {v.TX}, {v.HASHED}, {v.CACHE} SELECT id, ca.first_id IS NOT NULL AS cache_hit,
+  'Cached ' || CAST(first_id AS VARCHAR) AS narration_clean FROM hx LEFT JOIN ca USING (content_hash)"""
+
+
+@query("c2_lookup", LOOKED_UP)
 def _(s, d):
     tx = fx.hashed(fx.transactions(s, d, numbered=True, clients=False))
     return ca.lookup(tx, fx.cache(s, d)).select("id", "cache_hit", "narration_clean")
 
 
-@query("c3_upsert", f"""WITH {v.TX}, {v.HASHED}, {v.CACHE}, fr AS (SELECT content_hash, min(id) AS new_id FROM hx WHERE id % 6 = 0 GROUP BY ALL)
+UPSERTED = f"""WITH {v.TX}, {v.HASHED}, {v.CACHE}, fr AS (SELECT content_hash, min(id) AS new_id FROM hx WHERE id % 6 = 0 GROUP BY ALL)
 SELECT content_hash, CASE WHEN first_id IS NULL THEN 'openai' ELSE 'anthropic' END AS provider,
   CASE WHEN new_id IS NULL THEN 'Cached ' || CAST(first_id AS VARCHAR) ELSE 'New ' || CAST(new_id AS VARCHAR) END AS response,
   coalesce(hit_count, 0) AS hit_count, CASE WHEN new_id IS NULL THEN DATE '2024-01-01' ELSE DATE '2024-02-01' END AS last_used_at
-FROM ca FULL JOIN fr USING (content_hash)""")
-def _(s, d):
+FROM ca FULL JOIN fr USING (content_hash)"""
+
+
+def _answers_old_and_new(s, d):
     old = fx.cache(s, d).select("content_hash", "provider", "model", F.col("narration_clean").alias("response"), "hit_count", F.col("last_used_at").alias("written_at"))
     tx = fx.hashed(fx.transactions(s, d, numbered=True, clients=False)).filter("id % 6 = 0")
     new = tx.groupBy("content_hash").agg(F.min("id").alias("new_id")).select(
         "content_hash", F.lit("openai").alias("provider"), F.lit("model-b").alias("model"), F.concat(F.lit("New "), F.col("new_id").cast("string")).alias("response"),
         F.lit("2024-02-01").cast("date").alias("written_at"))
     zero = {c: F.lit(0) for c in ["prompt_tokens", "completion_tokens", "cost_usd"]}
-    return ca.upsert(old.withColumns(zero), new.withColumns(zero)).select("content_hash", "provider", "response", "hit_count", "last_used_at")
+    return old.withColumns(zero), new.withColumns(zero)
+
+
+@query("c3_upsert", UPSERTED)
+def _(s, d):
+    return ca.upsert(*_answers_old_and_new(s, d)).select("content_hash", "provider", "response", "hit_count", "last_used_at")
+
+
+def _stored(s, *batches):
+    """A stored cache that the batches of answers are brought into, one after the other."""
+    path = work_dir(s, "answers")
+    name = "answers_" + path[-12:]
+    ca.stored_cache(s, path, name, 16)
+    for batch in batches:
+        ca.upsert_stored(batch, name, 16)
+    return s.table(name).drop("bucket")
+
+
+@query("c2_lookup_stored", LOOKED_UP)
+def _(s, d):
+    """The same answers from a stored cache: only the transactions are shuffled."""
+    tx = fx.hashed(fx.transactions(s, d, numbered=True, clients=False))
+    stored = _stored(s, _answers_old_and_new(s, d)[0]).select("content_hash", F.col("response").alias("narration_clean"))
+    return ca.lookup(tx.drop("narration_clean"), stored).select("id", "cache_hit", "narration_clean")
+
+
+@query("c3_upsert_stored", UPSERTED)
+def _(s, d):
+    """Brought into a stored cache in two steps, the second of them twice."""
+    old, new = _answers_old_and_new(s, d)
+    return _stored(s, old, new, new).select("content_hash", "provider", "response", "hit_count", F.col("last_used_at").cast("date").alias("last_used_at"))
 
 
 @query("c4_count_hits", f"""WITH {v.TX}, {v.HASHED}, {v.CACHE} SELECT content_hash, hit_count + n AS hit_count, greatest(DATE '2024-01-01', d) AS last_used_at

@@ -48,3 +48,8 @@ def finished_folders(spark: SparkSession, path: str) -> list[str]:
         return []
     names = [entry.getPath() for entry in files.listStatus(root) if entry.isDirectory()]
     return sorted(p.getName() for p in names if files.exists(hadoop.Path(p, "_SUCCESS")))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -56,6 +56,29 @@ def test_csv_document_in_order(spark, tmp_path):
     assert lines[-1] == "TOTAL,,2350.00,50000.00,,,,,," and len(lines) == 5
 
 
+def test_documents_in_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    sizes = {n: 4000 if n == 77 else n % 5 for n in range(400)}  # one long statement, some without lines
+    rows = [(n, i, f"{n}:{i} " + "x" * 40) for n, size in sizes.items() for i in range(size)]
+    lines = spark.createDataFrame(rows[::-1], "statement_id long, line_no long, line string").repartition(7)
+    sinks.write_shards(lines, path)
+    files = list((tmp_path / "shards" / "shards").glob("part-*"))
+    assert len(files) <= 8  # by size, not one for each of 320 documents
+    assert sorted(map(tuple, sinks.read_shards(spark, path).collect())) == sorted(rows)
+    index = spark.read.parquet(path + "/index")
+    assert {r.statement_id: r.n for r in index.groupBy("statement_id").agg(F.sum("lines").alias("n")).collect()} == {n: s for n, s in sizes.items() if s}
+    for asked in ([3], [77], [4, 399], [5], [1000]):
+        got = sinks.read_shards(spark, path, asked)
+        assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] in asked)
+        if asked in ([3], [4, 399]):
+            assert len(got.inputFiles()) <= len(asked) + 1
+    sinks.export_document(spark, path, 77, str(tmp_path / "one"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "one").glob("part-*")))
+    assert text.splitlines() == [f"77:{i} " + "x" * 40 for i in range(4000)]
+    sinks.write_shards(lines.filter("false"), path)
+    assert sinks.read_shards(spark, path).isEmpty() and sinks.read_shards(spark, path, [3]).isEmpty()
+
+
 def test_json_document(spark):
     import json
 

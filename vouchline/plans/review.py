@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from vouchline.operators import enrich as en, export as ex, memory as me, review as rv
 from vouchline.plans import views as v
-from vouchline.plans.registry import query
+from vouchline.plans.registry import SQL, query
+from vouchline.session import work_dir
 from vouchline.sources import fixtures as fx, sinks
 
 
@@ -249,6 +250,15 @@ def _(s, d):
     return sinks.xml_lines(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), hot=fx.long_statements(s, d), statements=fx.statements(s, d))
 
 
+@query("snk2_json_shards", SQL["snk2_json"])
+def _(s, d):
+    """The same documents, all of them, written as shards and read back."""
+    meta = fx.statements(s, d).select("statement_id", F.col("file_name").alias("filename"), F.col("bank_code").alias("bank_id"))
+    path = work_dir(s, "documents")
+    sinks.write_shards(sinks.json_lines(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), meta, F.lit("2024-01-01T00:00:00Z")), path)
+    return sinks.read_shards(s, path)
+
+
 @query("snk4_workbook", f"""WITH {v.EN}, {v.EXPORT} SELECT statement_id, row_number, txn_date, narration, CASE tx_type WHEN 'DEBIT' THEN amount END AS debit, CASE tx_type WHEN 'CREDIT' THEN amount END AS credit,
   balance, ledger_name, ocr_confidence, CASE WHEN is_reviewed THEN 'Yes' ELSE 'No' END AS reviewed, {FILL} AS fill FROM ex""")
 def _(s, d):

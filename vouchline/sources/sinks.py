@@ -2,12 +2,13 @@
 
 A document is produced as numbered lines per statement, never as one value, so a statement of any length is written by
 many tasks. `write_documents` range-partitions by statement and line: the part files of a statement, in name order, are
-its document.
+its document. `write_shards` is for many documents: the number of its files follows the size of the data, and an index finds
+single documents in them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vouchline.operators.export import export_rows, fill_class, side_totals, statement_totals, summary, vouchers
 
@@ -166,3 +167,35 @@ def write_documents(lines: DataFrame, path: str, mode: str = "overwrite") -> Non
         .sortWithinPartitions("statement_id", "line_no")
         .select("statement_id", "line").write.mode(mode).partitionBy("statement_id").text(path)
     )
+
+
+def write_shards(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Documents (statement_id, line_no, line) as files of many documents each, in order of statement and line, and an index of which file
+    holds which lines of which statement (statement_id, shard, first_line, lines).
+
+    A statement of any length spreads over several shards, and short ones share one. No lines, no documents.
+    """
+    spark = lines.sparkSession
+    placed = lines.select("statement_id", "line_no", "line").repartitionByRange("statement_id", "line_no").sortWithinPartitions("statement_id", "line_no")
+    placed.write.mode(mode).parquet(f"{path}/shards")
+    held = spark.read.parquet(f"{path}/shards").select("statement_id", "line_no", F.col("_metadata.file_name").alias("shard"))
+    index = held.groupBy("statement_id", "shard").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("lines"))
+    index.repartitionByRange("statement_id").sortWithinPartitions("statement_id", "first_line").write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_shards(spark: SparkSession, path: str, statements: list | None = None) -> DataFrame:
+    """The lines of some documents, or of all. Of a few statements only the shards that hold them are opened, found by the index; the
+    statements and the names of their shards go through the driver."""
+    if statements is None:
+        return spark.read.parquet(f"{path}/shards")
+    index = spark.read.parquet(f"{path}/index")
+    names = [r.shard for r in index.filter(F.col("statement_id").isin(statements)).select("shard").distinct().collect()]
+    if not names:
+        return read_shards(spark, path).limit(0)
+    return spark.read.parquet(*[f"{path}/shards/{name}" for name in sorted(names)]).filter(F.col("statement_id").isin(statements))
+
+
+def export_document(spark: SparkSession, path: str, statement: object, target: str) -> None:
+    """One document out of the shards as text; its part files, in name order, are the document."""
+    lines = read_shards(spark, path, [statement]).repartitionByRange("line_no").sortWithinPartitions("line_no")
+    lines.select("line").write.mode("overwrite").text(target)

@@ -79,6 +79,18 @@ def test_documents_in_shards(spark, tmp_path):
     assert sinks.read_shards(spark, path).isEmpty() and sinks.read_shards(spark, path, [3]).isEmpty()
 
 
+def test_summary_sheet(spark):
+    meta = spark.createDataFrame([(1, "a.csv", None), (2, None, "sbi")], "statement_id long, filename string, bank_id string")
+    modes = tx(spark).withColumn("payment_mode", F.when(F.col("id") == 11, "UPI").when(F.col("id") == 12, "NEFT").otherwise(""))
+    sheets = {1: [], 2: []}
+    for r in sinks.summary_cells(modes, meta).orderBy("statement_id", "sheet_row").collect():
+        sheets[r.statement_id].append((r.sheet_row, r.label, r.value))
+    assert sheets[1] == [
+        (1, "Statement", "a.csv"), (2, "Bank", "Unknown"), (3, "Date Range", "2024-01-01 to 2024-01-03"), (5, "Metric", "Value"), (6, "Total Transactions", "3"),
+        (7, "Total Debit", "2350.00"), (8, "Total Credit", "50000.00"), (10, "Payment Mode", "Total"), (11, "NEFT", "50000.00"), (12, "UPI", "350.00"), (13, "Unknown", "2000.00")]
+    assert sheets[2][:3] == [(1, "Statement", "statement"), (2, "Bank", "sbi"), (3, "Date Range", "N/A")] and [c[2] for c in sheets[2][4:7]] == ["0", "0.00", "0.00"] and len(sheets[2]) == 8
+
+
 def test_json_document(spark):
     import json
 

@@ -265,6 +265,24 @@ def _(s, d):
     return sinks.workbook_tables(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)))[0]
 
 
+@query("snk4_workbook_summary", f"""WITH {v.EN}, {v.EXPORT}, su AS (SELECT statement_id, count(*) AS n, {SIDES}, min(txn_date) AS a, max(txn_date) AS b FROM ex GROUP BY ALL),
+hd AS (SELECT st.statement_id, file_name, bank_code, n, a, b, total_debit, total_credit FROM st LEFT JOIN su ON su.statement_id = st.statement_id),
+mo AS (SELECT statement_id, coalesce(nullif(payment_mode, ''), 'Unknown') AS label, CAST(sum(coalesce(amount, 0)) AS DECIMAL(28,2)) AS total FROM ex GROUP BY ALL)
+SELECT statement_id, CAST(1 AS BIGINT) AS sheet_row, 'Statement' AS label, coalesce(nullif(file_name, ''), 'statement') AS value FROM hd
+UNION ALL SELECT statement_id, 2, 'Bank', coalesce(nullif(bank_code, ''), 'Unknown') FROM hd
+UNION ALL SELECT statement_id, 3, 'Date Range', CASE WHEN n > 0 THEN strftime(a, '%Y-%m-%d') || ' to ' || strftime(b, '%Y-%m-%d') ELSE 'N/A' END FROM hd
+UNION ALL SELECT statement_id, 5, 'Metric', 'Value' FROM hd
+UNION ALL SELECT statement_id, 6, 'Total Transactions', CAST(coalesce(n, 0) AS VARCHAR) FROM hd
+UNION ALL SELECT statement_id, 7, 'Total Debit', CAST(coalesce(total_debit, 0.00) AS VARCHAR) FROM hd
+UNION ALL SELECT statement_id, 8, 'Total Credit', CAST(coalesce(total_credit, 0.00) AS VARCHAR) FROM hd
+UNION ALL SELECT statement_id, 10, 'Payment Mode', 'Total' FROM hd
+UNION ALL SELECT statement_id, 10 + row_number() OVER (PARTITION BY statement_id ORDER BY label), label, CAST(total AS VARCHAR) FROM mo""")
+def _(s, d):
+    """The second table of the workbook."""
+    meta = fx.statements(s, d).select("statement_id", F.col("file_name").alias("filename"), F.col("bank_code").alias("bank_id"))
+    return sinks.summary_cells(en.heuristic(fx.transactions(s, d, numbered=True, clients=False)), meta)
+
+
 @query("snk5_file_names", f"WITH {v.ST} SELECT statement_id, coalesce(bank_code, 'bank') || '_' || strftime(created_on, '%Y-%m-%d') || '_tally_xml.xml' AS file_name FROM st")
 def _(s, d):
     return fx.statements(s, d).select("statement_id", sinks.file_name(F.col("bank_code"), F.col("created_on"), "tally_xml").alias("file_name"))

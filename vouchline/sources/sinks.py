@@ -8,9 +8,9 @@ single documents in them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from vouchline.operators.export import export_rows, fill_class, side_totals, statement_totals, summary, vouchers
+from vouchline.operators.export import export_rows, fill_class, mode_totals, side_totals, statement_totals, summary, vouchers
 
 # Column titles, file extensions and the line numbers around the rows.
 CSV_COLUMNS = ["Date", "Narration", "Debit", "Credit", "Balance", "Payment Mode", "Counterparty", "Ledger", "OCR Confidence", "Reviewed"]
@@ -155,6 +155,29 @@ def workbook_tables(tx: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sheet, summary(rows)
 
 
+def summary_cells(tx: DataFrame, meta: DataFrame) -> DataFrame:
+    """The filled rows of the Summary sheet, two cells each: statement_id, sheet_row, label, value; amounts with two places.
+
+    meta: statement_id, filename, bank_id; each of its statements has a sheet, also one without rows to export. Below the fixed rows stand
+    the totals by payment mode, in order of their names.
+    """
+    rows = export_rows(tx)
+    heads = meta.join(summary(rows), "statement_id", "left")
+    money = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(28,2)").cast("string")
+    span = F.concat(F.col("first_date").cast("string"), F.lit(" to "), F.col("last_date").cast("string"))
+    # Rows and titles of the sheet.
+    fixed = [
+        (1, "Statement", F.coalesce(F.nullif("filename", F.lit("")), F.lit("statement"))), (2, "Bank", F.coalesce(F.nullif("bank_id", F.lit("")), F.lit("Unknown"))),
+        (3, "Date Range", F.coalesce(span, F.lit("N/A"))), (5, "Metric", F.lit("Value")), (6, "Total Transactions", F.coalesce("transactions", F.lit(0)).cast("string")),
+        (7, "Total Debit", money("total_debit")), (8, "Total Credit", money("total_credit")), (10, "Payment Mode", F.lit("Total")),
+    ]
+    cells = [F.struct(F.lit(at).cast("long").alias("sheet_row"), F.lit(label).alias("label"), value.alias("value")) for at, label, value in fixed]
+    place = F.lit(10) + F.row_number().over(W.partitionBy("statement_id").orderBy("payment_mode"))
+    modes = mode_totals(rows, ["statement_id"]).join(meta.select("statement_id"), "statement_id", "left_semi").select(
+        "statement_id", place.cast("long").alias("sheet_row"), F.col("payment_mode").alias("label"), F.col("total").cast("string").alias("value"))
+    return heads.select("statement_id", F.inline(F.array(*cells))).unionByName(modes)
+
+
 def file_name(bank: Column, day: Column, fmt: str) -> Column:
     ext = EXTENSIONS.get(fmt, "bin")
     return F.concat(F.coalesce(bank, F.lit("bank")), F.lit("_"), F.date_format(day, "yyyy-MM-dd"), F.lit(f"_{fmt}.{ext}"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.agreement import compare, duck
 from vouchline.operators import shape as sh
-from vouchline.plans import catalog
+from vouchline.plans import catalog, quality
 from vouchline.session import work_dir
 from vouchline.sources import templates as tp
 from vouchline.streaming import jobs
@@ -165,3 +165,28 @@ def test_enriched_stream_is_compared_with_all_rows(spark):
     for name in ("t4_enrich_stream", "t4_enrich_stream_whole"):
         note, _, good = compare(spark, con, SF, name, catalog.QUERIES[name], catalog.SQL[name])
         assert good and note == f"ok {orders} rows", note
+
+
+def _orders(spark, folder, n=60):
+    """Tables of a bank with six statements, one file each."""
+    rows = [(i + 1, i % 6 + 1, "O" if i % 3 else "F", 100.0 + i, T0 + datetime.timedelta(days=i), "1-URGENT" if i % 4 == 0 else "5-LOW") for i in range(n)]
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/orders.parquet")
+    return folder
+
+
+def test_parts_arrive_as_many_files_and_each_batch_has_rows(spark, monkeypatch):
+    base = work_dir(spark, "parts-test")
+    monkeypatch.setattr(quality, "work_dir", lambda s, name: f"{base}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        quality._parsed_stream(spark, _orders(spark, f"{base}/tables"), None).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    arrived = spark.read.parquet(f"{base}/statements/in")
+    files = arrived.groupBy((F.col("row_idx") % 3).alias("part"), F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()
+    for part in range(3):
+        sizes = [r.n for r in files if r.part == part]
+        assert len(sizes) > 1 and max(sizes) < sum(sizes), part
+    held = [spark.read.parquet(f"{base}/statements/table-held/batch={n}").count() for n in range(3)]
+    assert held == [6, 6, 6] and not os.path.exists(f"{base}/statements/table-held/batch=3")

@@ -246,15 +246,29 @@ def _(s, d):
 
 
 def _parsed_stream(s, d, enrich):
-    """Cell rows arrive as three files, each with a third of every statement, in a batch each; the second run finds nothing new."""
+    """Cell rows arrive in three parts, each with a third of every statement, in a batch each; the last run finds nothing new.
+
+    A part is as many files as its size asks for, so no task takes a whole one. The rows that transactions begin with come last.
+    """
     out = work_dir(s, "statements")
-    fx.raw_rows(s, d).repartition(3, F.col("row_idx") % 3).write.parquet(f"{out}/in")
-    rows = s.readStream.schema(s.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    for _ in range(2):
+    cells = fx.raw_rows(s, d)
+    cells.withColumn("part", F.col("row_idx") % 3).write.partitionBy("part").parquet(f"{out}/parts")
+    for part in (2, 1, 0, None):
+        if part is not None:
+            s.read.schema(cells.schema).parquet(f"{out}/parts/part={part}").write.mode("append").parquet(f"{out}/in")
+        rows = s.readStream.schema(cells.schema).parquet(f"{out}/in")
         jobs.stream_statements(rows, tp.catalogue, f"{out}/table", f"{out}/checkpoint", enrich).awaitTermination()
     return jobs.read_statements(s, f"{out}/table")
 
 
+def _stored(s, tables):
+    """The tables, written and read back: what is asked in every batch is derived once."""
+    out = work_dir(s, "stored")
+    for name, table in tables.items():
+        table.write.parquet(f"{out}/{name}")
+    return {name: s.read.schema(table.schema).parquet(f"{out}/{name}") for name, table in tables.items()}
+
+
 # The transactions as they are parsed: with the narration of a second row.
 CONTINUED = v.TX.replace(", tx AS (", ", tx0 AS (") + ", tx AS (SELECT * REPLACE (narration || CASE WHEN id % 4 = 0 THEN ' MORE ' || id ELSE '' END AS narration) FROM tx0)"
 

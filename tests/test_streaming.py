@@ -190,3 +190,16 @@ def test_parts_arrive_as_many_files_and_each_batch_has_rows(spark, monkeypatch):
         assert len(sizes) > 1 and max(sizes) < sum(sizes), part
     held = [spark.read.parquet(f"{base}/statements/table-held/batch={n}").count() for n in range(3)]
     assert held == [6, 6, 6] and not os.path.exists(f"{base}/statements/table-held/batch=3")
+
+
+def test_a_bucket_is_written_by_several_tasks(spark):
+    base = work_dir(spark, "bucket-test")
+    batch = spark.range(200).select((F.col("id") % 50).alias("statement_id"), F.floor(F.col("id") / 50).alias("row_idx"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        jobs.keep_rows(batch, f"{base}/out", 0, buckets=1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    kept = spark.read.parquet(f"{base}/out-rows")
+    assert kept.count() == 200 and len(kept.inputFiles()) > 1
+    assert spark.read.parquet(f"{base}/out-held/batch=0").count() == 50

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.agreement import compare, duck
 from vouchline.operators import shape as sh
+from vouchline.operators.enrich import heuristic
 from vouchline.plans import catalog, quality
 from vouchline.session import work_dir
 from vouchline.sources import templates as tp
@@ -203,3 +204,20 @@ def test_a_bucket_is_written_by_several_tasks(spark):
     kept = spark.read.parquet(f"{base}/out-rows")
     assert kept.count() == 200 and len(kept.inputFiles()) > 1
     assert spark.read.parquet(f"{base}/out-held/batch=0").count() == 50
+
+
+def test_a_batch_is_parsed_once(spark):
+    """Enrichment uses its rows in many places: it gets those that the batch has stored."""
+    base = work_dir(spark, "once-test")
+    schema = "statement_id long, bank_code string, row_idx long, cells array<string>"
+    cells = [["Date", "Particulars", "Chq No", "Debit", "Credit", "Balance"], ["01-01-2024", "UPI SWIGGY", "", "5.00", "", "95.00"]]
+    spark.createDataFrame([(1, "axis", i, c) for i, c in enumerate(cells)], schema).coalesce(1).write.parquet(f"{base}/in")
+    seen = []
+
+    def enrich(parsed):
+        seen.append([f.split("/out")[1].rsplit("/", 1)[0] for f in parsed.inputFiles()])
+        return heuristic(parsed)
+
+    jobs.stream_statements(spark.readStream.schema(schema).parquet(f"{base}/in"), tp.catalogue, f"{base}/out", f"{base}/check", enrich).awaitTermination()
+    assert seen and all(set(files) == {"-parsed/batch=0"} for files in seen)
+    assert [r.payment_mode for r in jobs.read_statements(spark, f"{base}/out").collect()] == ["UPI"]

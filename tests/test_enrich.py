@@ -351,3 +351,26 @@ def test_texts_are_cleaned_once(spark):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("regexp_replace(") <= 16, (name, plan.count("regexp_replace("))
     assert fx
+
+
+def test_vectors_without_clusters_are_copied_once_a_lane(spark):
+    """Every pack reaches every group here; neither the copies of a pack nor the rows found grow with the number of groups."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(1200, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    df = spark.createDataFrame([(1, i, [float(x) for x in v]) for i, v in enumerate(vectors)], "client_id int, id long, vector array<double>")
+    queries, items = df.withColumnRenamed("id", "query"), df.withColumnRenamed("id", "item")
+    _, _, across = me.vector_meetings(queries, items, 3, pack_rows=32, group_rows=16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = across.select("client_id", F.size("q_keys").alias("n"), F.size("i_keys").alias("m")).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
+        found = across.mapInPandas(me._pack_top_k(3), "client_id int, query long, item long, score double").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert met > 0.8 * 1200 * 1200 and found <= 1200 * me.LANES * 3
+    got = {}
+    for r in me.vector_top_k(queries, items, 3, pack_rows=32, group_rows=16).collect():
+        got.setdefault(r.query, {})[r.place] = r.item
+    scores = np.round(vectors @ vectors.T, 9) + 0.0
+    for q in range(1200):
+        assert [got[q][n + 1] for n in range(3)] == [int(i) for i in np.lexsort((np.arange(1200), -scores[q]))[:3]]

@@ -15,6 +15,12 @@ PACK_ROWS = 2048
 #: Items of a group around a centre, unless a client has more than MAX_GROUPS times as many.
 GROUP_ROWS = 256
 MAX_GROUPS = 1024
+#: Lanes that packs are dealt into on either side of the search across groups.
+LANES = 8
+#: Packs of queries whose best items a task holds at a time.
+PACKS_HELD = 64
+#: Columns of a pack of queries beside a pack of items.
+MET = ["client_id", "q_grp", "q_pack", "q_keys", "q_vectors", "q_floor", "i_keys", "i_vectors"]
 #: What rounding may add to a bound of a cosine.
 MARGIN = 1e-6
 EXAMPLE_NARRATIONS = 20
@@ -168,7 +174,7 @@ def _grouped(df: DataFrame, key: str, centres: DataFrame, pack_rows: int) -> Dat
 
 
 def _reached(k: int):
-    """For a pack of queries of one group: the other groups, each with the queries that may find one of their k nearest there."""
+    """For a pack of queries of one group: the other groups in which one of them may find one of its k nearest, a row for each lane with such a group."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -185,33 +191,53 @@ def _reached(k: int):
                 sure = np.where(filled.any(axis=1), np.take_along_axis(lower, np.take_along_axis(best, filled.argmax(axis=1)[:, None], 1), 1)[:, 0], -np.inf)
                 floor = np.maximum(np.nan_to_num(np.array(row.q_floor, dtype=float), nan=-np.inf), sure)
                 wanted = (upper >= floor[:, None]) & (groups != row.grp)
-                for place in np.flatnonzero(wanted.any(axis=0)):
-                    asking = np.flatnonzero(wanted[:, place])
+                asking = np.flatnonzero(wanted.any(axis=1))
+                places = np.flatnonzero(wanted.any(axis=0))
+                lanes = sorted({(int(groups[p]) + n) % LANES for p in places for n in range(min(int(heads[p]["last"]) + 1, LANES))})
+                if lanes:
                     yield pd.DataFrame({
-                        "client_id": [row.client_id], "grp": [int(groups[place])], "last": [int(heads[place]["last"])],
-                        "q_keys": [[row.q_keys[q] for q in asking]], "q_vectors": [[row.q_vectors[q] for q in asking]],
+                        "client_id": row.client_id, "q_grp": row.grp, "q_pack": row.q_pack, "i_lane": lanes, "reached": [groups[places].tolist()] * len(lanes),
+                        "q_keys": [[row.q_keys[q] for q in asking]] * len(lanes), "q_vectors": [[row.q_vectors[q] for q in asking]] * len(lanes),
+                        "q_floor": [[row.q_floor[q] for q in asking]] * len(lanes),
                     })
 
     return run
 
 
 def _pack_top_k(k: int):
+    """The first k of each query of a pack among all packs of items that a task compares it with: (client_id, query, item, score)."""
+    def rows(client, keys, found) -> pd.DataFrame:
+        return pd.DataFrame({
+            "client_id": client, "query": [q for q, best in zip(keys, found) for _ in best],
+            "item": [b[2] for best in found for b in best], "score": [-b[0] for best in found for b in best],
+        })
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
         for frame in frames:
             for row in frame.itertuples(index=False):
-                queries, items = np.stack(row.q_vectors), np.stack(row.i_vectors)
-                item_keys = np.asarray(row.i_keys)
-                scores = np.round(queries @ items.T, 9) + 0.0
-                kept = min(k, len(item_keys))
-                floor = -np.partition(-scores, kept - 1, axis=1)[:, kept - 1]
-                out_q, out_i, out_s = [], [], []
-                for q, (line, least) in enumerate(zip(scores, floor)):
-                    near = np.flatnonzero(line >= least)
-                    near = near[np.lexsort((item_keys[near], -line[near]))][:kept]
-                    out_q.extend([row.q_keys[q]] * len(near))
-                    out_i.extend(item_keys[near])
-                    out_s.extend(line[near])
-                yield pd.DataFrame({"client_id": row.client_id, "query": out_q, "item": out_i, "score": out_s})
+                pack = (row.client_id, row.q_grp, row.q_pack)
+                if pack not in held and len(held) == PACKS_HELD:
+                    for (client, *_), (keys, found, _) in held.items():
+                        yield rows(client, keys, found)
+                    held = {}
+                if pack not in held:
+                    held[pack] = row.q_keys, [[] for _ in row.q_keys], np.nan_to_num(np.array(row.q_floor, dtype=float), nan=-np.inf)
+                _, found, floor = held[pack]
+                scores = np.round(np.stack(row.q_vectors) @ np.stack(row.i_vectors).T, 9) + 0.0
+                kept = min(k, scores.shape[1])
+                # neither below the k-th score so far nor below that of this pack of items
+                least = np.maximum(floor, -np.partition(-scores, kept - 1, axis=1)[:, kept - 1])
+                asking, near = np.nonzero(scores >= least[:, None])
+                starts = np.flatnonzero(np.diff(asking, prepend=-1))
+                for at, to in zip(starts, [*starts[1:], len(asking)]):
+                    q = asking[at]
+                    fresh = [(-float(scores[q, i]), row.i_keys[i] is not None, row.i_keys[i]) for i in near[at:to]]
+                    found[q] = sorted(found[q] + fresh)[:k]
+                    if len(found[q]) == k:
+                        floor[q] = max(floor[q], -found[q][-1][0])
+        for (client, *_), (keys, found, _) in held.items():
+            yield rows(client, keys, found)
 
     return run
 
@@ -222,9 +248,23 @@ def _first_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _meet(asking: DataFrame, packs: DataFrame) -> DataFrame:
-    """Packs of queries beside each pack of items of the group they ask."""
-    spread = asking.withColumn("_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))).select("client_id", "grp", "_pack", "q_keys", "q_vectors")
-    return spread.join(packs, ["client_id", "grp", "_pack"]).select("client_id", "q_keys", "q_vectors", "i_keys", "i_vectors")
+    """Packs of queries beside each pack of items of their own group."""
+    spread = asking.withColumn("i_pack", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    spread = spread.select("client_id", "grp", F.col("grp").alias("q_grp"), F.col("_pack").alias("q_pack"), "i_pack", "q_keys", "q_vectors", F.transform("q_keys", lambda _: F.lit(None).cast("double")).alias("q_floor"))
+    return spread.join(packs.withColumnRenamed("_pack", "i_pack"), ["client_id", "grp", "i_pack"]).select(*MET)
+
+
+def _meet_in_lanes(reached: DataFrame, packs: DataFrame) -> DataFrame:
+    """Packs of queries beside each pack of items of a group they reach.
+
+    Packs are dealt into LANES lanes on either side and meet by pair of lanes, so a pack is copied once for each lane, however many packs
+    it meets: what is shuffled grows with the vectors, not with the pairs.
+    """
+    asking = reached.withColumn("q_lane", F.pmod(F.col("q_grp") + F.col("q_pack"), F.lit(LANES)).cast("int"))
+    offered = packs.withColumns({
+        "i_lane": F.pmod(F.col("grp") + F.col("_pack"), F.lit(LANES)).cast("int"), "q_lane": F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))),
+    }).drop("_pack")
+    return asking.join(offered, ["client_id", "q_lane", "i_lane"]).filter(F.array_contains("reached", F.col("grp"))).select(*MET)
 
 
 def vector_meetings(queries: DataFrame, items: DataFrame, k: int, pack_rows: int = PACK_ROWS, group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -238,13 +278,13 @@ def vector_meetings(queries: DataFrame, items: DataFrame, k: int, pack_rows: int
     heads = held.groupBy(*group).agg(F.count("vector").alias("items"), F.min("near").alias("least")).withColumn("last", F.ceil(F.col("items") / pack_rows) - 1)
     packs = _packed(held, "item", "i", pack_rows, group, sizes=heads)
 
-    at_home = _meet(_packed(asked, "query", "q", pack_rows, group).drop("_pack").join(heads, group), packs)
+    at_home = _meet(_packed(asked, "query", "q", pack_rows, group).join(heads, group), packs)
     home = _first_k(at_home.mapInPandas(_pack_top_k(k), scored), k).groupBy("client_id", "query").agg(F.collect_list(F.struct("item", "score")).alias("_home"))
     floors = home.select("client_id", "query", F.when(F.size("_home") >= k, F.array_min("_home.score")).alias("floor"))
     searched = centres.join(heads.groupBy("client_id").agg(F.collect_list(F.struct("grp", "items", "least", "last")).alias("heads")), "client_id")
-    leaving = _packed(asked.join(floors, ["client_id", "query"], "left"), "query", "q", pack_rows, group, ("floor",)).drop("_pack").join(searched, "client_id")
-    reached = leaving.mapInPandas(_reached(k), f"client_id {types['client_id']}, grp int, last bigint, q_keys array<{types['query']}>, q_vectors array<array<double>>")
-    return home.select("client_id", "query", F.inline("_home")), at_home, _meet(reached, packs)
+    leaving = _packed(asked.join(floors, ["client_id", "query"], "left"), "query", "q", pack_rows, group, ("floor",)).withColumnRenamed("_pack", "q_pack").join(searched, "client_id")
+    reached = leaving.mapInPandas(_reached(k), f"client_id {types['client_id']}, q_grp int, q_pack bigint, i_lane int, reached array<int>, q_keys array<{types['query']}>, q_vectors array<array<double>>, q_floor array<double>")
+    return home.select("client_id", "query", F.inline("_home")), at_home, _meet_in_lanes(reached, packs)
 
 
 def vector_top_k(queries: DataFrame, items: DataFrame, k: int, pack_rows: int = PACK_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -253,9 +293,9 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int, pack_rows: int =
     queries: client_id, query, vector; items: client_id, item, vector, all of unit length or zero; equal scores go by item; rows without
     a vector are left out. Items are grouped around centres, queries first meet the group of their nearest centre. Angles obey the triangle
     inequality, so no item of a group is closer to a query than its centre less the widest angle of the group: a group whose bound does not
-    reach the k-th score found so far is not compared. Packs of queries meet packs of items; a pair of packs is one matrix product that
-    returns k rows per query, so neither the join nor the shuffle carries single pairs. Packs meet by client, group and item pack, so
-    neither a large client nor a large group is one key.
+    reach the k-th score found so far is not compared. Packs of queries meet packs of items; a pair of packs is one matrix product, and a task
+    returns k rows per query of all pairs it compares, so neither the join nor the shuffle carries single pairs. Packs meet by client,
+    group and item pack at home and by pair of lanes across groups, so neither a large client nor a large group is one key.
     """
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *items.schema]}
     scored = f"client_id {types['client_id']}, query {types['query']}, item {types['item']}, score double"

@@ -83,6 +83,41 @@ def test_trie_finds_each_row_and_nothing_else():
             assert (int(-1 - trie.base[states[0]]) if len(states) else None) == known.get(word)
 
 
+def test_trie_of_phrases_is_small_and_exact():
+    """A phrase ends where no other one shares its bytes; what is left of it is compared, also where a text goes on otherwise."""
+    rng = np.random.default_rng(5)
+    for length, width in ((2, 3), (3, 3), (3, 1), (2, 1)):
+        top = min(300_000, 1 << (8 * width - 1))
+        words = np.minimum(rng.zipf(1.3, (60_000, length)), top).astype(np.int64) - 1
+        words = np.unique(words, axis=0)
+        trie = phrases.PhraseTrie(words[:, 0] << 32 | words[:, 1], words[:, 2].astype(np.int32) if length == 3 else None, width)
+        codes = np.minimum(rng.zipf(1.3, 60_000), top).astype(np.int32) - 1
+        codes[rng.integers(0, len(codes), 5_000)] = -1
+        planted = words[:10_000].astype(np.int32).ravel()
+        codes[10_000 : 10_000 + len(planted)] = planted
+        number = {tuple(w): i for i, w in enumerate(words.tolist())}
+        text = codes.tolist()
+        want = [(i, number[tuple(text[i : i + length])]) for i in range(len(text) - length + 1) if tuple(text[i : i + length]) in number]
+        at, found = trie.find(codes)
+        assert sorted(zip(at.tolist(), found.tolist())) == want and want
+        size = trie.trie.base.nbytes + trie.trie.check.nbytes
+        assert width == 1 or size < 45 * len(words)  # all nodes of all phrases would need more
+    assert phrases.PhraseTrie(np.zeros(0, np.int64), None, 2).find(codes)[0].tolist() == []
+
+
+def test_pages_of_large_rows_do_not_grow_with_the_rows(spark):
+    """Ninety rows of 0.4 MB: all in one page if sizes are looked at every hundred rows."""
+    from pyspark.sql import functions as F
+
+    noise = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(13_000)), lambda i: F.sha2(F.concat_ws(" ", "id", i), 256)), ""))
+    wide = spark.range(0, 90, 1, 1).select(F.lit(1).cast("long").alias("chunk"), noise.alias("codes"))
+    [name] = phrases.written(wide, "large-rows", **phrases.LARGE_ROWS).inputFiles()
+    import pyarrow.parquet as pq
+
+    meta = pq.ParquetFile(name.removeprefix("file://")).metadata
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) < 1.2 * phrases.LARGE_ROWS["parquet.block.size"]
+
+
 def test_scores_are_exact(spark):
     a, l, r = 999_999_999_999_999, 999_999_999_999_997, 999_999_999_999_998
     got = spark.range(1).selectExpr(f"{a}L a", f"{l}L l", f"{r}L r").selectExpr(phrases._score("l", "r")).first()[0]

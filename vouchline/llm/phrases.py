@@ -5,8 +5,9 @@
 2. Candidates of two words: both are frequent. Each chunk tells its distinct pairs; sums that reach `least` make a candidate. Of three
    words: both pairs in them are candidates, tested on the way through the trie of pairs and a bit table for the second pair.
 3. Candidates are dealt by ranges of their keys into double-array tries of at most `TRIE_PHRASES` phrases, one broadcast after another.
-   In a trie a word is its number's bytes. numpy takes the states of all text positions through it together, one byte after another,
-   and counts the accepting states; the sums of all tasks are the counts f of the phrases.
+   In a trie a word is its number's bytes, and a phrase ends where no other one shares its bytes; what is left is compared with its key.
+   numpy takes the states of all text positions through it together, one byte after another, and counts the phrases met; the sums of
+   all tasks are the counts f of the phrases. A pass through a trie of pairs also tells the candidates of three words.
 4. Scores, the rule for phrases inside longer ones, and the ranks are DataFrame expressions on exact decimals.
 
 Words are told apart by 64-bit hashes, pairs and triples by exact keys. A pass over the numbers is cheap (it looks only at the
@@ -26,15 +27,19 @@ from pyspark.sql import functions as F
 
 from vouchline.llm.common import LOWER, U, Words, as_bytes, bits_hold, bits_table, chunks, gathered, mix, table, written
 from vouchline.llm.registry import query
+from vouchline.session import work_dir
 
 LEAST, TOP = 10, 2000
-#: Phrases of one trie: at most some 100 MB in each worker while it is used.
-TRIE_PHRASES = 1 << 21
+#: Phrases of one trie: at most some 50 MB in each worker while it is used.
+TRIE_PHRASES = 1 << 20
 #: Phrases whose counts travel as one row of a task.
 PIECE = 1 << 13
 #: Keys that one task sorts together.
 GROUP_KEYS = 1 << 20
 BATCH_BYTES = 1 << 22
+#: A row of numbers has some megabytes: without these, Parquet looks at sizes every hundred rows only, and a page, which is (un)packed
+#: whole outside of the heap, grows with the rows of a task.
+LARGE_ROWS = {"parquet.block.size": 1 << 24, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1}
 #: Bits of the table of pairs: a false hit costs traffic, never a result.
 MAX_LOG2_BITS = 27
 _PIECE = np.zeros(256, bool)
@@ -101,7 +106,8 @@ def numbered(df: DataFrame, by: list, name: str) -> DataFrame:
     part = F.shiftright("m", 33)
     sizes = df.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row for each task of the sort
     before = np.concatenate(([0], np.cumsum([r["count"] for r in sizes])))[: len(sizes)].tolist()
-    bases = df.sparkSession.createDataFrame([(r["part"], int(b)) for r, b in zip(sizes, before)], "part long, base long")
+    # from Arrow: rows of Python would leave idle Python workers in the executors
+    bases = df.sparkSession.createDataFrame(pa.table({"part": pa.array([r["part"] for r in sizes], pa.int64()), "base": pa.array(before, pa.int64())}))
     return df.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("id", (F.col("base") + F.col("m").bitwiseAND((1 << 33) - 1)).cast("int")).drop("part", "m", "base")
 
 
@@ -110,13 +116,13 @@ def encode(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame, D
     # rows of numbers are large: batches to the workers are bounded by their bytes too
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     texts = docs.select("lang", as_bytes())
-    parts = written(texts.mapInArrow(_chunk_rows, "chunk long, codes binary, words array<struct<lang string, word string, n long, h long>>"), "phrase-chunks")
+    parts = written(texts.mapInArrow(_chunk_rows, "chunk long, codes binary, words array<struct<lang string, word string, n long, h long>>"), "phrase-chunks", **LARGE_ROWS)
     there = parts.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", "at", "w.*")
     words = written(there.groupBy("h").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.sum("n").alias("n")), "phrase-words")
     frequent = written(numbered(words.where(F.col("n") >= least), [F.desc("n"), "lang", "word"], "phrase-frequent"), "phrase-numbers")
     known = there.select("chunk", "at", "h").join(frequent.select("h", "id"), "h").groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("known"))
     codes = parts.select("chunk", "codes").join(known, "chunk", "left").mapInArrow(_number_rows, "chunk long, codes binary")
-    return written(codes, "phrase-codes"), frequent, words.groupBy("lang").agg(F.sum("n").alias("n"))
+    return written(codes, "phrase-codes", **LARGE_ROWS), frequent, words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 # --- double-array tries -----------------------------------------------------------------------------------------------------------
@@ -125,39 +131,54 @@ class Trie:
     """A double-array trie over rows of bytes: sorted, distinct, of one length.
 
     The child of the node at slot s by byte b is at slot base[s] + b if check there is s. Leaves hold -1 - (number of the row) as base.
+    With `cut`, a row has no nodes beyond the first that no other row shares: who gets to its leaf still has to compare the rest.
     """
 
-    def __init__(self, rows: np.ndarray):
+    def __init__(self, rows: np.ndarray, cut: bool = False):
         n, depth = rows.shape
         self.depth = depth
+        ends = np.full(n, depth, np.int8)
+        if cut:
+            shared = np.zeros(max(n - 1, 0), np.int8)  # first bytes that a row shares with the next one
+            same = np.ones(len(shared), bool)
+            for level in range(depth):
+                same &= rows[1:, level] == rows[:-1, level]
+                shared += same
+            ends[:] = min(depth, 1)
+            ends[1:] = np.maximum(ends[1:], shared + 1)
+            ends[:-1] = np.maximum(ends[:-1], shared + 1)
         new = np.zeros(n, bool)
-        symbols, parents, sizes = [], [], [1]
-        above = np.zeros(n, np.int64)
+        symbols, parents, sizes, last = [], [], [1], []
+        above = np.zeros(n, np.int32)
         for level in range(depth):
             new[:1] = n > 0
             new[1:] |= rows[1:, level] != rows[:-1, level]
-            at = np.flatnonzero(new)
+            nodes = new & (ends > level)
+            at = np.flatnonzero(nodes)
             symbols.append(rows[at, level].astype(np.int64))
             parents.append(above[at])
-            above = np.cumsum(new) - 1
+            last.append((np.flatnonzero(ends[at] == level + 1), at[ends[at] == level + 1]))
+            above = np.cumsum(nodes, dtype=np.int32) - 1
             sizes.append(len(at))
         bases = self._place([np.bincount(p, minlength=k) for p, k in zip(parents, sizes)], symbols)
         self.base, self.check = np.zeros(self.slots, np.int32), np.full(self.slots, -1, np.int32)
         slot = np.zeros(1, np.int64)
+        leaves = []
         for level in range(depth):
             self.base[slot] = bases[level]
             below = bases[level][parents[level]] + symbols[level]
             self.check[below] = slot[parents[level]]
             slot = below
-        if depth and n:
-            self.base[slot] = -1 - np.arange(n)
+            leaves.append((slot[last[level][0]], last[level][1]))
+        for at, number in leaves:
+            self.base[at] = -1 - number
 
     def _place(self, fans: list[np.ndarray], symbols: list[np.ndarray]) -> list[np.ndarray]:
         """A base for each node, so that no two children share a slot: nodes with many children first, those with one fill the gaps."""
         fan, symbol = np.concatenate(fans) if fans else np.zeros(0, np.int64), np.concatenate(symbols) if symbols else np.zeros(0, np.int64)
         first = np.cumsum(fan) - fan
         wide = int((fan > 32).sum())
-        room = 256 * (wide + 2) + 3 * len(symbol)
+        room = 256 * (wide + 2) + 2 * len(symbol)
         self.slots = room + 256
         used = np.zeros(self.slots, bool)
         used[0] = True
@@ -212,7 +233,7 @@ class PhraseTrie:
         self.low, self.high = (int(pairs[0]), int(pairs[-1])) if len(pairs) else (1, 0)
         columns = [pairs >> 32, pairs & 0xFFFFFFFF] + ([] if third is None else [third.astype(np.int64)])
         rows = np.stack([(c >> shift & 255).astype(np.uint8) for c in columns for shift in range(8 * (width - 1), -1, -8)], axis=1) if len(pairs) else np.zeros((0, width * len(columns)), np.uint8)
-        self.trie = Trie(rows)
+        self.trie = Trie(rows, cut=True)
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(positions at which a phrase of this trie starts, number of the phrase): all positions advance together."""
@@ -220,18 +241,23 @@ class PhraseTrie:
         n = len(codes) - length + 1
         if n <= 0 or not len(self.pairs):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        wide = codes.astype(np.int64)
-        key = wide[:-1] << 32 | wide[1:]
-        key = key[:n]
-        at = np.flatnonzero((wide[:n] >= 0) & (wide[1 : n + 1] >= 0) & (key >= self.low) & (key <= self.high))
-        states = np.zeros(len(at), np.int64)
+        at = np.flatnonzero((codes[:n] >= self.low >> 32) & (codes[:n] <= self.high >> 32) & (codes[1 : n + 1] >= 0))
+        states, left = np.zeros(len(at), np.int32), at
+        ends, numbers = [], []
         for word in range(length):
-            if word == 2:
-                ok = codes[at + 2] >= 0
-                at, states = at[ok], states[ok]
-            alive, states = self.trie.walk(states, codes[at + word], self.width)
-            at = at[alive]
-        return at, -1 - self.trie.base[states].astype(np.int64)
+            for shift in range(8 * (self.width - 1), -1, -8):
+                alive, states = self.trie.walk(states, codes[left + word] >> shift, 1)
+                left = left[alive]
+                base = self.trie.base[states]
+                done = base < 0
+                ends.append(left[done])
+                numbers.append(-1 - base[done])
+                left, states = left[~done], states[~done]
+        at, number = np.concatenate(ends), np.concatenate(numbers).astype(np.int64)
+        same = self.pairs[number] == (codes[at].astype(np.int64) << 32 | codes[at + 1])
+        if self.third is not None:
+            same &= self.third[number] == codes[at + 2]
+        return at[same], number[same]
 
 
 def _codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -240,45 +266,74 @@ def _codes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
             yield np.frombuffer(codes.as_buffer(), np.int32)
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBatch]:
-    """What this task met of the trie's phrases, `PIECE` phrases to a row: (piece, numbers within it, how often each)."""
+#: What tasks tell each other: counts of the phrases of a trie (`COUNTS`: numbers within a piece, how often each) or candidates of three
+#: words (`TRIPLES`: keys of a part, how often each, at most `least`).
+_TOLD = "kind int, part long, keys binary, seen binary"
+_MET = "pair long, third int, a long"
+COUNTS, TRIPLES = 0, 1
+
+
+def _told(kind: int, part, keys: list, seen: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind] * len(keys), pa.int32()), pa.array(part, pa.int64()), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in seen], pa.binary())], ["kind", "part", "keys", "seen"])
+
+
+def _pass_rows(batches: Iterator[pa.RecordBatch], phrases, tell) -> Iterator[pa.RecordBatch]:
+    """What this task met of the trie's phrases, `PIECE` phrases to a row; before that, what `tell` makes of each chunk's positions."""
     t = phrases.value
     counts = np.zeros(len(t.pairs), np.int64)
+    met, held = [], 0
     for codes in _codes_of(batches):
-        counts += np.bincount(t.find(codes)[1], minlength=len(counts))
+        at, number = t.find(codes)
+        if tell:
+            yield from tell(codes, at, number)
+        met.append(number.astype(np.int32))
+        held += len(number)
+        if held > len(counts):
+            counts += np.bincount(np.concatenate(met), minlength=len(counts))
+            met, held = [], 0
+    if held:
+        counts += np.bincount(np.concatenate(met), minlength=len(counts))
     for piece in range(-(-len(counts) // PIECE)):
         part = counts[piece * PIECE : (piece + 1) * PIECE]
         some = np.flatnonzero(part)
         if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int64()), pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([part[some].tobytes()], pa.binary())], ["piece", "numbers", "counts"])
+            yield _told(COUNTS, [piece], [some.astype(np.int32)], [part[some]])
 
 
-def _sum_rows(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBatch]:
-    """(pair, third, a) of pieces that come sorted: one piece is held at a time, however many tasks counted it."""
+def _sum_rows(batches: Iterator[pa.RecordBatch], phrases, least: int) -> Iterator[pa.RecordBatch]:
+    """(pair, third, a) of counted phrases, (pair, third, null) of candidates. Rows come sorted: one piece or part is held at a time."""
     t = phrases.value
-    now, sums = None, np.zeros(PIECE, np.int64)
+    now, sums, keys, seen = None, np.zeros(PIECE, np.int64), [], []
 
     def close() -> pa.RecordBatch:
-        some = np.flatnonzero(sums)
-        at = now * PIECE + some
-        third = np.full(len(some), -1, np.int32) if t.third is None else t.third[at]
-        return pa.RecordBatch.from_arrays([pa.array(t.pairs[at]), pa.array(third), pa.array(sums[some])], ["pair", "third", "a"])
+        if now[0] == COUNTS:
+            some = np.flatnonzero(sums)
+            at = now[1] * PIECE + some
+            third = np.full(len(some), -1, np.int32) if t.third is None else t.third[at]
+            return pa.RecordBatch.from_arrays([pa.array(t.pairs[at]), pa.array(third), pa.array(sums[some])], ["pair", "third", "a"])
+        key = _summed(np.concatenate(keys), np.concatenate(seen), least)
+        return pa.RecordBatch.from_arrays([pa.array(t.pairs[key >> 32]), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.nulls(len(key), pa.int64())], ["pair", "third", "a"])
 
     for batch in batches:
-        for piece, numbers, counts in zip(batch.column("piece").to_pylist(), batch.column("numbers"), batch.column("counts")):
-            if piece != now:
+        for kind, part, k, n in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), batch.column("keys"), batch.column("seen")):
+            if (kind, part) != now:
                 if now is not None:
                     yield close()
-                now, sums = piece, np.zeros(PIECE, np.int64)
-            sums[np.frombuffer(numbers.as_buffer(), np.int32)] += np.frombuffer(counts.as_buffer(), np.int64)
+                now, sums, keys, seen = (kind, part), np.zeros(PIECE, np.int64), [], []
+            if kind == COUNTS:
+                sums[np.frombuffer(k.as_buffer(), np.int32)] += np.frombuffer(n.as_buffer(), np.int64)
+            else:
+                keys.append(np.frombuffer(k.as_buffer(), np.int64).copy())  # not the whole batch
+                seen.append(np.frombuffer(n.as_buffer(), np.int32).copy())
     if now is not None:
         yield close()
 
 
 # --- candidates -------------------------------------------------------------------------------------------------------------------
 
-def _blocks(keys: np.ndarray, groups: int, least: int) -> Iterator[pa.RecordBatch]:
-    """The distinct keys of a chunk, dealt by hash: (part, keys, how often each, at most `least`)."""
+def _blocks(keys: np.ndarray, groups: int, least: int, kind: int = TRIPLES) -> Iterator[pa.RecordBatch]:
+    """The distinct keys of a chunk, dealt by hash: (kind, part, keys, how often each, at most `least`)."""
     keys, n = np.unique(keys, return_counts=True)
     if not len(keys):
         return
@@ -287,8 +342,7 @@ def _blocks(keys: np.ndarray, groups: int, least: int) -> Iterator[pa.RecordBatc
     keys, n, part = keys[order], np.minimum(n[order], least).astype(np.int32), part[order]
     cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     ends = np.append(cuts[1:], len(part))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(part[cuts]), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())], ["part", "keys", "seen"])
+    yield _told(kind, part[cuts], [keys[a:b] for a, b in zip(cuts, ends)], [n[a:b] for a, b in zip(cuts, ends)])
 
 
 def _pair_blocks(batches: Iterator[pa.RecordBatch], groups: int, least: int) -> Iterator[pa.RecordBatch]:
@@ -298,32 +352,32 @@ def _pair_blocks(batches: Iterator[pa.RecordBatch], groups: int, least: int) ->
         yield from _blocks((wide[:-1] << 32 | wide[1:])[ok], groups, least)
 
 
-def _triple_blocks(batches: Iterator[pa.RecordBatch], groups: int, least: int, pairs, bits) -> Iterator[pa.RecordBatch]:
-    """Keys (number of the pair in its trie << 32 | third word)."""
-    for codes in _codes_of(batches):
-        at, number = pairs.value.find(codes)
-        ok = at + 2 < len(codes)
-        at, number = at[ok], number[ok]
-        ok = codes[at + 2] >= 0
-        at, number = at[ok], number[ok]
-        ok = bits_hold(bits.value, mix((codes[at + 1].astype(np.int64) << 32 | codes[at + 2]).view(np.uint64)))
-        yield from _blocks(number[ok] << 32 | codes[at[ok] + 2], groups, least)
+def _triple_blocks(codes: np.ndarray, at: np.ndarray, number: np.ndarray, groups: int, least: int, bits) -> Iterator[pa.RecordBatch]:
+    """Keys (number of the pair in its trie << 32 | third word), for the positions at which a pair starts."""
+    ok = at + 2 < len(codes)
+    at, number = at[ok], number[ok]
+    ok = codes[at + 2] >= 0
+    at, number = at[ok], number[ok]
+    ok = bits_hold(bits.value, mix((codes[at + 1].astype(np.int64) << 32 | codes[at + 2]).view(np.uint64)))
+    yield from _blocks(number[ok] << 32 | codes[at[ok] + 2], groups, least)
 
 
-def _frequent_keys(rows: pa.Table, least: int) -> pa.Table:
-    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("keys")])
-    n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("seen")])
+def _summed(keys: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """The distinct keys that occur `least` times or more."""
     order = np.argsort(keys)
     keys = keys[order]
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return pa.table({"key": keys[cuts][np.add.reduceat(n[order].astype(np.int64), cuts) >= least]})
+    return keys[cuts][np.add.reduceat(n[order].astype(np.int64), cuts) >= least]
 
 
-def _candidates(blocks: DataFrame, least: int) -> DataFrame:
-    return blocks.groupBy("part").applyInArrow(lambda rows: _frequent_keys(rows, least), "key long")
+def _frequent_keys(rows: pa.Table, least: int) -> pa.Table:
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in rows.column("keys")])
+    n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("seen")])
+    return pa.table({"key": _summed(keys, n, least)})
 
 
-_BLOCK = "part long, keys binary, seen binary"
+def _candidates(blocks: DataFrame, least: int) -> DataFrame:
+    return blocks.drop("kind").groupBy("part").applyInArrow(lambda rows: _frequent_keys(rows, least), "key long")
 
 
 def _tries(rows: DataFrame, count: int, most: int, width: int) -> Iterator[PhraseTrie]:
@@ -352,27 +406,18 @@ def count_phrases(codes: DataFrame, frequent: DataFrame, least: int = LEAST, mos
     width = max(1, -(-int(size["words"] or 1).bit_length() // 8))
     groups = max(1, -(-int(size["n"] or 0) // group_keys))
     least_ = least
-    pairs = written(_candidates(codes.mapInArrow(lambda it: _pair_blocks(it, groups, least_), _BLOCK), least).withColumnRenamed("key", "pair"), "phrase-pairs")
+    pairs = written(_candidates(codes.mapInArrow(lambda it: _pair_blocks(it, groups, least_), _TOLD), least).withColumnRenamed("key", "pair"), "phrase-pairs")
     n = pairs.count()
     hashed = _mixed(pairs)
     bits = spark.sparkContext.broadcast(bits_table(hashed, "h", min(MAX_LOG2_BITS, max(16, (16 * n).bit_length()))))
-    counted = {2: [], 3: []}
-    triples = []
-    for trie in _tries(pairs, n, most, width):
-        shared = spark.sparkContext.broadcast(trie)
-        counted[2].append(_counted(codes, shared, "phrase-counts-2"))
-        found = written(_candidates(codes.mapInArrow(lambda it: _triple_blocks(it, groups, least_, shared, bits), _BLOCK), least), "phrase-triple-keys")
-        triples.append(written(found.mapInArrow(lambda it: _named(it, shared), "pair long, third int"), "phrase-triples"))
-        shared.unpersist()
-    bits.unpersist()
-    every = _union(triples, spark, "pair long, third int")
-    for trie in _tries(every, every.count(), most, width):
-        shared = spark.sparkContext.broadcast(trie)
-        counted[3].append(_counted(codes, shared, "phrase-counts-3"))
-        shared.unpersist()
+    tell = lambda *met: _triple_blocks(*met, groups, least_, bits)
+    found = _read(spark, [_passed(codes, trie, least, tell, "phrase-pass-2") for trie in _tries(pairs, n, most, width)])
+    bits.destroy()
+    every = found.where("a is null").select("pair", "third")
+    counted = _read(spark, [_passed(codes, trie, least, None, "phrase-pass-3") for trie in _tries(every, every.count(), most, width)])
     g1, g2 = F.shiftright("pair", 32).cast("int").alias("g1"), F.col("pair").bitwiseAND((1 << 32) - 1).cast("int").alias("g2")
-    twos = _union(counted[2], spark, "pair long, third int, a long").where(F.col("a") >= least).select(g1, g2, "a")
-    threes = _union(counted[3], spark, "pair long, third int, a long").where(F.col("a") >= least).select(g1, g2, F.col("third").alias("g3"), "a")
+    twos = found.where(F.col("a") >= least).select(g1, g2, "a")
+    threes = counted.where(F.col("a") >= least).select(g1, g2, F.col("third").alias("g3"), "a")
     return twos, threes
 
 
@@ -384,22 +429,19 @@ def _mixed(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair").mapInArrow(rows, "h long")
 
 
-def _named(batches: Iterator[pa.RecordBatch], pairs) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key = batch.column("key").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(pairs.value.pairs[key >> 32]), pa.array((key & 0xFFFFFFFF).astype(np.int32))], ["pair", "third"])
-
-
-def _counted(codes: DataFrame, phrases, name: str) -> DataFrame:
-    shards = codes.mapInArrow(lambda it: _count_rows(it, phrases), "piece long, numbers binary, counts binary")
-    return written(shards.repartition("piece").sortWithinPartitions("piece").mapInArrow(lambda it: _sum_rows(it, phrases), "pair long, third int, a long"), name)
+def _passed(codes: DataFrame, trie: PhraseTrie, least: int, tell, name: str) -> str:
+    """The folder of (pair, third, a): what all positions meet of a trie, see `_sum_rows`."""
+    spark = codes.sparkSession
+    phrases = spark.sparkContext.broadcast(trie)
+    told = codes.mapInArrow(lambda it: _pass_rows(it, phrases, tell), _TOLD)
+    path = work_dir(spark, name)
+    told.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(lambda it: _sum_rows(it, phrases, least), _MET).write.parquet(path)
+    phrases.destroy()
+    return path
 
 
-def _union(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
-    out = spark.createDataFrame([], schema)
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.schema(_MET).parquet(*paths) if paths else spark.createDataFrame([], _MET)
 
 
 # --- scores -----------------------------------------------------------------------------------------------------------------------

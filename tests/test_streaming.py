@@ -10,7 +10,7 @@ from tests.agreement import compare, duck
 from vouchline.operators import shape as sh
 from vouchline.operators.enrich import heuristic
 from vouchline.plans import catalog, quality
-from vouchline.session import work_dir
+from vouchline.session import shuffles_freed, work_dir
 from vouchline.sources import templates as tp
 from vouchline.streaming import jobs
 
@@ -221,3 +221,45 @@ def test_a_batch_is_parsed_once(spark):
     jobs.stream_statements(spark.readStream.schema(schema).parquet(f"{base}/in"), tp.catalogue, f"{base}/out", f"{base}/check", enrich).awaitTermination()
     assert seen and all(set(files) == {"-parsed/batch=0"} for files in seen)
     assert [r.payment_mode for r in jobs.read_statements(spark, f"{base}/out").collect()] == ["UPI"]
+
+
+def test_a_large_batch_is_enriched_in_slices_of_whole_statements(spark):
+    """Every slice has its own statements, what it parsed is gone after it, and the result is that of one slice."""
+    base = work_dir(spark, "slices-test")
+    schema = "statement_id long, bank_code string, row_idx long, cells array<string>"
+    header = ["Date", "Particulars", "Chq No", "Debit", "Credit", "Balance"]
+    row = lambda sid, i: (sid, "axis", i, header if i == 0 else [f"0{i}-01-2024", "UPI SWIGGY", "", f"{i}.00", "", "95.00"])
+    for part in ((0, 1), (2, 3)):
+        spark.createDataFrame([row(sid, i) for sid in range(40) for i in part], schema).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(0.01)
+    got = {}
+    for limit in (30, 1 << 22):
+        seen = []
+
+        def enrich(parsed):
+            seen.append({r.statement_id for r in parsed.select("statement_id").distinct().collect()})
+            return heuristic(parsed)
+
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        out = f"{base}/out{limit}"
+        jobs.stream_statements(stream, tp.catalogue, out, f"{out}-check", enrich, slice_rows=limit).awaitTermination()
+        got[limit] = sorted((r.statement_id, r.row_number, int(r.debit), r.payment_mode) for r in jobs.read_statements(spark, out).collect())
+        assert os.listdir(f"{out}-parsed") == []
+        assert sorted(sid for some in seen for sid in some) == sorted(2 * list(range(40)))
+        assert len(seen) > 2 if limit == 30 else len(seen) == 2
+    assert got[30] == got[1 << 22] == [(sid, n, n, "UPI") for sid in range(40) for n in (1, 2, 3)]
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    base = work_dir(spark, "freed-test")
+    ids = lambda: {int(name.split("_")[1]) for folder in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for _, _, names in os.walk(folder.toString()) for name in names if name.startswith("shuffle_")}
+    spark.range(1000).repartition(3, "id").write.parquet(f"{base}/a")
+    before = ids()
+    with shuffles_freed(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(f"{base}/b")
+    for _ in range(100):
+        if ids() <= before:
+            break
+        time.sleep(0.1)
+    assert ids() <= before and spark.read.parquet(f"{base}/b").count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

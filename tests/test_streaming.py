@@ -263,3 +263,10 @@ def test_writes_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert ids() <= before and spark.read.parquet(f"{base}/b").count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_answers_of_a_slice_come_in_whole_batches(spark):
+    """An answer counts or not by all answers of its batch, also those to rows of another slice."""
+    answers = spark.createDataFrame([(1, 7, 0, 1), (2, 7, 0, 1), (2, 7, 0, 3), (3, 7, 1, 1), (4, 8, 0, 1), (1, 9, 5, 2), (None, 7, 1, 1)], "id long, statement_id long, batch_no long, tier int")
+    rows = spark.createDataFrame([(1,), (1,), (None,)], "id long")
+    assert sorted(tuple(r) for r in quality._answers_to(rows, answers).select(*answers.columns).collect()) == [(1, 7, 0, 1), (1, 9, 5, 2), (2, 7, 0, 1), (2, 7, 0, 3)]
